@@ -33,6 +33,8 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.01
 
 _TOKEN = re.compile(rb"[\w\x80-\xff]+|[^\w\s\x80-\xff]+")
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
+#: Stands for every pair of a token with itself, so that repetition is learnt apart from the word that is repeated.
+_AGAIN = np.uint64(0xD1B54A32D192ED03)
 
 
 class _Tokens(dict):
@@ -55,7 +57,7 @@ def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
     flat = np.frombuffer(b"".join(parts), "<u8")
     n = np.fromiter(map(len, parts), np.int64, len(parts)) // 8
     ends = np.cumsum(n)
-    pairs = mix(flat[:-1] * _PAIR + flat[1:]) if len(flat) else flat
+    pairs = mix(np.where(flat[:-1] == flat[1:], _AGAIN, flat[:-1] * _PAIR + flat[1:])) if len(flat) else flat
     inside = np.ones(len(pairs), bool)  # pairs across two texts are none
     cuts = ends[:-1]
     inside[cuts[(cuts > 0) & (cuts < len(flat))] - 1] = False
