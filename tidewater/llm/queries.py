@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import line_dedup, mixing, quality
+from tidewater.llm import line_dedup, mixing, ngram_join, quality
 from tidewater.llm.common import remainder
 
 
@@ -18,6 +18,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.drop_lines(docs)
@@ -44,5 +48,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", quality.predicted(F.col("score")).alias("predicted"))
 
 
-QUERIES = {"op6_mixing": op6_mixing, "op8_line_dedup": op8_line_dedup, "op10_quality": op10_quality}
+QUERIES = {"op6_mixing": op6_mixing, "op7_ngram_join": op7_ngram_join, "op8_line_dedup": op8_line_dedup, "op10_quality": op10_quality}
 ORACLE_SQL = {"op8_line_dedup": OP8_SQL}
