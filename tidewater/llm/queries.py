@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import line_dedup, mixing, ngram_join, quality
+from tidewater.llm import line_dedup, mixing, ngram_join, quality, sentencepieces, token_counts
 from tidewater.llm.common import remainder
 
 
@@ -13,6 +13,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.copies(_read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -41,6 +45,13 @@ from marked group by doc_id
 """
 
 
+def op9_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, in digest, and whether they decode to it again."""
+    encoded = sentencepieces.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    decoded = encoded.withColumn("_decoded", sentencepieces.decoder(spark)(F.col("ids")))
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), line_dedup.sha256_hex(F.col("_decoded")).alias("decoded_sha256"), (F.col("_decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     weights = quality.fit(docs, _read(spark, sf_dir, "labels"))
@@ -48,5 +59,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", quality.predicted(F.col("score")).alias("predicted"))
 
 
-QUERIES = {"op6_mixing": op6_mixing, "op7_ngram_join": op7_ngram_join, "op8_line_dedup": op8_line_dedup, "op10_quality": op10_quality}
+QUERIES = {"op4_token_counts": op4_token_counts, "op6_mixing": op6_mixing, "op7_ngram_join": op7_ngram_join, "op8_line_dedup": op8_line_dedup, "op9_sentencepieces": op9_sentencepieces, "op10_quality": op10_quality}
 ORACLE_SQL = {"op8_line_dedup": OP8_SQL}
