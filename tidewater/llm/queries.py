@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import embedding_dedup, line_dedup, mixing, ngram_join, quality, sentencepieces, token_counts
+from tidewater.llm import embedding_dedup, fingerprints, line_dedup, mixing, ngram_join, quality, sentencepieces, token_counts, url_lists
 from tidewater.llm.common import remainder
 
 
@@ -13,6 +13,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
@@ -21,6 +25,51 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens")
 
 
+def op5_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against a dated list. The tables hold neither fetch days nor lists, so both follow from page_id: a page is fetched on day
+    page_id * 37 mod 365; hosts of some pages are listed and delisted on other days, and some pages and domains are listed."""
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetch_day", (F.col("page_id") * 37 % 365).cast("int"))
+    host, page = url_lists.host(F.col("url")), url_lists.page(F.col("url"))
+    found = pages.select("page_id", host.alias("host"), page.alias("page")).where("host <> ''")
+
+    def entries(every: int, rest: int, pattern, step: int, listed: bool) -> DataFrame:
+        return found.where(F.col("page_id") % every == rest).select(pattern.alias("pattern"), (F.col("page_id") * step % 365).cast("int").alias("day"), F.lit(listed).alias("listed"))
+
+    domain = F.concat(F.lit("."), F.regexp_extract("host", r"([^.]+\.[^.]+\.[^.]+)$", 1))
+    listing = entries(7, 0, F.col("host"), 13, True).union(entries(11, 3, F.col("host"), 29, False)).union(entries(5, 1, F.concat(F.lit("="), F.col("page")), 17, True)).union(entries(97, 5, domain, 41, True)).union(entries(101, 7, domain, 43, False))
+    return url_lists.evaluate(captures, listing)
+
+
+OP5_SQL = r"""
+with found as (
+  select page_id, page_id * 37 % 365 as fetch_day,
+    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)) as host,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) as rest
+  from pages),
+named as (select *, string_split(host, '.') as labels from found where coalesce(host, '') <> ''),
+domains as (select *, regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1) as domain from named),
+entries as (
+  select host as pattern, page_id * 13 % 365 as day, true as listed from domains where page_id % 7 = 0
+  union all select host, page_id * 29 % 365, false from domains where page_id % 11 = 3
+  union all select '=' || host || rest, page_id * 17 % 365, true from domains where page_id % 5 = 1
+  union all select '.' || domain, page_id * 41 % 365, true from domains where page_id % 97 = 5
+  union all select '.' || domain, page_id * 43 % 365, false from domains where page_id % 101 = 7),
+states as (select pattern, day, bool_or(listed) as listed from entries group by all),
+asks as (
+  select page_id, fetch_day, 1 as rank, '=' || host || rest as pattern from named
+  union all select page_id, fetch_day, 2, host from named
+  union all select page_id, fetch_day, k + 1, '.' || array_to_string(labels[k:], '.') from (select *, unnest(range(2, len(labels))) as k from named)),
+latest as (select a.page_id, a.fetch_day, a.rank, a.pattern, max(s.day) as day
+  from asks a join states s on a.pattern = s.pattern and s.day <= a.fetch_day group by all),
+hits as (
+  select l.page_id, count(*) as n_listed, arg_min(l.pattern, l.rank) as pattern, arg_min(l.day, l.rank) as listed_since
+  from latest l join states s on l.pattern = s.pattern and l.day = s.day where s.listed group by l.page_id)
+select f.page_id, f.fetch_day::int as fetch_day, coalesce(h.n_listed, 0) as n_listed, h.pattern, h.listed_since::int as listed_since, h.page_id is not null as blocked
+from found f left join hits h using (page_id)
+"""
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.copies(_read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -63,5 +112,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", quality.predicted(F.col("score")).alias("predicted"))
 
 
-QUERIES = {"op2_embedding_dedup": op2_embedding_dedup, "op4_token_counts": op4_token_counts, "op6_mixing": op6_mixing, "op7_ngram_join": op7_ngram_join, "op8_line_dedup": op8_line_dedup, "op9_sentencepieces": op9_sentencepieces, "op10_quality": op10_quality}
-ORACLE_SQL = {"op8_line_dedup": OP8_SQL}
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_embedding_dedup": op2_embedding_dedup, "op4_token_counts": op4_token_counts, "op5_url_lists": op5_url_lists, "op6_mixing": op6_mixing, "op7_ngram_join": op7_ngram_join, "op8_line_dedup": op8_line_dedup, "op9_sentencepieces": op9_sentencepieces, "op10_quality": op10_quality}
+ORACLE_SQL = {"op5_url_lists": OP5_SQL, "op8_line_dedup": OP8_SQL}
