@@ -6,12 +6,30 @@ its smallest node. Every round is a grouping and a join; no component is gathere
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import shared_table
 
 
+def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Places of those links that join two trees."""
+    parent = list(range(n))
+    keep = []
+    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+        while parent[a] != a:
+            parent[a] = parent[parent[a]]
+            a = parent[a]
+        while parent[b] != b:
+            parent[b] = parent[parent[b]]
+            b = parent[b]
+        if a != b:
+            parent[b] = a
+            keep.append(k)
+    return np.array(keep, int)
+
+
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
     """edges (a > b). larger: each node's larger neighbours get its smallest neighbour (or itself). Else: its smaller ones and itself do."""
     if larger:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import shared_table
-from tidewater.llm.components import components
+from tidewater.llm.components import components, spanning
 
 THRESHOLD = 0.98
 SEED = 20_240_521
@@ -111,23 +111,6 @@ def _inside(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[i], order[j]
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Places of those links that join two trees."""
-    parent = list(range(n))
-    keep = []
-    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-        while parent[a] != a:
-            parent[a] = parent[parent[a]]
-            a = parent[a]
-        while parent[b] != b:
-            parent[b] = parent[parent[b]]
-            b = parent[b]
-        if a != b:
-            parent[b] = a
-            keep.append(k)
-    return np.array(keep, int)
-
-
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of embeddings (vec_id, embedding, label)."""
     rows = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
@@ -190,7 +173,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> Data
         i, j = i[first], j[first]
         copies, reps = part["copies"].to_numpy(), part["rep"].combine_chunks()
         links = np.bincount(i, weights=copies[j], minlength=len(x)) + np.bincount(j, weights=copies[i], minlength=len(x))
-        met, tree = np.flatnonzero(links), _forest(len(x), i, j)
+        met, tree = np.flatnonzero(links), spanning(len(x), i, j)
         none = pa.nulls(len(tree), reps.type)
         return pa.table({
             "node": pa.concat_arrays([reps.take(pa.array(met)), none]),

@@ -7,8 +7,9 @@ miss all of it:
  - where a document has too few rare ones, frequent shingles follow in small groups that both documents form alike (by hash, for
    the size class of the larger one); a group of g is indexed by its pairs and accounts for g - 1 missing shingles.
 Shingles that one document alone holds can match nothing, so they are counted but not written out.
-What shares an index entry is a candidate. Candidates are first linked to one document of their entry, in a few rounds with other
-choices; what then lies in different components is compared pair by pair. All links rest on an exact comparison of whole sets.
+What shares an index entry and has a fitting size is a candidate. Candidates chain into clusters, and each cluster's documents are compared with
+each other, tile by tile where it is large: exact intersections of whole sets from products of incidence blocks. A tile gives back a spanning
+forest of its links, never all its pairs.
 
 Cases: a null or empty text (or one of white space only) has an empty set and links with nothing; fewer words than the shingle's
 are one shingle; rows with equal sets belong together; rows without doc_id get no component; rows that share a doc_id are
@@ -25,10 +26,9 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewater.llm.common import binary, chunks, hashed_words, mix, partitions, shared_table
-from tidewater.llm.components import components
+from tidewater.llm.components import components, spanning
 
 WORDS = 5
 #: Percent: two sets link when 100 * intersection >= PERCENT * union.
@@ -43,8 +43,8 @@ COUNT_BITS = 40
 FREQUENT = 6
 #: Mean size of a group of frequent shingles.
 GROUP = 4
-#: Rounds in which candidates are compared with one document of their entry.
-ROUNDS = 2
+#: Documents of a tile's side; smaller clusters are compared several to a task, of about LUMP documents. Shingles of an incidence block.
+TILE, LUMP, COLUMNS = 256, 1_024, 4_096
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -171,56 +171,83 @@ def index(documents: DataFrame) -> DataFrame:
     return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(enter, f"doc_id {id_type}, n_shingles long, set_hash binary, entries array<long>")
 
 
-@F.arrow_udf(T.BooleanType())
-def _similar(left: pa.Array, right: pa.Array) -> pa.Array:
-    out = []
-    for x, y in zip(binary(left), binary(right), strict=True):
-        (a,), (b,) = _shingle_sets([x]), _shingle_sets([y])
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        out.append(bool(len(a) and len(b)) and 100 * both >= PERCENT * (len(a) + len(b) - both))
-    return pa.array(out, pa.bool_())
-
-
-def _verify(pairs: DataFrame, documents: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of doc_ids whose sets are similar."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = shared_table(documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), "texts")
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("_x"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("_y"))
-    return pairs.join(one, "a").join(two, "b").where(_similar("_x", "_y")).select("a", "b").distinct()
-
-
-def _possible(n: str, m: str):
-    return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
-
+def _similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places (one of left, one of right) whose sets are similar, by exact intersections."""
+    size = np.array([len(s) for s in sets])
+    values, which, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = held[which] > 1
+    owner = np.repeat(np.arange(len(sets)), size)[common]
+    _, column = np.unique(which[common], return_inverse=True)
+    both = np.zeros((len(left), len(right)), np.float32)  # whole numbers below 2**24 are exact
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, [a, a + COLUMNS])
+        grid = np.zeros((len(sets), COLUMNS), np.float32)
+        grid[owner[i:j], column[i:j] - a] = 1
+        both += grid[left] @ grid[right].T
+    union = size[left][:, None] + size[right][None, :] - both.astype(np.int64)
+    i, j = np.nonzero(100 * both.astype(np.int64) >= PERCENT * union)
+    return left[i], right[j]
+
+
+def _clusters(posted: DataFrame) -> DataFrame:
+    """node, component: documents that entries connect. Between documents of an entry whose sizes rule a link out there is no connection.
+
+    A document stands at its size class and the next one; similar documents are at most one class apart, so they meet.
+    """
+    z = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT)) + 1e-9).cast("int")
+    placed = posted.select("entry", "doc", F.explode(F.array(z, z + 1)).alias("z"))
+    first = placed.groupBy("entry", "z").agg(F.min("doc").alias("first"))
+    edges = placed.join(first, ["entry", "z"]).where("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b"))
+    return components(edges)
+
+
+def _links(documents: DataFrame, clusters: DataFrame) -> DataFrame:
+    """a, b: spanning links of the similar pairs within clusters (node, component). Each document meets each part of its cluster once."""
+    clusters = shared_table(clusters, "clusters")
+    lumps = max(1, clusters.count() // LUMP)
+    sized = clusters.groupBy("component").agg(F.count("*").alias("m")).withColumn("parts", F.ceil(F.col("m") / TILE).cast("int"))
+    dealt = clusters.join(sized, "component").select(
+        F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "parts",
+        F.pmod(F.xxhash64(F.lit(17), "node"), F.col("parts")).cast("int").alias("part"),
+        F.when(F.col("parts") == 1, F.pmod(F.xxhash64("component"), F.lit(lumps))).otherwise(-1).alias("lump"), F.when(F.col("parts") > 1, F.col("component")).alias("own"),
+    )
+    held = documents.select("doc_id", "text").join(dealt, "doc_id")
+    tiles = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("lump", "own", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "cluster", "doc_id", "text")
+    id_type = documents.schema["doc_id"].dataType.simpleString()
 
-def similar_groups(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    def compare(part: pa.Table) -> pa.Table:
+        part = part.sort_by("cluster").combine_chunks()
+        ids, sets = part["doc_id"], list(_shingle_sets(binary(part["text"])))
+        cluster, side = part["cluster"].to_numpy(), part["part"].to_numpy()
+        p, q = part["p"][0].as_py(), part["q"][0].as_py()
+        found: list[np.ndarray] = []
+        begins = np.flatnonzero(np.r_[True, cluster[1:] != cluster[:-1]])
+        for a, b in zip(begins, [*begins[1:], len(cluster)], strict=True):
+            if b - a > 1:
+                here = side[a:b]
+                left, right = (np.arange(b - a),) * 2 if p == q else (np.flatnonzero(here == p), np.flatnonzero(here == q))
+                if len(left) and len(right):
+                    i, j = _similar(sets[a:b], left, right)
+                    i, j = (i[i < j], j[i < j]) if p == q else (i, j)
+                    keep = spanning(b - a, i, j)
+                    found.append(np.stack([i[keep] + a, j[keep] + a]))
+        i, j = np.concatenate(found, axis=1) if found else np.zeros((2, 0), int)
+        return pa.table({"a": ids.take(pa.array(i, pa.int64())), "b": ids.take(pa.array(j, pa.int64()))})
+
+    return tiles.groupBy("lump", "own", "p", "q").applyInArrow(compare, f"a {id_type}, b {id_type}")
+
+
+def similar_groups(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of documents (doc_id, text)."""
     table = shared_table(index(documents), "index")
     known = table.where(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
     # equal sets have equal entries: one row for each entry and set, standing for the smallest doc_id of the set
     posted = known.select(F.explode("entries").alias("entry"), "set_hash", "doc_id", "n_shingles").groupBy("entry", "set_hash").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"))
     shared = posted.groupBy("entry").agg(F.count("*").alias("_sets")).where("_sets > 1")
-    posted = shared_table(posted.join(shared, "entry").select("entry", "doc", "n"), "posted")
-
-    links, part = None, None
-    for turn in range(rounds + 1):
-        now = posted if part is None else posted.join(part.withColumnRenamed("node", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component")
-        if part is None:
-            now = now.withColumn("c", F.col("doc"))
-        if turn < rounds:
-            one = now.groupBy("entry").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "doc").alias("h"), F.col("doc").alias("doc"), F.col("n").alias("n"), F.col("c").alias("c"))).alias("one"))
-            pairs = now.join(one, "entry").where(F.col("c") != F.col("one.c")).where(_possible("n", "one.n")).select(F.least("doc", "one.doc").alias("a"), F.greatest("doc", "one.doc").alias("b"))
-        else:
-            # entries over more than one component: each pair of components, then the rows of both sides
-            sides = now.groupBy("entry", "c").agg(F.lit(1)).select("entry", "c")
-            met = sides.alias("x").join(sides.alias("y"), (F.col("x.entry") == F.col("y.entry")) & (F.col("x.c") < F.col("y.c"))).select(F.col("x.entry").alias("entry"), F.col("x.c").alias("c"), F.col("y.c").alias("d"))
-            left = met.join(now, ["entry", "c"]).select("entry", "d", F.col("doc").alias("p"), F.col("n").alias("np"))
-            right = now.select("entry", F.col("c").alias("d"), "doc", "n")
-            pairs = left.join(right, ["entry", "d"]).where(_possible("n", "np")).select(F.least("doc", "p").alias("a"), F.greatest("doc", "p").alias("b"))
-        found = shared_table(_verify(shared_table(pairs.distinct(), "pairs"), documents), "found")
-        links = found if links is None else links.union(found)
-        part = shared_table(components(links), "parts")
+    posted = posted.join(shared, "entry").select("entry", "doc", "n")
+    part = components(_links(documents, _clusters(posted)))
 
     reps = known.groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
     whole = reps.join(part, reps["rep"] == part["node"], "left").select("set_hash", F.coalesce("component", "rep").alias("component_id"))
