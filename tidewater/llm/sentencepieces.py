@@ -23,25 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import shared_table
-from tidewater.llm.unigram import SPACE, STRETCH, Unigram, escaped, load
+from tidewater.llm.unigram import NONE, SPACE, STRETCH, Unigram, escaped, load
 
 #: Code points from which a text is encoded in chunks, and those of a chunk.
 GIANT_CHARS = 65_536
 CHUNK_CHARS = 8_192
-#: Stretches whose ids a worker keeps.
-CACHED = 200_000
-NONE = -(1 << 60)
-
-
-class _Ids(dict):
-    def __init__(self, model: Unigram) -> None:
-        self.model = model
-
-    def __missing__(self, stretch: str) -> bytes:
-        if len(self) >= CACHED:
-            self.clear()
-        self[stretch] = found = np.array(self.model.encode(stretch), "<i4").tobytes()
-        return found
 
 
 def _list_array(parts: list[bytes]) -> pa.Array:
@@ -53,7 +39,7 @@ def _list_array(parts: list[bytes]) -> pa.Array:
 def _ordinary(sent):
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known, find = _Ids(sent.value).__getitem__, STRETCH.findall
+        known, find = sent.value.known_ids.__getitem__, STRETCH.findall
         for batch in batches:
             yield _list_array([b"".join(map(known, find(escaped(t)))) if t else b"" for t in batch.to_pylist()])
 

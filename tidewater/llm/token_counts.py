@@ -15,28 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import CACHED_WORDS
 from tidewater.llm.unigram import STRETCH, Unigram, escaped, load
 
 
-class _Counts(dict):
-    def __init__(self, model: Unigram) -> None:
-        self.model = model
-
-    def __missing__(self, stretch: str) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[stretch] = found = self.model.count(stretch)
-        return found
-
-
 def counter(spark, model: Unigram | None = None):
     """A function from a text column to the column of token counts."""
     sent = spark.sparkContext.broadcast(model or load())  # a vocabulary: its size is fixed
 
     @F.arrow_udf("long")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = _Counts(sent.value).__getitem__
+        known = sent.value.known_counts.__getitem__
         find = STRETCH.findall
         for batch in batches:
             yield pa.array([sum(map(known, find(escaped(t)))) if t else 0 for t in batch.to_pylist()], pa.int64())

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -22,10 +23,30 @@ SPACE = "▁"
 #: Weights are whole numbers of this.
 UNIT = 1 / 256
 PENALTY = 10.0
+NONE = -(1 << 60)
+#: Stretches that a worker keeps of each generation.
+KEPT = 200_000
 #: A stretch ends before a space that follows another character, and around a line break: no piece reaches across.
 STRETCH = re.compile("▁*[^▁\\n]+|▁+|\\n")
 
 
+class Kept(dict):
+    """What `make` gives for stretches. Two generations of at most `most` entries each: what is met again outlives the rest."""
+
+    def __init__(self, make, most: int) -> None:
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, stretch: str):
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        found = self.old.get(stretch)
+        if found is None:
+            found = self.make(stretch)
+        self[stretch] = found
+        return found
+
+
 @dataclass
 class Unigram:
     """ids, pieces and whole-number weights of the ordinary pieces, and the ids of the 256 bytes."""
@@ -70,26 +91,44 @@ class Unigram:
 
     def count(self, stretch: str) -> int:
         """Number of pieces of the best segmentation; sums and counts are carried side by side, no segmentation is built."""
-        best, n = [0], [0]
-        singles, unknown = self.singles, self.unknown
-        found, i = self.automaton.iter(stretch), 0
-        upcoming = next(found, None)
-        for i, c in enumerate(stretch):
-            top, pieces = None, 0
-            while upcoming is not None and upcoming[0] == i:
-                length, weight, _ = upcoming[1]
-                total = best[i + 1 - length] + weight
-                if top is None or total > top:
-                    top, pieces = total, n[i + 1 - length] + 1
-                upcoming = next(found, None)
-            if c not in singles and (top is None or best[i] + unknown > top):
-                top, pieces = best[i] + unknown, n[i] + len(c.encode())
-            best.append(top)
-            n.append(pieces)
-        return n[-1]
+        if not self.singles.issuperset(stretch):
+            return len(self._encode_any(stretch))
+        # each character is a piece, so every end is met, in order, with its longest piece first
+        best, n, now, top, pieces = [0], [0], 0, NONE, 0
+        for last, (length, weight, _) in self.automaton.iter(stretch):
+            if last != now:
+                best.append(top)
+                n.append(pieces)
+                now, top = last, NONE
+            at = last + 1 - length
+            if (total := best[at] + weight) > top:
+                top, pieces = total, n[at] + 1
+        return pieces
 
     def encode(self, stretch: str) -> list[int]:
         """Ids of the best segmentation."""
+        if not self.singles.issuperset(stretch):
+            return self._encode_any(stretch)
+        best, lengths, ids, now, top, size, piece = [0], [0], [0], 0, NONE, 0, 0
+        for last, (length, weight, i) in self.automaton.iter(stretch):
+            if last != now:
+                best.append(top)
+                lengths.append(size)
+                ids.append(piece)
+                now, top = last, NONE
+            if (total := best[last + 1 - length] + weight) > top:
+                top, size, piece = total, length, i
+        lengths.append(size)
+        ids.append(piece)
+        out, at = [], len(stretch)
+        while at:
+            out.append(ids[at])
+            at -= lengths[at]
+        out.reverse()
+        return out
+
+    def _encode_any(self, stretch: str) -> list[int]:
+        """encode() for stretches with unknown characters."""
         best, back = [0], [(0, 0)]
         for i, pieces in enumerate(self.matches(stretch)[1:]):
             top, how = None, None
@@ -106,6 +145,19 @@ class Unigram:
             at -= length
         return out[::-1]
 
+    def __getstate__(self) -> dict:
+        """The fields alone: what is derived or kept is made anew by each worker."""
+        return {k: self.__dict__[k] for k in ("pieces", "ids", "weights", "byte_ids", "size", "longest")}
+
+    @cached_property
+    def known_counts(self) -> Kept:
+        return Kept(self.count, KEPT)
+
+    @cached_property
+    def known_ids(self) -> Kept:
+        """Ids as bytes of 32-bit numbers."""
+        return Kept(lambda stretch: array("i", self.encode(stretch)).tobytes(), KEPT)
+
     @cached_property
     def spelled(self) -> list[bytes]:
         """The bytes that each id stands for."""
