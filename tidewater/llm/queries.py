@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import embedding_dedup, fingerprints, line_dedup, mixing, ngram_join, quality, sentencepieces, token_counts, url_lists
+from tidewater.llm import embedding_dedup, fingerprints, line_dedup, mixing, ngram_join, pitman_yor, quality, sentencepieces, token_counts, url_lists
 from tidewater.llm.common import remainder
 
 
@@ -21,6 +21,10 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
+def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens")
 
@@ -112,5 +116,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", quality.predicted(F.col("score")).alias("predicted"))
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_embedding_dedup": op2_embedding_dedup, "op4_token_counts": op4_token_counts, "op5_url_lists": op5_url_lists, "op6_mixing": op6_mixing, "op7_ngram_join": op7_ngram_join, "op8_line_dedup": op8_line_dedup, "op9_sentencepieces": op9_sentencepieces, "op10_quality": op10_quality}
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_embedding_dedup": op2_embedding_dedup, "op3_pitman_yor": op3_pitman_yor, "op4_token_counts": op4_token_counts, "op5_url_lists": op5_url_lists, "op6_mixing": op6_mixing, "op7_ngram_join": op7_ngram_join, "op8_line_dedup": op8_line_dedup, "op9_sentencepieces": op9_sentencepieces, "op10_quality": op10_quality}
 ORACLE_SQL = {"op5_url_lists": OP5_SQL, "op8_line_dedup": OP8_SQL}
