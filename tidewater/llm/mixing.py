@@ -128,10 +128,9 @@ def _copies(slim: DataFrame, weights: tuple[float, ...], most: float) -> DataFra
 
 def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, text: str = "text") -> DataFrame:
     """documents with every row repeated as often as the mix takes it; rows that it takes 0 times are gone."""
-    # rows that agree in doc_id, source and size are interchangeable; they are numbered to be told apart
-    place = W.partitionBy("_id", "_source", "_size").orderBy("_copies")
-    chosen = copies(documents, weights, most, text).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies")).withColumn("_place", F.row_number().over(place))
-    numbered = documents.withColumn("_n", n_words(F.col(text))).withColumn("_at", F.row_number().over(W.partitionBy("doc_id", "source", "_n").orderBy(F.lit(0))))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")) & (F.col("_at") == F.col("_place"))
-    taken = numbered.join(chosen.where(F.col("_copies") > 0), same)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*documents.columns)
+    # rows that agree in doc_id, source and size are interchangeable: each takes one of their numbers of copies
+    key = lambda size: F.to_json(F.struct("doc_id", "source", F.col(size).alias("size")))
+    chosen = copies(documents, weights, most, text).select(key("size").alias("_key"), "copies").groupBy("_key").agg(F.array_sort(F.collect_list("copies")).alias("_copies"))
+    numbered = documents.withColumn("_size", n_words(F.col(text))).withColumn("_key", key("_size")).withColumn("_at", F.row_number().over(W.partitionBy("_key").orderBy("_size")))
+    taken = numbered.join(chosen, "_key").withColumn("_n", F.get("_copies", F.col("_at") - 1)).where("_n > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*documents.columns)
