@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -119,7 +120,7 @@ def _entries(held: np.ndarray, classes: np.ndarray) -> np.ndarray:
 
 
 def index(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles long, set_hash binary, entries array<long>, one row for each row of documents (doc_id, text)."""
+    """doc_id, n_shingles long, set_hash binary, entries array<long>, and the text where there are entries, for each row of documents (doc_id, text)."""
     spark = documents.sparkSession
     rows, chars = documents.agg(F.count("*"), F.sum(F.length("text"))).first()
     slices = max(partitions(spark), (chars or 0) // SLICE_CHARS)
@@ -163,12 +164,13 @@ def index(documents: DataFrame) -> DataFrame:
             "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
             "set_hash": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
             "entries": pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())),
+            "text": pa.compute.if_else(pa.array([len(x) > 0 for x in found], pa.bool_()), left["text"], pa.scalar(None, left["text"].type)),
         })
 
     asked = dealt.groupBy("block").applyInArrow(ask, "block long, slice long, keys binary, counts binary")
     told = asked.groupBy("slice").applyInArrow(answer, "block long, slice long, classes binary")
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(enter, f"doc_id {id_type}, n_shingles long, set_hash binary, entries array<long>")
+    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(enter, f"doc_id {id_type}, n_shingles long, set_hash binary, entries array<long>, text string")
 
 
 def _similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +200,7 @@ def _clusters(posted: DataFrame) -> DataFrame:
     """
     z = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT)) + 1e-9).cast("int")
     placed = posted.select("entry", "doc", F.explode(F.array(z, z + 1)).alias("z"))
-    first = placed.groupBy("entry", "z").agg(F.min("doc").alias("first"))
+    first = placed.groupBy("entry", "z").agg(F.min("doc").alias("first"), F.count("*").alias("sets")).where("sets > 1").drop("sets")
     edges = placed.join(first, ["entry", "z"]).where("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b"))
     return components(edges)
 
@@ -245,9 +247,8 @@ def similar_groups(documents: DataFrame) -> DataFrame:
     known = table.where(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
     # equal sets have equal entries: one row for each entry and set, standing for the smallest doc_id of the set
     posted = known.select(F.explode("entries").alias("entry"), "set_hash", "doc_id", "n_shingles").groupBy("entry", "set_hash").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"))
-    shared = posted.groupBy("entry").agg(F.count("*").alias("_sets")).where("_sets > 1")
-    posted = posted.join(shared, "entry").select("entry", "doc", "n")
-    part = components(_links(documents, _clusters(posted)))
+    texts = known.where(F.col("text").isNotNull())
+    part = components(_links(texts, _clusters(posted.select("entry", "doc", "n"))))
 
     reps = known.groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
     whole = reps.join(part, reps["rep"] == part["node"], "left").select("set_hash", F.coalesce("component", "rep").alias("component_id"))
