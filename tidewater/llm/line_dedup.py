@@ -123,7 +123,9 @@ def drop_lines(documents: DataFrame, text: str = "text", min_docs: int = MIN_DOC
     block = F.pmod(F.xxhash64(F.lit(3), *([F.col("doc_id")] if "doc_id" in documents.columns else []), F.substring(F.col(text), 1, 64), F.length(text)), F.lit(blocks))
     lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), line_key)
     keys = F.array_distinct(F.transform(F.filter(lines, lambda k: F.char_length(k) >= min_chars), lambda k: F.xxhash64(k)))
-    probes = documents.select(block.alias("block"), F.explode(keys).alias("key")).distinct().withColumn("shard", F.pmod("key", F.lit(shards)))
+    # narrow rows first: what explode repeats must not carry the text
+    narrow = documents.select(block.alias("block"), keys.alias("keys"))
+    probes = narrow.select("block", F.explode("keys").alias("key")).distinct().withColumn("shard", F.pmod("key", F.lit(shards)))
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
