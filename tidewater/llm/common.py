@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,9 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Distinct words whose hashes a Python worker keeps; beyond it the cache starts anew.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 #: Bytes of text that are turned into numpy arrays at once.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -53,6 +54,18 @@ def n_words(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(0)).otherwise(F.regexp_count(text, F.lit(WORD))).cast("long")
 
 
+_caches: list[weakref.ref] = []
+
+
+def alone(cache: dict) -> dict:
+    """The cache, with the others of this worker emptied: stages after each other share workers, and their memory."""
+    others = [c for r in _caches if (c := r()) is not None and c is not cache]
+    for other in others:
+        other.clear()
+    _caches[:] = [weakref.ref(c) for c in (*others, cache)]
+    return cache
+
+
 class WordHashes(dict):
     """Word (bytes) -> its 64-bit hash as 8 bytes; at most CACHED_WORDS entries."""
 
@@ -71,7 +84,7 @@ def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 
     A-Z are lower-cased; words are runs of other bytes than ASCII white space, which bytes.split() cuts at.
     """
-    get = _hashes.__getitem__
+    get = alone(_hashes).__getitem__
     parts = [b"".join(map(get, t.lower().split())) if t else b"" for t in texts]
     return np.frombuffer(b"".join(parts), "<u8"), np.fromiter(map(len, parts), np.int64, len(parts)) // 8
 

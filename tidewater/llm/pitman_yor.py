@@ -37,7 +37,7 @@ PARENT_DISCOUNT, PARENT_STRENGTH = 0.7, 10.0
 #: Sweeps before samples are taken, and samples.
 BURN, SAMPLES = 2, 3
 #: Characters of text for each group of contexts, about; words of a batch.
-GROUP_CHARS, BATCH_WORDS = 20_000_000, 1_500_000
+GROUP_CHARS, BATCH_WORDS = 14_000_000, 1_000_000
 #: A word's bits. Shares of a group's tokens from which a context is spread.
 BITS, HOT = 56, 0.25
 SEED = 11

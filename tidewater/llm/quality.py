@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import CACHED_WORDS, binary, chunks, mix, remainder
+from tidewater.llm.common import CACHED_WORDS, alone, binary, chunks, mix, remainder
 
 #: Feature slots: 2**BITS.
 BITS = 20
@@ -52,7 +52,7 @@ _tokens = _Tokens()
 
 def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Slots of all features of all texts after each other, where each text's begin (one more at the end), and tokens of each text."""
-    get = _tokens.__getitem__
+    get = alone(_tokens).__getitem__
     parts = [b"".join(map(get, t.lower().split())) if t else b"" for t in texts]
     flat = np.frombuffer(b"".join(parts), "<u8")
     n = np.fromiter(map(len, parts), np.int64, len(parts)) // 8

@@ -104,8 +104,7 @@ from marked group by doc_id
 
 def op9_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, in digest, and whether they decode to it again."""
-    encoded = sentencepieces.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-    decoded = encoded.withColumn("_decoded", sentencepieces.decoder(spark)(F.col("ids")))
+    decoded = sentencepieces.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), decoded="_decoded")
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), line_dedup.sha256_hex(F.col("_decoded")).alias("decoded_sha256"), (F.col("_decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 

@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import shared_table
+from tidewater.llm.common import alone, shared_table
 from tidewater.llm.unigram import NONE, SPACE, STRETCH, Unigram, escaped, load
 
 #: Code points from which a text is encoded in chunks, and those of a chunk.
 GIANT_CHARS = 65_536
 CHUNK_CHARS = 8_192
+#: Rows whose ids a worker makes at once.
+SLICE = 500
 
 
 def _list_array(parts: list[bytes]) -> pa.Array:
@@ -36,12 +38,27 @@ def _list_array(parts: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), "<i4")))
 
 
-def _ordinary(sent):
-    @F.arrow_udf("array<int>")
+def _text_array(parts: list[bytes], spelled: list[bytes]) -> pa.Array:
+    """What the ids (as bytes) of each row stand for, without the space in front."""
+    get = spelled.__getitem__
+    said = [b"".join(map(get, np.frombuffer(p, "<i4").tolist())).removeprefix(b" ") for p in parts]
+    return pa.array(said, pa.binary()).cast(pa.string())
+
+
+def _ordinary(sent, decoded: bool):
+    """ids, and with `decoded` what they decode to as well, made by the same worker. Rows are taken SLICE at a time to hold little at once."""
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known, find = sent.value.known_ids.__getitem__, STRETCH.findall
+        model = sent.value
+        known, find = alone(model.known_ids).__getitem__, STRETCH.findall
         for batch in batches:
-            yield _list_array([b"".join(map(known, find(escaped(t)))) if t else b"" for t in batch.to_pylist()])
+            ids, said = [], []
+            for a in range(0, max(1, len(batch)), SLICE):
+                parts = [b"".join(map(known, find(escaped(t)))) if t else b"" for t in batch.slice(a, SLICE).to_pylist()]
+                ids.append(_list_array(parts))
+                said.append(_text_array(parts, model.spelled) if decoded else pa.nulls(len(parts), pa.string()))
+            yield pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(said)], ["ids", "decoded"])
 
     return encode
 
@@ -157,19 +174,23 @@ def _giant(rows: DataFrame, sent, most: int, chunk: int) -> DataFrame:
     return traced.groupBy("_row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_some"))), lambda x: x["_some"])).alias("_ids"))
 
 
-def encode(documents: DataFrame, text: str = "text", to: str = "ids", model: Unigram | None = None, giant: int = GIANT_CHARS, chunk: int = CHUNK_CHARS) -> DataFrame:
-    """documents with a column of ids (array<int>)."""
+def encode(documents: DataFrame, text: str = "text", to: str = "ids", model: Unigram | None = None, giant: int = GIANT_CHARS, chunk: int = CHUNK_CHARS, decoded: str | None = None) -> DataFrame:
+    """documents with a column of ids (array<int>), and with what they decode to where a name for that is given."""
     model = model or load()
     if chunk < model.longest:
         raise ValueError("a chunk is shorter than a piece")
     sent = documents.sparkSession.sparkContext.broadcast(model)  # a vocabulary: its size is fixed
     is_giant = F.coalesce(F.length(text) > giant, F.lit(False))
-    ordinary = documents.where(~is_giant).withColumn(to, _ordinary(sent)(F.col(text)))
+    rest = [F.col(c) for c in documents.columns if c not in (to, decoded)]
+    ordinary = documents.where(~is_giant).withColumn("_made", _ordinary(sent, decoded is not None)(F.col(text)))
+    ordinary = ordinary.select(*rest, F.col("_made.ids").alias(to), *([F.col("_made.decoded").alias(decoded)] if decoded else []))
     large = shared_table(documents.where(is_giant).withColumn("_row", F.monotonically_increasing_id()), "giants")
     marked = large.select("_row", F.concat(F.lit(SPACE), F.replace(F.col(text), F.lit(" "), F.lit(SPACE))).alias("_text"))
     found = _giant(marked, sent, model.longest, chunk)
-    whole = large.join(found, "_row").select(*[F.col(c) for c in documents.columns if c != to], F.col("_ids").alias(to))
-    return ordinary.select(*whole.columns).union(whole)
+    whole = large.join(found, "_row").select(*rest, F.col("_ids").alias(to))
+    if decoded:
+        whole = whole.withColumn(decoded, decoder(documents.sparkSession, model)(F.col(to)))
+    return ordinary.union(whole)
 
 
 def decoder(spark, model: Unigram | None = None):
@@ -178,12 +199,11 @@ def decoder(spark, model: Unigram | None = None):
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        spelled = sent.value.__getitem__
+        spelled = sent.value
         for batch in batches:
-            out = []
-            for ids in batch:
-                said = b"".join(map(spelled, ids.values.to_numpy(zero_copy_only=False).tolist())) if ids.is_valid else b""
-                out.append(said.removeprefix(b" "))
-            yield pa.array(out, pa.binary()).cast(pa.string())
+            made = []
+            for a in range(0, max(1, len(batch)), SLICE):
+                made.append(_text_array([np.array(x or (), "<i4").tobytes() for x in batch.slice(a, SLICE).to_pylist()], spelled))
+            yield pa.concat_arrays(made)
 
     return decode

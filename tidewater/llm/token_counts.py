@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.common import alone
 from tidewater.llm.unigram import STRETCH, Unigram, escaped, load
 
 
@@ -24,7 +25,7 @@ def counter(spark, model: Unigram | None = None):
 
     @F.arrow_udf("long")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = sent.value.known_counts.__getitem__
+        known = alone(sent.value.known_counts).__getitem__
         find = STRETCH.findall
         for batch in batches:
             yield pa.array([sum(map(known, find(escaped(t)))) if t else 0 for t in batch.to_pylist()], pa.int64())

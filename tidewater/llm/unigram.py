@@ -25,7 +25,7 @@ UNIT = 1 / 256
 PENALTY = 10.0
 NONE = -(1 << 60)
 #: Stretches that a worker keeps of each generation.
-KEPT = 200_000
+KEPT = 120_000
 #: A stretch ends before a space that follows another character, and around a line break: no piece reaches across.
 STRETCH = re.compile("▁*[^▁\\n]+|▁+|\\n")
 
@@ -36,10 +36,15 @@ class Kept(dict):
     def __init__(self, make, most: int) -> None:
         self.make, self.most, self.old = make, most, {}
 
+    def clear(self) -> None:
+        super().clear()
+        self.old = {}
+
     def __missing__(self, stretch: str):
         if len(self) >= self.most:
-            self.old = dict(self)
+            recent = dict(self)
             self.clear()
+            self.old = recent
         found = self.old.get(stretch)
         if found is None:
             found = self.make(stretch)
