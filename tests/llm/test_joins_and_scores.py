@@ -186,6 +186,24 @@ def test_predictions_sum_to_one(spark, monkeypatch):
     assert 0 < first <= 1.0
 
 
+def test_hot_and_ordinary_contexts_sum_to_one(spark, monkeypatch):
+    """With several groups. Scores of one and two words give p(end | x) if each word's probabilities sum to one; then those after the start (always hot) must too."""
+    monkeypatch.setattr(pitman_yor, "remainder", lambda doc_id, m: F.when(doc_id >= 10_000, 0).otherwise(1))
+    draw = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(24)]
+    train = [(i, " ".join(words[k] for k in np.minimum(23, draw.geometric(0.15, draw.integers(1, 4)) - 1))) for i in range(2000)]
+    words = [*sorted({w for _, t in train for w in t.split()}), "new"]
+    asked = ["", *words, *(f"{x} {y}" for x in words for y in words)]
+    rows = train + [(10_000 + i, t) for i, t in enumerate(asked)]
+    got = {r.doc_id: r.score for r in pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).where("doc_id >= 10000").collect()}
+    chance = {t: 10 ** got[10_000 + i] for i, t in enumerate(asked)}
+    k = len(words)
+    # u = 1 / p(end | x): u[x] = 1 + sum over y of chance[x y] / chance[x] * u[y]
+    u = np.linalg.solve(np.eye(k) - [[chance[f"{x} {y}"] / chance[x] for y in words] for x in words], np.ones(k))
+    assert (u > 1).all()
+    assert abs(chance[""] + sum(chance[x] * u[i] for i, x in enumerate(words)) - 1) < 1e-4
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     sizes = {}

@@ -3,11 +3,11 @@
 Every word is a context with a restaurant of its own, whose customers are the words that followed it in training; all of these share one
 parent restaurant, whose customers are their tables, and whose parent is uniform over the training vocabulary and one unknown word.
 Seating is sampled by Gibbs sweeps: all customers of a dish leave a restaurant and sit down again one after the other (large counts in runs), given
-the others' tables; sweeps over the contexts yield the parent's customers, sweeps over the parent its tables, and more sweeps over
-the contexts the predictive probabilities, which are averaged over the samples.
+the others' tables; sweeps over the contexts, with corpus-wide word shares as prior, yield the parent's customers, sweeps over the parent its tables, and
+more sweeps over the contexts the predictive probabilities, which are averaged over the samples.
 
 The tokens of a batch of documents are packed by context; a group of contexts is one task's arrays. Contexts that hold a large share of all tokens are
-spread by pair instead, with their totals summed apart, so no task grows with one word. Words go to the tasks that need them by request and answer,
+spread by pair instead, with their totals summed apart (the first seating's steer the sampling, the samples' own enter the probabilities), so no task grows with one word. Words go to the tasks that need them by request and answer,
 and probabilities return to the documents as sums for each batch.
 
 Cases: a null or empty text is one end token; the end also stands before a text's first word; rows score apart even if they repeat or lack a doc_id (which
@@ -202,65 +202,139 @@ def score(documents: DataFrame) -> DataFrame:
 
     packed = rows.mapInArrow(pack, "g long, batch long, words binary, contexts binary, tokens binary, docs binary, train binary, ids array<long>")
 
-    def first_seating(part: pa.Table) -> pa.Table:
-        """Word counts and tables for each slice of words (q), and the totals of hot contexts (q below 0)."""
+    hot_cut = np.searchsorted(hot, bounds)
+    hot_slices = np.flatnonzero(hot_cut[1:] > hot_cut[:-1])
+
+    def table(schema: str, rows: list[tuple]) -> pa.Table:
+        names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
+        kinds = {"long": pa.int64(), "binary": pa.binary()}
+        columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+        return pa.table({n: pa.array(c, kinds[t]) for n, t, c in zip(names, types, columns, strict=True)})
+
+    def joined(part: pa.Table, column: str, kind: str) -> np.ndarray:
+        return np.concatenate([_expand(x, kind) for x in part[column].to_pylist()])
+
+    def of_hot(group: Group, values: np.ndarray) -> np.ndarray:
+        """Values of the group's words for all hot words, 0 for those that it lacks."""
+        out = np.zeros(len(hot), values.dtype)
+        here = np.flatnonzero(group.is_hot)
+        out[np.searchsorted(hot, group.words[here])] = values[here]
+        return out
+
+    def to_hot(group: Group, values: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """start, with the values of all hot words at those that the group has."""
+        out = start.astype(np.float64)
+        here = np.flatnonzero(group.is_hot)
+        out[here] = values[np.searchsorted(hot, group.words[here])]
+        return out
+
+    ask_schema = "g long, q long, words binary, counts binary"
+
+    def ask(part: pa.Table) -> pa.Table:
+        """A group's words with their training counts, for every slice of words (q), as each slice's sums go to every group."""
         g = part["g"][0].as_py()
-        group, draw = Group(part.sort_by("batch"), hot), np.random.default_rng([SEED, g])
-        counts = np.bincount(group.pair_word, weights=group.customers, minlength=len(group.words))
-        prior = (counts + 1) / (counts.sum() + len(counts))
+        words = [np.cumsum(_unplanes(x, 7), dtype=np.uint64) for x in part["words"].to_pylist()]
+        all_ = np.unique(np.concatenate(words))
+        seen, counts = np.zeros((2, len(all_)), np.int64)
+        for w, t, d, flags in zip(words, part["tokens"].to_pylist(), part["docs"].to_pylist(), part["train"].to_pylist(), strict=True):
+            at = np.searchsorted(all_, w)[_unplanes(t, 4).astype(np.int64)]
+            seen += np.bincount(at, minlength=len(all_))
+            counts += np.bincount(at[_expand(flags, bool)[_unplanes(d, 4).astype(np.int64)]], minlength=len(all_))
+        asked, counts = all_[seen > 0], counts[seen > 0]
+        cut = np.searchsorted(asked, bounds)
+        return table(ask_schema, [(g, q, _planes(np.diff(asked[i:j], prepend=bounds[q]), 7), _squeeze(counts[i:j].astype("<u4").tobytes())) for q, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True))])
+
+    told_schema = "g long, q long, ranks binary, counts binary, tokens long, types long"
+
+    def count(part: pa.Table) -> pa.Table:
+        """Corpus-wide training counts of a slice's words, and the words' ranks in the slice."""
+        words = [np.cumsum(_unplanes(x, 7), dtype=np.uint64) for x in part["words"].to_pylist()]
+        _, which = np.unique(np.concatenate(words), return_inverse=True)
+        counts = np.bincount(which, weights=joined(part, "counts", "<u4")).astype(np.int64)
+        ends = np.cumsum([len(w) for w in words])[:-1]
+        sums = int(counts.sum()), int((counts > 0).sum())
+        return table(told_schema, [(g, q, _planes(np.diff(r, prepend=0), 4), _squeeze(counts[r].astype("<u4").tobytes()), *sums) for g, q, r in zip(part["g"].to_pylist(), part["q"].to_pylist(), np.split(which, ends), strict=True)])
+
+    seated_schema = "g long, q long, ranks binary, counts binary, tables binary, hot_n binary, hot_m binary"
+
+    def first_seating(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Tables for each slice of words, and the totals of the slice's hot contexts. The prior is the corpus-wide share of each word."""
+        if not left.num_rows:
+            return table(seated_schema, [])
+        g = left["g"][0].as_py()
+        group, draw = Group(left.sort_by("batch"), hot), np.random.default_rng([SEED, g])
+        right = right.sort_by("q")
+        n, v = (sum(right[c].to_pylist()) for c in ("tokens", "types"))
+        prior = np.full(len(group.words), 1 / (n + v + 1))
+        prior[group.asked] = (joined(right, "counts", "<u4") + 1.0) / (n + v + 1)
         tables = np.minimum(group.customers, 1)
         for _ in range(BURN):
             tables = group.sweep(tables, prior, None, groups, draw)
-        held = np.bincount(group.pair_word, weights=tables, minlength=len(group.words))
-        asked = group.words[group.asked]
-        cut = np.searchsorted(asked, bounds)
-        there = np.flatnonzero(cut[1:] > cut[:-1])
-        send = [(g, int(q), _planes(np.diff(asked[cut[q] : cut[q + 1]], prepend=bounds[q]), 7), _squeeze(counts[group.asked[cut[q] : cut[q + 1]]].astype("<u4").tobytes()), _squeeze(held[group.asked[cut[q] : cut[q + 1]]].astype("<u4").tobytes()), 0, 0, 0) for q in there]
-        customers, whole = group.of_context(group.customers), group.of_context(tables)
-        send += [(g, -1 - int(group.words[i] % np.uint64(groups)), None, None, None, int(group.words[i]), int(customers[i]), int(whole[i])) for i in np.flatnonzero(group.is_hot)]
-        columns = list(zip(*send, strict=True))
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.table({k: pa.array(c, t) for k, c, t in zip(("g", "q", "words", "counts", "tables", "word", "n", "m"), columns, kinds, strict=True)})
+        held = np.bincount(group.pair_word, weights=tables, minlength=len(group.words))[group.asked]
+        cut = np.searchsorted(group.words[group.asked], bounds)
+        hot_n, hot_m = (of_hot(group, group.of_context(x)).astype("<i8") for x in (group.customers, tables))
+        return table(seated_schema, [(g, q, r, c, _squeeze(held[cut[q] : cut[q + 1]].astype("<u4").tobytes()), *(_squeeze(x[hot_cut[q] : hot_cut[q + 1]].tobytes()) for x in (hot_n, hot_m))) for q, r, c in zip(*(right[c].to_pylist() for c in ("q", "ranks", "counts")), strict=True)])
 
-    asked = packed.groupBy("g").applyInArrow(first_seating, "g long, q long, words binary, counts binary, tables binary, word long, n long, m long")
-    answer_schema = "g long, q long, counts binary, tables binary, own binary, word long, n long, m long, tokens long, types long, parents long, grand long"
+    answer_schema = "g long, q long, counts binary, tables binary, own binary, hot_n binary, hot_m binary, tokens long, types long, parents long, grand long"
 
     def parent(part: pa.Table) -> pa.Table:
-        """Totals of a slice's words, the parent's tables for them, and the answers; or the totals of hot contexts, to all groups."""
-        q = part["q"][0].as_py()
-        none = lambda kind, n: pa.nulls(n, kind)
-        if q < 0:
-            words, which = np.unique(part["word"].to_numpy(), return_inverse=True)
-            n, m = (np.bincount(which, weights=part[c].to_numpy()).astype(np.int64) for c in ("n", "m"))
-            k = len(words)
-            return pa.table({"g": none(pa.int64(), k), "q": none(pa.int64(), k), **{c: none(pa.binary(), k) for c in ("counts", "tables", "own")}, "word": pa.array(words), "n": pa.array(n), "m": pa.array(m), **{c: pa.array(np.zeros(k, np.int64)) for c in ("tokens", "types", "parents", "grand")}})
+        """The parent's customers and tables for a slice's words, and the totals of its hot contexts."""
         part = part.sort_by("g")
-        words = [np.cumsum(_unplanes(x, 7), dtype=np.uint64) for x in part["words"].to_pylist()]
-        all_, which = np.unique(np.concatenate(words), return_inverse=True)
-        counts = np.bincount(which, weights=np.concatenate([_expand(x, "<u4") for x in part["counts"].to_pylist()])).astype(np.int64)
-        customers = np.bincount(which, weights=np.concatenate([_expand(x, "<u4") for x in part["tables"].to_pylist()])).astype(np.int64)
+        q = part["q"][0].as_py()
+        ranks = [np.cumsum(_unplanes(x, 4)).astype(np.int64) for x in part["ranks"].to_pylist()]
+        which = np.concatenate(ranks)
+        customers = np.bincount(which, weights=joined(part, "tables", "<u4")).astype(np.int64)
+        counts = np.zeros(len(customers), np.int64)
+        counts[which] = joined(part, "counts", "<u4")
         draw = np.random.default_rng([SEED, 1, q])
         own, types = np.minimum(customers, 1), (counts > 0).sum()
-        prior = np.full(len(all_), 1 / (types * groups + 1))
-        total = 0.0
+        prior = np.full(len(customers), 1 / (types * groups + 1))
+        total = np.zeros(len(customers))
         for turn in range(BURN + SAMPLES):
             # words are dealt by hash: a slice's tables times the number of slices are all tables
             own = seat(customers, prior, np.maximum(0.0, own.sum() * groups - own), PARENT_DISCOUNT, PARENT_STRENGTH, draw)
             total = total + own * (turn >= BURN)
         own = total / SAMPLES
-        ends = np.cumsum([len(w) for w in words])[:-1]
-        k = len(words)
         sums = [int(counts.sum()), int(types), int(customers.sum()), int(round(own.sum() * 1000))]
-        answers = [pa.array([_squeeze(x.astype(kind).tobytes()) for x in np.split(v[which], ends)], pa.binary()) for v, kind in ((counts, "<u4"), (customers, "<u4"), (own, "<f4"))]
-        return pa.table({"g": part["g"], "q": part["q"], **dict(zip(("counts", "tables", "own"), answers, strict=True)), **{c: none(pa.int64(), k) for c in ("word", "n", "m")}, **{c: pa.array([s] + [0] * (k - 1), pa.int64()) for c, s in zip(("tokens", "types", "parents", "grand"), sums, strict=True)}})
+        hots = [_squeeze(np.sum([_expand(x, "<i8") for x in part[c].to_pylist()], axis=0).astype("<i8").tobytes()) for c in ("hot_n", "hot_m")]
+        return table(answer_schema, [(g, q, c, _squeeze(customers[r].astype("<u4").tobytes()), _squeeze(own[r].astype("<f4").tobytes()), *hots, *sums) for g, c, r in zip(part["g"].to_pylist(), part["counts"].to_pylist(), ranks, strict=True)])
+
+    sample_schema = "g long, q long, tables binary, counts binary, prior binary, hot_n binary, hot_m binary, tokens long, types long"
 
-    told = asked.groupBy("q").applyInArrow(parent, answer_schema)
-    # a few sums, and the hot contexts, whose number is bounded: one row, which goes to every group
-    one = told.agg(*[F.sum(c).alias(c) for c in ("tokens", "types", "parents", "grand")], F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("word", "n", "m")))).alias("hot"))
-    everywhere = one.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), "tokens", "types", "parents", "grand", "hot")
-    kinds = {"q": "long", "counts": "binary", "tables": "binary", "own": "binary"}
-    right = told.where("g is not null").select("g", *kinds, *[F.lit(None).cast("long").alias(c) for c in ("tokens", "types", "parents", "grand")], F.lit(None).cast("array<struct<word:long,n:long,m:long>>").alias("hot"))
-    right = right.union(everywhere.select("g", *[F.lit(None).cast(t).alias(c) for c, t in kinds.items()], "tokens", "types", "parents", "grand", "hot"))
+    def sample(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The sum over the samples of each pair's tables, with what the prediction needs besides (q below 0); and those of hot contexts, for each slice."""
+        if not left.num_rows:
+            return table(sample_schema, [])
+        g = left["g"][0].as_py()
+        group, draw = Group(left.sort_by("batch"), hot), np.random.default_rng([SEED, 2, g])
+        right = right.sort_by("q")
+        n, v, t, t1 = (sum(right[c].to_pylist()) for c in ("tokens", "types", "parents", "grand"))
+        t1 /= 1000
+        counts, customers, own = (joined(right, c, kind) for c, kind in (("counts", "<u4"), ("tables", "<u4"), ("own", "<f4")))
+        unseen = (PARENT_STRENGTH + PARENT_DISCOUNT * t1) / (v + 1)
+        prior = np.full(len(group.words), unseen / (PARENT_STRENGTH + t))
+        prior[group.asked] = (np.maximum(0, customers - PARENT_DISCOUNT * own.astype(np.float64)) + unseen) / (PARENT_STRENGTH + t)
+        total = to_hot(group, joined(right, "hot_m", "<i8"), np.zeros(len(group.words)))
+        tables, summed = np.minimum(group.customers, 1), np.zeros(len(group.pairs), np.int64)
+        for turn in range(BURN + SAMPLES):
+            tables = group.sweep(tables, prior, total, groups, draw)
+            if turn >= BURN:
+                summed += tables
+        hot_m = of_hot(group, group.of_context(summed)).astype("<i8")
+        lead = (g, -1 - g, _planes(summed, 4), _squeeze(counts.tobytes()), _squeeze(prior[group.asked].astype("<f4").tobytes()), _squeeze(joined(right, "hot_n", "<i8").tobytes()), None, n, v)
+        return table(sample_schema, [lead, *((g, int(q), None, None, None, None, _squeeze(hot_m[hot_cut[q] : hot_cut[q + 1]].tobytes()), None, None) for q in hot_slices)])
+
+    def add(part: pa.Table) -> pa.Table:
+        """The tables of a slice's hot contexts over all groups, to each of them."""
+        if part["q"][0].as_py() < 0:
+            return part
+        whole = _squeeze(np.sum([_expand(x, "<i8") for x in part["hot_m"].to_pylist()], axis=0).astype("<i8").tobytes())
+        return part.set_column(part.schema.get_field_index("hot_m"), "hot_m", pa.array([whole] * part.num_rows, pa.binary()))
+
+    by_group = lambda left, right, made, schema: left.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(made, schema)
+    told = packed.groupBy("g").applyInArrow(ask, ask_schema).groupBy("q").applyInArrow(count, told_schema)
+    answers = by_group(packed, told, first_seating, seated_schema).groupBy("q").applyInArrow(parent, answer_schema)
+    samples = by_group(packed, answers, sample, sample_schema).groupBy("q").applyInArrow(add, sample_schema)
 
     def predict(left: pa.Table, right: pa.Table) -> pa.Table:
         """Sums of log10 probabilities for each batch's documents."""
@@ -268,36 +342,24 @@ def score(documents: DataFrame) -> DataFrame:
         types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 6]
         if not left.num_rows:
             return pa.table({c: pa.array([], t) for c, t in zip(names, types, strict=True)})
-        g = left["g"][0].as_py()
         left = left.sort_by("batch")
-        group, draw = Group(left, hot), np.random.default_rng([SEED, 2, g])
-        (sums,) = right.filter(pa.compute.is_valid(right["tokens"])).to_pylist()
-        told = right.filter(pa.compute.is_valid(right["q"])).sort_by("q")
-        counts, customers, own = (np.concatenate([_expand(x, kind) for x in told[c].to_pylist()]).astype(np.float64) for c, kind in (("counts", "<u4"), ("tables", "<u4"), ("own", "<f4")))
-        n, v, t, t1 = sums["tokens"], sums["types"], sums["parents"], sums["grand"] / 1000
-        prior = np.full(len(group.words), 1 / (v + 1))
-        prior[group.asked] = (np.maximum(0, customers - PARENT_DISCOUNT * own) + (PARENT_STRENGTH + PARENT_DISCOUNT * t1) / (v + 1)) / (PARENT_STRENGTH + t)
+        group = Group(left, hot)
+        (lead,) = right.filter(pa.compute.less(right["q"], 0)).to_pylist()
+        hot_m = joined(right.filter(pa.compute.greater_equal(right["q"], 0)).sort_by("q"), "hot_m", "<i8")
+        n, v, counts = lead["tokens"], lead["types"], _expand(lead["counts"], "<u4")
+        prior = np.zeros(len(group.words))
+        prior[group.asked] = _expand(lead["prior"], "<f4")
         base = np.zeros(len(group.words))
         base[group.asked] = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
         known = np.zeros(len(group.words), bool)
         known[group.asked] = counts > 0
-        # hot contexts: totals over all groups
-        total, arrivals = np.zeros(len(group.words)), group.of_context(group.customers)
-        for h in sums["hot"] or ():
-            i = np.searchsorted(group.words, np.uint64(h["word"]))
-            if i < len(group.words) and group.words[i] == h["word"]:
-                total[i], arrivals[i] = h["m"], h["n"]
-        tables = np.minimum(group.customers, 1)
+        # the predictive probability is linear in the tables: their mean gives the mean over the samples. Hot contexts: totals over all groups
+        summed = _unplanes(lead["tables"], 4).astype(np.int64)
+        mean_tables, mean_total = summed / SAMPLES, to_hot(group, hot_m, group.of_context(summed)) / SAMPLES
+        arrivals = to_hot(group, _expand(lead["hot_n"], "<i8"), group.of_context(group.customers))
         pair_at = np.searchsorted(group.pairs, group.pair)
         pair_at[pair_at == len(group.pairs)] = 0
         seen = group.pairs[pair_at] == group.pair if len(group.pairs) else np.zeros(len(group.pair), bool)
-        mean_tables, mean_total = np.zeros(len(group.pairs)), np.zeros(len(group.words))
-        for turn in range(BURN + SAMPLES):
-            tables = group.sweep(tables, prior, total, groups, draw)
-            if turn >= BURN:
-                # the predictive probability is linear in the tables: their mean gives the mean over the samples
-                mean_tables += tables / SAMPLES
-                mean_total += np.where(group.is_hot, total, group.of_context(tables)) / SAMPLES
         own_part = np.zeros(len(group.pair))
         own_part[seen] = (group.customers - DISCOUNT * mean_tables)[pair_at[seen]]
         chance = (np.maximum(0, own_part) + (STRENGTH + DISCOUNT * mean_total[group.context]) * prior[group.token]) / (STRENGTH + arrivals[group.context])
@@ -313,7 +375,7 @@ def score(documents: DataFrame) -> DataFrame:
         values = [left["batch"], pa.array([n] * len(made), pa.int64()), left["ids"], pa.array(flags, pa.binary()), *(pa.array(x, pa.binary()) for x in (docs, bases, scores, knowns, ns))]
         return pa.table({c: x.cast(t) for c, x, t in zip(names, values, types, strict=True)})
 
-    parts = packed.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(predict, "batch long, train_tokens long, ids array<long>, train binary, docs binary, base binary, score binary, known binary, n binary")
+    parts = by_group(packed, samples, predict, "batch long, train_tokens long, ids array<long>, train binary, docs binary, base binary, score binary, known binary, n binary")
 
     def gather(part: pa.Table) -> pa.Table:
         part = part.to_pylist()
