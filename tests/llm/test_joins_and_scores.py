@@ -186,6 +186,17 @@ def test_predictions_sum_to_one(spark, monkeypatch):
     assert 0 < first <= 1.0
 
 
+def test_hot_words_of_long_and_short_documents(spark):
+    """Batches of long documents count too, though ends are rare in them: a third of all tokens is found, and what is frequent in the short documents alone is not."""
+    long = [(i, " ".join(w for k in range(100) for w in ("the", f"a{i}x{k}", f"b{i}x{k}"))) for i in range(60)]
+    short = [(100 + i, f"rare c{i}") for i in range(100)]
+    of = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).select(F.col("doc_id").alias("row"), "doc_id", "text", F.lit(True).alias("train"))
+    hashed = lambda w: int(pitman_yor.xxhash.xxh64_intdigest(w)) & int(pitman_yor.MASK)
+    want = {int(pitman_yor.END), hashed(b"the")}
+    assert {int(w) for w in pitman_yor._hot_words(of(long), 4)} == want
+    assert {int(w) for w in pitman_yor._hot_words(of(long).union(of(short)), 4)} == want
+
+
 def test_hot_and_ordinary_contexts_sum_to_one(spark, monkeypatch):
     """With several groups. Scores of one and two words give p(end | x) if each word's probabilities sum to one; then those after the start (always hot) must too."""
     monkeypatch.setattr(pitman_yor, "remainder", lambda doc_id, m: F.when(doc_id >= 10_000, 0).otherwise(1))

@@ -148,7 +148,7 @@ class Group:
 def _hot_words(rows: DataFrame, groups: int) -> np.ndarray:
     """Words that hold more than HOT of a group's share of all tokens: about groups / HOT of them at most. They only steer the dealing.
 
-    Counted over all tokens; a batch reports the words with half of that share or more in it.
+    Counted over all tokens; a batch reports its number of tokens and the words with half of that share or more in it.
     """
     share = HOT / groups
 
@@ -156,15 +156,15 @@ def _hot_words(rows: DataFrame, groups: int) -> np.ndarray:
         for _, _, _, texts in _batches(parts):
             tokens, _ = _tokens(texts)
             words, n = np.unique(tokens, return_counts=True)
-            often = n >= max(2, share / 2 * len(tokens))
-            yield pa.RecordBatch.from_arrays([pa.array(words[often].astype(np.int64)), pa.array(n[often].astype(np.int64)), pa.array(np.full(often.sum(), len(tokens)))], ["word", "n", "size"])
+            often = n >= share / 2 * len(tokens)
+            # the number of tokens stands under -1, which is no word
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(words[often].astype(np.int64), -1)), pa.array(np.append(n[often].astype(np.int64), len(tokens)))], ["word", "n"])
 
-    counted = rows.mapInArrow(frequent, "word long, n long, size long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
-    # every batch holds ends, so the end's batches are all batches
-    whole = counted.where(F.col("word") == int(END)).first()
+    counted = rows.mapInArrow(frequent, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    whole = counted.where(F.col("word") == -1).first()
     if whole is None:
         return np.array([int(END)], np.uint64)
-    found = counted.where(F.col("n") >= share * whole["size"]).select("word").toPandas()["word"].to_numpy()
+    found = counted.where((F.col("n") >= share * whole["n"]) & (F.col("word") >= 0)).select("word").toPandas()["word"].to_numpy()
     return np.unique(np.append(found.astype(np.uint64), END))
 
 
