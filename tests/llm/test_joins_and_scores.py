@@ -197,6 +197,13 @@ def test_hot_words_of_long_and_short_documents(spark):
     assert {int(w) for w in pitman_yor._hot_words(of(long).union(of(short)), 4)} == want
 
 
+def test_word_totals_beyond_32_bits():
+    words = pitman_yor._planes(np.array([5, 2], np.uint64), 7)
+    asked = [(g, 0, words, pitman_yor._squeeze(np.array([3_000_000_000, 7], "<u4").tobytes())) for g in (0, 1)]
+    got = pitman_yor.count_slice(pitman_yor._table("g long, q long, words binary, counts binary", asked)).to_pylist()
+    assert [(r["tokens"], r["types"], pitman_yor._expand(r["counts"], "<i8").tolist()) for r in got] == [(6_000_000_014, 2, [6_000_000_000, 14])] * 2
+
+
 def test_hot_and_ordinary_contexts_sum_to_one(spark, monkeypatch):
     """With several groups. Scores of one and two words give p(end | x) if each word's probabilities sum to one; then those after the start (always hot) must too."""
     monkeypatch.setattr(pitman_yor, "remainder", lambda doc_id, m: F.when(doc_id >= 10_000, 0).otherwise(1))

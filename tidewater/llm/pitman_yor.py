@@ -168,6 +168,30 @@ def _hot_words(rows: DataFrame, groups: int) -> np.ndarray:
     return np.unique(np.append(found.astype(np.uint64), END))
 
 
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.table({n: pa.array(c, kinds[t]) for n, t, c in zip(names, types, columns, strict=True)})
+
+
+def _joined(part: pa.Table, column: str, kind: str) -> np.ndarray:
+    return np.concatenate([_expand(x, kind) for x in part[column].to_pylist()])
+
+
+TOLD = "g long, q long, ranks binary, counts binary, tokens long, types long"
+
+
+def count_slice(part: pa.Table) -> pa.Table:
+    """Corpus-wide training counts (64 bits, as all totals) of a slice's words, and the words' ranks in the slice."""
+    words = [np.cumsum(_unplanes(x, 7), dtype=np.uint64) for x in part["words"].to_pylist()]
+    _, which = np.unique(np.concatenate(words), return_inverse=True)
+    counts = np.bincount(which, weights=_joined(part, "counts", "<u4")).astype(np.int64)
+    ends = np.cumsum([len(w) for w in words])[:-1]
+    sums = int(counts.sum()), int((counts > 0).sum())
+    return _table(TOLD, [(g, q, _planes(np.diff(r, prepend=0), 4), _squeeze(counts[r].astype("<i8").tobytes()), *sums) for g, q, r in zip(part["g"].to_pylist(), part["q"].to_pylist(), np.split(which, ends), strict=True)])
+
+
 def score(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of documents (doc_id, text)."""
     spark = documents.sparkSession
@@ -205,15 +229,6 @@ def score(documents: DataFrame) -> DataFrame:
     hot_cut = np.searchsorted(hot, bounds)
     hot_slices = np.flatnonzero(hot_cut[1:] > hot_cut[:-1])
 
-    def table(schema: str, rows: list[tuple]) -> pa.Table:
-        names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
-        kinds = {"long": pa.int64(), "binary": pa.binary()}
-        columns = zip(*rows, strict=True) if rows else [[]] * len(names)
-        return pa.table({n: pa.array(c, kinds[t]) for n, t, c in zip(names, types, columns, strict=True)})
-
-    def joined(part: pa.Table, column: str, kind: str) -> np.ndarray:
-        return np.concatenate([_expand(x, kind) for x in part[column].to_pylist()])
-
     def of_hot(group: Group, values: np.ndarray) -> np.ndarray:
         """Values of the group's words for all hot words, 0 for those that it lacks."""
         out = np.zeros(len(hot), values.dtype)
@@ -242,38 +257,27 @@ def score(documents: DataFrame) -> DataFrame:
             counts += np.bincount(at[_expand(flags, bool)[_unplanes(d, 4).astype(np.int64)]], minlength=len(all_))
         asked, counts = all_[seen > 0], counts[seen > 0]
         cut = np.searchsorted(asked, bounds)
-        return table(ask_schema, [(g, q, _planes(np.diff(asked[i:j], prepend=bounds[q]), 7), _squeeze(counts[i:j].astype("<u4").tobytes())) for q, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True))])
-
-    told_schema = "g long, q long, ranks binary, counts binary, tokens long, types long"
-
-    def count(part: pa.Table) -> pa.Table:
-        """Corpus-wide training counts of a slice's words, and the words' ranks in the slice."""
-        words = [np.cumsum(_unplanes(x, 7), dtype=np.uint64) for x in part["words"].to_pylist()]
-        _, which = np.unique(np.concatenate(words), return_inverse=True)
-        counts = np.bincount(which, weights=joined(part, "counts", "<u4")).astype(np.int64)
-        ends = np.cumsum([len(w) for w in words])[:-1]
-        sums = int(counts.sum()), int((counts > 0).sum())
-        return table(told_schema, [(g, q, _planes(np.diff(r, prepend=0), 4), _squeeze(counts[r].astype("<u4").tobytes()), *sums) for g, q, r in zip(part["g"].to_pylist(), part["q"].to_pylist(), np.split(which, ends), strict=True)])
+        return _table(ask_schema, [(g, q, _planes(np.diff(asked[i:j], prepend=bounds[q]), 7), _squeeze(counts[i:j].astype("<u4").tobytes())) for q, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True))])
 
     seated_schema = "g long, q long, ranks binary, counts binary, tables binary, hot_n binary, hot_m binary"
 
     def first_seating(left: pa.Table, right: pa.Table) -> pa.Table:
         """Tables for each slice of words, and the totals of the slice's hot contexts. The prior is the corpus-wide share of each word."""
         if not left.num_rows:
-            return table(seated_schema, [])
+            return _table(seated_schema, [])
         g = left["g"][0].as_py()
         group, draw = Group(left.sort_by("batch"), hot), np.random.default_rng([SEED, g])
         right = right.sort_by("q")
         n, v = (sum(right[c].to_pylist()) for c in ("tokens", "types"))
         prior = np.full(len(group.words), 1 / (n + v + 1))
-        prior[group.asked] = (joined(right, "counts", "<u4") + 1.0) / (n + v + 1)
+        prior[group.asked] = (_joined(right, "counts", "<i8") + 1.0) / (n + v + 1)
         tables = np.minimum(group.customers, 1)
         for _ in range(BURN):
             tables = group.sweep(tables, prior, None, groups, draw)
         held = np.bincount(group.pair_word, weights=tables, minlength=len(group.words))[group.asked]
         cut = np.searchsorted(group.words[group.asked], bounds)
         hot_n, hot_m = (of_hot(group, group.of_context(x)).astype("<i8") for x in (group.customers, tables))
-        return table(seated_schema, [(g, q, r, c, _squeeze(held[cut[q] : cut[q + 1]].astype("<u4").tobytes()), *(_squeeze(x[hot_cut[q] : hot_cut[q + 1]].tobytes()) for x in (hot_n, hot_m))) for q, r, c in zip(*(right[c].to_pylist() for c in ("q", "ranks", "counts")), strict=True)])
+        return _table(seated_schema, [(g, q, r, c, _squeeze(held[cut[q] : cut[q + 1]].astype("<u4").tobytes()), *(_squeeze(x[hot_cut[q] : hot_cut[q + 1]].tobytes()) for x in (hot_n, hot_m))) for q, r, c in zip(*(right[c].to_pylist() for c in ("q", "ranks", "counts")), strict=True)])
 
     answer_schema = "g long, q long, counts binary, tables binary, own binary, hot_n binary, hot_m binary, tokens long, types long, parents long, grand long"
 
@@ -283,9 +287,9 @@ def score(documents: DataFrame) -> DataFrame:
         q = part["q"][0].as_py()
         ranks = [np.cumsum(_unplanes(x, 4)).astype(np.int64) for x in part["ranks"].to_pylist()]
         which = np.concatenate(ranks)
-        customers = np.bincount(which, weights=joined(part, "tables", "<u4")).astype(np.int64)
+        customers = np.bincount(which, weights=_joined(part, "tables", "<u4")).astype(np.int64)
         counts = np.zeros(len(customers), np.int64)
-        counts[which] = joined(part, "counts", "<u4")
+        counts[which] = _joined(part, "counts", "<i8")
         draw = np.random.default_rng([SEED, 1, q])
         own, types = np.minimum(customers, 1), (counts > 0).sum()
         prior = np.full(len(customers), 1 / (types * groups + 1))
@@ -297,32 +301,32 @@ def score(documents: DataFrame) -> DataFrame:
         own = total / SAMPLES
         sums = [int(counts.sum()), int(types), int(customers.sum()), int(round(own.sum() * 1000))]
         hots = [_squeeze(np.sum([_expand(x, "<i8") for x in part[c].to_pylist()], axis=0).astype("<i8").tobytes()) for c in ("hot_n", "hot_m")]
-        return table(answer_schema, [(g, q, c, _squeeze(customers[r].astype("<u4").tobytes()), _squeeze(own[r].astype("<f4").tobytes()), *hots, *sums) for g, c, r in zip(part["g"].to_pylist(), part["counts"].to_pylist(), ranks, strict=True)])
+        return _table(answer_schema, [(g, q, c, _squeeze(customers[r].astype("<i8").tobytes()), _squeeze(own[r].astype("<f4").tobytes()), *hots, *sums) for g, c, r in zip(part["g"].to_pylist(), part["counts"].to_pylist(), ranks, strict=True)])
 
     sample_schema = "g long, q long, tables binary, counts binary, prior binary, hot_n binary, hot_m binary, tokens long, types long"
 
     def sample(left: pa.Table, right: pa.Table) -> pa.Table:
         """The sum over the samples of each pair's tables, with what the prediction needs besides (q below 0); and those of hot contexts, for each slice."""
         if not left.num_rows:
-            return table(sample_schema, [])
+            return _table(sample_schema, [])
         g = left["g"][0].as_py()
         group, draw = Group(left.sort_by("batch"), hot), np.random.default_rng([SEED, 2, g])
         right = right.sort_by("q")
         n, v, t, t1 = (sum(right[c].to_pylist()) for c in ("tokens", "types", "parents", "grand"))
         t1 /= 1000
-        counts, customers, own = (joined(right, c, kind) for c, kind in (("counts", "<u4"), ("tables", "<u4"), ("own", "<f4")))
+        counts, customers, own = (_joined(right, c, kind) for c, kind in (("counts", "<i8"), ("tables", "<i8"), ("own", "<f4")))
         unseen = (PARENT_STRENGTH + PARENT_DISCOUNT * t1) / (v + 1)
         prior = np.full(len(group.words), unseen / (PARENT_STRENGTH + t))
         prior[group.asked] = (np.maximum(0, customers - PARENT_DISCOUNT * own.astype(np.float64)) + unseen) / (PARENT_STRENGTH + t)
-        total = to_hot(group, joined(right, "hot_m", "<i8"), np.zeros(len(group.words)))
+        total = to_hot(group, _joined(right, "hot_m", "<i8"), np.zeros(len(group.words)))
         tables, summed = np.minimum(group.customers, 1), np.zeros(len(group.pairs), np.int64)
         for turn in range(BURN + SAMPLES):
             tables = group.sweep(tables, prior, total, groups, draw)
             if turn >= BURN:
                 summed += tables
         hot_m = of_hot(group, group.of_context(summed)).astype("<i8")
-        lead = (g, -1 - g, _planes(summed, 4), _squeeze(counts.tobytes()), _squeeze(prior[group.asked].astype("<f4").tobytes()), _squeeze(joined(right, "hot_n", "<i8").tobytes()), None, n, v)
-        return table(sample_schema, [lead, *((g, int(q), None, None, None, None, _squeeze(hot_m[hot_cut[q] : hot_cut[q + 1]].tobytes()), None, None) for q in hot_slices)])
+        lead = (g, -1 - g, _planes(summed, 4), _squeeze(counts.tobytes()), _squeeze(prior[group.asked].astype("<f4").tobytes()), _squeeze(_joined(right, "hot_n", "<i8").tobytes()), None, n, v)
+        return _table(sample_schema, [lead, *((g, int(q), None, None, None, None, _squeeze(hot_m[hot_cut[q] : hot_cut[q + 1]].tobytes()), None, None) for q in hot_slices)])
 
     def add(part: pa.Table) -> pa.Table:
         """The tables of a slice's hot contexts over all groups, to each of them."""
@@ -332,7 +336,7 @@ def score(documents: DataFrame) -> DataFrame:
         return part.set_column(part.schema.get_field_index("hot_m"), "hot_m", pa.array([whole] * part.num_rows, pa.binary()))
 
     by_group = lambda left, right, made, schema: left.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(made, schema)
-    told = packed.groupBy("g").applyInArrow(ask, ask_schema).groupBy("q").applyInArrow(count, told_schema)
+    told = packed.groupBy("g").applyInArrow(ask, ask_schema).groupBy("q").applyInArrow(count_slice, TOLD)
     answers = by_group(packed, told, first_seating, seated_schema).groupBy("q").applyInArrow(parent, answer_schema)
     samples = by_group(packed, answers, sample, sample_schema).groupBy("q").applyInArrow(add, sample_schema)
 
@@ -345,8 +349,8 @@ def score(documents: DataFrame) -> DataFrame:
         left = left.sort_by("batch")
         group = Group(left, hot)
         (lead,) = right.filter(pa.compute.less(right["q"], 0)).to_pylist()
-        hot_m = joined(right.filter(pa.compute.greater_equal(right["q"], 0)).sort_by("q"), "hot_m", "<i8")
-        n, v, counts = lead["tokens"], lead["types"], _expand(lead["counts"], "<u4")
+        hot_m = _joined(right.filter(pa.compute.greater_equal(right["q"], 0)).sort_by("q"), "hot_m", "<i8")
+        n, v, counts = lead["tokens"], lead["types"], _expand(lead["counts"], "<i8")
         prior = np.zeros(len(group.words))
         prior[group.asked] = _expand(lead["prior"], "<f4")
         base = np.zeros(len(group.words))
