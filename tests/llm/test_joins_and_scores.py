@@ -144,6 +144,13 @@ def test_url_lists_with_odd_rows(spark):
     assert url_lists.evaluate(df, none).where("blocked").count() == 0 and url_lists.evaluate(df.limit(0), none).count() == 0
 
 
+def test_url_lists_with_large_day_numbers(spark):
+    captures = spark.createDataFrame([(1, "http://a.org/", 20231231), (2, "http://a.org/", 20240105), (3, "http://a.org/", 20240115), (4, "http://b.org/", 2**31 - 1)], "page_id long, url string, fetch_day int")
+    entries = spark.createDataFrame([("a.org", 20240101, True), ("a.org", 20240110, False), ("b.org", 2**31 - 20, True)], "pattern string, day int, listed boolean")
+    got = {r.page_id: (r.n_listed, r.pattern, r.listed_since, r.blocked) for r in url_lists.evaluate(captures, entries).collect()}
+    assert got == {1: (0, None, None, False), 2: (1, "a.org", 20240101, True), 3: (0, None, None, False), 4: (1, "b.org", 2**31 - 20, True)}
+
+
 def test_scores(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()] + [(10_000, None), (10_001, ""), (10_010, "word " * 20_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("x")).repartition(3, "doc_id")

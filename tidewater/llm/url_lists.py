@@ -19,8 +19,6 @@ from pyspark.sql import types as T
 
 #: Days of a span.
 SPAN_DAYS = 32
-#: The day after the last one that any interval holds.
-END_DAY = 100_000
 
 
 def host(url: Column) -> Column:
@@ -44,7 +42,7 @@ def patterns(url: Column) -> Column:
 
 
 def intervals(entries: DataFrame) -> DataFrame:
-    """pattern, first_day, end_day (exclusive) of the disjoint intervals in which a pattern is listed.
+    """pattern, first_day, end_day (exclusive; null where it is still listed) of the disjoint intervals in which a pattern is listed.
 
     entries: pattern string, day int, listed boolean. A pattern has one state for each day at most, so its array stays
     within the number of days that the lists cover.
@@ -52,7 +50,7 @@ def intervals(entries: DataFrame) -> DataFrame:
     good = entries.where(F.col("pattern").isNotNull() & F.col("day").isNotNull() & F.col("listed").isNotNull())
     by_day = good.groupBy("pattern", "day").agg(F.max("listed").alias("listed"))
     lines = by_day.groupBy("pattern").agg(F.array_sort(F.collect_list(F.struct("day", "listed"))).alias("days"))
-    spans = F.transform("days", lambda d, i: F.struct(d["listed"].alias("listed"), d["day"].alias("first_day"), F.coalesce(F.get("days", i + 1)["day"], F.lit(END_DAY)).alias("end_day")))
+    spans = F.transform("days", lambda d, i: F.struct(d["listed"].alias("listed"), d["day"].alias("first_day"), F.get("days", i + 1)["day"].alias("end_day")))
     return lines.select("pattern", F.inline(spans)).where("listed").select("pattern", "first_day", "end_day")
 
 
@@ -61,10 +59,10 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", day: str
     last = F.lit(captures.agg(F.max(day)).first()[0]).cast("int")
     # an interval without an end is only cut as far as captures go
     open_ = intervals(entries).where(F.col("first_day") <= last)
-    cut = open_.withColumn("span", F.explode(F.sequence(F.floor(F.col("first_day") / SPAN_DAYS), F.floor((F.least(F.col("end_day"), last + 1) - 1) / SPAN_DAYS))))
+    cut = open_.withColumn("span", F.explode(F.sequence(F.floor(F.col("first_day") / SPAN_DAYS), F.floor(F.least(F.col("end_day") - 1, last) / SPAN_DAYS))))
     listed = cut.select("pattern", "span", "first_day", "end_day")
     asked = captures.select(F.col(key).alias("key"), F.xxhash64(url).alias("u"), F.col(day).cast(T.IntegerType()).alias("day"), F.explode(patterns(F.col(url))).alias("ask")).where("day is not null").select("key", "u", "day", "ask.rank", "ask.pattern", F.floor(F.col("day") / SPAN_DAYS).alias("span"))
-    met = asked.join(listed, ["pattern", "span"]).where((F.col("day") >= F.col("first_day")) & (F.col("day") < F.col("end_day")))
+    met = asked.join(listed, ["pattern", "span"]).where((F.col("day") >= F.col("first_day")) & (F.col("end_day").isNull() | (F.col("day") < F.col("end_day"))))
     hits = met.groupBy("key", "u", "day").agg(F.count_distinct("rank").alias("n_listed"), F.min(F.struct("rank", "pattern", "first_day")).alias("best"))
     mine = captures.select(F.col(key), F.col(day).cast(T.IntegerType()).alias(day), F.xxhash64(url).alias("_u"))
     whole = mine.join(hits, F.col(key).eqNullSafe(hits["key"]) & F.col(day).eqNullSafe(hits["day"]) & (F.col("_u") == hits["u"]), "left")
