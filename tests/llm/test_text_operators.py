@@ -57,12 +57,13 @@ def test_counts_equal_the_library(spark, library, texts):
     assert token_counts.count_tokens(df.limit(0)).count() == 0 and got[0].ids == "z"
 
 
-@pytest.mark.parametrize(("giant", "chunk"), [(65_536, 8_192), (50, 16), (0, 33)])
-def test_ids_equal_the_library_in_chunks_or_whole(spark, library, texts, giant, chunk):
+@pytest.mark.parametrize(("giant", "chunk", "fan"), [(65_536, 8_192, 64), (50, 16, 4), (0, 33, 3)])
+def test_ids_equal_the_library_in_chunks_or_whole(spark, monkeypatch, library, texts, giant, chunk, fan):
+    monkeypatch.setattr(sentencepieces, "FAN", fan)
     some = texts if giant > 1000 else texts[::8] + ODD + ["same"] * 2
-    df = spark.createDataFrame([(i, t, i % 3) for i, t in enumerate(some)], "doc_id long, text string, _k long")
+    df = spark.createDataFrame([(i, t, i % 3, "a", "b") for i, t in enumerate(some)], "doc_id long, text string, _row long, row string, made string")
     encoded = sentencepieces.encode(df, giant=giant, chunk=chunk)
-    assert encoded.columns == ["doc_id", "text", "_k", "ids"]
+    assert encoded.columns == [*df.columns, "ids"]
     decode = sentencepieces.decoder(spark)
     got = {r.doc_id: r for r in encoded.withColumn("back", decode(F.col("ids"))).collect()}
     assert len(got) == len(some)
@@ -70,17 +71,37 @@ def test_ids_equal_the_library_in_chunks_or_whole(spark, library, texts, giant,
         assert got[i].ids == library.encode(t or "") and got[i].back == (t or "")
 
 
+def test_counts_of_unknown_characters_and_long_stretches(spark, library, model):
+    odd = ["門門𝔘a" * 5 + "ñ", "x" * 20_000, "ab" * 9_000 + "門" * 300, "\u2003" * 50]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df).collect()}
+    assert got == {i: len(library.encode(t)) for i, t in enumerate(odd)}
+    kept = unigram.Kept(model.count, 10)
+    assert kept["y" * 5000] and kept["▁a"] and list(kept) == ["▁a"]
+
+
 def test_encoding_of_an_empty_table(spark):
     assert sentencepieces.encode(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_scan_is_the_product():
-    draw = np.random.default_rng(0)
-    m = draw.integers(-50, 0, (7, 4, 4))
-    want, found = m[0], sentencepieces.scan(m)
-    for i in range(1, 7):
-        want = np.array([[max(want[a, b] + m[i, b, c] for b in range(4)) for c in range(4)] for a in range(4)])
-        assert (found[i] == want).all()
+def test_transfer_is_the_best_of_all_paths(model):
+    """Against a pass for each state before the chunk, with and without a certain cut in it."""
+    draw, most = np.random.default_rng(0), model.longest
+    for text in ["▁the▁quick▁brown▁fox", "▁" * 40, "abcdefghij" * 4, "line\n\nline▁ß門▁x", *("".join(draw.choice(list("ab▁\né"), 60)) for _ in range(6))]:
+        for before in (0, 1, 7):
+            n, found = len(text) - before, sentencepieces.transfer(model, text, before)
+            for state in range(min(most, before + 1)):
+                best = {-state: 0}
+                for end, pieces in enumerate(model.matches(text)):
+                    at = end - before
+                    sums = [best[at - length] + w for length, w, _ in pieces if at - length in best] if at > 0 else []
+                    if sums:
+                        best[at] = max(sums)
+                # what lies before a certain cut in the chunk leads nowhere
+                cut = sentencepieces._CERTAIN.search(text, max(before, 1))
+                first = cut.start() - before if cut else -most
+                want = [best.get(n - t, unigram.NONE) if n - t >= first and (n - t > 0 or n - t == -state) else unigram.NONE for t in range(most)]
+                assert found[state].tolist() == want
 
 
 def test_ties_go_to_the_earliest_start():

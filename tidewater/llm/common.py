@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import weakref
@@ -23,22 +24,52 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and (set_by_hand := spark.sparkContext.getCheckpointDir()):
-        found = set_by_hand
+    """The folder that driver and executors share: spark.checkpoint.dir, or the folder set by setCheckpointDir.
+
+    Where neither is set, a session on one machine (tests) gets a temporary folder; on a cluster that is an error, as executors would write
+    into folders of their own.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tidewater-")
         spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    return f"{found.rstrip('/')}/tidewater-{spark.sparkContext.applicationId}"
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: later stages neither recompute it nor lose it with an executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written as Parquet in the shared folder and read again, and the path: later stages neither recompute it nor lose it with an executor."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """df written and read again. The tables of an application lie in one folder and stay until it is cleared, as results are read from them."""
+    return written(df, name)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a path in whatever store holds it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this application has left in the shared folder; to be called when the results are written."""
+    remove(spark, shared_dir(spark))
+
+
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores added where a column is called so already."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def partitions(spark: SparkSession) -> int:

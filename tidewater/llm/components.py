@@ -1,7 +1,8 @@
 """Connected components of a graph given as a table of links, by alternating large and small stars.
 
 Each round links every node's larger neighbours to its smallest one, then its smaller ones; a component ends as one star around
-its smallest node. Every round is a grouping and a join; no component is gathered in one place.
+its smallest node. Every step is a grouping and a join of written tables; no component is gathered in one place, and a round's tables
+are deleted when the next one stands.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import shared_table
+from tidewater.llm.common import remove, written
 
 
 def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -30,30 +31,32 @@ def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.array(keep, int)
 
 
-def _star(edges: DataFrame, larger: bool) -> DataFrame:
-    """edges (a > b). larger: each node's larger neighbours get its smallest neighbour (or itself). Else: its smaller ones and itself do."""
-    if larger:
-        sides = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-    else:
-        sides = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    met = sides.join(least, "u")
-    if larger:
-        out = met.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
-    else:
-        out = met.select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("u", "m"))
-    return out.where("a > b").distinct()
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (the smallest node that links lead to) for every node of a link; loops and repeated links do not matter."""
-    now = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
-    now, before = shared_table(now, "links"), None
+    spark = edges.sparkSession
+
+    def least(links: DataFrame, name: str) -> tuple[DataFrame, str]:
+        """Of each node that has smaller neighbours the smallest. Written, so that the joins below meet two plain tables and a hot node can be split."""
+        return written(links.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), name)
+
+    now, path = written(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "links")
+    before = None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break
-        before = state
-        now = shared_table(_star(_star(now, True), False), "links")
+        before, old = state, [path]
+        # large star: what is linked to a node from above moves to that node's smallest neighbour, if it has a smaller one
+        low, at = least(now, "least")
+        old.append(at)
+        now, path = written(now.join(low, now["b"] == low["u"], "left").select("a", F.coalesce("m", "b").alias("b")).distinct(), "links")
+        old.append(path)
+        # small star: a node and its smaller neighbours move to the smallest of them
+        low, at = least(now, "least")
+        old.append(at)
+        met = now.join(low, now["a"] == low["u"]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
+        now, path = written(met.where("a <> b").distinct(), "links")
+        for x in old:
+            remove(spark, x)
     # a component is a star around its smallest node now
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b")).groupBy("node").agg(F.min("component").alias("component"))

@@ -7,7 +7,8 @@ and each block drops them.
 
 Cases: a null or empty text is one empty line; a line's key is the line stripped of ASCII white space with A-Z lower-cased; keys
 shorter than min_chars code points are never dropped; every row counts as a document of its own, so repeated rows count apart;
-an empty table stays empty; other columns pass through unchanged.
+an empty table stays empty; other columns pass through unchanged, whatever they are called, but for those called as the two columns that are added,
+which give way to them.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import UPPER, binary, mix, partitions, shared_table
+from tidewater.llm.common import UPPER, binary, free, mix, partitions, shared_table
 
 #: Distinct lines of a shard, about: so many that its arrays take a few MB.
 SHARD_LINES = 250_000
-#: Documents of a block, about.
-BLOCK_ROWS = 1_000
+#: Documents of a block and their characters, about; a block of more than OVERFULL times either is dealt into parts.
+BLOCK_ROWS, BLOCK_CHARS, OVERFULL = 1_000, 4_000_000, 3
 #: Bits of a level of the perfect hash for each key that has no place yet.
 GAMMA = 2.0
 MIN_DOCS = 10
@@ -89,11 +90,21 @@ def count_of(table: dict, keys: np.ndarray) -> np.ndarray:
     return np.where(right, table["counts"][place].astype(np.int64), 0)
 
 
-def line_tables(documents: DataFrame, text: str = "text", min_chars: int = MIN_CHARS) -> tuple[DataFrame, int]:
-    """One row for each shard: shard int, sizes, bits, prints, counts binary. And the number of shards."""
+def line_keys(documents: DataFrame, text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """place, chars, keys (hashes of the distinct keys of a text's lines) of each row; written once, as shards, probes and blocks all come from it."""
     lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), line_key)
     keys = F.array_distinct(F.transform(F.filter(lines, lambda k: F.char_length(k) >= min_chars), lambda k: F.xxhash64(k)))
-    counted = shared_table(documents.select(F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("n_docs")), "lines")
+    return shared_table(documents.select(_place(documents, text).alias("place"), F.coalesce(F.length(text), F.lit(0)).alias("chars"), keys.alias("keys")), "keys")
+
+
+def _place(documents: DataFrame, text: str) -> Column:
+    """What decides a row's block: the same for equal rows."""
+    return F.xxhash64(F.lit(3), *([F.col("doc_id")] if "doc_id" in documents.columns else []), F.substring(F.col(text), 1, 64), F.length(text))
+
+
+def line_tables(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Of rows (keys) one row for each shard: shard long, sizes, bits, prints, counts binary. And the number of shards."""
+    counted = shared_table(rows.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n_docs")), "lines")
     shards = max(1, -(-counted.count() // SHARD_LINES))
 
     def pack(part: pa.Table) -> pa.Table:
@@ -114,18 +125,22 @@ def _hash(key: bytes) -> int:
     return xxhash.xxh64_intdigest(key, 42)  # as Spark's xxhash64
 
 
-def drop_lines(documents: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, rows: int | None = None) -> DataFrame:
-    """documents with _lines long (before), _dropped long, and text without the lines whose key min_docs documents hold."""
+def drop_lines(documents: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, lines: str = "_lines", dropped: str = "_dropped") -> DataFrame:
+    """documents with the columns `lines` long (lines before), `dropped` long, and text without the lines whose key min_docs documents hold."""
     spark = documents.sparkSession
-    tables, shards = line_tables(documents, text, min_chars)
-    blocks = max(-(-(documents.count() if rows is None else rows) // BLOCK_ROWS), 4 * partitions(spark))
-    # repeated rows may share a block: their hash is the same
-    block = F.pmod(F.xxhash64(F.lit(3), *([F.col("doc_id")] if "doc_id" in documents.columns else []), F.substring(F.col(text), 1, 64), F.length(text)), F.lit(blocks))
-    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), line_key)
-    keys = F.array_distinct(F.transform(F.filter(lines, lambda k: F.char_length(k) >= min_chars), lambda k: F.xxhash64(k)))
-    # narrow rows first: what explode repeats must not carry the text
-    narrow = documents.select(block.alias("block"), keys.alias("keys"))
-    probes = narrow.select("block", F.explode("keys").alias("key")).distinct().withColumn("shard", F.pmod("key", F.lit(shards)))
+    columns = [c for c in documents.columns if c not in (lines, dropped)]
+    documents = documents.select(*columns)
+    block_c, part_c = free([*columns, lines, dropped], "block", "part")
+    rows = line_keys(documents, text, min_chars)
+    tables, shards = line_tables(rows)
+    n, chars = rows.agg(F.count("*"), F.sum("chars")).first()
+    blocks = max(-(-n // BLOCK_ROWS), (chars or 0) // BLOCK_CHARS, 4 * partitions(spark))
+    block_of = lambda place: F.pmod(place, F.lit(blocks))
+    probes = rows.select(block_of(F.col("place")).alias("block"), F.explode("keys").alias("key")).distinct().withColumn("shard", F.pmod("key", F.lit(shards)))
+    # a block that repeated rows or long texts overfill is dealt into parts, each of which gets all of its verdicts
+    held = rows.groupBy(block_of(F.col("place")).alias("block")).agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    full = F.greatest(F.col("n") / BLOCK_ROWS, F.col("chars") / BLOCK_CHARS)
+    parts = shared_table(held.where(full > OVERFULL).select("block", F.ceil(full).cast("long").alias("parts")), "overfull")
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -134,25 +149,30 @@ def drop_lines(documents: DataFrame, text: str = "text", min_docs: int = MIN_DOC
         common = count_of(_unpack(right.to_pylist()[0]), keys.view(np.uint64)) >= min_docs
         return pa.table({"block": left["block"].to_numpy()[common], "key": keys[common]})
 
-    verdicts = probes.groupBy("shard").cogroup(tables.groupBy("shard")).applyInArrow(answer, "block long, key long")
-    columns = documents.columns
+    found = probes.groupBy("shard").cogroup(tables.groupBy("shard")).applyInArrow(answer, "block long, key long").join(parts, "block", "left")
+    verdicts = found.select("block", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
 
     def drop(left: pa.Table, right: pa.Table) -> pa.Table:
         hot = frozenset(right["key"].to_numpy().view(np.uint64).tolist())
-        before, dropped, out = [], [], []
+        before, gone, out = [], [], []
         for t in binary(left[text]):
-            lines = (t or b"").split(b"\n")
+            every = (t or b"").split(b"\n")
             # a key shorter than min_chars is in no table, so never among the hot ones
-            stay = [x for x in lines if _hash(x.strip().lower()) not in hot] if hot else lines
-            before.append(len(lines))
-            dropped.append(len(lines) - len(stay))
+            stay = [x for x in every if _hash(x.strip().lower()) not in hot] if hot else every
+            before.append(len(every))
+            gone.append(len(every) - len(stay))
             out.append(b"\n".join(stay))
         made = {c: pa.array(out, pa.binary()).cast(pa.string()) if c == text else left[c] for c in columns}
-        return pa.table(made | {"_lines": pa.array(before, pa.int64()), "_dropped": pa.array(dropped, pa.int64())})
-
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in documents.schema), T.StructField("_lines", T.LongType()), T.StructField("_dropped", T.LongType())])
-    dealt = documents.withColumn("_block", block)
-    return dealt.groupBy("_block").cogroup(verdicts.groupBy("block")).applyInArrow(drop, schema)
+        return pa.table(made | {lines: pa.array(before, pa.int64()), dropped: pa.array(gone, pa.int64())})
+
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in documents.schema), T.StructField(lines, T.LongType()), T.StructField(dropped, T.LongType())])
+    dealt = documents.withColumn(block_c, block_of(_place(documents, text)))
+    if parts.head(1):
+        several = parts.select(F.col("block").alias(block_c), F.col("parts").alias(part_c))
+        dealt = dealt.join(several, block_c, "left").withColumn(part_c, F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col(part_c)), F.lit(0).cast("long")))
+    else:
+        dealt = dealt.withColumn(part_c, F.lit(0).cast("long"))
+    return dealt.groupBy(block_c, part_c).cogroup(verdicts.groupBy("block", "part")).applyInArrow(drop, schema)
 
 
 def sha256_hex(text: Column) -> Column:

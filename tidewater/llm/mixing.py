@@ -8,8 +8,9 @@ So a source's taken words differ from its target by less than one row's size.
 
 All draws follow from a hash of doc_id and the level, so reruns agree.
 
-Cases: a null text has size 0; rows of size 0 take no words; a null source is a source of its own and stands last; repeated rows are
-drawn apart; an empty table gives an empty result; other columns pass through.
+Cases: a null text has size 0; rows of size 0 take no words; a null source is a source of its own and stands last; k repeated rows are one row of
+the tree that stands for k times the fraction, and as many of them as that yields take one copy more; an empty table gives an empty result; other
+columns pass through, whatever they are called.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import n_words, shared_table
+from tidewater.llm.common import free, n_words, shared_table
 
 #: Rows of a group on the lowest level, about.
 LEAF_ROWS = 2_048
@@ -94,20 +95,26 @@ def _rounder(level: int):
 
 
 def copies(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, text: str = "text") -> DataFrame:
-    """rows (doc_id, source and others) with size, source_size, target and copies, a whole number for each row."""
-    sized = rows.withColumn("_size", n_words(F.col(text)))
-    return _copies(sized.select("doc_id", "source", F.col("_size").alias("size")), weights, most)
+    """doc_id, source, size, source_size, target and copies, a whole number, for each row of rows (doc_id, source, text)."""
+    slim = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", n_words(F.col(text)).alias("size"), F.lit(0).cast("long").alias("rest"))
+    return _copies(shared_table(slim, "sizes"), weights, most).drop("row")
 
 
 def _copies(slim: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
+    """slim: row (unique), doc_id, source, size and rest, a hash of what else tells rows apart; written, as it is read more than once."""
     sources = shared_table(source_targets(slim, weights, most), "sources")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    given = slim.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    # rows that agree in all of this are one row of the tree, with all their fractions; whole ones among these need no draw
+    same = ["doc_id", "source", "size", "rest"]
+    given = slim.groupBy(*same).agg(F.count("*").alias("k")).join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     whole = F.floor(ratio + F.lit(1e-12))
+    mass = F.when(F.col("size") > 0, F.greatest(F.lit(0.0), ratio - whole) * F.col("k")).otherwise(0.0)
+    ones = F.floor(mass + F.lit(1e-12))
     leaves = F.greatest(F.lit(1), F.ceil(F.col("n_rows") / LEAF_ROWS))
+    hashed = lambda seed: F.xxhash64(F.lit(seed), "doc_id", "size", "rest")
     started = given.select(
-        "doc_id", "source", "size", "source_size", "target", whole.cast("long").alias("_whole"), F.greatest(F.lit(0.0), ratio - whole).alias("_share"),
-        F.xxhash64(F.lit(11), "doc_id", "size").alias("_hash"), F.pmod(F.xxhash64(F.lit(5), "doc_id", "size"), leaves).alias("_group"),
+        *same, "k", "source_size", "target", whole.cast("long").alias("_whole"), ones.cast("long").alias("_ones"), F.greatest(F.lit(0.0), mass - ones).alias("_share"),
+        hashed(11).alias("_hash"), F.pmod(hashed(5), leaves).alias("_group"),
     )
     level, decided, open_ = 0, None, started
     groups = (sources.agg(F.max("n_rows")).first()[0] or 0) // LEAF_ROWS + 1
@@ -122,15 +129,26 @@ def _copies(slim: DataFrame, weights: tuple[float, ...], most: float) -> DataFra
     # one row of each source at most is left: it is drawn by itself
     draw = F.pmod(F.xxhash64(F.lit(13), "_hash"), F.lit(1 << 30)) / float(1 << 30)
     last = open_.withColumn("_share", F.when(draw < F.col("_share"), 1.0).otherwise(0.0))
-    final = decided.unionByName(last)
-    return final.select("doc_id", "source", "size", "source_size", "target", (F.col("_whole") + F.col("_share").cast("long")).alias("copies"))
+    told = decided.unionByName(last).select(*same, "k", "source_size", "target", "_whole", (F.col("_ones") + F.col("_share").cast("long")).alias("_more"))
+    told = shared_table(told.withColumn("_key", F.monotonically_increasing_id()), "decided")
+    by = told.select(*(F.col(c).alias(f"_{c}") for c in same), "k", "source_size", "target", "_whole", "_more", "_key")
+    rows = slim.join(by, (F.col("size") == F.col("_size")) & (F.col("rest") == F.col("_rest")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")))
+    # of k equal rows as many as have a one take one more: they are numbered within a part of the table, and the parts' numbers of them are summed
+    several = rows.where((F.col("k") > 1) & (F.col("_more") > 0)).select("row", "_key", "_more", F.shiftright("row", 33).alias("_part"))
+    sums = several.groupBy("_key", "_part").agg(F.count("*").alias("_n"))
+    before = sums.select("_key", "_part", F.coalesce(F.sum("_n").over(W.partitionBy("_key").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    number = F.row_number().over(W.partitionBy("_key", "_part").orderBy("row"))
+    chosen = several.withColumn("_at", number).join(before, ["_key", "_part"]).where(F.col("_at") + F.col("_before") <= F.col("_more")).select("row", F.lit(1).alias("_one"))
+    final = rows.join(chosen, "row", "left").withColumn("_extra", F.when(F.col("k") == 1, F.col("_more")).otherwise(F.coalesce("_one", F.lit(0))))
+    return final.select("row", "doc_id", "source", "size", "source_size", "target", (F.col("_whole") + F.col("_extra")).alias("copies"))
 
 
 def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, text: str = "text") -> DataFrame:
     """documents with every row repeated as often as the mix takes it; rows that it takes 0 times are gone."""
-    # rows that agree in doc_id, source and size are interchangeable: each takes one of their numbers of copies
-    key = lambda size: F.to_json(F.struct("doc_id", "source", F.col(size).alias("size")))
-    chosen = copies(documents, weights, most, text).select(key("size").alias("_key"), "copies").groupBy("_key").agg(F.array_sort(F.collect_list("copies")).alias("_copies"))
-    numbered = documents.withColumn("_size", n_words(F.col(text))).withColumn("_key", key("_size")).withColumn("_at", F.row_number().over(W.partitionBy("_key").orderBy("_size")))
-    taken = numbered.join(chosen, "_key").withColumn("_n", F.get("_copies", F.col("_at") - 1)).where("_n > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*documents.columns)
+    row, size, n, copy = free(documents.columns, "row", "size", "n", "copy")
+    told = F.xxhash64(*[F.col(c) for c, kind in documents.dtypes if "map<" not in kind])
+    # the rows are written with their numbers: a number made anew could stand for another row
+    staged = shared_table(documents.select("*", F.monotonically_increasing_id().alias(row), n_words(F.col(text)).alias(size)), "numbered")
+    slim = shared_table(staged.select(F.col(row).alias("row"), "doc_id", "source", F.col(size).alias("size"), told.alias("rest")), "sizes")
+    taken = _copies(slim, weights, most).where("copies > 0").select(F.col("row").alias(row), F.col("copies").alias(n))
+    return staged.join(taken, row).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*documents.columns)

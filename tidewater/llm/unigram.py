@@ -24,14 +24,17 @@ SPACE = "▁"
 UNIT = 1 / 256
 PENALTY = 10.0
 NONE = -(1 << 60)
-#: Stretches that a worker keeps of each generation.
-KEPT = 120_000
+#: Stretches that a worker keeps of each generation, and the characters of the longest one that is kept: together a bound in bytes.
+KEPT, KEPT_CHARS = 120_000, 32
 #: A stretch ends before a space that follows another character, and around a line break: no piece reaches across.
 STRETCH = re.compile("▁*[^▁\\n]+|▁+|\\n")
 
 
 class Kept(dict):
-    """What `make` gives for stretches. Two generations of at most `most` entries each: what is met again outlives the rest."""
+    """What `make` gives for stretches. Two generations of at most `most` entries each: what is met again outlives the rest.
+
+    Stretches of more than KEPT_CHARS characters are made each time.
+    """
 
     def __init__(self, make, most: int) -> None:
         self.make, self.most, self.old = make, most, {}
@@ -41,6 +44,8 @@ class Kept(dict):
         self.old = {}
 
     def __missing__(self, stretch: str):
+        if len(stretch) > KEPT_CHARS:
+            return self.make(stretch)
         if len(self) >= self.most:
             recent = dict(self)
             self.clear()
@@ -97,7 +102,7 @@ class Unigram:
     def count(self, stretch: str) -> int:
         """Number of pieces of the best segmentation; sums and counts are carried side by side, no segmentation is built."""
         if not self.singles.issuperset(stretch):
-            return len(self._encode_any(stretch))
+            return self._count_any(stretch)
         # each character is a piece, so every end is met, in order, with its longest piece first
         best, n, now, top, pieces = [0], [0], 0, NONE, 0
         for last, (length, weight, _) in self.automaton.iter(stretch):
@@ -110,6 +115,19 @@ class Unigram:
                 top, pieces = total, n[at] + 1
         return pieces
 
+    def _count_any(self, stretch: str) -> int:
+        """count() for stretches with unknown characters, each of which counts as its bytes."""
+        best, n = [0], [0]
+        for i, pieces in enumerate(self.matches(stretch)[1:]):
+            top, count = None, 0
+            for length, weight, piece in pieces:
+                total = best[i + 1 - length] + weight
+                if top is None or total > top:
+                    top, count = total, n[i + 1 - length] + (1 if piece >= 0 else len(stretch[i].encode()))
+            best.append(top)
+            n.append(count)
+        return n[-1]
+
     def encode(self, stretch: str) -> list[int]:
         """Ids of the best segmentation."""
         if not self.singles.issuperset(stretch):
