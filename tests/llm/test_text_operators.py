@@ -148,6 +148,27 @@ def test_fingerprints_of_odd_rows(spark):
     check(spark, [(5, "alone and unchanged")])
 
 
+def test_fingerprints_of_ids_beyond_53_bits(spark):
+    draw = np.random.default_rng(1)
+    check(spark, [(2**60 + 3 * i, f"text {draw.integers(0, 9)}\nof row {i}\nsame") for i in range(1000)] + [(-(2**63), "first"), (2**63 - 1, "last"), (-5, None)])
+
+
+def test_fingerprints_of_mostly_missing_or_repeated_ids(spark):
+    """Each row's next is the one after it in descending order of doc_id, null ids last, and of a hash within an id; the neighbours' lengths tell."""
+    rows = [(None, f"null {i} " * (i % 5)) for i in range(300)] + [(7, "same")] * 300 + [(7, f"other {i}") for i in range(100)] + [(100 + i, f"own {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    placed = fingerprints.neighbours(df).collect()
+    assert sum(not r._ghost for r in placed) == len(rows) and len({r._bucket for r in placed}) == sum(r._ghost for r in placed) > 10
+    assert max(sum(r._bucket == b for r in placed) for b in {r._bucket for r in placed}) < 200
+    order = sorted((r for r in placed if not r._ghost), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r._h, r._m))
+    got = sorted((str(r.doc_id), r.edited_sha256) for r in fingerprints.edited_fingerprints(df).collect())
+    want = []
+    for k, r in enumerate(order):
+        third = len(r.text) // 3
+        want.append((str(r.doc_id), hashlib.sha256((r.text[: len(r.text) - third] + order[k - 1].text[:third]).encode()).hexdigest()))
+    assert got == sorted(want)
+
+
 def test_fingerprints_with_repeated_and_missing_ids(spark):
     rows = [(3, "c " * 40), (3, "c " * 40), (None, "n"), (None, None), (1, "abc"), (2, "x\ny\nz")]
     got = fingerprints.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -162,6 +183,9 @@ def test_fingerprint_and_differences_recover_digests(spark):
     both = made.select("*", F.col("x_keys").alias("p"), F.col("y_keys").alias("q"), fingerprints.sketch(F.col("x_keys")).alias("x_cells"), fingerprints.sketch(F.col("y_keys")).alias("y_cells"))
     for r in fingerprints.differences(both, {"d": ("x", "y")}).collect():
         assert {d.k for d in r.d if d.n == 1} == set(r.p) - set(r.q) and {d.k for d in r.d if d.n == -1} == set(r.q) - set(r.p)
+    none = made.where("doc_id = 1").select("doc_id", "x_keys", F.lit(None).cast("array<bigint>").alias("y_keys"), fingerprints.sketch(F.col("x_keys")).alias("x_cells"), F.lit(None).cast("array<struct<n:int,x:bigint>>").alias("y_cells"))
+    assert [len(r.d) for r in fingerprints.differences(none, {"d": ("x", "y")}).collect()] == [3]
+    df = df.withColumn("keys", F.lit(1)).withColumn("_keys", F.lit(2))
     named = fingerprints.fingerprint(df, "x")
     assert named.columns == [*df.columns, "fingerprint"] and len({r.fingerprint for r in named.collect()}) == 3
 

@@ -8,25 +8,25 @@ dealt into eight parts, each with a sketch of its own, and so on: a failure cost
 
 The likeness of two texts is the share of common paragraphs among all distinct ones, from the numbers of paragraphs and those recovered.
 
-Cases: a null text is an empty one and has the digest of the empty paragraph; repeated paragraphs of a text count once; equal texts have equal fingerprints;
+Cases: a null text is an empty one and has the digest of the empty paragraph; a version whose digests are null has none; repeated paragraphs of a text count once; equal texts have equal fingerprints;
 an empty table gives an empty result; other columns pass through `fingerprint` and `differences`.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import partitions, shared_table
+from tidewater.llm.common import free, partitions, shared_table
 
 #: A paragraph: at least so many characters of a line up to a sentence's end (looked for within some more), or what is left of the line.
 PARAGRAPH = r"[^\n]{64}[^\n.!?]{0,256}[.!?]* ?|[^\n]+"
 ROWS, PLACES = 3, 8
 #: Parts that a failed part is dealt into, and how often this is done before the rest is written down and taken up again.
 PARTS, LEVELS = 8, 3
+#: Levels after which a part that still fails is an error: by then the digests have been dealt into more parts than there are digests.
+DEEPEST = 30
 #: Rounds of peeling; a sketch that needs more counts as failed.
 PEELS = 10
 LOW48 = (1 << 48) - 1
@@ -119,7 +119,7 @@ def _tried(difference: Column, a: Column, b: Column, level: int) -> Column:
     none = F.array().cast("array<bigint>")
 
     def outcome(p: Column) -> Column:
-        return F.when(_empty(p["cells"]), F.struct(F.lit(True).alias("ok"), p["found"].alias("found"), none.alias("a"), none.alias("b"))).otherwise(F.struct(F.lit(False).alias("ok"), F.array().cast("array<struct<k:bigint,n:int>>").alias("found"), a.alias("a"), b.alias("b")))
+        return F.when(F.coalesce(_empty(p["cells"]), F.lit(False)), F.struct(F.lit(True).alias("ok"), p["found"].alias("found"), none.alias("a"), none.alias("b"))).otherwise(F.struct(F.lit(False).alias("ok"), F.array().cast("array<struct<k:bigint,n:int>>").alias("found"), a.alias("a"), b.alias("b")))
 
     return _let(peel(difference, level), outcome)
 
@@ -155,6 +155,9 @@ def differences(rows: DataFrame, pairs: dict[str, tuple[str, str]], counts: bool
     pairs: name -> prefixes of the columns <prefix>_keys (digests) and <prefix>_cells (their sketch) of the two versions; these columns go.
     """
     names = list(pairs)
+    # a side that is missing has no digests
+    rows = rows.withColumns({f"{x}_keys": F.coalesce(f"{x}_keys", F.array().cast("array<bigint>")) for pair in pairs.values() for x in pair})
+    rows = rows.withColumns({f"{x}_cells": F.coalesce(f"{x}_cells", sketch(F.array().cast("array<bigint>"))) for pair in pairs.values() for x in pair})
     used = {f"{x}_{y}" for pair in pairs.values() for x in pair for y in ("keys", "cells")}
     columns = [c for c in rows.columns if c not in used]
     rows = rows.select(*columns, *[F.array(_tried(subtract(F.col(f"{a}_cells"), F.col(f"{b}_cells")), F.col(f"{a}_keys"), F.col(f"{b}_keys"), 0)).alias(f"_s_{x}") for x, (a, b) in pairs.items()])
@@ -169,6 +172,8 @@ def differences(rows: DataFrame, pairs: dict[str, tuple[str, str]], counts: bool
     level, state = LEVELS, shared_table(marked(_levels(rows, names, 0, counts)), "sketches")
     done = state.where(~F.col("_open"))
     while (state := state.where("_open").drop("_open")).head(1):
+        if level > DEEPEST:
+            raise RuntimeError("digests that no larger sketch tells apart")
         state = shared_table(marked(_levels(state, names, level, counts)), "sketches")
         done = done.unionByName(state.where(~F.col("_open")))
         level += LEVELS
@@ -183,60 +188,66 @@ def written(keys: Column, cells: Column) -> Column:
 
 def fingerprint(documents: DataFrame, text: str = "text") -> DataFrame:
     """documents with a column fingerprint."""
-    named = documents.withColumn("_keys", digests(F.col(text)))
-    return named.withColumn("fingerprint", written(F.col("_keys"), sketch(F.col("_keys")))).drop("_keys")
+    (keys,) = free(documents.columns, "keys")
+    named = documents.withColumn(keys, digests(F.col(text)))
+    return named.withColumn("fingerprint", written(F.col(keys), sketch(F.col(keys)))).drop(keys)
 
 
 def neighbours(documents: DataFrame) -> DataFrame:
-    """documents (doc_id, text) in buckets of neighbouring doc_ids, ready for a window over _bucket ordered by _ghost, doc_id descending and _h.
+    """documents (doc_id, text) in buckets of neighbouring rows: doc_id, text, _h (a hash of the text), _m (the row's number), _bucket, _ghost.
 
-    The first rows of the next bucket stand at a bucket's end as ghosts, and those of the largest doc_id at the very end, so that every
-    row finds the one that follows it, in descending order of doc_id and from the last to the first, within its bucket. Null ids come last, equal ids in the
-    order of a hash of their texts.
+    Rows stand in the order of doc_id (null ids first), _h and _m, so rows that repeat a doc_id, or lack one, fall into several buckets too. A bucket's last
+    row stands once more, as a ghost, in front of the next bucket, and the table's last row in front of the first: every row finds
+    the one before it within its bucket. The ghosts are the buckets' actual last keys, found by an aggregation of the same keys.
     """
-    n = 4 * partitions(documents.sparkSession)
-    found = documents.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("bounds"), F.max("doc_id").alias("top")).first()
-    bounds, top = sorted(set(found["bounds"] or ()), reverse=True), found["top"]
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    wide = max(1, math.isqrt(len(bounds)))
-    runs = [bounds[i : i + wide] for i in range(0, len(bounds), wide)]
-    if runs:
-        # the number of bounds that are not below doc_id: first by whole runs, then within one
-        lasts = F.array(*[F.lit(r[-1]).cast(kind) for r in runs])
-        whole = F.size(F.filter(lasts, lambda q: q >= F.col("doc_id")))
-        run = F.get(F.array(*[F.array(*[F.lit(q).cast(kind) for q in r]) for r in runs]), F.col("_run"))
-        spot = F.col("_run") * wide + F.when(F.col("_run") < len(runs), F.size(F.filter(run, lambda q: q >= F.col("doc_id")))).otherwise(0)
-        is_head = F.coalesce(F.exists(run, lambda q: q == F.col("doc_id")), F.lit(False)) | F.coalesce(F.array_contains(lasts, F.col("doc_id")), F.lit(False))
-        placed = documents.withColumn("_run", whole).withColumn("_bucket", F.when(F.col("doc_id").isNull(), len(bounds)).otherwise(F.least(spot, F.lit(len(bounds))))).withColumn("_head", is_head).drop("_run")
-    else:
-        placed = documents.withColumn("_bucket", F.lit(0)).withColumn("_head", F.lit(False))
-    first = F.col("doc_id").eqNullSafe(F.lit(top).cast(kind))
+    named = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_m"))
+    key = ["doc_id", "_h", "_m"]
+    ranged = named.select(*key).repartitionByRange(4 * partitions(documents.sparkSession), *key)
+    lasts = ranged.select(F.spark_partition_id().alias("p"), F.struct(*key).alias("k")).groupBy("p").agg(F.max("k").alias("k"))
+    # one row: the last key of each bucket, ascending, as many as there are partitions
+    bounds = shared_table(lasts.agg(F.array_sort(F.collect_list("k")).alias("_lasts")), "bounds")
+    placed = named.join(F.broadcast(bounds)).withColumn("_k", F.struct(*key)).withColumn("_bucket", _lower_bound(F.col("_lasts"), F.col("_k")))
+    n = F.size("_lasts")
+    is_last = F.get("_lasts", F.col("_bucket")) == F.col("_k")
     spots = F.filter(
         F.array(
-            F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("g")),
-            F.when(F.col("_head") & (F.col("_bucket") > 0), F.struct((F.col("_bucket") - 1).alias("b"), F.lit(1).alias("g"))),
-            F.when(first, F.struct(F.lit(len(bounds)).alias("b"), F.lit(2).alias("g"))),
+            F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("g")),
+            F.when(is_last, F.struct(((F.col("_bucket") + 1) % n).alias("b"), F.lit(True).alias("g"))),
         ),
         lambda s: s.isNotNull(),
     )
-    out = placed.withColumn("_spot", F.explode(spots))
-    return out.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("_spot.b").alias("_bucket"), F.col("_spot.g").alias("_ghost"), F.xxhash64("text").alias("_h"))
+    return placed.select("doc_id", "text", "_h", "_m", F.explode(spots).alias("_spot")).select("doc_id", "text", "_h", "_m", F.col("_spot.b").alias("_bucket"), F.col("_spot.g").alias("_ghost"))
+
+
+def _lower_bound(ascending: Column, value: Column) -> Column:
+    """The place of the first element that is not below value, by bisection."""
+    n = F.size(ascending)
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(n + 1)).cast("int"))
+
+    def halved(s: Column, _: Column) -> Column:
+        middle = F.floor((s["a"] + s["b"]) / 2).cast("int")
+        below = F.get(ascending, middle) < value
+        return F.when(s["a"] < s["b"], F.struct(F.when(below, middle + 1).otherwise(s["a"]).alias("a"), F.when(below, s["b"]).otherwise(middle).alias("b"))).otherwise(s)
+
+    # a key that the bounds do not know yet would lie beyond the last
+    return F.least(F.aggregate(steps, F.struct(F.lit(0).alias("a"), n.alias("b")), halved)["a"], n - 1)
 
 
 def edited_fingerprints(documents: DataFrame) -> DataFrame:
     """For every row of documents (doc_id, text): its text's fingerprint, that of its edited text, and their likeness.
 
-    Edited: the last third of the code points gives way to as many of the next document's first ones (all if it has fewer).
+    Edited: the last third of the code points gives way to as many of the next document's first ones (all if it has fewer). Next: in descending order of
+    doc_id, null ids last, equal ids in the order of a hash of their texts; the first row follows the last.
     """
-    order = W.partitionBy("_bucket").orderBy("_ghost", F.col("doc_id").desc_nulls_last(), "_h")
+    order = W.partitionBy("_bucket").orderBy(F.col("_ghost").desc(), F.col("doc_id").asc_nulls_first(), "_h", "_m")
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
-    paired = neighbours(documents).withColumn("_next", F.lead("text").over(order))
+    paired = neighbours(documents).withColumn("_next", F.lag("text").over(order))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.coalesce("_next", F.lit("")), F.lit(1), third))
-    told = paired.select("doc_id", "_bucket", "_ghost", "_h", n.cast("long").alias("n_chars"), edited.alias("_edited"), digests(F.col("text")).alias("own_keys"))
-    told = told.select("doc_id", "_bucket", "_ghost", "_h", "n_chars", F.sha2(F.encode("_edited", "UTF-8"), 256).alias("edited_sha256"), "own_keys", digests(F.col("_edited")).alias("edited_keys"))
+    told = paired.select("doc_id", "_bucket", "_ghost", "_h", "_m", n.cast("long").alias("n_chars"), edited.alias("_edited"), digests(F.col("text")).alias("own_keys"))
+    told = told.select("doc_id", "_bucket", "_ghost", "_h", "_m", "n_chars", F.sha2(F.encode("_edited", "UTF-8"), 256).alias("edited_sha256"), "own_keys", digests(F.col("_edited")).alias("edited_keys"))
     told = told.withColumn("own_cells", sketch(F.col("own_keys"))).withColumn("edited_cells", sketch(F.col("edited_keys")))
-    told = told.withColumn("next_keys", F.lead("own_keys").over(order)).withColumn("next_cells", F.lead("own_cells").over(order)).where("_ghost = 0")
+    told = told.withColumn("next_keys", F.lag("own_keys").over(order)).withColumn("next_cells", F.lag("own_cells").over(order)).where("not _ghost")
     told = told.withColumn("fingerprint", written(F.col("own_keys"), F.col("own_cells"))).withColumn("edited_fingerprint", written(F.col("edited_keys"), F.col("edited_cells")))
     told = told.withColumns({f"{x}_n": F.size(f"{x}_keys") for x in ("own", "edited", "next")})
     found = differences(told, {"to_edited": ("own", "edited"), "to_next": ("own", "next")}, counts=True)
