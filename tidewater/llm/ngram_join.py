@@ -1,13 +1,15 @@
 """N-gram Jaccard join with token-combination prefixes.
 
-A document is the set of its distinct word shingles. Every shingle gets a class from the number of documents that hold it (as a
-power of two). In the order (class, hash) a document is indexed by a prefix that is so long that a similar document cannot
-miss all of it:
- - rare shingles count singly; n - ceil(t n) + 1 of them suffice;
- - where a document has too few rare ones, frequent shingles follow in small groups that both documents form alike (by hash, for
-   the size class of the larger one); a group of g is indexed by its pairs and accounts for g - 1 missing shingles.
-Shingles that one document alone holds can match nothing, so they are counted but not written out.
-What shares an index entry and has a fitting size is a candidate. Candidates chain into clusters, and each cluster's documents are compared with
+A document is the set of its distinct word shingles; equal sets are one node. In the order of the shingles' hashes a node is indexed by a prefix that
+is so long that a similar one cannot miss all of it: n - ceil(t n) + 1 of n shingles. The index entries are counted by an ordinary grouping.
+ - Entries of fewer than 2**FREQUENT nodes bring candidates together by themselves.
+ - Shingles that are entries of more nodes are frequent, and their nodes are indexed anew in the order (frequent or not, hash): the prefix is extended to
+   as many other shingles, which are counted again, and so on. Where a node has too few that are rare, frequent ones follow, which fall into small groups that both
+   documents form alike (by hash, for the size class of the larger one). A group of g is indexed by its pairs and accounts for g - 1 missing shingles.
+   After ROUNDS of this all shingles of the nodes that are left are counted, which leaves no entry of a single shingle that is frequent.
+Two similar nodes share an entry in each round in which both take part. If it is a pair or rare, they are candidates; if not, both are in the next round.
+
+What shares an entry and has a fitting size is a candidate. Candidates chain into clusters, and each cluster's nodes are compared with
 each other, tile by tile where it is large: exact intersections of whole sets from products of incidence blocks. A tile gives back a spanning
 forest of its links, never all its pairs.
 
@@ -22,30 +24,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import binary, chunks, hashed_words, mix, partitions, shared_table
+from tidewater.llm.common import binary, chunks, hashed_words, mix, shared_table
 from tidewater.llm.components import components, spanning
 
 WORDS = 5
 #: Percent: two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Documents of a block, about.
-BLOCK_ROWS = 1_500
-#: Characters of text for each slice of the shingle counts, about.
-SLICE_CHARS = 16_000_000
-#: Shingles are counted by so many bits of their hash; two that agree in them are counted together, which only orders them later.
-COUNT_BITS = 40
-#: Shingles that 2**FREQUENT documents or more hold are indexed by pairs.
-FREQUENT = 6
+#: Shingles that 2**FREQUENT nodes or more hold are indexed by pairs. Few, so that a passage that unrelated documents share does not make them candidates.
+FREQUENT = 2
 #: Mean size of a group of frequent shingles.
 GROUP = 4
-#: Documents of a tile's side; smaller clusters are compared several to a task, of about LUMP documents. Shingles of an incidence block.
-TILE, LUMP, COLUMNS = 256, 1_024, 4_096
+#: Nodes of a tile's side and their shingles, about; smaller clusters are compared several to a task, of about LUMP shingles. Shingles of an incidence block.
+TILE, TILE_SHINGLES, LUMP, COLUMNS = 256, 1_000_000, 500_000, 4_096
+#: Rounds of indexing in which only entries are counted.
+ROUNDS = 3
+#: A shingle's bits: entries of single shingles are its hash, those of pairs are negative.
+BITS = 48
+#: Node numbers up to which a side of a semi-join is broadcast, and frequent shingles (8 bytes each) up to which they are; beyond, joins shuffle.
+BROADCAST_ROWS, BROADCAST_SHINGLES = 2_000_000, 16_000_000
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -69,42 +70,36 @@ def _shingle_sets(texts: list[bytes | None], words: int = WORDS) -> Iterator[np.
             at += m
 
 
-def _pack(values: np.ndarray, width: int) -> bytes:
-    """Ascending integers below 2**(8 * width): differences, byte plane by byte plane, compressed."""
+def _pack(values: np.ndarray) -> bytes:
+    """Ascending numbers of BITS: differences, byte plane by byte plane, compressed."""
     steps = np.diff(values, prepend=values[:1] * 0)
-    return zstandard.ZstdCompressor(level=1).compress(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : BITS // 8].T.tobytes())
 
 
-def _unpack(data: bytes, width: int) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1)
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(BITS // 8, -1)
     steps = np.zeros((planes.shape[1], 8), np.uint8)
-    steps[:, :width] = planes.T
+    steps[:, : BITS // 8] = planes.T
     return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
 
 
-def _held(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Distinct counting keys of a block, ascending, the number of texts that hold each, and the texts' sets."""
-    sets = list(_shingle_sets(texts))
-    keys = np.concatenate([np.unique(s >> np.uint64(64 - COUNT_BITS)) for s in sets]) if sets else np.zeros(0, np.uint64)
-    return *np.unique(keys, return_counts=True), sets
+def _missing(n: int) -> int:
+    """Shingles of n that a similar set may lack."""
+    return n - -(-PERCENT * n // 100)
 
 
 def _size_class(n: int) -> int:
     return int(np.floor(np.log(n) / np.log(100 / PERCENT) + 1e-9))
 
 
-def _entries(held: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Index entries of a set of shingle hashes with their classes."""
+def _entries(held: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Index entries of an ascending set of shingle hashes, with what is frequent marked."""
     n = len(held)
-    missing = n - -(-PERCENT * n // 100)
-    order = np.lexsort((held, classes))
-    held, classes = held[order], classes[order]
-    rare = int(np.searchsorted(classes, FREQUENT))
-    singles = held[: min(rare, missing + 1)]
-    found = [singles[classes[: len(singles)] > 0]]
-    short = missing + 1 - rare
+    missing = _missing(n)
+    rare, rest = held[~frequent], held[frequent]
+    found = [rare[: missing + 1]]
+    short = missing + 1 - len(rare)
     if short > 0:
-        rest = held[rare:]
         for z in {_size_class(n), _size_class(n) + 1}:
             groups = int((100 / PERCENT) ** z / GROUP) + 1
             of = (mix(rest + np.uint64(z)) % np.uint64(groups)).astype(np.int64)
@@ -115,62 +110,144 @@ def _entries(held: np.ndarray, classes: np.ndarray) -> np.ndarray:
             last = int(np.searchsorted(np.cumsum(sizes - 1), short)) + 1
             for a, m in zip(begins[:last], sizes[:last], strict=True):
                 i, j = np.triu_indices(m, 1)
-                found.append(mix(values[a : a + m][i] * _MULTIPLIERS[0] + values[a : a + m][j] * _MULTIPLIERS[1] + np.uint64(z)))
+                found.append(mix(values[a : a + m][i] * _MULTIPLIERS[0] + values[a : a + m][j] * _MULTIPLIERS[1] + np.uint64(z)) | np.uint64(1 << 63))
     return np.unique(np.concatenate(found))
 
 
-def index(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles long, set_hash binary, entries array<long>, and the text where there are entries, for each row of documents (doc_id, text)."""
-    spark = documents.sparkSession
-    rows, chars = documents.agg(F.count("*"), F.sum(F.length("text"))).first()
-    slices = max(partitions(spark), (chars or 0) // SLICE_CHARS)
-    blocks = max(4 * partitions(spark), rows // BLOCK_ROWS)
-    block = F.pmod(F.xxhash64(F.lit(3), "doc_id", F.substring("text", 1, 64), F.length("text")), F.lit(blocks))
-    dealt = documents.select("doc_id", "text", block.alias("block"))
-    bounds = np.array([(s << COUNT_BITS) // slices for s in range(slices + 1)], np.uint64)
-    width = COUNT_BITS // 8
-
-    def ask(part: pa.Table) -> pa.Table:
-        keys, counts, _ = _held(binary(part["text"]))
-        cut = np.searchsorted(keys, bounds)
-        there = np.flatnonzero(cut[1:] > cut[:-1])
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        return pa.table({
-            "block": pa.array(np.full(len(there), part["block"][0].as_py() if len(there) else 0), pa.int64()),
-            "slice": pa.array(there, pa.int64()),
-            "keys": pa.array([_pack(keys[cut[s] : cut[s + 1]] - bounds[s], width) for s in there], pa.binary()),
-            "counts": pa.array([squeeze(counts[cut[s] : cut[s + 1]].astype("<u4").tobytes()) for s in there], pa.binary()),
-        })
-
-    def answer(part: pa.Table) -> pa.Table:
-        keys = [_unpack(x, width) for x in part["keys"].to_pylist()]
-        expand = zstandard.ZstdDecompressor().decompress
-        counts = np.concatenate([np.frombuffer(expand(x), "<u4") for x in part["counts"].to_pylist()])
-        ends = np.cumsum([len(k) for k in keys])
-        _, which = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(which, weights=counts)
-        classes = np.minimum(255, np.log2(total + 0.5).astype(np.uint8))[which]
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        return pa.table({"block": part["block"], "slice": part["slice"], "classes": pa.array([squeeze(x.tobytes()) for x in np.split(classes, ends[:-1])], pa.binary())})
-
-    def enter(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, _, sets = _held(binary(left["text"]))
-        expand = zstandard.ZstdDecompressor().decompress
-        told = b"".join(expand(right["classes"][i].as_py()) for i in np.argsort(right["slice"].to_numpy()))
-        classes = np.frombuffer(told, np.uint8)
-        found = [_entries(s, classes[np.searchsorted(keys, s >> np.uint64(64 - COUNT_BITS))]) if len(s) else s for s in sets]
-        return pa.table({
-            "doc_id": left["doc_id"],
-            "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-            "set_hash": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-            "entries": pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())),
-            "text": pa.compute.if_else(pa.array([len(x) > 0 for x in found], pa.bool_()), left["text"], pa.scalar(None, left["text"].type)),
-        })
-
-    asked = dealt.groupBy("block").applyInArrow(ask, "block long, slice long, keys binary, counts binary")
-    told = asked.groupBy("slice").applyInArrow(answer, "block long, slice long, classes binary")
+def _longs(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)))
+
+
+def shingled(documents: DataFrame) -> DataFrame:
+    """row (unique), doc_id, n, hash (of the set) and held (the set's hashes of BITS, ascending, packed) for each row; written."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = binary(batch["text"])
+            for a, b in chunks(texts):
+                sets = list(_shingle_sets(texts[a:b]))
+                yield pa.RecordBatch.from_arrays([
+                    batch["doc_id"].slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                    pa.array([_pack(s >> np.uint64(64 - BITS)) for s in sets], pa.binary()),
+                ], ["doc_id", "n", "hash", "held"])
+
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(enter, f"doc_id {id_type}, n_shingles long, set_hash binary, entries array<long>, text string")
+    sets = documents.select("doc_id", "text").mapInArrow(made, f"doc_id {id_type}, n long, hash binary, held binary")
+    return shared_table(sets.select(F.monotonically_increasing_id().alias("row"), "*"), "sets")
+
+
+def _with(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows (row, ...) of the nodes that are wanted (node), as node."""
+    few = wanted.count() <= BROADCAST_ROWS
+    return rows.withColumnRenamed("row", "node").join(F.broadcast(wanted) if few else wanted, "node", "left_semi")
+
+
+def _shared(posted: DataFrame) -> DataFrame:
+    """entry, node, n, c of the entries (entry, node, n) that c > 1 nodes have; written."""
+    counts = shared_table(posted.groupBy("entry").agg(F.count("*").alias("c")).where("c > 1"), "counts")
+    return shared_table(posted.join(counts, "entry"), "posted")
+
+
+def _tokens(sets: DataFrame) -> DataFrame:
+    """node, shingle for every shingle of sets (node, held)."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held = _unpack(batch["held"][i].as_py()).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), batch["node"][i].as_py())), pa.array(held)], ["node", "shingle"])
+
+    return sets.select("node", "held").mapInArrow(told, "node long, shingle long")
+
+
+def _counted(sets: DataFrame) -> DataFrame:
+    """shingle, c of sets (held); counted within batches first."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shingles, n = np.unique(np.concatenate([_unpack(x).view(np.int64) for x in batch["held"].to_pylist()]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(shingles), pa.array(n)], ["shingle", "c"])
+
+    return sets.select("held").mapInArrow(summed, "shingle long, c long").groupBy("shingle").agg(F.sum("c").alias("c"))
+
+
+def _entered(sets: DataFrame, often: np.ndarray) -> DataFrame:
+    """entry, node, n of sets (node, n, held), with these shingles as the frequent ones."""
+    sent = sets.sparkSession.sparkContext.broadcast(often)  # at most BROADCAST_SHINGLES
+
+    def entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = sent.value
+        for batch in batches:
+            made = []
+            for x in batch["held"].to_pylist():
+                held = _unpack(x)
+                at = np.minimum(np.searchsorted(often, held), max(0, len(often) - 1))
+                made.append(_entries(held, often[at] == held if len(often) else np.zeros(len(held), bool)))
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["n"], _longs(made)], ["node", "n", "entries"])
+
+    return sets.mapInArrow(entered, "node long, n long, entries array<long>").select(F.explode("entries").alias("entry"), "node", "n")
+
+
+def _entered_by_join(sets: DataFrame, often: DataFrame) -> DataFrame:
+    """The same where too many shingles are frequent to be sent."""
+    marked = _tokens(sets).join(often.withColumn("often", F.lit(True)), "shingle", "left")
+    by = marked.groupBy("node").agg(F.collect_list(F.struct("shingle", F.coalesce("often", F.lit(False)).alias("often"))).alias("held"))
+
+    def entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for x in batch["held"]:
+                held, often = (x.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                order = np.argsort(held)
+                made.append(_entries(held.view(np.uint64)[order], often[order]))
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array([len(x) for x in batch["held"]], pa.int64()), _longs(made)], ["node", "n", "entries"])
+
+    return by.mapInArrow(entered, "node long, n long, entries array<long>").select(F.explode("entries").alias("entry"), "node", "n")
+
+
+def _numbers(shingles: DataFrame) -> np.ndarray:
+    return np.sort(shingles.toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))
+
+
+def candidates(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """entry, node, n: what brings the nodes (node) of sets (row, n, held) together."""
+    active, often, found = nodes, np.zeros(0, np.uint64), []
+    for _ in range(ROUNDS):
+        met = _shared(_entered(_with(sets.select("row", "n", "held"), active), often))
+        hot = (F.col("entry") >= 0) & (F.col("c") >= 1 << FREQUENT)
+        found.append(met.where(~hot))
+        fresh = shared_table(met.where(hot).select(F.col("entry").alias("shingle")).distinct(), "frequent")
+        new = fresh.count()
+        if not new:
+            break
+        active = shared_table(met.where(hot).select("node").distinct(), "active")
+        if len(often) + new > BROADCAST_SHINGLES:
+            often = None
+            break
+        often = np.union1d(often, _numbers(fresh))
+    if often is None or new:
+        whole = _with(sets.select("row", "n", "held"), active)
+        frequent = shared_table(_counted(whole).where(F.col("c") >= 1 << FREQUENT).select("shingle"), "frequent")
+        few = frequent.count() <= BROADCAST_SHINGLES
+        found.append(_shared(_entered(whole, _numbers(frequent)) if few else _entered_by_join(whole, frequent)))
+    posted = found[0]
+    for x in found[1:]:
+        posted = posted.unionByName(x)
+    return posted.select("entry", "node", "n")
+
+
+def _clusters(posted: DataFrame) -> DataFrame:
+    """node, component: nodes that entries connect. Between nodes of an entry whose sizes rule a link out there is no connection.
+
+    A node stands at its size class and the next one; similar ones are at most one class apart, so they meet.
+    """
+    z = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT)) + 1e-9).cast("int")
+    placed = posted.select("entry", "node", F.explode(F.array(z, z + 1)).alias("z"))
+    first = shared_table(placed.groupBy("entry", "z").agg(F.min("node").alias("first"), F.count("*").alias("sets")).where("sets > 1").drop("sets"), "first")
+    edges = placed.join(first, ["entry", "z"]).where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    return components(edges)
 
 
 def _similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,35 +270,24 @@ def _similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tup
     return left[i], right[j]
 
 
-def _clusters(posted: DataFrame) -> DataFrame:
-    """node, component: documents that entries connect. Between documents of an entry whose sizes rule a link out there is no connection.
-
-    A document stands at its size class and the next one; similar documents are at most one class apart, so they meet.
-    """
-    z = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT)) + 1e-9).cast("int")
-    placed = posted.select("entry", "doc", F.explode(F.array(z, z + 1)).alias("z"))
-    first = placed.groupBy("entry", "z").agg(F.min("doc").alias("first"), F.count("*").alias("sets")).where("sets > 1").drop("sets")
-    edges = placed.join(first, ["entry", "z"]).where("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b"))
-    return components(edges)
-
-
-def _links(documents: DataFrame, clusters: DataFrame) -> DataFrame:
-    """a, b: spanning links of the similar pairs within clusters (node, component). Each document meets each part of its cluster once."""
+def _links(sets: DataFrame, clusters: DataFrame) -> DataFrame:
+    """a, b: spanning links of the similar pairs within clusters (node, component). Each node meets each part of its cluster once."""
     clusters = shared_table(clusters, "clusters")
-    lumps = max(1, clusters.count() // LUMP)
-    sized = clusters.groupBy("component").agg(F.count("*").alias("m")).withColumn("parts", F.ceil(F.col("m") / TILE).cast("int"))
-    dealt = clusters.join(sized, "component").select(
-        F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "parts",
+    held = shared_table(_with(sets.select("row", "n", "held"), clusters.select("node")), "held")
+    sized = clusters.join(held.select("node", "n"), "node").groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    sized = shared_table(sized.withColumn("parts", F.ceil(F.greatest(F.col("m") / TILE, F.col("n") / TILE_SHINGLES)).cast("int")), "sized")
+    lumps = max(1, (sized.agg(F.sum("n")).first()[0] or 0) // LUMP)
+    dealt = clusters.join(sized.drop("n"), "component").select(
+        "node", F.col("component").alias("cluster"), "parts",
         F.pmod(F.xxhash64(F.lit(17), "node"), F.col("parts")).cast("int").alias("part"),
         F.when(F.col("parts") == 1, F.pmod(F.xxhash64("component"), F.lit(lumps))).otherwise(-1).alias("lump"), F.when(F.col("parts") > 1, F.col("component")).alias("own"),
     )
-    held = documents.select("doc_id", "text").join(dealt, "doc_id")
-    tiles = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("lump", "own", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "cluster", "doc_id", "text")
-    id_type = documents.schema["doc_id"].dataType.simpleString()
+    met = held.select("node", "held").join(dealt, "node")
+    tiles = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("lump", "own", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "cluster", "node", "held")
 
     def compare(part: pa.Table) -> pa.Table:
         part = part.sort_by("cluster").combine_chunks()
-        ids, sets = part["doc_id"], list(_shingle_sets(binary(part["text"])))
+        nodes, sets = part["node"], [_unpack(x) for x in part["held"].to_pylist()]
         cluster, side = part["cluster"].to_numpy(), part["part"].to_numpy()
         p, q = part["p"][0].as_py(), part["q"][0].as_py()
         found: list[np.ndarray] = []
@@ -236,22 +302,23 @@ def _links(documents: DataFrame, clusters: DataFrame) -> DataFrame:
                     keep = spanning(b - a, i, j)
                     found.append(np.stack([i[keep] + a, j[keep] + a]))
         i, j = np.concatenate(found, axis=1) if found else np.zeros((2, 0), int)
-        return pa.table({"a": ids.take(pa.array(i, pa.int64())), "b": ids.take(pa.array(j, pa.int64()))})
+        return pa.table({"a": nodes.take(pa.array(i, pa.int64())), "b": nodes.take(pa.array(j, pa.int64()))})
 
-    return tiles.groupBy("lump", "own", "p", "q").applyInArrow(compare, f"a {id_type}, b {id_type}")
+    return tiles.groupBy("lump", "own", "p", "q").applyInArrow(compare, "a long, b long")
 
 
 def similar_groups(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of documents (doc_id, text)."""
-    table = shared_table(index(documents), "index")
-    known = table.where(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
-    # equal sets have equal entries: one row for each entry and set, standing for the smallest doc_id of the set
-    posted = known.select(F.explode("entries").alias("entry"), "set_hash", "doc_id", "n_shingles").groupBy("entry", "set_hash").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"))
-    texts = known.where(F.col("text").isNotNull())
-    part = components(_links(texts, _clusters(posted.select("entry", "doc", "n"))))
-
-    reps = known.groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
-    whole = reps.join(part, reps["rep"] == part["node"], "left").select("set_hash", F.coalesce("component", "rep").alias("component_id"))
-    named = known.select("doc_id", "n_shingles", "set_hash").join(whole, "set_hash").select("doc_id", "n_shingles", "component_id")
-    alone = table.where(F.col("set_hash").isNull() | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return named.union(alone)
+    sets = shingled(documents)
+    known = sets.where(F.col("hash").isNotNull() & F.col("doc_id").isNotNull())
+    # a node is the first row of those with a set
+    nodes = shared_table(known.groupBy("hash").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep")), "reps")
+    part = components(_links(sets, _clusters(candidates(sets, nodes.select("node")))))
+
+    named = nodes.join(part, "node", "left").select("hash", "rep", F.coalesce("component", "node").alias("component"))
+    named = shared_table(named, "named")
+    least = shared_table(named.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
+    whole = shared_table(named.join(least, "component").select("hash", "component_id"), "whole")
+    every = known.select("doc_id", "n", "hash").join(whole, "hash").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = sets.where(F.col("hash").isNull() | F.col("doc_id").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return every.union(alone)
