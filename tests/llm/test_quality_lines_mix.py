@@ -2,12 +2,14 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidewater.llm import line_dedup, mixing, quality, queries
@@ -94,6 +96,51 @@ def test_quality_with_odd_rows(spark):
     assert quality.score_documents(docs.limit(0), none, to="s").count() == 0
 
 
+def brute_scores(train, texts, epochs):
+    """A plain loop of follow-the-regularised-leader over dictionaries; train: lists of (text, label), one for each shard."""
+    top = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & top
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & top
+        return x ^ (x >> 31)
+
+    def features(text):
+        tokens = [xxhash.xxh64_intdigest(t) for w in (text or "").encode().lower().split() for t in re.findall(rb"[\w\x80-\xff]+|[^\w\s\x80-\xff]+", w)]
+        pairs = [0xD1B54A32D192ED03 if a == b else (a * 0x9E3779B97F4A7C15 + b) & top for a, b in zip(tokens, tokens[1:], strict=False)]
+        n = Counter(mixed(x) >> 44 for x in (*tokens, *pairs))
+        return {k: c / math.sqrt(max(1, len(tokens))) for k, c in n.items()}
+
+    def weight(z, n):
+        return 0.0 if abs(z) <= quality.L1 else -(z - math.copysign(quality.L1, z)) / ((quality.BETA + math.sqrt(n)) / quality.ALPHA + quality.L2)
+
+    total = Counter()
+    for rows in train:
+        z, n = Counter(), Counter()
+        for _ in range(epochs):
+            for text, label in rows:
+                x = features(text) | {"bias": 1.0}
+                w = {k: weight(z[k], n[k]) for k in x}
+                p = 1 / (1 + math.exp(-sum(w[k] * v for k, v in x.items())))
+                for k, v in x.items():
+                    g = (p - label) * v
+                    z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / quality.ALPHA * w[k]
+                    n[k] += g * g
+        for k in z:
+            total[k] += weight(z[k], n[k]) / len(train)
+    return [1 / (1 + math.exp(-sum(total[k] * v for k, v in (features(t) | {"bias": 1.0}).items()))) for t in texts]
+
+
+def test_quality_equals_a_plain_loop(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.join(labels, "doc_id").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    rows = rows.select("text", "quality", F.pmod(F.xxhash64("doc_id"), F.lit(quality.SHARDS)).alias("s"), F.xxhash64(F.lit(7), "doc_id").alias("o")).orderBy("s", "o").collect()
+    train = [[(r.text, r.quality) for r in rows if r.s == k] for k in range(quality.SHARDS)]
+    got = quality.score_documents(docs, quality.fit(docs, labels)).orderBy("doc_id").limit(60).collect()
+    want = brute_scores(train, [r.text for r in got], quality.EPOCHS)
+    assert max(abs(r.score - w) for r, w in zip(got, want, strict=True)) < 1e-5
+
+
 def brute_targets(sizes, weights=(5.0, 2.0, 1.0), most=3.0):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: weights[i % 3] for i, s in enumerate(names)}

@@ -21,6 +21,22 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
+OP2_SQL = """
+with recursive given as (select vec_id, label, embedding::double[] as v from embeddings),
+fit as (
+  select * from given where label is not null and v is not null and len(v) > 0
+  and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from fit a join fit b on a.label = b.label and a.vec_id <> b.vec_id
+  where len(a.v) = len(b.v) and list_cosine_similarity(a.v, b.v) >= 0.98),
+reached as (select vec_id, vec_id as root from given union select l.b, r.root from reached r join links l on l.a = r.vec_id),
+roots as (select vec_id, min(root) as component_id from reached group by vec_id),
+counts as (select a, count(*) as n from links group by a)
+select g.vec_id, coalesce(c.n, 0) as n_links, r.component_id, g.vec_id = r.component_id as kept
+from given g join roots r using (vec_id) left join counts c on c.a = g.vec_id
+"""
+
+
 def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -83,6 +99,24 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+OP7_SQL = r"""
+with recursive split as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words
+  from documents),
+sets as (
+  select doc_id, list_distinct(case when len(words) >= 5 then list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
+    when len(words) > 0 then [array_to_string(words, ' ')] else [] end) as held
+  from split),
+shingles as (select doc_id, len(held) as n, unnest(list_transform(held, lambda x: hash(x))) as shingle from sets),
+shared as (
+  select x.doc_id as a, y.doc_id as b, x.n as n, y.n as m, count(*) as common
+  from shingles x join shingles y on x.shingle = y.shingle and x.doc_id <> y.doc_id and 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n) group by all),
+links as (select a, b from shared where 100 * common >= 80 * (n + m - common)),
+reached as (select doc_id, doc_id as root from sets union select l.b, r.root from reached r join links l on l.a = r.doc_id)
+select doc_id, (select len(held) from sets s where s.doc_id = reached.doc_id) as n_shingles, min(root) as component_id from reached group by doc_id
+"""
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.drop_lines(docs)
@@ -116,4 +150,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_embedding_dedup": op2_embedding_dedup, "op3_pitman_yor": op3_pitman_yor, "op4_token_counts": op4_token_counts, "op5_url_lists": op5_url_lists, "op6_mixing": op6_mixing, "op7_ngram_join": op7_ngram_join, "op8_line_dedup": op8_line_dedup, "op9_sentencepieces": op9_sentencepieces, "op10_quality": op10_quality}
-ORACLE_SQL = {"op5_url_lists": OP5_SQL, "op8_line_dedup": OP8_SQL}
+ORACLE_SQL = {"op2_embedding_dedup": OP2_SQL, "op7_ngram_join": OP7_SQL, "op5_url_lists": OP5_SQL, "op8_line_dedup": OP8_SQL}
