@@ -2,7 +2,7 @@
 
 Every word is a context with a restaurant of its own, whose customers are the words that followed it in training; all of these share one
 parent restaurant, whose customers are their tables, and whose parent is uniform over the training vocabulary and one unknown word.
-Seating is sampled by Gibbs sweeps: all customers of a dish leave a restaurant and sit down again one after the other (large counts in runs), given
+Seating is sampled by Gibbs sweeps: all customers of a dish leave a restaurant and sit down again one after the other, given
 the others' tables; sweeps over the contexts, with corpus-wide word shares as prior, yield the parent's customers, sweeps over the parent its tables, and
 more sweeps over the contexts the predictive probabilities, which are averaged over the samples.
 
@@ -41,8 +41,6 @@ GROUP_CHARS, BATCH_WORDS = 14_000_000, 1_000_000
 #: A word's bits. Shares of a group's tokens from which a context is spread.
 BITS, HOT = 56, 0.25
 SEED = 11
-#: Customers that sit down one by one; beyond, a sixteenth of those seated sit down at once.
-SINGLY = 64
 
 MASK = np.uint64((1 << BITS) - 1)
 END = np.uint64(xxhash.xxh64_intdigest(b"\n") & ((1 << BITS) - 1))
@@ -93,21 +91,23 @@ def _batches(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
 
 
 def seat(customers: np.ndarray, prior: np.ndarray, other: np.ndarray, discount: float, strength: float, draw: np.random.Generator) -> np.ndarray:
-    """Tables after all customers of each dish sat down again. other: tables of the restaurant's other dishes."""
+    """Tables after all customers of each dish sat down again, one after the other. other: tables of the restaurant's other dishes.
+
+    With s customers at t tables the next one opens a table with probability a / (a + s - d t), a = (strength + d (other + t)) prior, and s grows by one until
+    someone does. So the number of arrivals up to that one is geometric with a chance from Beta(a, s - d t), and a dish takes as many draws as it has tables.
+    """
     tables = np.minimum(customers, 1).astype(np.int64)
-    open_, seated = np.flatnonzero(customers > 1), 1
+    seated = tables.astype(np.float64)
+    open_ = np.flatnonzero(customers > 1)
     while len(open_):
-        t = tables[open_]
+        t, s = tables[open_], seated[open_]
         new = (strength + discount * (other[open_] + t)) * prior[open_]
-        chance = new / (new + np.maximum(seated - discount * t, 1e-12))
-        if seated < SINGLY:
-            tables[open_] = t + (draw.random(len(open_)) < chance)
-            seated += 1
-        else:
-            many = seated // 16
-            tables[open_] = t + draw.binomial(np.minimum(many, customers[open_] - seated), np.minimum(1.0, chance))
-            seated += many
-        open_ = open_[customers[open_] > seated]
+        chance = draw.beta(np.maximum(new, 1e-12), s - discount * t)
+        last = s + draw.geometric(np.clip(chance, 1e-15, 1.0))
+        more = last <= customers[open_]
+        open_, last = open_[more], last[more]
+        tables[open_] += 1
+        seated[open_] = last
     return tables
 
 
@@ -301,7 +301,7 @@ def score(documents: DataFrame) -> DataFrame:
         own = total / SAMPLES
         sums = [int(counts.sum()), int(types), int(customers.sum()), int(round(own.sum() * 1000))]
         hots = [_squeeze(np.sum([_expand(x, "<i8") for x in part[c].to_pylist()], axis=0).astype("<i8").tobytes()) for c in ("hot_n", "hot_m")]
-        return _table(answer_schema, [(g, q, c, _squeeze(customers[r].astype("<i8").tobytes()), _squeeze(own[r].astype("<f4").tobytes()), *hots, *sums) for g, c, r in zip(part["g"].to_pylist(), part["counts"].to_pylist(), ranks, strict=True)])
+        return _table(answer_schema, [(g, q, c, _squeeze(customers[r].astype("<i8").tobytes()), _squeeze(own[r].astype("<f8").tobytes()), *hots, *sums) for g, c, r in zip(part["g"].to_pylist(), part["counts"].to_pylist(), ranks, strict=True)])
 
     sample_schema = "g long, q long, tables binary, counts binary, prior binary, hot_n binary, hot_m binary, tokens long, types long"
 
@@ -314,7 +314,7 @@ def score(documents: DataFrame) -> DataFrame:
         right = right.sort_by("q")
         n, v, t, t1 = (sum(right[c].to_pylist()) for c in ("tokens", "types", "parents", "grand"))
         t1 /= 1000
-        counts, customers, own = (_joined(right, c, kind) for c, kind in (("counts", "<i8"), ("tables", "<i8"), ("own", "<f4")))
+        counts, customers, own = (_joined(right, c, kind) for c, kind in (("counts", "<i8"), ("tables", "<i8"), ("own", "<f8")))
         unseen = (PARENT_STRENGTH + PARENT_DISCOUNT * t1) / (v + 1)
         prior = np.full(len(group.words), unseen / (PARENT_STRENGTH + t))
         prior[group.asked] = (np.maximum(0, customers - PARENT_DISCOUNT * own.astype(np.float64)) + unseen) / (PARENT_STRENGTH + t)
@@ -325,7 +325,7 @@ def score(documents: DataFrame) -> DataFrame:
             if turn >= BURN:
                 summed += tables
         hot_m = of_hot(group, group.of_context(summed)).astype("<i8")
-        lead = (g, -1 - g, _planes(summed, 4), _squeeze(counts.tobytes()), _squeeze(prior[group.asked].astype("<f4").tobytes()), _squeeze(_joined(right, "hot_n", "<i8").tobytes()), None, n, v)
+        lead = (g, -1 - g, _planes(summed, 4), _squeeze(counts.tobytes()), _squeeze(prior[group.asked].astype("<f8").tobytes()), _squeeze(_joined(right, "hot_n", "<i8").tobytes()), None, n, v)
         return _table(sample_schema, [lead, *((g, int(q), None, None, None, None, _squeeze(hot_m[hot_cut[q] : hot_cut[q + 1]].tobytes()), None, None) for q in hot_slices)])
 
     def add(part: pa.Table) -> pa.Table:
@@ -352,7 +352,7 @@ def score(documents: DataFrame) -> DataFrame:
         hot_m = _joined(right.filter(pa.compute.greater_equal(right["q"], 0)).sort_by("q"), "hot_m", "<i8")
         n, v, counts = lead["tokens"], lead["types"], _expand(lead["counts"], "<i8")
         prior = np.zeros(len(group.words))
-        prior[group.asked] = _expand(lead["prior"], "<f4")
+        prior[group.asked] = _expand(lead["prior"], "<f8")
         base = np.zeros(len(group.words))
         base[group.asked] = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
         known = np.zeros(len(group.words), bool)
@@ -373,7 +373,7 @@ def score(documents: DataFrame) -> DataFrame:
         for k, (a, b) in enumerate(zip(group.base[:-1], group.base[1:], strict=True)):
             there = np.flatnonzero(sums_of["n"][a:b])
             cut = {c: x[a:b][there] for c, x in sums_of.items()}
-            made.append((_planes(np.diff(there, prepend=0), 4), *(_planes(np.ascontiguousarray(cut[c].astype("<f4")).view("<u4"), 4) for c in ("base", "score")), *(_planes(cut[c].astype(np.int64), 4) for c in ("known", "n"))))
+            made.append((_planes(np.diff(there, prepend=0), 4), *(_squeeze(cut[c].astype("<f8").tobytes()) for c in ("base", "score")), *(_planes(cut[c].astype(np.int64), 4) for c in ("known", "n"))))
         docs, bases, scores, knowns, ns = zip(*made, strict=True)
         flags = [x if i is not None else None for x, i in zip(left["train"].to_pylist(), left["ids"].to_pylist(), strict=True)]
         values = [left["batch"], pa.array([n] * len(made), pa.int64()), left["ids"], pa.array(flags, pa.binary()), *(pa.array(x, pa.binary()) for x in (docs, bases, scores, knowns, ns))]
@@ -389,7 +389,7 @@ def score(documents: DataFrame) -> DataFrame:
         for p in part:
             at = np.cumsum(_unplanes(p["docs"], 4)).astype(np.int64)
             for c in ("base", "score"):
-                out[c][at] += _unplanes(p[c], 4).astype("<u4").view("<f4")
+                out[c][at] += _expand(p[c], "<f8")
             for c in ("known", "n"):
                 out[c][at] += _unplanes(p[c], 4)
         return pa.table({
