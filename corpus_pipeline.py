@@ -10,27 +10,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import line_dedup, mixing, ngram_join, quality, sentencepieces
-from tidewater.llm.common import shared_table
+from tidewater.llm.common import free, shared_table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go. The classifier learns from the labelled ones among docs."""
     weights = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.score_documents(docs, weights, to="_score")
-    return scored.where(quality.predicted(F.col("_score")) == 1).select(*docs.columns)
+    (score,) = free(docs.columns, "score")
+    scored = quality.score_documents(docs, weights, to=score)
+    return scored.where(quality.predicted(F.col(score)) == 1).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share go, and n_chars follows the text."""
-    kept = line_dedup.drop_lines(docs)
+    lines, dropped = free(docs.columns, "lines", "dropped")
+    kept = line_dedup.drop_lines(docs, lines=lines, dropped=dropped)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest doc_id stays; a document without doc_id stays."""
-    groups = ngram_join.similar_groups(docs.select("doc_id", "text"))
-    gone = groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of similar documents one row stays, the one with the smallest doc_id.
+
+    Rows are judged by doc_id and text: rows that share a doc_id with different texts stay or go by their own. Of rows that repeat both one stays. Rows without
+    a doc_id take part, and stay only where no other of their group has one. Rows with an empty set of shingles are in no group and all stay.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    (by,) = free(docs.columns, "key")
+    groups = shared_table(ngram_join.similar_groups(docs.select(key.alias("doc_id"), "text")), "groups")
+    gone = shared_table(groups.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias(by)).distinct(), "gone")
+    again = groups.where("n_shingles > 0 and component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(by))
+    again = shared_table(again, "again")
+    sized = lambda keys: F.broadcast(keys) if keys.count() <= ngram_join.BROADCAST_ROWS else keys
+    left = docs.withColumn(by, key).join(sized(gone), by, "left_anti")
+    if again.head(1):
+        left = left.join(sized(again), by, "left_anti").unionByName(left.join(sized(again), by, "left_semi").dropDuplicates([by]))
+    return left.select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,14 +6,14 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from tidewater.functions.greeting import DEFAULT
+from tidewater.functions.greeting import DEFAULT, DESCRIPTION, NAME_HELP
 from tidewater.operators import greeted
 from tidewater.sources import one_name
 
 
 def arguments(given: list[str] | None = None) -> argparse.Namespace:
-    parser = argparse.ArgumentParser(prog="tidewater", description="A simple greeter.")
-    parser.add_argument("--name", default=DEFAULT, help="Name to greet")
+    parser = argparse.ArgumentParser(prog="tidewater", description=DESCRIPTION)
+    parser.add_argument("--name", default=DEFAULT, help=NAME_HELP)
     return parser.parse_args(given)
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: The greeting's parts and the name that is greeted when none is given.
 BEFORE, AFTER, DEFAULT = "Hello, ", "!", "World"
+#: The launcher's description, and the help text of its option.
+DESCRIPTION, NAME_HELP = "A simple greeter.", "Name to greet"
 
 
 def greet(name: Column) -> Column:
