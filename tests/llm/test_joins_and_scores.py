@@ -43,6 +43,19 @@ def test_components(spark, monkeypatch, seed, chunk):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "links",
+    [[], [(3, 3)], [(1, 2), (2, 1)], [(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 90)], [(500, i) for i in range(90)]],
+    ids=["none", "loop", "twice", "chain", "star", "star around the largest"],
+)
+def test_components_of_shapes(spark, links):
+    found = components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()
+    linked = [x for x in links if x[0] != x[1]]
+    whole = groups({v for x in linked for v in x}, linked)
+    assert {r["node"]: r["component"] for r in found} == whole
+    assert len(found) == len(whole)
+
+
 def test_spanning():
     i, j = np.array([0, 1, 2, 4, 3]), np.array([1, 2, 0, 5, 3])
     assert spanning(6, i, j).tolist() == [0, 1, 3]

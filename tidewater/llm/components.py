@@ -80,15 +80,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         return written(links.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), name)
 
     now, path = written(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).cast("long").alias("a"), F.least(a, b).cast("long").alias("b")).distinct().mapInArrow(contracted, "a long, b long"), "links")
-    before = None
     while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
+        low, at = least(now, "least")
+        links = now.count()
+        # a forest of stars: every node has one smaller neighbour, and none of these has one itself
+        if low.count() == links and not now.join(low, now["b"] == low["u"], "left_semi").head(1):
+            remove(spark, at)
             break
-        before, old = state, [path]
+        old = [path, at]
         # large star: what is linked to a node from above moves to that node's smallest neighbour, if it has a smaller one
-        low, at = least(now, "least")
-        old.append(at)
         now, path = written(now.join(low, now["b"] == low["u"], "left").select("a", F.coalesce("m", "b").alias("b")).distinct(), "links")
         old.append(path)
         # small star: a node and its smaller neighbours move to the smallest of them
