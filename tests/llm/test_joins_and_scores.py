@@ -281,7 +281,7 @@ def test_seating_is_that_of_single_customers(customers, times):
     discount, strength, prior, other = 0.8, 2.0, 0.03, 50
     draw = np.random.default_rng(4)
     args = [np.full(times, x) for x in (customers, prior, other)]
-    got = pitman_yor.seat(args[0], args[1], args[2], discount, strength, draw)
+    got = pitman_yor.seat(args[0], args[1], args[2], discount, strength, pitman_yor._keys(np.arange(times)))
     want = np.ones(times)
     for s in range(1, customers):
         new = (strength + discount * (other + want)) * prior
@@ -292,6 +292,28 @@ def test_seating_is_that_of_single_customers(customers, times):
     assert got.min() >= 1 and got.max() <= customers
 
 
+def test_seating_is_the_same_dish_by_dish(monkeypatch):
+    """Long dishes sit down customer by customer in arrays of their own, with the same result."""
+    draw = np.random.default_rng(2)
+    customers = draw.integers(0, 900, 300)
+    args = (customers, draw.random(300) / 10, draw.integers(0, 400, 300), 0.8, 2.0, pitman_yor._keys(np.arange(300), 7))
+    want = pitman_yor.seat(*args)
+    monkeypatch.setattr(pitman_yor, "LONG", 10)
+    assert (pitman_yor.seat(*args) == want).all() and (want[customers == 0] == 0).all()
+    backward = [x[::-1] if isinstance(x, np.ndarray) else x for x in args]
+    assert (pitman_yor.seat(*backward)[::-1] == want).all()
+
+
+def test_scores_do_not_depend_on_groups_or_partitions(spark, monkeypatch):
+    documents = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    want = {r.doc_id: r.score for r in pitman_yor.score(documents).collect()}
+    monkeypatch.setattr(pitman_yor, "partitions", lambda spark: 11)
+    monkeypatch.setattr(pitman_yor, "BATCH_WORDS", 3000)
+    monkeypatch.setattr(pitman_yor, "HOT", 0.05)
+    got = {r.doc_id: r.score for r in pitman_yor.score(documents.repartition(5)).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+
+
 def test_hot_words_of_long_and_short_documents(spark):
     """Batches of long documents count too, though ends are rare in them: a third of all tokens is found, and what is frequent in the short documents alone is not."""
     long = [(i, " ".join(w for k in range(100) for w in ("the", f"a{i}x{k}", f"b{i}x{k}"))) for i in range(60)]
@@ -305,9 +327,10 @@ def test_hot_words_of_long_and_short_documents(spark):
 
 def test_word_totals_beyond_32_bits():
     words = pitman_yor._planes(np.array([5, 2], np.uint64), 7)
-    asked = [(g, 0, words, pitman_yor._squeeze(np.array([3_000_000_000, 7], "<u4").tobytes())) for g in (0, 1)]
-    got = pitman_yor.count_slice(pitman_yor._table("g long, q long, words binary, counts binary", asked)).to_pylist()
-    assert [(r["tokens"], r["types"], pitman_yor._expand(r["counts"], "<i8").tolist()) for r in got] == [(6_000_000_014, 2, [6_000_000_000, 14])] * 2
+    none = pitman_yor._ints(np.zeros(0))
+    asked = [(g, 0, words, pitman_yor._ints(np.array([3_000_000_000, 7])), none, none) for g in (0, 1)]
+    got = pitman_yor.count_slice(pitman_yor._table(pitman_yor.FIRST, asked)).to_pylist()
+    assert [(r["tokens"], r["types"], pitman_yor._from_ints(r["customers"]).tolist()) for r in got] == [(6_000_000_014, 2, [6_000_000_000, 14])] * 2
 
 
 def test_hot_and_ordinary_contexts_sum_to_one(spark, monkeypatch):

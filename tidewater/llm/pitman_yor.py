@@ -2,12 +2,14 @@
 
 Every word is a context with a restaurant of its own, whose customers are the words that followed it in training; all of these share one
 parent restaurant, whose customers are their tables, and whose parent is uniform over the training vocabulary and one unknown word.
-Seating is sampled by Gibbs sweeps: all customers of a dish leave a restaurant and sit down again one after the other, given
-the others' tables; sweeps over the contexts, with corpus-wide word shares as prior, yield the parent's customers, sweeps over the parent its tables, and
-more sweeps over the contexts the predictive probabilities, which are averaged over the samples.
+Seating is sampled by Gibbs sweeps that alternate over the hierarchy: in each round all customers of a dish leave their context's restaurant and sit
+down again one after the other, given the others' tables of the round before and the parent's probabilities; the tables become the parent's customers, who sit down
+again in turn. The first round starts from one table for each dish and corpus-wide word shares; BURN rounds later every round is a sample, and
+the predictive probabilities are averaged over the samples, each with its own tables of contexts and parent.
 
 The tokens of a batch of documents are packed by context; a group of contexts is one task's arrays. Contexts that hold a large share of all tokens are
-spread by pair instead, with their totals summed apart (the first seating's steer the sampling, the samples' own enter the probabilities), so no task grows with one word. Words go to the tasks that need them by request and answer,
+spread by pair, and their tables are summed over the groups after every round, so no task grows with one word and they are sampled like any other. Random numbers are hashes of
+(context, word, round, customer), so seating does not depend on groups, batches or partitions. Words go to the tasks that need them by request and answer,
 and probabilities return to the documents as sums for each batch.
 
 Cases: a null or empty text is one end token; the end also stands before a text's first word; rows score apart even if they repeat or lack a doc_id (which
@@ -34,8 +36,10 @@ FOLDS = 10
 #: Discount and strength of the context restaurants, and of their parent.
 DISCOUNT, STRENGTH = 0.8, 2.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.7, 10.0
-#: Sweeps before samples are taken, and samples.
-BURN, SAMPLES = 2, 3
+#: Rounds before samples are taken, and samples.
+BURN, SAMPLES = 1, 3
+#: Customers of a dish who are looked at one by one along with those of all other dishes; those after them are looked at dish by dish.
+LONG = 256
 #: Characters of text for each group of contexts, about; words of a batch.
 GROUP_CHARS, BATCH_WORDS = 14_000_000, 1_000_000
 #: A word's bits. Shares of a group's tokens from which a context is spread.
@@ -90,24 +94,45 @@ def _batches(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
                 start, held = i + 1, 0
 
 
-def seat(customers: np.ndarray, prior: np.ndarray, other: np.ndarray, discount: float, strength: float, draw: np.random.Generator) -> np.ndarray:
-    """Tables after all customers of each dish sat down again, one after the other. other: tables of the restaurant's other dishes.
+def _uniform(key: np.ndarray, arrival: np.ndarray | int) -> np.ndarray:
+    """Numbers in [0, 1) from keys and the customers' places."""
+    place = np.asarray(arrival).astype(np.uint64).reshape(-1) * np.uint64(0x9E3779B97F4A7C15)
+    return (mix(key + place) >> np.uint64(11)) * 2.0**-53
 
-    With s customers at t tables the next one opens a table with probability a / (a + s - d t), a = (strength + d (other + t)) prior, and s grows by one until
-    someone does. So the number of arrivals up to that one is geometric with a chance from Beta(a, s - d t), and a dish takes as many draws as it has tables.
+
+def _keys(*parts: np.ndarray | int) -> np.ndarray:
+    """Keys from whole numbers (arrays and scalars)."""
+    out = np.zeros(1, np.uint64)
+    for x in parts:
+        out = mix(out * np.uint64(0xC2B2AE3D27D4EB4F) + np.asarray(x).astype(np.uint64) + np.uint64(SEED))
+    return out
+
+
+def seat(customers: np.ndarray, prior: np.ndarray, other: np.ndarray, discount: float, strength: float, key: np.ndarray) -> np.ndarray:
+    """Tables after all customers of each dish sat down again, one after the other. other: tables of the restaurant's other dishes; key: a number of each dish.
+
+    With s customers at t tables the next one opens a table with probability a / (a + s - d t), a = (strength + d (other + t)) prior.
+    The work is a few operations for each customer, in arrays over dishes or, for dishes of more than LONG customers, over customers.
     """
     tables = np.minimum(customers, 1).astype(np.int64)
-    seated = tables.astype(np.float64)
-    open_ = np.flatnonzero(customers > 1)
-    while len(open_):
-        t, s = tables[open_], seated[open_]
-        new = (strength + discount * (other[open_] + t)) * prior[open_]
-        chance = draw.beta(np.maximum(new, 1e-12), s - discount * t)
-        last = s + draw.geometric(np.clip(chance, 1e-15, 1.0))
-        more = last <= customers[open_]
-        open_, last = open_[more], last[more]
-        tables[open_] += 1
-        seated[open_] = last
+    order = np.flatnonzero(customers > 1)
+    order = order[np.argsort(-customers[order], kind="stable")]
+    many, p, o, k = customers[order], prior[order], other[order].astype(np.float64), key[order]
+    t = np.ones(len(order))
+    for s in range(1, min(LONG, int(many[0])) if len(many) else 0):
+        n = np.searchsorted(-many, -s)
+        new = (strength + discount * (o[:n] + t[:n])) * p[:n]
+        t[:n] += _uniform(k[:n], s) * (new + s - discount * t[:n]) < new
+    for i in range(np.searchsorted(-many, -LONG)):
+        s = LONG
+        while s < many[i]:
+            new = (strength + discount * (o[i] + t[i])) * p[i]
+            at = np.arange(s, min(int(many[i]), s + 16 + int(min(1 << 16, 2 * s / new))))
+            opens = _uniform(k[i : i + 1], at) * (new + at - discount * t[i]) < new
+            first = int(np.argmax(opens))
+            t[i] += opens[first]
+            s += first + 1 if opens[first] else len(at)
+    tables[order] = t.astype(np.int64)
     return tables
 
 
@@ -136,13 +161,12 @@ class Group:
         self.asked = np.flatnonzero(np.bincount(self.token, minlength=len(self.words)))  # words with an answer, ascending
 
     def of_context(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.pair_context, weights=weights, minlength=len(self.words))
+        return np.bincount(self.pair_context, weights=weights, minlength=len(self.words)).astype(np.int64)
 
-    def sweep(self, tables: np.ndarray, prior: np.ndarray, total: np.ndarray | None, scale: float, draw: np.random.Generator) -> np.ndarray:
-        """One sweep over all restaurants. total: tables of the hot contexts over all groups; without it they are `scale` times the group's."""
-        own = self.of_context(tables)
-        whole = np.where(self.is_hot, own * scale if total is None else total, own)
-        return seat(self.customers, prior[self.pair_word], np.maximum(0.0, whole[self.pair_context] - tables), DISCOUNT, STRENGTH, draw)
+    def sweep(self, tables: np.ndarray, prior: np.ndarray, total: np.ndarray, turn: int) -> np.ndarray:
+        """One sweep over all restaurants. total: tables of each context, over all groups."""
+        key = _keys(self.words[self.pair_context], self.words[self.pair_word], turn)
+        return seat(self.customers, prior[self.pair_word], total[self.pair_context] - tables, DISCOUNT, STRENGTH, key)
 
 
 def _hot_words(rows: DataFrame, groups: int) -> np.ndarray:
@@ -170,26 +194,115 @@ def _hot_words(rows: DataFrame, groups: int) -> np.ndarray:
 
 def _table(schema: str, rows: list[tuple]) -> pa.Table:
     names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
-    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary())}
     columns = zip(*rows, strict=True) if rows else [[]] * len(names)
     return pa.table({n: pa.array(c, kinds[t]) for n, t, c in zip(names, types, columns, strict=True)})
 
 
-def _joined(part: pa.Table, column: str, kind: str) -> np.ndarray:
-    return np.concatenate([_expand(x, kind) for x in part[column].to_pylist()])
+def _ints(values: np.ndarray) -> bytes:
+    return _planes(values.astype(np.int64), 8)
+
+
+def _from_ints(data: bytes) -> np.ndarray:
+    return _unplanes(data, 8).view(np.int64)
 
 
-TOLD = "g long, q long, ranks binary, counts binary, tokens long, types long"
+def _joined(part: pa.Table, column: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *map(_from_ints, part[column].to_pylist())])
+
+
+def _summed(part: pa.Table, column: str) -> bytes:
+    """The sum of a column's arrays, of one length."""
+    return _ints(np.sum([_from_ints(x) for x in part[column].to_pylist()], axis=0))
+
+
+#: What groups (g) tell slices of words (q), and what these answer; a group's own state travels along under a negative q.
+FIRST = "g long, q long, words binary, counts binary, hot_n binary, hot_m binary"
+TOLD = "g long, q long, ranks binary, tables binary, own binary, hot_m binary, start long, types long, grand long, state array<binary>"
+ANSWER = "g long, q long, ranks binary, customers binary, own binary, hot_n binary, hot_m binary, tokens long, types long, size long, parents long, grand long, state array<binary>"
 
 
 def count_slice(part: pa.Table) -> pa.Table:
-    """Corpus-wide training counts (64 bits, as all totals) of a slice's words, and the words' ranks in the slice."""
+    """Corpus-wide training counts (64 bits, as all totals) of a slice's words, the words' ranks in the slice, and customers and dishes of its hot contexts."""
     words = [np.cumsum(_unplanes(x, 7), dtype=np.uint64) for x in part["words"].to_pylist()]
-    _, which = np.unique(np.concatenate(words), return_inverse=True)
-    counts = np.bincount(which, weights=_joined(part, "counts", "<u4")).astype(np.int64)
+    found, which = np.unique(np.concatenate(words), return_inverse=True)
+    counts = np.bincount(which, weights=_joined(part, "counts")).astype(np.int64)
     ends = np.cumsum([len(w) for w in words])[:-1]
-    sums = int(counts.sum()), int((counts > 0).sum())
-    return _table(TOLD, [(g, q, _planes(np.diff(r, prepend=0), 4), _squeeze(counts[r].astype("<i8").tobytes()), *sums) for g, q, r in zip(part["g"].to_pylist(), part["q"].to_pylist(), np.split(which, ends), strict=True)])
+    same = None, _summed(part, "hot_n"), _summed(part, "hot_m"), int(counts.sum()), int((counts > 0).sum()), len(found), None, None, None
+    return _table(ANSWER, [(g, q, _planes(np.diff(r, prepend=0), 4), _ints(counts[r]), *same) for g, q, r in zip(part["g"].to_pylist(), part["q"].to_pylist(), np.split(which, ends), strict=True)])
+
+
+def seat_slice(part: pa.Table, turn: int) -> pa.Table:
+    """The parent's customers and tables for a slice's words, and the tables of its hot contexts."""
+    if part["q"][0].as_py() < 0:
+        return _table(ANSWER, [(g, q, *[None] * 10, state) for g, q, state in zip(*(part[c].to_pylist() for c in ("g", "q", "state")), strict=True)])
+    ranks = [np.cumsum(_unplanes(x, 4)).astype(np.int64) for x in part["ranks"].to_pylist()]
+    which = np.concatenate(ranks)
+    customers = np.bincount(which, weights=_joined(part, "tables")).astype(np.int64)
+    own = np.zeros(len(customers), np.int64)
+    own[which] = _joined(part, "own")
+    start, types, grand = (part[c][0].as_py() for c in ("start", "types", "grand"))
+    # a word's key is its place among all words
+    own = seat(customers, np.full(len(own), 1 / (types + 1)), grand - own, PARENT_DISCOUNT, PARENT_STRENGTH, _keys(start + np.arange(len(own)), turn, 1))
+    same = None, _summed(part, "hot_m"), None, None, None, int(customers.sum()), int(own.sum()), None
+    return _table(ANSWER, [(g, q, ranked, _ints(customers[r]), _ints(own[r]), *same) for g, q, ranked, r in zip(*(part[c].to_pylist() for c in ("g", "q", "ranks")), ranks, strict=True)])
+
+
+class Seating:
+    """A group's seating after the answers of a round: tables of its pairs, what its words have in the parent, and the samples so far."""
+
+    def __init__(self, group: Group, right: pa.Table, turn: int, hot: np.ndarray) -> None:
+        self.group = group
+        self.answers = answers = right.filter(pa.compute.greater_equal(right["q"], 0)).sort_by("q")
+        sums = lambda c: sum(answers[c].to_pylist())
+        customers, hot_m = _joined(answers, "customers"), _joined(answers, "hot_m")
+        self.samples: list[np.ndarray] = []
+        if turn == 0:
+            self.tokens, self.types = sums("tokens"), sums("types")
+            sizes = np.array(answers["size"].to_pylist())
+            self.starts, self.counts, self.hot_n = np.cumsum(sizes) - sizes, customers, _joined(answers, "hot_n")
+            self.tables, self.summed = np.minimum(group.customers, 1), np.zeros(len(group.pairs), np.int64)
+            self.own, self.grand = np.minimum(customers, 1), self.types
+            self.prior = np.full(len(group.words), 1 / (self.tokens + self.types + 1))
+            self.prior[group.asked] = (customers + 1) / (self.tokens + self.types + 1)
+        else:
+            (state,) = right.filter(pa.compute.less(right["q"], 0))["state"].to_pylist()
+            (self.tokens, self.types), self.starts, self.counts, self.hot_n, self.tables, self.summed, *self.samples = map(_from_ints, state)
+            self.own, self.grand = _joined(answers, "own"), sums("grand")
+            self.prior = self.of_parent(customers, self.own, sums("parents"), self.grand)
+        self.total = self.spread(hot_m, group.of_context(self.tables), hot)
+        if turn > BURN:
+            self.summed = self.summed + self.tables
+            self.samples += [self.total, customers, self.own, np.array([sums("parents"), self.grand])]
+
+    def of_parent(self, customers: np.ndarray, own: np.ndarray, parents: int, grand: int) -> np.ndarray:
+        """The parent's probabilities of the group's words."""
+        unseen = (PARENT_STRENGTH + PARENT_DISCOUNT * grand) / (self.types + 1)
+        prior = np.full(len(self.group.words), unseen / (PARENT_STRENGTH + parents))
+        prior[self.group.asked] = (customers - PARENT_DISCOUNT * own + unseen) / (PARENT_STRENGTH + parents)
+        return prior
+
+    def spread(self, values: np.ndarray, start: np.ndarray, hot: np.ndarray) -> np.ndarray:
+        """start, with the values of all hot words at those that the group has."""
+        out = start.copy()
+        here = np.flatnonzero(self.group.is_hot)
+        out[here] = values[np.searchsorted(hot, self.group.words[here])]
+        return out
+
+    def state(self) -> list[bytes]:
+        return [_ints(x) for x in (np.array([self.tokens, self.types]), self.starts, self.counts, self.hot_n, self.tables, self.summed, *self.samples)]
+
+    def chances(self, hot: np.ndarray) -> np.ndarray:
+        """The predictive probability of each token, averaged over the samples."""
+        group = self.group
+        at = np.searchsorted(group.pairs, group.pair)
+        at[at == len(group.pairs)] = 0
+        seen = group.pairs[at] == group.pair if len(group.pairs) else np.zeros(len(group.pair), bool)
+        own = np.zeros(len(group.pair))
+        own[seen] = (group.customers - DISCOUNT * self.summed / SAMPLES)[at[seen]]
+        for total, customers, tables, (parents, grand) in zip(*(self.samples[i::4] for i in range(4)), strict=True):
+            own += (STRENGTH + DISCOUNT * total[group.context]) * self.of_parent(customers, tables, parents, grand)[group.token] / SAMPLES
+        return own / (STRENGTH + self.spread(self.hot_n, group.of_context(group.customers), hot)[group.context])
 
 
 def score(documents: DataFrame) -> DataFrame:
@@ -227,7 +340,6 @@ def score(documents: DataFrame) -> DataFrame:
     packed = rows.mapInArrow(pack, "g long, batch long, words binary, contexts binary, tokens binary, docs binary, train binary, ids array<long>")
 
     hot_cut = np.searchsorted(hot, bounds)
-    hot_slices = np.flatnonzero(hot_cut[1:] > hot_cut[:-1])
 
     def of_hot(group: Group, values: np.ndarray) -> np.ndarray:
         """Values of the group's words for all hot words, 0 for those that it lacks."""
@@ -236,109 +348,38 @@ def score(documents: DataFrame) -> DataFrame:
         out[np.searchsorted(hot, group.words[here])] = values[here]
         return out
 
-    def to_hot(group: Group, values: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """start, with the values of all hot words at those that the group has."""
-        out = start.astype(np.float64)
-        here = np.flatnonzero(group.is_hot)
-        out[here] = values[np.searchsorted(hot, group.words[here])]
-        return out
-
-    ask_schema = "g long, q long, words binary, counts binary"
-
     def ask(part: pa.Table) -> pa.Table:
-        """A group's words with their training counts, for every slice of words (q), as each slice's sums go to every group."""
+        """A group's words with their training counts, and its hot contexts' customers and dishes, for every slice of words (q), as each slice's sums go to every group."""
         g = part["g"][0].as_py()
-        words = [np.cumsum(_unplanes(x, 7), dtype=np.uint64) for x in part["words"].to_pylist()]
-        all_ = np.unique(np.concatenate(words))
-        seen, counts = np.zeros((2, len(all_)), np.int64)
-        for w, t, d, flags in zip(words, part["tokens"].to_pylist(), part["docs"].to_pylist(), part["train"].to_pylist(), strict=True):
-            at = np.searchsorted(all_, w)[_unplanes(t, 4).astype(np.int64)]
-            seen += np.bincount(at, minlength=len(all_))
-            counts += np.bincount(at[_expand(flags, bool)[_unplanes(d, 4).astype(np.int64)]], minlength=len(all_))
-        asked, counts = all_[seen > 0], counts[seen > 0]
+        group = Group(part.sort_by("batch"), hot)
+        asked, counts = group.words[group.asked], np.bincount(group.token[group.train], minlength=len(group.words))[group.asked]
         cut = np.searchsorted(asked, bounds)
-        return _table(ask_schema, [(g, q, _planes(np.diff(asked[i:j], prepend=bounds[q]), 7), _squeeze(counts[i:j].astype("<u4").tobytes())) for q, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True))])
-
-    seated_schema = "g long, q long, ranks binary, counts binary, tables binary, hot_n binary, hot_m binary"
-
-    def first_seating(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Tables for each slice of words, and the totals of the slice's hot contexts. The prior is the corpus-wide share of each word."""
-        if not left.num_rows:
-            return _table(seated_schema, [])
-        g = left["g"][0].as_py()
-        group, draw = Group(left.sort_by("batch"), hot), np.random.default_rng([SEED, g])
-        right = right.sort_by("q")
-        n, v = (sum(right[c].to_pylist()) for c in ("tokens", "types"))
-        prior = np.full(len(group.words), 1 / (n + v + 1))
-        prior[group.asked] = (_joined(right, "counts", "<i8") + 1.0) / (n + v + 1)
-        tables = np.minimum(group.customers, 1)
-        for _ in range(BURN):
-            tables = group.sweep(tables, prior, None, groups, draw)
-        held = np.bincount(group.pair_word, weights=tables, minlength=len(group.words))[group.asked]
-        cut = np.searchsorted(group.words[group.asked], bounds)
-        hot_n, hot_m = (of_hot(group, group.of_context(x)).astype("<i8") for x in (group.customers, tables))
-        return _table(seated_schema, [(g, q, r, c, _squeeze(held[cut[q] : cut[q + 1]].astype("<u4").tobytes()), *(_squeeze(x[hot_cut[q] : hot_cut[q + 1]].tobytes()) for x in (hot_n, hot_m))) for q, r, c in zip(*(right[c].to_pylist() for c in ("q", "ranks", "counts")), strict=True)])
-
-    answer_schema = "g long, q long, counts binary, tables binary, own binary, hot_n binary, hot_m binary, tokens long, types long, parents long, grand long"
-
-    def parent(part: pa.Table) -> pa.Table:
-        """The parent's customers and tables for a slice's words, and the totals of its hot contexts."""
-        part = part.sort_by("g")
-        q = part["q"][0].as_py()
-        ranks = [np.cumsum(_unplanes(x, 4)).astype(np.int64) for x in part["ranks"].to_pylist()]
-        which = np.concatenate(ranks)
-        customers = np.bincount(which, weights=_joined(part, "tables", "<u4")).astype(np.int64)
-        counts = np.zeros(len(customers), np.int64)
-        counts[which] = _joined(part, "counts", "<i8")
-        draw = np.random.default_rng([SEED, 1, q])
-        own, types = np.minimum(customers, 1), (counts > 0).sum()
-        prior = np.full(len(customers), 1 / (types * groups + 1))
-        total = np.zeros(len(customers))
-        for turn in range(BURN + SAMPLES):
-            # words are dealt by hash: a slice's tables times the number of slices are all tables
-            own = seat(customers, prior, np.maximum(0.0, own.sum() * groups - own), PARENT_DISCOUNT, PARENT_STRENGTH, draw)
-            total = total + own * (turn >= BURN)
-        own = total / SAMPLES
-        sums = [int(counts.sum()), int(types), int(customers.sum()), int(round(own.sum() * 1000))]
-        hots = [_squeeze(np.sum([_expand(x, "<i8") for x in part[c].to_pylist()], axis=0).astype("<i8").tobytes()) for c in ("hot_n", "hot_m")]
-        return _table(answer_schema, [(g, q, c, _squeeze(customers[r].astype("<i8").tobytes()), _squeeze(own[r].astype("<f8").tobytes()), *hots, *sums) for g, c, r in zip(part["g"].to_pylist(), part["counts"].to_pylist(), ranks, strict=True)])
-
-    sample_schema = "g long, q long, tables binary, counts binary, prior binary, hot_n binary, hot_m binary, tokens long, types long"
-
-    def sample(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The sum over the samples of each pair's tables, with what the prediction needs besides (q below 0); and those of hot contexts, for each slice."""
-        if not left.num_rows:
-            return _table(sample_schema, [])
-        g = left["g"][0].as_py()
-        group, draw = Group(left.sort_by("batch"), hot), np.random.default_rng([SEED, 2, g])
-        right = right.sort_by("q")
-        n, v, t, t1 = (sum(right[c].to_pylist()) for c in ("tokens", "types", "parents", "grand"))
-        t1 /= 1000
-        counts, customers, own = (_joined(right, c, kind) for c, kind in (("counts", "<i8"), ("tables", "<i8"), ("own", "<f8")))
-        unseen = (PARENT_STRENGTH + PARENT_DISCOUNT * t1) / (v + 1)
-        prior = np.full(len(group.words), unseen / (PARENT_STRENGTH + t))
-        prior[group.asked] = (np.maximum(0, customers - PARENT_DISCOUNT * own.astype(np.float64)) + unseen) / (PARENT_STRENGTH + t)
-        total = to_hot(group, _joined(right, "hot_m", "<i8"), np.zeros(len(group.words)))
-        tables, summed = np.minimum(group.customers, 1), np.zeros(len(group.pairs), np.int64)
-        for turn in range(BURN + SAMPLES):
-            tables = group.sweep(tables, prior, total, groups, draw)
-            if turn >= BURN:
-                summed += tables
-        hot_m = of_hot(group, group.of_context(summed)).astype("<i8")
-        lead = (g, -1 - g, _planes(summed, 4), _squeeze(counts.tobytes()), _squeeze(prior[group.asked].astype("<f8").tobytes()), _squeeze(_joined(right, "hot_n", "<i8").tobytes()), None, n, v)
-        return _table(sample_schema, [lead, *((g, int(q), None, None, None, None, _squeeze(hot_m[hot_cut[q] : hot_cut[q + 1]].tobytes()), None, None) for q in hot_slices)])
-
-    def add(part: pa.Table) -> pa.Table:
-        """The tables of a slice's hot contexts over all groups, to each of them."""
-        if part["q"][0].as_py() < 0:
-            return part
-        whole = _squeeze(np.sum([_expand(x, "<i8") for x in part["hot_m"].to_pylist()], axis=0).astype("<i8").tobytes())
-        return part.set_column(part.schema.get_field_index("hot_m"), "hot_m", pa.array([whole] * part.num_rows, pa.binary()))
+        hots = [of_hot(group, group.of_context(x)) for x in (group.customers, np.minimum(group.customers, 1))]
+        cuts = zip(cut[:-1], cut[1:], hot_cut[:-1], hot_cut[1:], strict=True)
+        return _table(FIRST, [(g, q, _planes(np.diff(asked[i:j], prepend=bounds[q]), 7), _ints(counts[i:j]), *(_ints(x[k:m]) for x in hots)) for q, (i, j, k, m) in enumerate(cuts)])
+
+    def tell(turn: int):  # noqa: ANN202
+        def seated(left: pa.Table, right: pa.Table) -> pa.Table:
+            """The round's tables of each slice's words and hot contexts, and the group's state (q below 0)."""
+            if not left.num_rows:
+                return _table(TOLD, [])
+            g = left["g"][0].as_py()
+            group = Group(left.sort_by("batch"), hot)
+            now = Seating(group, right, turn, hot)
+            now.tables = group.sweep(now.tables, now.prior, now.total, turn)
+            held = np.bincount(group.pair_word, weights=now.tables, minlength=len(group.words)).astype(np.int64)[group.asked]
+            cut = np.searchsorted(group.words[group.asked], bounds)
+            hot_m = of_hot(group, group.of_context(now.tables))
+            rows = [(g, q, ranks, _ints(held[cut[q] : cut[q + 1]]), _ints(now.own[cut[q] : cut[q + 1]]), _ints(hot_m[hot_cut[q] : hot_cut[q + 1]]), int(now.starts[q]), int(now.types), int(now.grand), None) for q, ranks in zip(*(now.answers[c].to_pylist() for c in ("q", "ranks")), strict=True)]
+            return _table(TOLD, [*rows, (g, -1 - g, *[None] * 7, now.state())])
+
+        return seated
 
     by_group = lambda left, right, made, schema: left.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(made, schema)
-    told = packed.groupBy("g").applyInArrow(ask, ask_schema).groupBy("q").applyInArrow(count_slice, TOLD)
-    answers = by_group(packed, told, first_seating, seated_schema).groupBy("q").applyInArrow(parent, answer_schema)
-    samples = by_group(packed, answers, sample, sample_schema).groupBy("q").applyInArrow(add, sample_schema)
+    answers = packed.groupBy("g").applyInArrow(ask, FIRST).groupBy("q").applyInArrow(count_slice, ANSWER)
+    for turn in range(BURN + SAMPLES):
+        # a function of its own for each round
+        answers = by_group(packed, answers, tell(turn), TOLD).groupBy("q").applyInArrow((lambda turn: lambda part: seat_slice(part, turn))(turn), ANSWER)
 
     def predict(left: pa.Table, right: pa.Table) -> pa.Table:
         """Sums of log10 probabilities for each batch's documents."""
@@ -348,25 +389,13 @@ def score(documents: DataFrame) -> DataFrame:
             return pa.table({c: pa.array([], t) for c, t in zip(names, types, strict=True)})
         left = left.sort_by("batch")
         group = Group(left, hot)
-        (lead,) = right.filter(pa.compute.less(right["q"], 0)).to_pylist()
-        hot_m = _joined(right.filter(pa.compute.greater_equal(right["q"], 0)).sort_by("q"), "hot_m", "<i8")
-        n, v, counts = lead["tokens"], lead["types"], _expand(lead["counts"], "<i8")
-        prior = np.zeros(len(group.words))
-        prior[group.asked] = _expand(lead["prior"], "<f8")
+        now = Seating(group, right, BURN + SAMPLES, hot)
+        n, v, counts = int(now.tokens), int(now.types), now.counts
         base = np.zeros(len(group.words))
         base[group.asked] = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
         known = np.zeros(len(group.words), bool)
         known[group.asked] = counts > 0
-        # the predictive probability is linear in the tables: their mean gives the mean over the samples. Hot contexts: totals over all groups
-        summed = _unplanes(lead["tables"], 4).astype(np.int64)
-        mean_tables, mean_total = summed / SAMPLES, to_hot(group, hot_m, group.of_context(summed)) / SAMPLES
-        arrivals = to_hot(group, _expand(lead["hot_n"], "<i8"), group.of_context(group.customers))
-        pair_at = np.searchsorted(group.pairs, group.pair)
-        pair_at[pair_at == len(group.pairs)] = 0
-        seen = group.pairs[pair_at] == group.pair if len(group.pairs) else np.zeros(len(group.pair), bool)
-        own_part = np.zeros(len(group.pair))
-        own_part[seen] = (group.customers - DISCOUNT * mean_tables)[pair_at[seen]]
-        chance = (np.maximum(0, own_part) + (STRENGTH + DISCOUNT * mean_total[group.context]) * prior[group.token]) / (STRENGTH + arrivals[group.context])
+        chance = now.chances(hot)
         by_doc = lambda x: np.bincount(group.doc, weights=x, minlength=group.base[-1])
         sums_of = {"base": by_doc(base[group.token]), "score": by_doc(np.log10(chance)), "known": by_doc(known[group.token]), "n": np.bincount(group.doc, minlength=group.base[-1])}
         made = []
@@ -379,7 +408,7 @@ def score(documents: DataFrame) -> DataFrame:
         values = [left["batch"], pa.array([n] * len(made), pa.int64()), left["ids"], pa.array(flags, pa.binary()), *(pa.array(x, pa.binary()) for x in (docs, bases, scores, knowns, ns))]
         return pa.table({c: x.cast(t) for c, x, t in zip(names, values, types, strict=True)})
 
-    parts = by_group(packed, samples, predict, "batch long, train_tokens long, ids array<long>, train binary, docs binary, base binary, score binary, known binary, n binary")
+    parts = by_group(packed, answers, predict, "batch long, train_tokens long, ids array<long>, train binary, docs binary, base binary, score binary, known binary, n binary")
 
     def gather(part: pa.Table) -> pa.Table:
         part = part.to_pylist()
