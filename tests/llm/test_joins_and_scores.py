@@ -298,7 +298,8 @@ def test_seating_is_the_same_dish_by_dish(monkeypatch):
     customers = draw.integers(0, 900, 300)
     args = (customers, draw.random(300) / 10, draw.integers(0, 400, 300), 0.8, 2.0, pitman_yor._keys(np.arange(300), 7))
     want = pitman_yor.seat(*args)
-    monkeypatch.setattr(pitman_yor, "LONG", 10)
+    for name, value in {"LONG": 10, "FEW": 1000, "BLOCK": 50}.items():
+        monkeypatch.setattr(pitman_yor, name, value)
     assert (pitman_yor.seat(*args) == want).all() and (want[customers == 0] == 0).all()
     backward = [x[::-1] if isinstance(x, np.ndarray) else x for x in args]
     assert (pitman_yor.seat(*backward)[::-1] == want).all()

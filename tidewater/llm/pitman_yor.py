@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import binary, hashed_words, mix, partitions, remainder
+from tidewater.llm.common import binary, hashed_words, mix, partitions, remainder, shared_table
 
 #: Documents with remainder(doc_id, FOLDS) 0 are held out.
 FOLDS = 10
@@ -38,8 +38,8 @@ DISCOUNT, STRENGTH = 0.8, 2.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.7, 10.0
 #: Rounds before samples are taken, and samples.
 BURN, SAMPLES = 1, 3
-#: Customers of a dish who are looked at one by one along with those of all other dishes; those after them are looked at dish by dish.
-LONG = 256
+#: Customers sit down one by one along with those of all other dishes, up to this number or as long as there are so many dishes; those after them dish by dish, in blocks.
+LONG, FEW, BLOCK = 64, 16, 8_192
 #: Characters of text for each group of contexts, about; words of a batch.
 GROUP_CHARS, BATCH_WORDS = 14_000_000, 1_000_000
 #: A word's bits. Shares of a group's tokens from which a context is spread.
@@ -70,6 +70,12 @@ def _unplanes(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Ascending distinct values, by sorting, which is faster here than np.unique's hash table."""
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
 def _tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of all texts, an end after each, and the number of tokens of each text."""
     flat, n = hashed_words(texts)
@@ -94,10 +100,10 @@ def _batches(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
                 start, held = i + 1, 0
 
 
-def _uniform(key: np.ndarray, arrival: np.ndarray | int) -> np.ndarray:
-    """Numbers in [0, 1) from keys and the customers' places."""
+def _odds(key: np.ndarray, arrival: np.ndarray | int) -> np.ndarray:
+    """1 / u - 1 for numbers u in (0, 1) from keys and the customers' places."""
     place = np.asarray(arrival).astype(np.uint64).reshape(-1) * np.uint64(0x9E3779B97F4A7C15)
-    return (mix(key + place) >> np.uint64(11)) * 2.0**-53
+    return 2.0**53 / ((mix(key + place) >> np.uint64(11)) + 0.5) - 1
 
 
 def _keys(*parts: np.ndarray | int) -> np.ndarray:
@@ -112,26 +118,32 @@ def seat(customers: np.ndarray, prior: np.ndarray, other: np.ndarray, discount:
     """Tables after all customers of each dish sat down again, one after the other. other: tables of the restaurant's other dishes; key: a number of each dish.
 
     With s customers at t tables the next one opens a table with probability a / (a + s - d t), a = (strength + d (other + t)) prior.
-    The work is a few operations for each customer, in arrays over dishes or, for dishes of more than LONG customers, over customers.
+    The work is a few operations for each customer, in arrays over dishes or, for the few dishes of most customers, over customers; the result is the same.
     """
     tables = np.minimum(customers, 1).astype(np.int64)
     order = np.flatnonzero(customers > 1)
     order = order[np.argsort(-customers[order], kind="stable")]
     many, p, o, k = customers[order], prior[order], other[order].astype(np.float64), key[order]
-    t = np.ones(len(order))
-    for s in range(1, min(LONG, int(many[0])) if len(many) else 0):
+    t, s = np.ones(len(order)), 1
+    while len(many) and s < many[0]:
         n = np.searchsorted(-many, -s)
+        if n < FEW and s >= LONG:
+            break
         new = (strength + discount * (o[:n] + t[:n])) * p[:n]
-        t[:n] += _uniform(k[:n], s) * (new + s - discount * t[:n]) < new
-    for i in range(np.searchsorted(-many, -LONG)):
-        s = LONG
-        while s < many[i]:
-            new = (strength + discount * (o[i] + t[i])) * p[i]
-            at = np.arange(s, min(int(many[i]), s + 16 + int(min(1 << 16, 2 * s / new))))
-            opens = _uniform(k[i : i + 1], at) * (new + at - discount * t[i]) < new
-            first = int(np.argmax(opens))
-            t[i] += opens[first]
-            s += first + 1 if opens[first] else len(at)
+        t[:n] += new * _odds(k[:n], s) > s - discount * t[:n]
+        s += 1
+    for i in range(np.searchsorted(-many, -s)):
+        for a in range(s, int(many[i]), BLOCK):
+            at = np.arange(a, min(int(many[i]), a + BLOCK))
+            odds, j = _odds(k[i : i + 1], at), 0
+            while j < len(at):
+                new = (strength + discount * (o[i] + t[i])) * p[i]
+                # up to about twice the gap that is to be expected
+                end = j + 16 + int(min(BLOCK, 2 * a / new))
+                opens = new * odds[j:end] > at[j:end] - discount * t[i]
+                first = int(opens.argmax())
+                t[i] += opens[first]
+                j = j + first + 1 if opens[first] else end
     tables[order] = t.astype(np.int64)
     return tables
 
@@ -142,7 +154,7 @@ class Group:
     def __init__(self, part: pa.Table, hot: np.ndarray) -> None:
         self.batch = part["batch"].to_numpy()
         words = [np.cumsum(_unplanes(x, 7), dtype=np.uint64) for x in part["words"].to_pylist()]
-        self.words = np.unique(np.concatenate(words))
+        self.words = _distinct(np.concatenate(words))
         place = [np.searchsorted(self.words, w).astype(np.int64) for w in words]
         self.context = np.concatenate([p[np.cumsum(_unplanes(x, 4)).astype(np.int64)] for p, x in zip(place, part["contexts"].to_pylist(), strict=True)])
         self.token = np.concatenate([p[_unplanes(x, 4).astype(np.int64)] for p, x in zip(place, part["tokens"].to_pylist(), strict=True)])
@@ -184,7 +196,7 @@ def _hot_words(rows: DataFrame, groups: int) -> np.ndarray:
             # the number of tokens stands under -1, which is no word
             yield pa.RecordBatch.from_arrays([pa.array(np.append(words[often].astype(np.int64), -1)), pa.array(np.append(n[often].astype(np.int64), len(tokens)))], ["word", "n"])
 
-    counted = rows.mapInArrow(frequent, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = shared_table(rows.mapInArrow(frequent, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "frequent")
     whole = counted.where(F.col("word") == -1).first()
     if whole is None:
         return np.array([int(END)], np.uint64)
@@ -200,11 +212,13 @@ def _table(schema: str, rows: list[tuple]) -> pa.Table:
 
 
 def _ints(values: np.ndarray) -> bytes:
-    return _planes(values.astype(np.int64), 8)
+    """Numbers from 0, in as many byte planes as the largest needs; the first byte is their number."""
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + _planes(values, width)
 
 
 def _from_ints(data: bytes) -> np.ndarray:
-    return _unplanes(data, 8).view(np.int64)
+    return _unplanes(data[1:], data[0]).view(np.int64)
 
 
 def _joined(part: pa.Table, column: str) -> np.ndarray:
@@ -290,6 +304,7 @@ class Seating:
         return out
 
     def state(self) -> list[bytes]:
+        """All of it but what the group's tokens and the answers tell."""
         return [_ints(x) for x in (np.array([self.tokens, self.types]), self.starts, self.counts, self.hot_n, self.tables, self.summed, *self.samples)]
 
     def chances(self, hot: np.ndarray) -> np.ndarray:
