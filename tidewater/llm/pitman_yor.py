@@ -281,7 +281,9 @@ class Seating:
             self.prior[group.asked] = (customers + 1) / (self.tokens + self.types + 1)
         else:
             (state,) = right.filter(pa.compute.less(right["q"], 0))["state"].to_pylist()
-            (self.tokens, self.types), self.starts, self.counts, self.hot_n, self.tables, self.summed, *self.samples = map(_from_ints, state)
+            (self.tokens, self.types), self.starts, self.counts, self.hot_n, self.tables, self.summed, *held = map(_from_ints, state)
+            bases = self.bases()
+            self.samples = [bases[i % 4] - x if i % 4 == 1 else bases[i % 4] + x for i, x in enumerate(held)]
             self.own, self.grand = _joined(answers, "own"), sums("grand")
             self.prior = self.of_parent(customers, self.own, sums("parents"), self.grand)
         self.total = self.spread(hot_m, group.of_context(self.tables), hot)
@@ -303,9 +305,15 @@ class Seating:
         out[here] = values[np.searchsorted(hot, self.group.words[here])]
         return out
 
+    def bases(self) -> list[np.ndarray]:
+        """What most numbers of a sample equal: a table for each dish, all of a word's counts as customers, one table of a word. No sample has fewer, more and fewer of them."""
+        return [self.group.of_context(np.minimum(self.group.customers, 1)), self.counts, np.minimum(self.counts, 1), np.zeros(2, np.int64)]
+
     def state(self) -> list[bytes]:
-        """All of it but what the group's tokens and the answers tell."""
-        return [_ints(x) for x in (np.array([self.tokens, self.types]), self.starts, self.counts, self.hot_n, self.tables, self.summed, *self.samples)]
+        """All of it but what the group's tokens and the answers tell; samples as differences, which are few and small."""
+        bases = self.bases()
+        apart = [np.abs(x - bases[i % 4]) for i, x in enumerate(self.samples)]
+        return [_ints(x) for x in (np.array([self.tokens, self.types]), self.starts, self.counts, self.hot_n, self.tables, self.summed, *apart)]
 
     def chances(self, hot: np.ndarray) -> np.ndarray:
         """The predictive probability of each token, averaged over the samples."""
