@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import embedding_dedup, fingerprints, line_dedup, mixing, ngram_join, pitman_yor, quality, sentencepieces, token_counts, url_lists
+from tidewater.llm import best_fit, embedding_dedup, fingerprints, line_dedup, mixing, ngram_join, pitman_yor, quality, sentencepieces, source_audit, token_counts, url_lists
 from tidewater.llm.common import remainder
 
 
@@ -149,5 +149,40 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", quality.predicted(F.col("score")).alias("predicted"))
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_embedding_dedup": op2_embedding_dedup, "op3_pitman_yor": op3_pitman_yor, "op4_token_counts": op4_token_counts, "op5_url_lists": op5_url_lists, "op6_mixing": op6_mixing, "op7_ngram_join": op7_ngram_join, "op8_line_dedup": op8_line_dedup, "op9_sentencepieces": op9_sentencepieces, "op10_quality": op10_quality}
-ORACLE_SQL = {"op2_embedding_dedup": OP2_SQL, "op7_ngram_join": OP7_SQL, "op5_url_lists": OP5_SQL, "op8_line_dedup": OP8_SQL}
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(_read(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+OP11_SQL = r"""
+with docs as (
+  select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms
+  from (select row_number() over () as doc_id, text, lang, source from documents)),
+found as (select doc_id, lang, source, unnest(terms) as term from docs),
+kept as (select lang, term, count(*)::hugeint as n from found group by all having count(distinct doc_id) >= 3),
+groups as (select distinct lang, source from docs),
+own as (select lang, source, term, count(*)::hugeint as n from found group by all),
+filled as (select g.lang, g.source, k.term, coalesce(o.n, 0) as n, k.n as lang_n
+  from groups g join kept k using (lang) left join own o on o.lang = g.lang and o.source = g.source and o.term = k.term),
+summed as (select *, sum(n) over (partition by lang, source) as own_total, sum(lang_n) over (partition by lang, source) as lang_total, count(*) over (partition by lang, source) as v from filled),
+shares as (select lang, source, term, n, 1 + 1000000000 * (n + 1) // (own_total + v)::hugeint as p, 1 + 1000000000 * (lang_n + 1) // (lang_total + v)::hugeint as q from summed),
+pairs as (
+  select a.lang, a.source, b.source as item, coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join shares x on x.lang = a.lang and x.source = a.source left join shares y on y.lang = b.lang and y.source = b.source and y.term = x.term group by all),
+terms as (select lang, source, term as item, ((p - q) * (p - q) // q)::bigint as value from shares where n > 0 and p > q),
+ranked as (
+  select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, encode(item)) as rank from pairs
+  union all select lang, source, 'term', item, value, row_number() over (partition by lang, source order by value desc, encode(item)) from terms)
+select lang, source, part, item, value, rank::int as rank from ranked where part = 'pair' or rank <= 200
+"""
+
+
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return best_fit.pack(_read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_embedding_dedup": op2_embedding_dedup, "op3_pitman_yor": op3_pitman_yor, "op4_token_counts": op4_token_counts, "op5_url_lists": op5_url_lists, "op6_mixing": op6_mixing, "op7_ngram_join": op7_ngram_join, "op8_line_dedup": op8_line_dedup, "op9_sentencepieces": op9_sentencepieces, "op10_quality": op10_quality, "op11_source_audit": op11_source_audit, "op12_best_fit": op12_best_fit}
+ORACLE_SQL = {"op2_embedding_dedup": OP2_SQL, "op7_ngram_join": OP7_SQL, "op5_url_lists": OP5_SQL, "op8_line_dedup": OP8_SQL, "op11_source_audit": OP11_SQL}
