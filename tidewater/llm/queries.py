@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import best_fit, embedding_dedup, fingerprints, line_dedup, mixing, ngram_join, pitman_yor, quality, sentencepieces, source_audit, token_counts, url_lists
+from tidewater.llm import best_fit, collocations, embedding_dedup, fingerprints, line_dedup, mixing, ngram_join, pitman_yor, quality, sentencepieces, source_audit, token_counts, url_lists
 from tidewater.llm.common import remainder
 
 
@@ -184,5 +184,35 @@ def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(_read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_embedding_dedup": op2_embedding_dedup, "op3_pitman_yor": op3_pitman_yor, "op4_token_counts": op4_token_counts, "op5_url_lists": op5_url_lists, "op6_mixing": op6_mixing, "op7_ngram_join": op7_ngram_join, "op8_line_dedup": op8_line_dedup, "op9_sentencepieces": op9_sentencepieces, "op10_quality": op10_quality, "op11_source_audit": op11_source_audit, "op12_best_fit": op12_best_fit}
-ORACLE_SQL = {"op2_embedding_dedup": OP2_SQL, "op7_ngram_join": OP7_SQL, "op5_url_lists": OP5_SQL, "op8_line_dedup": OP8_SQL, "op11_source_audit": OP11_SQL}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents").select("lang", "text"))
+
+
+OP13_SQL = r"""
+with pieces as (
+  select lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from (select coalesce(lang, 'und') as lang, text from documents)),
+split as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as words from pieces),
+found as (
+  select lang, 1 as m, unnest(words) as phrase from split
+  union all select lang, 2, unnest(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) from split where len(words) > 1
+  union all select lang, 3, unnest(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) from split where len(words) > 2),
+f as (select lang, m, phrase, count(*)::hugeint as n from found group by all having count(*) >= 10),
+totals as (select lang, count(*) as n from found where m = 1 group by lang),
+cuts as (
+  select lang, m, phrase, n as a, k, array_to_string(string_split(phrase, ' ')[:k], ' ') as beginning, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') as ending
+  from (select *, unnest(range(1, m)) as k from f where m > 1)),
+scored as (select c.*, x.n as l, y.n as r, 1000000 * c.a * c.a // (x.n * y.n) as score
+  from cuts c join f x on x.lang = c.lang and x.phrase = c.beginning join f y on y.lang = c.lang and y.phrase = c.ending),
+lowest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+longer as (
+  select lang, unnest([array_to_string(string_split(phrase, ' ')[:2], ' '), array_to_string(string_split(phrase, ' ')[2:], ' ')]) as phrase, n from f where m = 3),
+longest as (select lang, phrase, max(n) as n from longer group by all),
+left_over as (select s.* from lowest s left join longest g on s.lang = g.lang and s.phrase = g.phrase where g.n is null or 100 * g.n < 50 * s.a)
+select lang, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, t.n as n, score::bigint as score
+from left_over join totals t using (lang) qualify rank <= 2000
+"""
+
+
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_embedding_dedup": op2_embedding_dedup, "op3_pitman_yor": op3_pitman_yor, "op4_token_counts": op4_token_counts, "op5_url_lists": op5_url_lists, "op6_mixing": op6_mixing, "op7_ngram_join": op7_ngram_join, "op8_line_dedup": op8_line_dedup, "op9_sentencepieces": op9_sentencepieces, "op10_quality": op10_quality, "op11_source_audit": op11_source_audit, "op12_best_fit": op12_best_fit, "op13_collocations": op13_collocations}
+ORACLE_SQL = {"op2_embedding_dedup": OP2_SQL, "op7_ngram_join": OP7_SQL, "op5_url_lists": OP5_SQL, "op8_line_dedup": OP8_SQL, "op11_source_audit": OP11_SQL, "op13_collocations": OP13_SQL}
