@@ -142,7 +142,7 @@ def shards(parts: Iterator[pa.RecordBatch], overlap: int) -> Iterator[tuple[str,
             cut = CUT.search(data, at + SHARD_BYTES) if len(data) - at > 2 * SHARD_BYTES else None
             end = cut.start() if cut else len(data)
             words = rest + data[at:end].replace(END, b" \xff ").split()
-            at, rest = end, words[len(words) - overlap :] if overlap else []
+            at, rest = end, words[max(0, len(words) - overlap) :] if overlap else []
             numbers = Numbers({END: 0})
             ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)) - 1
             yield lang, ids, list(numbers)[1:]
