@@ -72,6 +72,12 @@ def free(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def others(columns: list[str], *names: str | None) -> list[str]:
+    """The columns that are not called as one of the names; capitals don't count, as for Spark."""
+    gone = {name.lower() for name in names if name}
+    return [c for c in columns if c.lower() not in gone]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import free, partitions, shared_table
+from tidewater.llm.common import free, others, partitions, shared_table
 
 #: A paragraph: at least so many characters of a line up to a sentence's end (looked for within some more), or what is left of the line.
 PARAGRAPH = r"[^\n]{64}[^\n.!?]{0,256}[.!?]* ?|[^\n]+"
@@ -140,44 +140,46 @@ def _found(states: Column) -> Column:
     return F.flatten(F.transform(states, lambda s: s["found"]))
 
 
-def _levels(rows: DataFrame, names: list[str], first: int, counts: bool) -> DataFrame:
-    """For each name the states in _s_<name>: tries LEVELS larger sketches of what failed, adding to _f_<name> what is recovered."""
+def _levels(rows: DataFrame, columns: list[str], states: list[str], found: list[str], first: int, counts: bool) -> DataFrame:
+    """Tries LEVELS larger sketches of what failed in each state, adding to its column of found what is recovered. columns: the others."""
     for level in range(first, first + LEVELS):
-        rows = rows.select(*[F.col(c) for c in rows.columns if c[:3] != "_s_"], *[_deeper(F.col(f"_s_{x}"), level).alias(f"_s_{x}") for x in names])
-        more = {x: _found(F.col(f"_s_{x}")) for x in names}
-        rows = rows.select(*[F.col(c) for c in rows.columns if c[:3] != "_f_"], *[(F.col(f"_f_{x}") + F.size(more[x]) if counts else F.concat(F.col(f"_f_{x}"), more[x])).alias(f"_f_{x}") for x in names])
+        rows = rows.select(*columns, *found, *[_deeper(F.col(s), level).alias(s) for s in states])
+        more = [_found(F.col(s)) for s in states]
+        rows = rows.select(*columns, *states, *[(F.col(f) + F.size(m) if counts else F.concat(F.col(f), m)).alias(f) for f, m in zip(found, more, strict=True)])
     return rows
 
 
 def differences(rows: DataFrame, pairs: dict[str, tuple[str, str]], counts: bool = False) -> DataFrame:
     """rows with a column for each name of pairs: array<struct<k, n>> of the digests that one side alone has (n 1: left, -1: right), or their number.
 
-    pairs: name -> prefixes of the columns <prefix>_keys (digests) and <prefix>_cells (their sketch) of the two versions; these columns go.
+    pairs: name -> prefixes of the columns <prefix>_keys (digests) and <prefix>_cells (their sketch) of the two versions; these columns go. Other columns pass
+    through, whatever they are called, but for those called as the names, which give way.
     """
-    names = list(pairs)
     # a side that is missing has no digests
     rows = rows.withColumns({f"{x}_keys": F.coalesce(f"{x}_keys", F.array().cast("array<bigint>")) for pair in pairs.values() for x in pair})
     rows = rows.withColumns({f"{x}_cells": F.coalesce(f"{x}_cells", sketch(F.array().cast("array<bigint>"))) for pair in pairs.values() for x in pair})
-    used = {f"{x}_{y}" for pair in pairs.values() for x in pair for y in ("keys", "cells")}
-    columns = [c for c in rows.columns if c not in used]
-    rows = rows.select(*columns, *[F.array(_tried(subtract(F.col(f"{a}_cells"), F.col(f"{b}_cells")), F.col(f"{a}_keys"), F.col(f"{b}_keys"), 0)).alias(f"_s_{x}") for x, (a, b) in pairs.items()])
-    rows = rows.select("*", *[(F.size(_found(F.col(f"_s_{x}"))) if counts else _found(F.col(f"_s_{x}"))).alias(f"_f_{x}") for x in names])
+    columns = others(rows.columns, *pairs, *(f"{x}_{y}" for pair in pairs.values() for x in pair for y in ("keys", "cells")))
+    held = free([*rows.columns, *pairs], "open", *(f"state{i}" for i in range(len(pairs))), *(f"found{i}" for i in range(len(pairs))))
+    open_, states, found = held[0], held[1 : len(pairs) + 1], held[len(pairs) + 1 :]
+    tried = [F.array(_tried(subtract(F.col(f"{a}_cells"), F.col(f"{b}_cells")), F.col(f"{a}_keys"), F.col(f"{b}_keys"), 0)) for a, b in pairs.values()]
+    rows = rows.select(*columns, *[t.alias(s) for t, s in zip(tried, states, strict=True)])
+    rows = rows.select("*", *[(F.size(_found(F.col(s))) if counts else _found(F.col(s))).alias(f) for s, f in zip(states, found, strict=True)])
 
     def marked(rows: DataFrame) -> DataFrame:
         """Of the states only those that failed."""
-        left = rows.select(*[c for c in rows.columns if c[:3] != "_s_"], *[F.filter(f"_s_{x}", lambda s: ~s["ok"]).alias(f"_s_{x}") for x in names])
-        return left.withColumn("_open", sum((F.size(f"_s_{x}") for x in names), F.lit(0)) > 0)
+        left = rows.select(*columns, *found, *[F.filter(s, lambda x: ~x["ok"]).alias(s) for s in states])
+        return left.withColumn(open_, sum((F.size(s) for s in states), F.lit(0)) > 0)
 
     # what still fails (thousands of differing paragraphs, or an unlucky few) is written down and taken up until nothing is left
-    level, state = LEVELS, shared_table(marked(_levels(rows, names, 0, counts)), "sketches")
-    done = state.where(~F.col("_open"))
-    while (state := state.where("_open").drop("_open")).head(1):
+    level, state = LEVELS, shared_table(marked(_levels(rows, columns, states, found, 0, counts)), "sketches")
+    done = state.where(~F.col(open_))
+    while (state := state.where(F.col(open_)).drop(open_)).head(1):
         if level > DEEPEST:
             raise RuntimeError("digests that no larger sketch tells apart")
-        state = shared_table(marked(_levels(state, names, level, counts)), "sketches")
-        done = done.unionByName(state.where(~F.col("_open")))
+        state = shared_table(marked(_levels(state, columns, states, found, level, counts)), "sketches")
+        done = done.unionByName(state.where(~F.col(open_)))
         level += LEVELS
-    return done.select(*columns, *[F.col(f"_f_{x}").alias(x) for x in names])
+    return done.select(*columns, *[F.col(f).alias(x) for f, x in zip(found, pairs, strict=True)])
 
 
 def written(keys: Column, cells: Column) -> Column:
@@ -187,10 +189,11 @@ def written(keys: Column, cells: Column) -> Column:
 
 
 def fingerprint(documents: DataFrame, text: str = "text") -> DataFrame:
-    """documents with a column fingerprint."""
-    (keys,) = free(documents.columns, "keys")
-    named = documents.withColumn(keys, digests(F.col(text)))
-    return named.withColumn("fingerprint", written(F.col(keys), sketch(F.col(keys)))).drop(keys)
+    """documents with a column fingerprint, which replaces one that is called so."""
+    columns = others(documents.columns, "fingerprint")
+    (keys,) = free(columns, "keys")
+    named = documents.select(*columns, digests(F.col(text)).alias(keys))
+    return named.select(*columns, written(F.col(keys), sketch(F.col(keys))).alias("fingerprint"))
 
 
 def neighbours(documents: DataFrame) -> DataFrame:

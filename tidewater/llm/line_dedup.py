@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import UPPER, binary, free, mix, partitions, shared_table
+from tidewater.llm.common import UPPER, binary, free, mix, others, partitions, shared_table
 
 #: Distinct lines of a shard, about: so many that its arrays take a few MB.
 SHARD_LINES = 250_000
@@ -128,7 +128,7 @@ def _hash(key: bytes) -> int:
 def drop_lines(documents: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, lines: str = "_lines", dropped: str = "_dropped") -> DataFrame:
     """documents with the columns `lines` long (lines before), `dropped` long, and text without the lines whose key min_docs documents hold."""
     spark = documents.sparkSession
-    columns = [c for c in documents.columns if c not in (lines, dropped)]
+    columns = others(documents.columns, lines, dropped)
     documents = documents.select(*columns)
     block_c, part_c = free([*columns, lines, dropped], "block", "part")
     rows = line_keys(documents, text, min_chars)

@@ -4,7 +4,8 @@ Features of a text: its words and their punctuation runs, and pairs of neighbour
 its count over the square root of the number of tokens. The score is the logistic function of a sparse dot product.
 
 Cases: a null or empty text has no feature and gets the score of the bias; texts are used whole; labels that are null or whose
-doc_id is null are not learnt from; an id that is labelled more than once takes its lowest label; with no labels every score is 0.5.
+doc_id is null are not learnt from; an id that is labelled more than once takes its lowest label; rows that repeat doc_id and text are learnt once; with no labels
+every score is 0.5; a column that is called as the one of the scores gives way to it, other columns pass through.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import CACHED_WORDS, alone, binary, chunks, mix, remainder
+from tidewater.llm.common import CACHED_WORDS, alone, binary, chunks, mix, others, remainder, shared_table
 
 #: Feature slots: 2**BITS.
 BITS = 20
-#: At most about so many labelled rows are learnt from; a larger label table is thinned by a hash of doc_id.
-MAX_TRAIN_ROWS = 20_000
+#: At most about so many labelled rows, and characters of them, are learnt from; more are thinned by a hash of doc_id, and what several texts of an id leave by one of doc_id and text.
+MAX_TRAIN_ROWS, MAX_TRAIN_CHARS = 20_000, 160_000_000
 #: Models fitted side by side on disjoint rows, then averaged.
 SHARDS = 4
 EPOCHS = 4
@@ -91,16 +92,23 @@ def _follow(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int) -> np.n
     return weights(np.arange(size))
 
 
-def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_TRAIN_ROWS, shards: int = SHARDS, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights learnt from the labelled documents whose crc32(doc_id) mod 5 is not 0, of about max_rows of them at most."""
+def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_TRAIN_ROWS, max_chars: int = MAX_TRAIN_CHARS, shards: int = SHARDS, epochs: int = EPOCHS) -> np.ndarray:
+    """Weights learnt from the labelled documents whose crc32(doc_id) mod 5 is not 0, of about max_rows of them and max_chars characters at most."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 5) != 0))
     known = known.groupBy("doc_id").agg(F.min(label).cast("int").alias("_label"))
     share = min(1.0, max_rows / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(share * 1_000_003))
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by max_rows ids
+    met = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # bounded by max_rows ids
+    # rows that repeat become one before they are shuffled
+    single = met.groupBy("doc_id", F.xxhash64("text").alias("_h"), F.length("text").alias("_chars")).agg(F.first("text").alias("text"), F.first("_label").alias("_label"))
+    labelled = shared_table(single, "labelled")
+    n, chars = labelled.agg(F.count("*"), F.sum("_chars")).first()
+    # an id may have many texts, and texts may be long
+    share = min(1.0, 1.1 * max_rows / max(1, n), max_chars / max(1, chars or 0))
+    rows = labelled if share == 1 else labelled.where(F.pmod(F.xxhash64(F.lit(29), "doc_id", "_h"), F.lit(1_000_003)) < int(share * 1_000_003))
 
     def learn(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["_order", "doc_id"], kind="stable")
+        part = part.sort_values(["_order", "doc_id", "_h"], kind="stable")
         made = []
         for text, y in zip(part["text"], part["_label"], strict=True):
             slots, _, n = features([text.encode() if text else None])
@@ -110,7 +118,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", max_row
         i = np.flatnonzero(w)
         return pd.DataFrame({"slot": i, "weight": w[i]})
 
-    parts = rows.select("doc_id", "text", "_label", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("_shard"), F.xxhash64(F.lit(7), "doc_id").alias("_order"))
+    parts = rows.select("doc_id", "_h", "text", "_label", F.pmod(F.xxhash64("doc_id", "_h"), F.lit(shards)).alias("_shard"), F.xxhash64(F.lit(7), "doc_id").alias("_order"))
     found = parts.groupBy("_shard").applyInPandas(learn, "slot long, weight double")
     # each slot's mean over the shards; at most 2**BITS + 1 rows come to the driver
     mean = found.groupBy("slot").agg((F.sum("weight") / shards).alias("weight")).toPandas()
@@ -138,9 +146,9 @@ def scorer(spark, weights: np.ndarray):
 
 
 def score_documents(documents: DataFrame, weights: np.ndarray, text: str = "text", to: str = "score") -> DataFrame:
-    """documents with a column of scores."""
+    """documents with a column of scores, which replaces one that is called so."""
     score = scorer(documents.sparkSession, weights)
-    return documents.withColumn(to, score(F.col(text)))
+    return documents.select(*others(documents.columns, to), score(F.col(text)).alias(to))
 
 
 def predicted(score: Column, threshold: float = 0.3) -> Column:

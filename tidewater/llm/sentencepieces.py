@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import alone, free, shared_table
+from tidewater.llm.common import alone, free, others, shared_table
 from tidewater.llm.unigram import NONE, SPACE, STRETCH, Unigram, escaped, load
 
 #: Code points from which a text is encoded in chunks, and those of a chunk.
@@ -246,7 +246,7 @@ def encode(documents: DataFrame, text: str = "text", to: str = "ids", model: Uni
         raise ValueError("a chunk is shorter than a piece")
     sent = documents.sparkSession.sparkContext.broadcast(model)  # a vocabulary: its size is fixed
     is_giant = F.coalesce(F.length(text) > giant, F.lit(False))
-    rest = [c for c in documents.columns if c not in (to, decoded)]
+    rest = others(documents.columns, to, decoded)
     made, row, ids = free([*documents.columns, to, decoded or to], "made", "row", "ids")
     ordinary = documents.where(~is_giant).withColumn(made, _ordinary(sent, decoded is not None)(F.col(text)))
     ordinary = ordinary.select(*rest, F.col(made)["ids"].alias(to), *([F.col(made)["decoded"].alias(decoded)] if decoded else []))

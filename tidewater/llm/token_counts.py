@@ -4,7 +4,7 @@ Whole texts are counted. A text falls into stretches that no piece reaches acros
 has met, up to a bound.
 
 Cases: a null or empty text has 0 tokens; unknown characters count one token for each UTF-8 byte; texts of any length pass in
-time that grows with their length; other columns and repeated rows pass through; an empty table stays empty.
+time that grows with their length; a column that is called as the one of the counts gives way to it, other columns and repeated rows pass through; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import alone
+from tidewater.llm.common import alone, others
 from tidewater.llm.unigram import STRETCH, Unigram, escaped, load
 
 
@@ -35,4 +35,4 @@ def counter(spark, model: Unigram | None = None):
 
 def count_tokens(documents: DataFrame, text: str = "text", to: str = "n_tokens", model: Unigram | None = None) -> DataFrame:
     """documents with a column of token counts."""
-    return documents.withColumn(to, counter(documents.sparkSession, model)(F.col(text)))
+    return documents.select(*others(documents.columns, to), counter(documents.sparkSession, model)(F.col(text)).alias(to))

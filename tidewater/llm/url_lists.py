@@ -2,8 +2,10 @@
 
 A list entry says from a day on whether a pattern (a URL, a host, or a parent domain of hosts) is listed. A pattern's entries become disjoint
 validity intervals; every capture asks for its URL, its host and the host's parent domains, and meets the interval that
-holds its fetch day. Intervals are cut at the borders of fixed spans of days and joined by pattern and span, so a pattern that a
-third of the captures ask for is spread over the spans, and one that is listed and delisted often meets each capture at most once.
+holds its fetch day. An interval is covered by blocks of 2**k days that start at multiples of their length, at most two for each k, so by at most 62 rows
+whatever its days are, and an interval without an end is no longer than any other. A capture that asks for a listed pattern looks its day up in the blocks
+of the lengths that this pattern has, and lies in one of them at most for each interval.
+Patterns that very many captures ask for are salted: the captures are dealt over several keys, and the pattern's rows stand under each.
 
 Cases: a URL is lower-cased in scheme and host only; scheme, user, port and fragment are not part of a pattern; a null or empty URL, or one
 without a host, asks for nothing and is allowed; a capture without a fetch day is allowed; entries with a null pattern, day or action
@@ -17,8 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Days of a span.
-SPAN_DAYS = 32
+from tidewater.llm.common import shared_table
+
+#: Bits of a day's number; days count from -2**(DAY_BITS - 1).
+DAY_BITS = 32
+#: Captures that ask for a pattern under one key, about.
+HOT_ASKS = 100_000
+#: Hot patterns up to which they are broadcast; beyond, they are joined.
+BROADCAST_ROWS = 100_000
 
 
 def host(url: Column) -> Column:
@@ -54,15 +62,31 @@ def intervals(entries: DataFrame) -> DataFrame:
     return lines.select("pattern", F.inline(spans)).where("listed").select("pattern", "first_day", "end_day")
 
 
+def covered(first: str, end: str) -> Column:
+    """array<struct<level, node>>: the blocks of 2**level days that make up the days from first to end - 1 (columns; an end that is null is no end)."""
+    a = f"(cast({first} as long) + {1 << DAY_BITS - 1})"
+    b = f"coalesce(cast({end} as long) + {1 << DAY_BITS - 1}, {1 << DAY_BITS})"
+    # the blocks of level k that lie in the interval are those from lo to hi - 1; the outermost ones do not pair up to a larger block
+    edges = f"transform(sequence(0, {DAY_BITS}), k -> named_struct('level', k, 'lo', shiftright({a} + shiftleft(1L, k) - 1, k), 'hi', shiftright({b}, k)))"
+    left = "if(e.lo < e.hi and e.lo % 2 = 1, named_struct('level', e.level, 'node', e.lo), null)"
+    right = "if(e.lo < e.hi and e.hi % 2 = 1, named_struct('level', e.level, 'node', e.hi - 1), null)"
+    return F.expr(f"filter(flatten(transform({edges}, e -> array({left}, {right}))), x -> x is not null)")
+
+
 def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", day: str = "fetch_day", key: str = "page_id") -> DataFrame:
     """captures' key, fetch day, n_listed (patterns of the capture listed on its day), the most specific such pattern and its first_day, and blocked."""
-    last = F.lit(captures.agg(F.max(day)).first()[0]).cast("int")
-    # an interval without an end is only cut as far as captures go
-    open_ = intervals(entries).where(F.col("first_day") <= last)
-    cut = open_.withColumn("span", F.explode(F.sequence(F.floor(F.col("first_day") / SPAN_DAYS), F.floor(F.least(F.col("end_day") - 1, last) / SPAN_DAYS))))
-    listed = cut.select("pattern", "span", "first_day", "end_day")
-    asked = captures.select(F.col(key).alias("key"), F.xxhash64(url).alias("u"), F.col(day).cast(T.IntegerType()).alias("day"), F.explode(patterns(F.col(url))).alias("ask")).where("day is not null").select("key", "u", "day", "ask.rank", "ask.pattern", F.floor(F.col("day") / SPAN_DAYS).alias("span"))
-    met = asked.join(listed, ["pattern", "span"]).where((F.col("day") >= F.col("first_day")) & (F.col("end_day").isNull() | (F.col("day") < F.col("end_day"))))
+    blocks = shared_table(intervals(entries).withColumn("block", F.explode(covered("first_day", "end_day"))).select("pattern", "block.level", "block.node", "first_day"), "blocks")
+    asked = captures.select(F.col(key).alias("key"), F.xxhash64(url).alias("u"), F.col(day).cast(T.IntegerType()).alias("day"), F.explode(patterns(F.col(url))).alias("ask")).where("day is not null").select("key", "u", "day", "ask.rank", "ask.pattern")
+    hot = asked.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ASKS).select("pattern", F.ceil(F.col("n") / HOT_ASKS).cast("int").alias("salts"))
+    hot = shared_table(hot, "hot")
+    salted = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
+    # equal captures fall under one salt, or under several by number
+    spread = asked.join(salted, "pattern", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("key", "u", "day", F.monotonically_increasing_id()), F.col("salts")), F.lit(0).cast("long"))).drop("salts")
+    salts = lambda rows: rows.join(salted, "pattern", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - F.lit(1).cast("long")))).drop("salts")
+    # what nobody lists goes first; the others learn which lengths of blocks their pattern has
+    levels = salts(blocks.groupBy("pattern").agg(F.collect_set("level").alias("levels")))
+    looked = spread.join(levels, ["pattern", "salt"]).withColumn("level", F.explode("levels")).withColumn("node", F.expr(f"shiftright(cast(day as long) + {1 << DAY_BITS - 1}, level)")).drop("levels")
+    met = looked.join(salts(blocks), ["pattern", "salt", "level", "node"])
     hits = met.groupBy("key", "u", "day").agg(F.count_distinct("rank").alias("n_listed"), F.min(F.struct("rank", "pattern", "first_day")).alias("best"))
     mine = captures.select(F.col(key), F.col(day).cast(T.IntegerType()).alias(day), F.xxhash64(url).alias("_u"))
     whole = mine.join(hits, F.col(key).eqNullSafe(hits["key"]) & F.col(day).eqNullSafe(hits["day"]) & (F.col("_u") == hits["u"]), "left")
