@@ -245,25 +245,26 @@ def test_phrases_of_odd_rows(spark, longest):
 
 
 @pytest.mark.parametrize(("shard", "slice_", "held"), [(6 << 20, 50_000, 24 << 20), (40, 7, 24 << 20), (500, 3, 100), (1, 1, 1)])
-@pytest.mark.parametrize("longest", [1, 2, 3, 4])
-def test_stretches_and_slices_count_every_occurrence_once(monkeypatch, longest, shard, slice_, held):
+@pytest.mark.parametrize(("longest", "whole"), [(1, False), (2, False), (3, False), (3, True), (4, True)])
+def test_stretches_and_slices_count_every_occurrence_once(monkeypatch, longest, whole, shard, slice_, held):
     for name, value in (("SHARD_BYTES", shard), ("SLICE", slice_), ("HELD_BYTES", held)):
         monkeypatch.setattr(collocations, name, value)
     rows = [("en" if la is None else la, (text or "")[:3000]) for la, text in TEXTS]
     all_ = [collocations.Filter(np.full(8, 255, np.uint8))] * longest
+    lengths = range(2, longest + 1) if whole else [longest]
     got, want = Counter(), Counter()
     batches = [pa.RecordBatch.from_pydict({"lang": [r[0] for r in part], "text": pa.array([r[1] for r in part], pa.string())}) for part in (rows[:9], rows[9:])]
-    for lang, ids, words in collocations.shards(iter(batches), longest - 1):
+    for lang, ids, words, done in collocations.shards(iter(batches), longest - 1):
         if longest == 1:
             got.update({(lang, w): int((ids == i).sum()) for i, w in enumerate(words) if (ids == i).any()})
         else:
-            for places, n in collocations.mined(ids, collocations.word_hashes(lang, words), longest, all_) if words else []:
+            for places, n in collocations.mined(ids, collocations.word_hashes(lang, words), longest, all_, whole, done) if words else []:
                 for *at, k in zip(*places, n.tolist(), strict=True):
                     got[lang, b" ".join(words[i] for i in at)] += k
     for lang, text in rows:
         for piece in re.split(r"[.,;:!?\x0A-\x0D]", text.translate({c: c + 32 for c in range(65, 91)})):
             words = re.findall(r"[^\x20\x09]+", piece)
-            want.update((lang, " ".join(words[i : i + longest]).encode()) for i in range(len(words) - longest + 1))
+            want.update((lang, " ".join(words[i : i + m]).encode()) for m in lengths for i in range(len(words) - m + 1))
     assert got == want
 
 
@@ -280,7 +281,9 @@ def test_phrases_of_an_empty_table(spark):
 
 def test_scores_beyond_64_bits(spark, monkeypatch):
     big = {"x": 4 * 10**12, "y": 5 * 10**12, "x y": 3 * 10**12, "y x": 10**12}
-    made = {m: spark.createDataFrame([("en", p, n) for p, n in big.items() if p.count(" ") == m - 1] + ([("en", None, 10**13)] if m == 1 else []), "lang string, phrase string, n long") for m in (1, 2)}
-    monkeypatch.setattr(collocations, "phrase_counts", lambda rows, m, filters, least: made[m])
+    singles = spark.createDataFrame([("en", p, i, n) for i, (p, n) in enumerate(big.items()) if " " not in p] + [("en", None, 0, 10**13)], "lang string, phrase string, h long, n long")
+    pairs = spark.createDataFrame([("en", p, 2, n) for p, n in big.items() if " " in p], "lang string, phrase string, words int, n long")
+    monkeypatch.setattr(collocations, "word_counts", lambda rows, least: singles)
+    monkeypatch.setattr(collocations, "phrase_counts", lambda rows, longest, filters, least: pairs)
     got = collocations.collocations(spark.createDataFrame([], "lang string, text string"), longest=2).collect()
     assert {r.phrase: r.score for r in got} == {p: 10**6 * a * a // (big["x"] * big["y"]) for p, a in big.items() if " " in p}

@@ -5,9 +5,9 @@ compressed to the containers of 8 positions that hold some. A phrase's bitmap is
 ANDed with the next word's, whose popcount is the number of occurrences. Phrases are extended depth-first: for a slice of first words all their extensions,
 then the extensions of these, before the next slice. Popcounts are summed over all shards.
 
-The corpus is gone through once for each phrase length, as a phrase can only be frequent if what it begins and ends with is frequent. What is frequent travels as
-a filter of FILTER_BITS bits at most, in which every frequent phrase has its bit: a phrase that shares a bit is counted without need, and none is missed. The filter bounds what is
-sent, not what is found: counts below the least are cut from the sums.
+The corpus is gone through once for each phrase length, as a phrase can only be frequent if what it begins and ends with is frequent. Passes before the last only count
+hashes of phrases of one length more; from these comes a filter of FILTER_BITS bits at most, in which every frequent phrase has its bit. The last pass counts the phrases of
+all lengths that the filters hold, by their words: a phrase that shares a bit or a hash is counted without need, none is missed, and counts below the least are cut from the sums.
 
 Long texts go through in stretches that repeat the last words but one of a phrase's length, so every occurrence is counted once and no task holds more than a stretch.
 
@@ -33,7 +33,7 @@ from tidewater.llm.common import binary, mix, shared_table
 #: Occurrences of a candidate, words of the longest ones, percent of a candidate's occurrences from which a longer one stands for it, ranks told.
 LEAST, LONGEST, COVERED, TOP = 10, 3, 50, 2_000
 #: Bytes of a shard's text, and of all texts that a task holds until one of its languages has as many.
-SHARD_BYTES, HELD_BYTES = 6 << 20, 24 << 20
+SHARD_BYTES, HELD_BYTES = 4 << 20, 12 << 20
 #: Containers of phrases that are extended at once.
 SLICE = 50_000
 #: Bits of a filter at most (a power of two), bits for each frequent phrase below that, and bits of a part of a filter.
@@ -89,8 +89,11 @@ def bitmaps(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word[begins], block[begins], np.bitwise_or.reduceat(bit, begins) if len(at) else bit
 
 
-def mined(ids: np.ndarray, hashes: np.ndarray, longest: int, filters: list[Filter]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """Phrases of `longest` words whose beginnings and ends the filters (of 1, 2, ... words) hold: numbers of their words, and occurrences. A phrase may come several times."""
+def mined(ids: np.ndarray, hashes: np.ndarray, longest: int, filters: list[Filter], all_lengths: bool = False, done: int = 0) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Phrases of `longest` words (or of two and more) whose beginnings and ends the filters (of 1, 2, ... words) hold: numbers of their words, and occurrences.
+
+    A phrase may come several times. Phrases that have a filter of their own length are told if it holds them. Those that end before position `done` have been told before.
+    """
     ids = np.where((ids >= 0) & filters[0].holds(hashes)[ids], ids, -1)
     word, block, bits = bitmaps(ids)
     by = np.argsort(block, kind="stable")
@@ -117,35 +120,39 @@ def mined(ids: np.ndarray, hashes: np.ndarray, longest: int, filters: list[Filte
         words = [*(w[found // len(hashes)] for w in words), found % len(hashes)]
         # the beginning has been looked up on the way
         fit = filters[len(words) - 2].holds(phrase_hashes([hashes[w] for w in words[1:]])) if len(words) > 2 else np.ones(len(found), bool)
-        if len(words) < longest:
+        if len(words) <= len(filters):
             fit &= filters[len(words) - 1].holds(phrase_hashes([hashes[w] for w in words]))
-            stay = fit[which]
-            if stay.any():
-                yield from deeper(words, which[stay], block[stay], bits[stay])
-        elif fit.any():
-            yield [w[fit] for w in words], np.bincount(which, weights=np.bitwise_count(bits), minlength=len(found))[fit].astype(np.int64)
+        stay = fit[which]
+        if (len(words) == longest or all_lengths) and fit.any():
+            new = bits & (255 << np.clip(done - 8 * block, 0, 8) & 255).astype(np.uint8)
+            n = np.bincount(which, weights=np.bitwise_count(new), minlength=len(found)).astype(np.int64)
+            fit &= n > 0
+            yield [w[fit] for w in words], n[fit]
+        if len(words) < longest and stay.any():
+            yield from deeper(words, which[stay], block[stay], bits[stay])
 
     for a in range(0, len(word), SLICE):
         first, prefix = np.unique(word[a : a + SLICE], return_inverse=True)
         yield from deeper([first], prefix, block[a : a + SLICE], bits[a : a + SLICE])
 
 
-def shards(parts: Iterator[pa.RecordBatch], overlap: int) -> Iterator[tuple[str, np.ndarray, list[bytes]]]:
-    """Languages, word numbers (-1: end of a piece) and words of stretches of about SHARD_BYTES. What runs across a cut is repeated by `overlap` words."""
+def shards(parts: Iterator[pa.RecordBatch], overlap: int) -> Iterator[tuple[str, np.ndarray, list[bytes], int]]:
+    """Languages, word numbers (-1: end of a piece) and words of stretches of about SHARD_BYTES, and how many of the numbers repeat the stretch before: `overlap` where one was cut."""
     held: dict[str, list[bytes]] = {}
     sizes: dict[str, int] = {}
 
-    def told(lang: str) -> Iterator[tuple[str, np.ndarray, list[bytes]]]:
+    def told(lang: str) -> Iterator[tuple[str, np.ndarray, list[bytes], int]]:
         data, at, rest = END.join(held.pop(lang)).translate(BYTES), 0, []
         sizes.pop(lang)
         while at < len(data):
             cut = CUT.search(data, at + SHARD_BYTES) if len(data) - at > 2 * SHARD_BYTES else None
             end = cut.start() if cut else len(data)
             words = rest + data[at:end].replace(END, b" \xff ").split()
-            at, rest = end, words[max(0, len(words) - overlap) :] if overlap else []
-            numbers = Numbers({END: 0})
+            numbers, done = Numbers({END: 0}), len(rest)
             ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)) - 1
-            yield lang, ids, list(numbers)[1:]
+            at, rest = end, words[max(0, len(words) - overlap) :] if overlap else []
+            del words
+            yield lang, ids, list(numbers)[1:], done
 
     for part in parts:
         for lang, text in zip(part["lang"].to_pylist(), binary(part["text"]), strict=True):
@@ -157,48 +164,59 @@ def shards(parts: Iterator[pa.RecordBatch], overlap: int) -> Iterator[tuple[str,
         yield from told(lang)
 
 
-def phrase_counts(rows: DataFrame, longest: int, filters: list[Filter], least: int) -> DataFrame:
-    """lang, phrase, n of the phrases of `longest` words that occur `least` times or more in rows (lang, text); for single words a row without a phrase has the number of all. Written."""
+def word_counts(rows: DataFrame, least: int) -> DataFrame:
+    """lang, phrase, h (hash), n of the words that occur `least` times or more in rows (lang, text), and for each lang a row without a phrase that has the number of all. Written."""
+
+    def told(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, ids, words, _ in shards(parts, 0):
+            counts = np.bincount(ids[ids >= 0], minlength=len(words))
+            hashes = np.append(word_hashes(lang, words), np.uint64(0)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hashes)), pa.array([*words, None], pa.binary()).cast(pa.string()), pa.array(hashes), pa.array(np.append(counts, counts.sum()))], ["lang", "phrase", "h", "n"])
+
+    counted = rows.mapInArrow(told, "lang string, phrase string, h long, n long").groupBy("lang", "phrase", "h").agg(F.sum("n").alias("n"))
+    return shared_table(counted.where((F.col("n") >= least) | F.col("phrase").isNull()), "words")
+
+
+def frequent_hashes(rows: DataFrame, length: int, filters: list[Filter], least: int) -> DataFrame:
+    """h: hashes of phrases of `length` words that occur `least` times or more; written."""
     sent = rows.sparkSession.sparkContext.broadcast(filters)  # FILTER_BITS each at most
 
     def told(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["lang", "phrase", "n"]
-        for lang, ids, words in shards(parts, longest - 1):
-            if longest == 1:
-                counts = np.bincount(ids[ids >= 0], minlength=len(words))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(words) + 1)), pa.array([*words, None], pa.binary()).cast(pa.string()), pa.array(np.append(counts, counts.sum()))], names)
-            elif words:
-                spelt = pa.array(words, pa.binary()).cast(pa.string())
-                for places, n in mined(ids, word_hashes(lang, words), longest, sent.value):
-                    phrases = pa.compute.binary_join_element_wise(*(spelt.take(pa.array(w)) for w in places), " ")
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), phrases, pa.array(n)], names)
-
-    counted = rows.mapInArrow(told, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    return shared_table(counted.where((F.col("n") >= least) | F.col("phrase").isNull()), "phrases")
-
-
-def phrase_filter(phrases: DataFrame) -> Filter:
-    """The filter of phrases (lang, phrase), built in parts of PART_BITS."""
-    wanted = BITS_EACH * max(1, phrases.count())
+        for lang, ids, words, _ in shards(parts, length - 1):
+            hashes = word_hashes(lang, words)
+            for places, n in mined(ids, hashes, length, sent.value) if words else []:
+                yield pa.RecordBatch.from_arrays([pa.array(phrase_hashes([hashes[w] for w in places]).view(np.int64)), pa.array(n)], ["h", "n"])
+
+    counted = rows.mapInArrow(told, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return shared_table(counted.where(F.col("n") >= least).select("h"), "hashes")
+
+
+def phrase_counts(rows: DataFrame, longest: int, filters: list[Filter], least: int) -> DataFrame:
+    """lang, phrase, words (their number), n of the phrases of two to `longest` words that occur `least` times or more; written."""
+    sent = rows.sparkSession.sparkContext.broadcast(filters)
+
+    def told(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, ids, words, done in shards(parts, longest - 1):
+            spelt = pa.array(words, pa.binary()).cast(pa.string())
+            for places, n in mined(ids, word_hashes(lang, words), longest, sent.value, True, done) if words else []:
+                phrases = pa.compute.binary_join_element_wise(*(spelt.take(pa.array(w)) for w in places), " ")
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), phrases, pa.array(np.full(len(n), len(places), np.int32)), pa.array(n)], ["lang", "phrase", "words", "n"])
+
+    counted = rows.mapInArrow(told, "lang string, phrase string, words int, n long").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
+    return shared_table(counted.where(F.col("n") >= least), "phrases")
+
+
+def phrase_filter(hashes: DataFrame) -> Filter:
+    """The filter of phrases (h), built in parts of PART_BITS."""
+    wanted = BITS_EACH * max(1, hashes.count())
     size = min(FILTER_BITS, max(PART_BITS, 1 << (wanted - 1).bit_length()))
-    shift = np.uint64(64 - (size - 1).bit_length())
-
-    def placed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            hashes = np.zeros(part.num_rows, np.uint64)
-            split = [x.split(b" ") for x in binary(part["phrase"])]
-            langs = np.array(part["lang"].to_pylist(), object)
-            for lang in set(langs):
-                at = np.flatnonzero(langs == lang)
-                hashes[at] = phrase_hashes([word_hashes(lang, list(words)) for words in zip(*(split[i] for i in at), strict=True)])
-            yield pa.RecordBatch.from_arrays([pa.array((hashes >> shift).astype(np.int64))], ["bit"])
 
     def built(part: pa.Table) -> pa.Table:
         bits = np.zeros(PART_BITS, np.uint8)
         bits[part["bit"].to_numpy() % PART_BITS] = 1
         return pa.table({"part": part["part"].slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()])})
 
-    bits = phrases.select("lang", "phrase").mapInArrow(placed, "bit long").distinct().withColumn("part", F.floor(F.col("bit") / PART_BITS))
+    bits = hashes.select(F.shiftrightunsigned("h", 64 - (size - 1).bit_length()).alias("bit")).distinct().withColumn("part", F.floor(F.col("bit") / PART_BITS))
     out = np.zeros(size // 8, np.uint8)
     for row in bits.groupBy("part").applyInArrow(built, "part long, bits binary").toLocalIterator():
         out[row["part"] * PART_BITS // 8 : (row["part"] + 1) * PART_BITS // 8] = np.frombuffer(row["bits"], np.uint8)
@@ -222,17 +240,13 @@ def best_of(scored: DataFrame, top: int) -> DataFrame:
 def collocations(documents: DataFrame, least: int = LEAST, longest: int = LONGEST, covered: int = COVERED, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's best phrases of documents (lang, text)."""
     rows = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    counts, filters = [], []
-    for m in range(1, longest + 1):
-        counts.append(phrase_counts(rows, m, filters, least))
-        if m < longest:
-            filters.append(phrase_filter(counts[-1].where(F.col("phrase").isNotNull())))
-    every = counts[0].where(F.col("phrase").isNotNull())
-    for x in counts[1:-1]:
-        every = every.unionByName(x)
-    candidates = counts[1]
-    for x in counts[2:]:
-        candidates = candidates.unionByName(x)
+    single = word_counts(rows, least)
+    known = single.where(F.col("phrase").isNotNull())
+    filters = [phrase_filter(known.select("h"))]
+    for m in range(2, longest):
+        filters.append(phrase_filter(frequent_hashes(rows, m, filters, least)))
+    candidates = phrase_counts(rows, longest, filters, least)
+    every = known.select("lang", "phrase", "n").unionByName(candidates.where(F.col("words") < longest).select("lang", "phrase", "n"))
     words = F.split("phrase", " ")
     cut = candidates.select("lang", "phrase", F.col("n").alias("a"), words.alias("words")).withColumn("k", F.explode(F.sequence(F.lit(1), F.size("words") - 1)))
     parted = cut.select("lang", "phrase", "a", "k", _joined(F.col("words"), 1, F.col("k")).alias("left"), _joined(F.col("words"), F.col("k") + 1, F.size("words") - F.col("k")).alias("right"))
@@ -242,13 +256,10 @@ def collocations(documents: DataFrame, least: int = LEAST, longest: int = LONGES
     lowest = met.groupBy("lang", "phrase", "a").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("_cut"))
     scored = lowest.select("lang", "phrase", "a", "_cut.l", "_cut.r", "_cut.score")
     if longest > 2:
-        inner = counts[2]
-        for x in counts[3:]:
-            inner = inner.unionByName(x)
         spans = F.flatten(F.transform(F.sequence(F.lit(2), F.size(words) - 1), lambda m: F.transform(F.sequence(F.lit(1), F.size(words) - m + 1), lambda i: _joined(words, i, m))))
-        longer = inner.select("lang", F.explode(spans).alias("phrase"), "n").groupBy("lang", "phrase").agg(F.max("n").alias("_longer"))
-        scored = scored.join(longer, ["lang", "phrase"], "left").where(F.coalesce(100 * F.col("_longer") < covered * F.col("a"), F.lit(True))).drop("_longer")
+        inside = candidates.where(F.col("words") > 2).select("lang", F.explode(spans).alias("phrase"), "n").groupBy("lang", "phrase").agg(F.max("n").alias("_longer"))
+        scored = scored.join(inside, ["lang", "phrase"], "left").where(F.coalesce(100 * F.col("_longer") < covered * F.col("a"), F.lit(True))).drop("_longer")
     best = best_of(shared_table(scored, "scored"), top)
     ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")).cast("long")).where(F.col("rank") <= top)
-    total = counts[0].where(F.col("phrase").isNull()).select("lang", "n")
+    total = single.where(F.col("phrase").isNull()).select("lang", "n")
     return ranked.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
