@@ -329,7 +329,7 @@ def test_hot_words_of_long_and_short_documents(spark):
 def test_word_totals_beyond_32_bits():
     words = pitman_yor._planes(np.array([5, 2], np.uint64), 7)
     none = pitman_yor._ints(np.zeros(0))
-    asked = [(g, 0, words, pitman_yor._ints(np.array([3_000_000_000, 7])), none, none) for g in (0, 1)]
+    asked = [(g, 0, words, pitman_yor._ints(np.array([3_000_000_000, 7])), pitman_yor._ints(np.array([1, 1])), none, none, none) for g in (0, 1)]
     got = pitman_yor.count_slice(pitman_yor._table(pitman_yor.FIRST, asked)).to_pylist()
     assert [(r["tokens"], r["types"], pitman_yor._from_ints(r["customers"]).tolist()) for r in got] == [(6_000_000_014, 2, [6_000_000_000, 14])] * 2
 

@@ -7,10 +7,14 @@ down again one after the other, given the others' tables of the round before and
 again in turn. The first round starts from one table for each dish and corpus-wide word shares; BURN rounds later every round is a sample, and
 the predictive probabilities are averaged over the samples, each with its own tables of contexts and parent.
 
-The tokens of a batch of documents are packed by context; a group of contexts is one task's arrays. Contexts that hold a large share of all tokens are
-spread by pair, and their tables are summed over the groups after every round, so no task grows with one word and they are sampled like any other. Random numbers are hashes of
-(context, word, round, customer), so seating does not depend on groups, batches or partitions. Words go to the tasks that need them by request and answer,
-and probabilities return to the documents as sums for each batch.
+The tokens of a batch of documents are packed by context, as (pair, document, times); a group of contexts is one task's arrays. Frequent words are written as numbers by
+frequency, which all tasks know (CODES at most), others by their hashes, so what a token takes does not depend on the number of groups. Contexts that hold a large share of all tokens are
+spread by pair, and their tables are summed over the groups after every round. Pairs that do are dealt over several groups by batch: each of these scores its part of the tokens, all seat the
+pair's customers of the whole corpus and find the same tables, and one of them counts. So no task grows with one word or one pair, and they are sampled like any other. Random numbers are hashes of
+(context, word, round, customer), so seating does not depend on groups, batches or partitions.
+
+Words are dealt by hash into slices. A group tells a slice its words and their counts once; in the rounds it tells where dishes have more than one table, which few have, and the slice answers
+where words have more customers in the parent than dishes. Probabilities return to the documents as sums for each batch.
 
 Cases: a null or empty text is one end token; the end also stands before a text's first word; rows score apart even if they repeat or lack a doc_id (which
 counts as empty text for the fold); words that training does not hold are the unknown word; with no training rows every probability is that of the unknown word;
@@ -42,8 +46,12 @@ BURN, SAMPLES = 1, 3
 LONG, FEW, BLOCK = 64, 16, 8_192
 #: Characters of text for each group of contexts, about; words of a batch.
 GROUP_CHARS, BATCH_WORDS = 14_000_000, 1_000_000
-#: A word's bits. Shares of a group's tokens from which a context is spread.
+#: A word's bits. Shares of a group's tokens from which a context is spread, and a pair is dealt over several groups.
 BITS, HOT = 56, 0.25
+#: Frequent words that are written as numbers, at most, and occurrences in a batch from which it reports a word. Groups for each slice of words, and slices at least.
+CODES, REPORTED, GROUPS_EACH, SLICES = 1 << 18, 8, 4, 12
+#: Binary places of sums of logarithms under way.
+PLACES = 40
 SEED = 11
 
 MASK = np.uint64((1 << BITS) - 1)
@@ -148,60 +156,110 @@ def seat(customers: np.ndarray, prior: np.ndarray, other: np.ndarray, discount:
     return tables
 
 
-class Group:
-    """All tokens of a group of contexts, as numbers of distinct words."""
+class Shared:
+    """What all tasks know: the hot contexts (ascending), the words that are written as numbers, and the hot pairs with the number of groups that each is dealt over."""
+
+    def __init__(self, hot: np.ndarray, coded: np.ndarray, pairs: np.ndarray, parts: np.ndarray) -> None:
+        """pairs: (n, 2), ascending by their keys."""
+        self.hot, self.coded, self.parts = hot, coded, parts
+        keys = _pair_keys(pairs[:, 0], pairs[:, 1])
+        order = np.argsort(keys)
+        self.keys, self.pairs, self.parts = keys[order], pairs[order], parts[order]
+
+    def pair_at(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Places of pairs among the hot ones; -1 for others."""
+        if not len(self.keys):
+            return np.full(len(context), -1)
+        at = np.minimum(np.searchsorted(self.keys, _pair_keys(context, token)), len(self.keys) - 1)
+        return np.where((self.pairs[at, 0] == context) & (self.pairs[at, 1] == token), at, -1)
+
+
+def _pair_keys(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return mix(context * np.uint64(0x9E3779B97F4A7C15) + token)
 
-    def __init__(self, part: pa.Table, hot: np.ndarray) -> None:
-        self.batch = part["batch"].to_numpy()
-        words = [np.cumsum(_unplanes(x, 7), dtype=np.uint64) for x in part["words"].to_pylist()]
+
+class Group:
+    """All tokens of a group of contexts, as (pair, document, times), in numbers of distinct words."""
+
+    def __init__(self, part: pa.Table, shared: Shared) -> None:
+        parts, words = [], []
+        for rare, contexts, tokens in zip(*(part[c].to_pylist() for c in ("words", "contexts", "tokens")), strict=True):
+            known = np.concatenate([shared.coded, np.cumsum(_unplanes(rare, 7), dtype=np.uint64)])
+            c, t = np.cumsum(_unplanes(contexts, 4)).astype(np.int64), _unplanes(tokens, 4).astype(np.int64)
+            used, at = np.unique(np.concatenate([c, t]), return_inverse=True)
+            words.append(known[used])
+            parts.append((at[: len(c)].astype(np.int32), at[len(c) :].astype(np.int32)))
         self.words = _distinct(np.concatenate(words))
-        place = [np.searchsorted(self.words, w).astype(np.int64) for w in words]
-        self.context = np.concatenate([p[np.cumsum(_unplanes(x, 4)).astype(np.int64)] for p, x in zip(place, part["contexts"].to_pylist(), strict=True)])
-        self.token = np.concatenate([p[_unplanes(x, 4).astype(np.int64)] for p, x in zip(place, part["tokens"].to_pylist(), strict=True)])
+        place = [np.searchsorted(self.words, w) for w in words]
+        self.context = np.concatenate([p[c] for p, (c, _) in zip(place, parts, strict=True)])
+        self.token = np.concatenate([p[t] for p, (_, t) in zip(place, parts, strict=True)])
         docs = [_unplanes(x, 4).astype(np.int64) for x in part["docs"].to_pylist()]
+        self.times = np.concatenate([_unplanes(x, 4).astype(np.int64) for x in part["times"].to_pylist()])
         train = [_expand(x, bool) for x in part["train"].to_pylist()]
         self.train = np.concatenate([t[d] for t, d in zip(train, docs, strict=True)])
-        self.sizes = [len(t) for t in train]
-        base = np.cumsum([0, *self.sizes])
-        self.doc = np.concatenate([d + b for d, b in zip(docs, base, strict=False)])
-        self.base = base
-        pair = self.context << 32 | self.token
-        self.pairs, self.customers = np.unique(pair[self.train], return_counts=True)
-        self.pair = pair
+        self.base = np.cumsum([0, *map(len, train)])
+        self.doc = np.concatenate([d + b for d, b in zip(docs, self.base, strict=False)])
+        self.pair = self.context << 32 | self.token
+        self.pairs, which = np.unique(self.pair[self.train], return_inverse=True)
+        self.customers = np.bincount(which, weights=self.times[self.train], minlength=len(self.pairs)).astype(np.int64)
         self.pair_context, self.pair_word = self.pairs >> 32, self.pairs & 0xFFFFFFFF
-        self.is_hot = np.isin(self.words, hot)
+        self.is_hot = np.isin(self.words, shared.hot)
         self.asked = np.flatnonzero(np.bincount(self.token, minlength=len(self.words)))  # words with an answer, ascending
+        self.hot_pair = shared.pair_at(self.words[self.pair_context], self.words[self.pair_word])
+        #: Pairs whose tables this group counts.
+        self.mine = self.hot_pair < 0
 
     def of_context(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.pair_context, weights=weights, minlength=len(self.words)).astype(np.int64)
 
+    def of_word(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.pair_word, weights=weights, minlength=len(self.words)).astype(np.int64)[self.asked]
+
     def sweep(self, tables: np.ndarray, prior: np.ndarray, total: np.ndarray, turn: int) -> np.ndarray:
         """One sweep over all restaurants. total: tables of each context, over all groups."""
         key = _keys(self.words[self.pair_context], self.words[self.pair_word], turn)
         return seat(self.customers, prior[self.pair_word], total[self.pair_context] - tables, DISCOUNT, STRENGTH, key)
 
 
-def _hot_words(rows: DataFrame, groups: int) -> np.ndarray:
-    """Words that hold more than HOT of a group's share of all tokens: about groups / HOT of them at most. They only steer the dealing.
+def _frequent(rows: DataFrame, groups: int) -> Shared:
+    """Words and pairs that hold more than HOT of a group's share of all tokens (about groups / HOT of either at most), and the most frequent words. They only steer the dealing and writing.
 
-    Counted over all tokens; a batch reports its number of tokens and the words with half of that share or more in it.
+    Counted over all tokens; a batch reports its number of tokens, the words with REPORTED occurrences or half of that share in it, and pairs with half of that share.
     """
     share = HOT / groups
 
     def frequent(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, _, texts in _batches(parts):
             tokens, _ = _tokens(texts)
-            words, n = np.unique(tokens, return_counts=True)
+            words, which, n = np.unique(tokens, return_inverse=True, return_counts=True)
             often = n >= share / 2 * len(tokens)
-            # the number of tokens stands under -1, which is no word
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(words[often].astype(np.int64), -1)), pa.array(np.append(n[often].astype(np.int64), len(tokens)))], ["word", "n"])
-
-    counted = shared_table(rows.mapInArrow(frequent, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "frequent")
+            after = np.concatenate([[int(END)], tokens[:-1]]).astype(np.uint64)
+            both = np.flatnonzero(often[which] & (np.r_[often[np.searchsorted(words, END)], often[which[:-1]]]))
+            pairs, k = np.unique(np.stack([after[both], tokens[both]], 1), axis=0, return_counts=True)
+            pairs, k = pairs[k >= share / 2 * len(tokens)], k[k >= share / 2 * len(tokens)]
+            told = often | (n >= REPORTED)
+            # the number of tokens stands under -1, which is no word; a word alone has -1 for the other
+            one = [np.append(words[told].astype(np.int64), -1), pairs[:, 0].astype(np.int64)]
+            other = [np.full(told.sum() + 1, -1), pairs[:, 1].astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(one)), pa.array(np.concatenate(other)), pa.array(np.concatenate([np.append(n[told], len(tokens)), k]).astype(np.int64))], ["word", "other", "n"])
+
+    counted = shared_table(rows.mapInArrow(frequent, "word long, other long, n long").groupBy("word", "other").agg(F.sum("n").alias("n")), "frequent")
     whole = counted.where(F.col("word") == -1).first()
     if whole is None:
-        return np.array([int(END)], np.uint64)
-    found = counted.where((F.col("n") >= share * whole["n"]) & (F.col("word") >= 0)).select("word").toPandas()["word"].to_numpy()
-    return np.unique(np.append(found.astype(np.uint64), END))
+        return Shared(np.array([int(END)], np.uint64), np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64), np.zeros(0, np.int64))
+    words = counted.where((F.col("word") >= 0) & (F.col("other") < 0))
+    found = words.where(F.col("n") >= share * whole["n"]).select("word").toPandas()["word"].to_numpy()
+    pairs = counted.where((F.col("other") >= 0) & (F.col("n") >= share * whole["n"])).select("word", "other", "n").toPandas()
+    # as many doublings of the number of occurrences as leave CODES words
+    numbers = words.agg(*[F.count_if(F.col("n") >= 1 << k).alias(f"n{k}") for k in range(62)]).first()
+    least = 1 << next((k for k in range(62) if numbers[k] <= CODES), 62)
+    coded = words.where(F.col("n") >= least).toPandas().sort_values(["n", "word"], ascending=[False, True])["word"].to_numpy(np.int64)
+    parts = np.ceil(pairs["n"].to_numpy() / (share * whole["n"])).astype(np.int64)
+    return Shared(np.unique(np.append(found.astype(np.uint64), END)), coded.astype(np.uint64), pairs[["word", "other"]].to_numpy(np.int64).astype(np.uint64), parts)
+
+
+def _hot_words(rows: DataFrame, groups: int) -> np.ndarray:
+    return _frequent(rows, groups).hot
 
 
 def _table(schema: str, rows: list[tuple]) -> pa.Table:
@@ -230,67 +288,93 @@ def _summed(part: pa.Table, column: str) -> bytes:
     return _ints(np.sum([_from_ints(x) for x in part[column].to_pylist()], axis=0))
 
 
+def _fixed(values: np.ndarray) -> tuple[int, bytes]:
+    """Sums of logarithms (0 or below) as whole numbers of as many binary places as they have room for."""
+    places = min(PLACES, 62 - max(1, int(-values.min(initial=0)).bit_length()))
+    return places, _ints(np.rint(-values * 2.0**places).astype(np.int64))
+
+
 #: What groups (g) tell slices of words (q), and what these answer; a group's own state travels along under a negative q.
-FIRST = "g long, q long, words binary, counts binary, hot_n binary, hot_m binary"
-TOLD = "g long, q long, ranks binary, tables binary, own binary, hot_m binary, start long, types long, grand long, state array<binary>"
-ANSWER = "g long, q long, ranks binary, customers binary, own binary, hot_n binary, hot_m binary, tokens long, types long, size long, parents long, grand long, state array<binary>"
+FIRST = "g long, q long, words binary, counts binary, dishes binary, hot_n binary, hot_m binary, pair_n binary"
+TOLD = "g long, q long, tables binary, own binary, hot_m binary, types long, grand long, state array<binary>"
+ANSWER = "g long, q long, customers binary, dishes binary, own binary, hot_n binary, hot_m binary, pair_n binary, pair_at binary, tokens long, types long, parents long, grand long, state array<binary>"
 
 
-def count_slice(part: pa.Table) -> pa.Table:
-    """Corpus-wide training counts (64 bits, as all totals) of a slice's words, the words' ranks in the slice, and customers and dishes of its hot contexts."""
+def _slice(part: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """A slice's words, which of them each group has told (one behind the other), and the same for each group."""
     words = [np.cumsum(_unplanes(x, 7), dtype=np.uint64) for x in part["words"].to_pylist()]
     found, which = np.unique(np.concatenate(words), return_inverse=True)
-    counts = np.bincount(which, weights=_joined(part, "counts")).astype(np.int64)
-    ends = np.cumsum([len(w) for w in words])[:-1]
-    same = None, _summed(part, "hot_n"), _summed(part, "hot_m"), int(counts.sum()), int((counts > 0).sum()), len(found), None, None, None
-    return _table(ANSWER, [(g, q, _planes(np.diff(r, prepend=0), 4), _ints(counts[r]), *same) for g, q, r in zip(part["g"].to_pylist(), part["q"].to_pylist(), np.split(which, ends), strict=True)])
-
-
-def seat_slice(part: pa.Table, turn: int) -> pa.Table:
-    """The parent's customers and tables for a slice's words, and the tables of its hot contexts."""
-    if part["q"][0].as_py() < 0:
-        return _table(ANSWER, [(g, q, *[None] * 10, state) for g, q, state in zip(*(part[c].to_pylist() for c in ("g", "q", "state")), strict=True)])
-    ranks = [np.cumsum(_unplanes(x, 4)).astype(np.int64) for x in part["ranks"].to_pylist()]
-    which = np.concatenate(ranks)
-    customers = np.bincount(which, weights=_joined(part, "tables")).astype(np.int64)
-    own = np.zeros(len(customers), np.int64)
+    return found, which, np.split(which, np.cumsum([len(w) for w in words])[:-1])
+
+
+def count_slice(part: pa.Table) -> pa.Table:
+    """Corpus-wide training counts (64 bits, as all totals) and dishes of a slice's words, customers and dishes of its hot contexts, and customers of its hot pairs with the group that counts their tables."""
+    part = part.sort_by("g")
+    found, which, ranks = _slice(part)
+    counts = np.bincount(which, weights=_joined(part, "counts"), minlength=len(found)).astype(np.int64)
+    dishes = np.bincount(which, weights=_joined(part, "dishes"), minlength=len(found)).astype(np.int64)
+    g = part["g"].to_numpy()
+    customers = np.array([_from_ints(x) for x in part["pair_n"].to_pylist()])
+    first = g[np.argmax(customers > 0, axis=0)] if customers.size else np.zeros(0, np.int64)
+    same = None, _summed(part, "hot_n"), _summed(part, "hot_m"), _summed(part, "pair_n"), _ints(first), int(counts.sum()), int((counts > 0).sum()), None, None, None
+    return _table(ANSWER, [(i, q, _ints(counts[r]), _ints(dishes[r]), *same) for i, q, r in zip(g.tolist(), part["q"].to_pylist(), ranks, strict=True)])
+
+
+def seat_slice(first: pa.Table, part: pa.Table, turn: int) -> pa.Table:
+    """The parent's customers (beyond one for each dish) and tables for a slice's words, and the tables of its hot contexts. first: what groups told in the beginning."""
+    if not first.num_rows:
+        return _table(ANSWER, [(g, q, *[None] * 11, state) for g, q, state in zip(*(part[c].to_pylist() for c in ("g", "q", "state")), strict=True)])
+    first, part = first.sort_by("g"), part.sort_by("g")
+    found, which, ranks = _slice(first)
+    dishes = np.bincount(which, weights=_joined(first, "dishes"), minlength=len(found)).astype(np.int64)
+    more = np.bincount(which, weights=_joined(part, "tables"), minlength=len(found)).astype(np.int64)
+    own = np.zeros(len(found), np.int64)
     own[which] = _joined(part, "own")
-    start, types, grand = (part[c][0].as_py() for c in ("start", "types", "grand"))
-    # a word's key is its place among all words
-    own = seat(customers, np.full(len(own), 1 / (types + 1)), grand - own, PARENT_DISCOUNT, PARENT_STRENGTH, _keys(start + np.arange(len(own)), turn, 1))
-    same = None, _summed(part, "hot_m"), None, None, None, int(customers.sum()), int(own.sum()), None
-    return _table(ANSWER, [(g, q, ranked, _ints(customers[r]), _ints(own[r]), *same) for g, q, ranked, r in zip(*(part[c].to_pylist() for c in ("g", "q", "ranks")), ranks, strict=True)])
+    types, grand = (part[c][0].as_py() for c in ("types", "grand"))
+    own = seat(dishes + more, np.full(len(own), 1 / (types + 1)), grand - own, PARENT_DISCOUNT, PARENT_STRENGTH, _keys(found, turn, 1))
+    same = None, _summed(part, "hot_m"), None, None, None, None, int((dishes + more).sum()), int(own.sum()), None
+    return _table(ANSWER, [(g, q, _ints(more[r]), None, _ints(own[r]), *same) for g, q, r in zip(*(part[c].to_pylist() for c in ("g", "q")), ranks, strict=True)])
 
 
 class Seating:
     """A group's seating after the answers of a round: tables of its pairs, what its words have in the parent, and the samples so far."""
 
-    def __init__(self, group: Group, right: pa.Table, turn: int, hot: np.ndarray) -> None:
+    def __init__(self, g: int, group: Group, right: pa.Table, turn: int, shared: Shared) -> None:
         self.group = group
-        self.answers = answers = right.filter(pa.compute.greater_equal(right["q"], 0)).sort_by("q")
+        answers = right.filter(pa.compute.greater_equal(right["q"], 0)).sort_by("q")
         sums = lambda c: sum(answers[c].to_pylist())
         customers, hot_m = _joined(answers, "customers"), _joined(answers, "hot_m")
         self.samples: list[np.ndarray] = []
         if turn == 0:
             self.tokens, self.types = sums("tokens"), sums("types")
-            sizes = np.array(answers["size"].to_pylist())
-            self.starts, self.counts, self.hot_n = np.cumsum(sizes) - sizes, customers, _joined(answers, "hot_n")
+            self.counts, self.dishes, self.hot_n, self.pair_n, self.pair_at = customers, *(_joined(answers, c) for c in ("dishes", "hot_n", "pair_n", "pair_at"))
+            # the dishes of the hot pairs, which no group has counted
+            hot_m = hot_m + np.bincount(np.searchsorted(shared.hot, shared.pairs[self.pair_n > 0, 0]), minlength=len(shared.hot))
+            self.of_pairs(g)
             self.tables, self.summed = np.minimum(group.customers, 1), np.zeros(len(group.pairs), np.int64)
             self.own, self.grand = np.minimum(customers, 1), self.types
             self.prior = np.full(len(group.words), 1 / (self.tokens + self.types + 1))
             self.prior[group.asked] = (customers + 1) / (self.tokens + self.types + 1)
         else:
             (state,) = right.filter(pa.compute.less(right["q"], 0))["state"].to_pylist()
-            (self.tokens, self.types), self.starts, self.counts, self.hot_n, self.tables, self.summed, *held = map(_from_ints, state)
-            bases = self.bases()
-            self.samples = [bases[i % 4] - x if i % 4 == 1 else bases[i % 4] + x for i, x in enumerate(held)]
+            (self.tokens, self.types), self.counts, self.dishes, self.hot_n, self.pair_n, self.pair_at, self.tables, self.summed, *held = map(_from_ints, state)
+            self.of_pairs(g)
+            self.samples = [x + b for x, b in zip(held, self.bases() * (len(held) // 4), strict=True)]
+            customers = self.dishes + customers
             self.own, self.grand = _joined(answers, "own"), sums("grand")
             self.prior = self.of_parent(customers, self.own, sums("parents"), self.grand)
-        self.total = self.spread(hot_m, group.of_context(self.tables), hot)
+        self.total = self.spread(hot_m, group.of_context(self.tables), shared.hot)
         if turn > BURN:
             self.summed = self.summed + self.tables
             self.samples += [self.total, customers, self.own, np.array([sums("parents"), self.grand])]
 
+    def of_pairs(self, g: int) -> None:
+        """Gives the group all customers of its hot pairs, and those to count that are its to count."""
+        group = self.group
+        hot = np.flatnonzero(group.hot_pair >= 0)
+        group.customers[hot] = self.pair_n[group.hot_pair[hot]]
+        group.mine[hot] = self.pair_at[group.hot_pair[hot]] == g
+
     def of_parent(self, customers: np.ndarray, own: np.ndarray, parents: int, grand: int) -> np.ndarray:
         """The parent's probabilities of the group's words."""
         unseen = (PARENT_STRENGTH + PARENT_DISCOUNT * grand) / (self.types + 1)
@@ -306,14 +390,19 @@ class Seating:
         return out
 
     def bases(self) -> list[np.ndarray]:
-        """What most numbers of a sample equal: a table for each dish, all of a word's counts as customers, one table of a word. No sample has fewer, more and fewer of them."""
-        return [self.group.of_context(np.minimum(self.group.customers, 1)), self.counts, np.minimum(self.counts, 1), np.zeros(2, np.int64)]
+        """What most numbers of a sample equal: a table for each dish, a customer of the parent for each dish, one table of a word. No sample has fewer."""
+        return [self.group.of_context(np.minimum(self.group.customers, 1) * self.group.mine), self.dishes, np.minimum(self.counts, 1), np.zeros(2, np.int64)]
 
     def state(self) -> list[bytes]:
         """All of it but what the group's tokens and the answers tell; samples as differences, which are few and small."""
         bases = self.bases()
-        apart = [np.abs(x - bases[i % 4]) for i, x in enumerate(self.samples)]
-        return [_ints(x) for x in (np.array([self.tokens, self.types]), self.starts, self.counts, self.hot_n, self.tables, self.summed, *apart)]
+        apart = [x - bases[i % 4] for i, x in enumerate(self.samples)]
+        return [_ints(x) for x in (np.array([self.tokens, self.types]), self.counts, self.dishes, self.hot_n, self.pair_n, self.pair_at, self.tables, self.summed, *apart)]
+
+    def more_tables(self) -> np.ndarray:
+        """Customers that the pairs give the parent's words beyond one for each ordinary dish."""
+        group = self.group
+        return group.of_word((self.tables - np.where(group.hot_pair < 0, np.minimum(group.customers, 1), 0)) * group.mine)
 
     def chances(self, hot: np.ndarray) -> np.ndarray:
         """The predictive probability of each token, averaged over the samples."""
@@ -334,118 +423,148 @@ def score(documents: DataFrame) -> DataFrame:
     chars = documents.agg(F.sum(F.length("text"))).first()[0] or 0
     groups = max(partitions(spark), chars // GROUP_CHARS)
     rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", (remainder(F.col("doc_id"), FOLDS) != 0).alias("train"))
-    hot = _hot_words(rows, groups)
-    bounds = np.array([(q << BITS) // groups for q in range(groups + 1)], np.uint64)
+    shared = _frequent(rows, groups)
+    sent = spark.sparkContext.broadcast(shared)  # CODES words at most, and four contexts and pairs for each group at most
+    slices = max(SLICES, groups // GROUPS_EACH)
+    bounds = np.array([(q << BITS) // slices for q in range(slices + 1)], np.uint64)
 
     def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared = sent.value
+        ranked = np.argsort(shared.coded)
+        by_word = shared.coded[ranked]
         for number, ids, train, texts in _batches(parts):
             tokens, n = _tokens(texts)
-            context = np.concatenate([[END], tokens[:-1]]).astype(np.uint64)
-            spread = np.isin(context, hot)
-            group = (mix(np.where(spread, context * np.uint64(0x9E3779B97F4A7C15) + tokens, context)) % np.uint64(groups)).astype(np.int64)
+            context = np.concatenate([[int(END)], tokens[:-1]]).astype(np.uint64)
+            words, t = np.unique(tokens, return_inverse=True)
+            # a word's number among the coded ones, or among the batch's others behind these
+            code = np.full(len(words), -1)
+            if len(by_word):
+                at = np.minimum(np.searchsorted(by_word, words), len(by_word) - 1)
+                code = np.where(by_word[at] == words, ranked[at], -1)
+            others, f = words[code < 0], len(by_word)
+            code[code < 0] = f + np.arange(len(others))
+            c = np.concatenate([[np.searchsorted(words, END)], t[:-1]])
+            group = mix(np.where(np.isin(context, shared.hot), context * np.uint64(0x9E3779B97F4A7C15) + tokens, context))
+            pair = shared.pair_at(context, tokens)
+            often = np.flatnonzero(pair >= 0)
+            if len(often):
+                part = mix(np.uint64(number[0]) + np.zeros(1, np.uint64)) % shared.parts[pair[often]].astype(np.uint64)
+                group[often] = mix(shared.keys[pair[often]] + part * np.uint64(0xC2B2AE3D27D4EB4F))
+            group = (group % np.uint64(groups)).astype(np.int64)
             doc = np.repeat(np.arange(len(n)), n)
             order = np.argsort(group, kind="stable")
             ends = np.searchsorted(group[order], np.arange(groups + 1))
             flags = _squeeze(train.tobytes())
-            first, made = True, []
+            made = []
             for g in range(groups):
                 at = order[ends[g] : ends[g + 1]]
                 if len(at):
-                    words, which = np.unique(np.concatenate([context[at], tokens[at]]), return_inverse=True)
-                    c, t = which[: len(at)], which[len(at) :]
-                    by = np.argsort(c.astype(np.int64) << 32 | t)
-                    made.append((g, int(number[0]), _planes(np.diff(words, prepend=np.uint64(0)), 7), _planes(np.diff(c[by], prepend=0), 4), _planes(t[by], 4), _planes(doc[at][by], 4), flags, ids if first else None))
-                    first = False
+                    x, y, d = code[c[at]], code[t[at]], doc[at]
+                    used = _distinct(np.concatenate([x[x >= f], y[y >= f]]))
+                    x[x >= f], y[y >= f] = f + np.searchsorted(used, x[x >= f]), f + np.searchsorted(used, y[y >= f])
+                    key = x << 32 | y
+                    by = np.argsort(key, kind="stable")
+                    key, d = key[by], d[by]
+                    first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (d[1:] != d[:-1])])
+                    key, d, times = key[first], d[first], np.diff(np.r_[first, len(d)])
+                    lead = not made
+                    made.append((g, int(number[0]), _planes(np.diff(others[used - f], prepend=np.uint64(0)), 7), _planes(np.diff(key >> 32, prepend=0), 4), _planes(key & 0xFFFFFFFF, 4), _planes(d, 4), _planes(times, 4), flags, ids if lead else None, _planes(n, 4) if lead else None))
             columns = list(zip(*made, strict=True))
-            id_lists = pa.array([x.to_pylist() if x is not None else None for x in columns[7]], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[2:7]), id_lists], ["g", "batch", "words", "contexts", "tokens", "docs", "train", "ids"])
+            id_lists = pa.array([x.to_pylist() if x is not None else None for x in columns[8]], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), *(pa.array(x, pa.binary()) for x in columns[2:8]), id_lists, pa.array(columns[9], pa.binary())], ["g", "batch", "words", "contexts", "tokens", "docs", "times", "train", "ids", "sizes"])
 
-    packed = rows.mapInArrow(pack, "g long, batch long, words binary, contexts binary, tokens binary, docs binary, train binary, ids array<long>")
+    packed = rows.mapInArrow(pack, "g long, batch long, words binary, contexts binary, tokens binary, docs binary, times binary, train binary, ids array<long>, sizes binary")
 
-    hot_cut = np.searchsorted(hot, bounds)
+    hot_cut, pair_cut = np.searchsorted(shared.hot, bounds), (np.arange(slices + 1) * len(shared.keys)) // slices
 
     def of_hot(group: Group, values: np.ndarray) -> np.ndarray:
         """Values of the group's words for all hot words, 0 for those that it lacks."""
+        hot = sent.value.hot
         out = np.zeros(len(hot), values.dtype)
         here = np.flatnonzero(group.is_hot)
         out[np.searchsorted(hot, group.words[here])] = values[here]
         return out
 
     def ask(part: pa.Table) -> pa.Table:
-        """A group's words with their training counts, and its hot contexts' customers and dishes, for every slice of words (q), as each slice's sums go to every group."""
+        """A group's words with their training counts and dishes, its hot contexts' customers and dishes and its hot pairs' customers, for every slice of words (q), as each slice's sums go to every group."""
         g = part["g"][0].as_py()
-        group = Group(part.sort_by("batch"), hot)
-        asked, counts = group.words[group.asked], np.bincount(group.token[group.train], minlength=len(group.words))[group.asked]
+        group = Group(part.sort_by("batch"), sent.value)
+        asked = group.words[group.asked]
+        counts = np.bincount(group.token[group.train], weights=group.times[group.train], minlength=len(group.words)).astype(np.int64)[group.asked]
+        single = np.minimum(group.customers, 1) * group.mine
+        dishes = group.of_word(single)
         cut = np.searchsorted(asked, bounds)
-        hots = [of_hot(group, group.of_context(x)) for x in (group.customers, np.minimum(group.customers, 1))]
-        cuts = zip(cut[:-1], cut[1:], hot_cut[:-1], hot_cut[1:], strict=True)
-        return _table(FIRST, [(g, q, _planes(np.diff(asked[i:j], prepend=bounds[q]), 7), _ints(counts[i:j]), *(_ints(x[k:m]) for x in hots)) for q, (i, j, k, m) in enumerate(cuts)])
+        hots = [of_hot(group, group.of_context(x)) for x in (group.customers, single)]
+        pairs = np.zeros(len(sent.value.keys), np.int64)
+        pairs[group.hot_pair[group.hot_pair >= 0]] = group.customers[group.hot_pair >= 0]
+        cuts = zip(cut[:-1], cut[1:], hot_cut[:-1], hot_cut[1:], pair_cut[:-1], pair_cut[1:], strict=True)
+        return _table(FIRST, [(g, q, _planes(np.diff(asked[i:j], prepend=np.uint64(0)), 7), _ints(counts[i:j]), _ints(dishes[i:j]), *(_ints(x[k:m]) for x in hots), _ints(pairs[a:b])) for q, (i, j, k, m, a, b) in enumerate(cuts)])
 
     def tell(turn: int):  # noqa: ANN202
         def seated(left: pa.Table, right: pa.Table) -> pa.Table:
             """The round's tables of each slice's words and hot contexts, and the group's state (q below 0)."""
             if not left.num_rows:
                 return _table(TOLD, [])
-            g = left["g"][0].as_py()
-            group = Group(left.sort_by("batch"), hot)
-            now = Seating(group, right, turn, hot)
+            g, shared = left["g"][0].as_py(), sent.value
+            group = Group(left.sort_by("batch"), shared)
+            now = Seating(g, group, right, turn, shared)
             now.tables = group.sweep(now.tables, now.prior, now.total, turn)
-            held = np.bincount(group.pair_word, weights=now.tables, minlength=len(group.words)).astype(np.int64)[group.asked]
+            held = now.more_tables()
             cut = np.searchsorted(group.words[group.asked], bounds)
-            hot_m = of_hot(group, group.of_context(now.tables))
-            rows = [(g, q, ranks, _ints(held[cut[q] : cut[q + 1]]), _ints(now.own[cut[q] : cut[q + 1]]), _ints(hot_m[hot_cut[q] : hot_cut[q + 1]]), int(now.starts[q]), int(now.types), int(now.grand), None) for q, ranks in zip(*(now.answers[c].to_pylist() for c in ("q", "ranks")), strict=True)]
-            return _table(TOLD, [*rows, (g, -1 - g, *[None] * 7, now.state())])
+            hot_m = of_hot(group, group.of_context(now.tables * group.mine))
+            rows = [(g, q, _ints(held[cut[q] : cut[q + 1]]), _ints(now.own[cut[q] : cut[q + 1]]), _ints(hot_m[hot_cut[q] : hot_cut[q + 1]]), int(now.types), int(now.grand), None) for q in range(slices)]
+            return _table(TOLD, [*rows, (g, -1 - g, *[None] * 5, now.state())])
 
         return seated
 
     by_group = lambda left, right, made, schema: left.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(made, schema)
-    answers = packed.groupBy("g").applyInArrow(ask, FIRST).groupBy("q").applyInArrow(count_slice, ANSWER)
+    first = packed.groupBy("g").applyInArrow(ask, FIRST)
+    answers = first.groupBy("q").applyInArrow(count_slice, ANSWER)
     for turn in range(BURN + SAMPLES):
         # a function of its own for each round
-        answers = by_group(packed, answers, tell(turn), TOLD).groupBy("q").applyInArrow((lambda turn: lambda part: seat_slice(part, turn))(turn), ANSWER)
+        told = by_group(packed, answers, tell(turn), TOLD)
+        answers = first.groupBy("q").cogroup(told.groupBy("q")).applyInArrow((lambda turn: lambda left, right: seat_slice(left, right, turn))(turn), ANSWER)
 
     def predict(left: pa.Table, right: pa.Table) -> pa.Table:
         """Sums of log10 probabilities for each batch's documents."""
-        names = ["batch", "train_tokens", "ids", "train", "docs", "base", "score", "known", "n"]
-        types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 6]
+        names = ["batch", "train_tokens", "ids", "sizes", "train", "docs", "base_places", "base", "score_places", "score", "known"]
+        types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 3, pa.int64(), pa.binary(), pa.int64(), *[pa.binary()] * 2]
         if not left.num_rows:
             return pa.table({c: pa.array([], t) for c, t in zip(names, types, strict=True)})
-        left = left.sort_by("batch")
-        group = Group(left, hot)
-        now = Seating(group, right, BURN + SAMPLES, hot)
+        left, shared = left.sort_by("batch"), sent.value
+        group = Group(left, shared)
+        now = Seating(left["g"][0].as_py(), group, right, BURN + SAMPLES, shared)
         n, v, counts = int(now.tokens), int(now.types), now.counts
         base = np.zeros(len(group.words))
         base[group.asked] = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
         known = np.zeros(len(group.words), bool)
         known[group.asked] = counts > 0
-        chance = now.chances(hot)
-        by_doc = lambda x: np.bincount(group.doc, weights=x, minlength=group.base[-1])
-        sums_of = {"base": by_doc(base[group.token]), "score": by_doc(np.log10(chance)), "known": by_doc(known[group.token]), "n": np.bincount(group.doc, minlength=group.base[-1])}
+        chance = now.chances(shared.hot)
+        by_doc = lambda x: np.bincount(group.doc, weights=x * group.times, minlength=group.base[-1])
+        sums_of = {"base": by_doc(base[group.token]), "score": by_doc(np.log10(chance)), "known": by_doc(known[group.token]), "n": by_doc(1)}
         made = []
-        for k, (a, b) in enumerate(zip(group.base[:-1], group.base[1:], strict=True)):
+        for a, b in zip(group.base[:-1], group.base[1:], strict=True):
             there = np.flatnonzero(sums_of["n"][a:b])
             cut = {c: x[a:b][there] for c, x in sums_of.items()}
-            made.append((_planes(np.diff(there, prepend=0), 4), *(_squeeze(cut[c].astype("<f8").tobytes()) for c in ("base", "score")), *(_planes(cut[c].astype(np.int64), 4) for c in ("known", "n"))))
-        docs, bases, scores, knowns, ns = zip(*made, strict=True)
+            made.append((_planes(np.diff(there, prepend=0), 4), *_fixed(cut["base"]), *_fixed(cut["score"]), _planes(cut["known"].astype(np.int64), 4)))
         flags = [x if i is not None else None for x, i in zip(left["train"].to_pylist(), left["ids"].to_pylist(), strict=True)]
-        values = [left["batch"], pa.array([n] * len(made), pa.int64()), left["ids"], pa.array(flags, pa.binary()), *(pa.array(x, pa.binary()) for x in (docs, bases, scores, knowns, ns))]
+        values = [left["batch"], pa.array([n] * len(made), pa.int64()), left["ids"], left["sizes"], pa.array(flags, pa.binary()), *(pa.array(x, t) for x, t in zip(zip(*made, strict=True), types[5:], strict=True))]
         return pa.table({c: x.cast(t) for c, x, t in zip(names, values, types, strict=True)})
 
-    parts = by_group(packed, answers, predict, "batch long, train_tokens long, ids array<long>, train binary, docs binary, base binary, score binary, known binary, n binary")
+    parts = by_group(packed, answers, predict, "batch long, train_tokens long, ids array<long>, sizes binary, train binary, docs binary, base_places long, base binary, score_places long, score binary, known binary")
 
     def gather(part: pa.Table) -> pa.Table:
         part = part.to_pylist()
         lead = next(p for p in part if p["ids"] is not None)
         size = len(lead["ids"])
-        out = {c: np.zeros(size) for c in ("base", "score", "known", "n")}
+        out = {c: np.zeros(size) for c in ("base", "score", "known")}
         for p in part:
             at = np.cumsum(_unplanes(p["docs"], 4)).astype(np.int64)
             for c in ("base", "score"):
-                out[c][at] += _expand(p[c], "<f8")
-            for c in ("known", "n"):
-                out[c][at] += _unplanes(p[c], 4)
+                out[c][at] -= _from_ints(p[c]) * 2.0 ** -p[f"{c}_places"]
+            out["known"][at] += _unplanes(p["known"], 4)
         return pa.table({
-            "doc_id": pa.array(lead["ids"], pa.int64()), "held_out": pa.array(~_expand(lead["train"], bool)), "n_tokens": pa.array(out["n"].astype(np.int64)), "n_known": pa.array(out["known"].astype(np.int64)),
+            "doc_id": pa.array(lead["ids"], pa.int64()), "held_out": pa.array(~_expand(lead["train"], bool)), "n_tokens": pa.array(_unplanes(lead["sizes"], 4).astype(np.int64)), "n_known": pa.array(out["known"].astype(np.int64)),
             "train_tokens": pa.array(np.full(size, lead["train_tokens"] or 0, np.int64)), "base_score": pa.array(out["base"]), "score": pa.array(out["score"]),
         })
 
