@@ -17,7 +17,7 @@ between its sources and no terms; a source alone in its language has no pairs; r
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +27,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import CHUNK_BYTES, partitions, shared_table
+from tidewater.llm.common import CHUNK_BYTES, shared_table
 
 #: Documents of a language that must hold a term.
 MIN_DOCS = 3
 #: Ranks of terms that are told.
 TOP = 200
 SCALE = 1_000_000_000
-#: Counts of a shard, at most about; shards for each shuffle partition, at least; sources of a tile.
-SHARD_COUNTS, SHARDS, TILE = 250_000, 2, 64
+#: Counts of a shard, about; shards at least; sources of a tile.
+SHARD_COUNTS, SHARDS, TILE = 65_536, 24, 64
 
 #: Byte -> itself lower-cased if it belongs to a term, else 0.
 LOWER = np.zeros(256, np.uint8)
@@ -83,32 +83,50 @@ def _runs(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, int)
 
 
-def counted(texts: list[tuple[int, memoryview]]) -> Iterator[tuple[list[int], list[bytes], list[int], list[int]]]:
-    """Terms of texts (group, UTF-8 bytes): groups, terms, occurrences and documents, for each chunk. A text stays whole, and a chunk has several as long as these are short."""
-    held: list[tuple[int, memoryview]] = []
-    size = 0
-    for k, (group, text) in enumerate(texts):
-        held.append((group, text))
-        size += len(text)
-        if size < CHUNK_BYTES and k + 1 < len(texts):
-            continue
-        group_of = np.array([g for g, _ in held])
+def counted(texts: Iterable[tuple[int, memoryview]]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts (group, UTF-8 bytes) the distinct terms, and for each group and term that meet: the group, the term's number, occurrences and documents.
+
+    Texts are taken some at a time, as long as they are short together.
+    """
+    numbers: dict[bytes, int] = {}
+    found: list[tuple[np.ndarray, ...]] = []
+
+    def take(held: list[tuple[int, memoryview]]) -> None:
         # a zero byte after each text parts it from the next
-        buffer = LOWER[np.frombuffer(b"\0".join(t for _, t in held), np.uint8)]
+        buffer = LOWER[np.frombuffer(b"\0".join([*(t for _, t in held), b""]), np.uint8)]
         starts, ends = slices(buffer)
+        if not len(starts):
+            return
         number, first = grouped(buffer, starts, ends)
+        data = buffer.tobytes()
+        known = np.fromiter((numbers.setdefault(t, len(numbers)) for t in map(data.__getitem__, map(slice, starts[first].tolist(), ends[first].tolist()))), np.int64, len(first))
         doc = np.searchsorted(np.cumsum([len(t) + 1 for _, t in held]), starts, side="right")
-        width = len(first) + 1
-        pair, n = np.unique(doc.astype(np.int64) * width + number, return_counts=True)
-        key = group_of[pair // width] * width + pair % width
-        order = np.argsort(key, kind="stable")
-        begins = _runs(key[order])
-        if len(begins):
-            found = key[order][begins]
-            data = buffer.tobytes()
-            terms = [data[starts[i] : ends[i]] for i in first.tolist()]
-            yield (found // width).tolist(), [terms[i] for i in (found % width).tolist()], np.add.reduceat(n[order], begins).tolist(), np.diff(np.r_[begins, len(order)]).tolist()
-        held, size = [], 0
+        pair, n = np.unique(doc.astype(np.int64) * len(first) + number, return_counts=True)
+        group = np.array([g for g, _ in held])[pair // len(first)]
+        found.append(_summed(group, known[pair % len(first)], n, np.ones(len(n), np.int64)))
+
+    held, size = [], 0
+    for group, text in texts:
+        held.append((group, text))
+        size += len(text)
+        if size >= CHUNK_BYTES:
+            take(held)
+            held, size = [], 0
+    if held:
+        take(held)
+    group, term, n, docs = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in range(4))
+    return list(numbers), *_summed(group, term, n, docs)
+
+
+def _summed(group: np.ndarray, term: np.ndarray, n: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Occurrences and documents summed for each group and term."""
+    key = group << 40 | term
+    order = np.argsort(key, kind="stable")
+    begins = _runs(key[order])
+    if not len(begins):
+        return group, term, n, docs
+    key = key[order][begins]
+    return key >> 40, key & (1 << 40) - 1, np.add.reduceat(n[order], begins), np.add.reduceat(docs[order], begins)
 
 
 def term_counts(documents: DataFrame) -> DataFrame:
@@ -125,9 +143,9 @@ def term_counts(documents: DataFrame) -> DataFrame:
             none = pa.array([0] * len(groups), pa.int64())
             yield pa.RecordBatch.from_arrays([langs, sources, pa.nulls(len(groups), pa.string()), none, none], names)
             texts = part["text"].cast(pa.large_binary())
-            for group, terms, n, docs in counted([(g, memoryview(x.as_buffer())) for g, x in zip(of, texts, strict=True)]):
-                at = pa.array(group)
-                yield pa.RecordBatch.from_arrays([langs.take(at), sources.take(at), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(docs, pa.int64())], names)
+            terms, group, term, n, docs = counted((g, memoryview(x.as_buffer())) for g, x in zip(of, texts, strict=True))
+            group = pa.array(group)
+            yield pa.RecordBatch.from_arrays([langs.take(group), sources.take(group), pa.array(terms, pa.binary()).cast(pa.string()).take(pa.array(term)), pa.array(n), pa.array(docs)], names)
 
     given = documents.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")))
     rows = given.mapInArrow(told, "lang string, source string, term string, n long, docs long")
@@ -196,7 +214,6 @@ def _shard(part: pa.Table) -> pa.Table:
 def audit(documents: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
     """lang, source, part, item, value, rank: each source of documents (text, lang, source) against the others of its language (part `pair`), and the terms in
     which it exceeds its language (part `term`, ranks up to `top`)."""
-    spark = documents.sparkSession
     counts = shared_table(term_counts(documents), "counts")
     by_term = W.partitionBy("lang", "term")
     # one row of each term is its head
@@ -207,7 +224,7 @@ def audit(documents: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> Dat
     named = counts.where(F.col("term").isNull()).select("lang", "source").join(of_source, ["lang", "source"], "left").join(by_lang, "lang", "left")
     several = named.select("lang", "source", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("own_n", "v", "lang_n"))).withColumn("tiles", F.ceil(F.count("*").over(W.partitionBy("lang")) / TILE).cast("int"))
     groups = shared_table(several.withColumn("total", F.col("own_n") + F.col("v")), "groups")
-    shards = max(SHARDS * partitions(spark), kept.count() // SHARD_COUNTS)
+    shards = max(SHARDS, kept.count() // SHARD_COUNTS)
 
     met = kept.join(groups, ["lang", "source"])
     dealt = met.select(F.pmod(F.xxhash64("lang", "term"), F.lit(shards)).cast("int").alias("shard"), "tiles", "lang", "source", "term", "n", "total")
