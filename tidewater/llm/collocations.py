@@ -38,6 +38,8 @@ SHARD_BYTES, HELD_BYTES = 4 << 20, 12 << 20
 SLICE = 50_000
 #: Bits of a filter at most (a power of two), bits for each frequent phrase below that, and bits of a part of a filter.
 FILTER_BITS, BITS_EACH, PART_BITS = 1 << 27, 16, 1 << 16
+#: Languages up to which their least steps are broadcast.
+BROADCAST_LANGS = 100_000
 #: Score steps by which phrases are counted before the best are sorted: for each doubling.
 STEPS = 16
 
@@ -233,8 +235,9 @@ def best_of(scored: DataFrame, top: int) -> DataFrame:
     placed = scored.withColumn("_step", F.struct(step("score").alias("score"), step("a").alias("a")))
     held = placed.groupBy("lang", "_step").agg(F.count("*").alias("n"))
     above = F.coalesce(F.sum("n").over(W.partitionBy("lang").orderBy(F.desc("_step")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    reach = held.withColumn("_above", above).where(F.col("_above") < top).groupBy("lang").agg(F.min("_step").alias("_least"))
-    return placed.join(reach, "lang").where(F.col("_step") >= F.col("_least")).drop("_step", "_least")
+    reach = shared_table(held.withColumn("_above", above).where(F.col("_above") < top).groupBy("lang").agg(F.min("_step").alias("_least")), "reach")
+    # a row for each language
+    return placed.join(F.broadcast(reach) if reach.count() <= BROADCAST_LANGS else reach, "lang").where(F.col("_step") >= F.col("_least")).drop("_step", "_least")
 
 
 def collocations(documents: DataFrame, least: int = LEAST, longest: int = LONGEST, covered: int = COVERED, top: int = TOP) -> DataFrame:
