@@ -178,6 +178,17 @@ def _pair_keys(context: np.ndarray, token: np.ndarray) -> np.ndarray:
     return mix(context * np.uint64(0x9E3779B97F4A7C15) + token)
 
 
+def dealt(context: np.ndarray, token: np.ndarray, batch: int, shared: Shared, groups: int) -> np.ndarray:
+    """The groups of a batch's tokens: by context, by pair after a hot context, by pair and batch for a hot pair."""
+    group = mix(np.where(np.isin(context, shared.hot), context * np.uint64(0x9E3779B97F4A7C15) + token, context))
+    pair = shared.pair_at(context, token)
+    often = np.flatnonzero(pair >= 0)
+    if len(often):
+        part = mix(np.full(1, batch, np.uint64)) % shared.parts[pair[often]].astype(np.uint64)
+        group[often] = mix(shared.keys[pair[often]] + part * np.uint64(0xC2B2AE3D27D4EB4F))
+    return (group % np.uint64(groups)).astype(np.int64)
+
+
 class Group:
     """All tokens of a group of contexts, as (pair, document, times), in numbers of distinct words."""
 
@@ -200,8 +211,10 @@ class Group:
         self.base = np.cumsum([0, *map(len, train)])
         self.doc = np.concatenate([d + b for d, b in zip(docs, self.base, strict=False)])
         self.pair = self.context << 32 | self.token
-        self.pairs, which = np.unique(self.pair[self.train], return_inverse=True)
-        self.customers = np.bincount(which, weights=self.times[self.train], minlength=len(self.pairs)).astype(np.int64)
+        # a hot pair is one of training here even if other groups have all of that
+        known = self.train | (shared.pair_at(self.words[self.context], self.words[self.token]) >= 0) if len(shared.keys) else self.train
+        self.pairs, which = np.unique(self.pair[known], return_inverse=True)
+        self.customers = np.bincount(which, weights=(self.times * self.train)[known], minlength=len(self.pairs)).astype(np.int64)
         self.pair_context, self.pair_word = self.pairs >> 32, self.pairs & 0xFFFFFFFF
         self.is_hot = np.isin(self.words, shared.hot)
         self.asked = np.flatnonzero(np.bincount(self.token, minlength=len(self.words)))  # words with an answer, ascending
@@ -233,7 +246,7 @@ def _frequent(rows: DataFrame, groups: int) -> Shared:
             tokens, _ = _tokens(texts)
             words, which, n = np.unique(tokens, return_inverse=True, return_counts=True)
             often = n >= share / 2 * len(tokens)
-            after = np.concatenate([[int(END)], tokens[:-1]]).astype(np.uint64)
+            after = np.concatenate([[END], tokens[:-1]])
             both = np.flatnonzero(often[which] & (np.r_[often[np.searchsorted(words, END)], often[which[:-1]]]))
             pairs, k = np.unique(np.stack([after[both], tokens[both]], 1), axis=0, return_counts=True)
             pairs, k = pairs[k >= share / 2 * len(tokens)], k[k >= share / 2 * len(tokens)]
@@ -434,7 +447,7 @@ def score(documents: DataFrame) -> DataFrame:
         by_word = shared.coded[ranked]
         for number, ids, train, texts in _batches(parts):
             tokens, n = _tokens(texts)
-            context = np.concatenate([[int(END)], tokens[:-1]]).astype(np.uint64)
+            context = np.concatenate([[END], tokens[:-1]])
             words, t = np.unique(tokens, return_inverse=True)
             # a word's number among the coded ones, or among the batch's others behind these
             code = np.full(len(words), -1)
@@ -444,13 +457,7 @@ def score(documents: DataFrame) -> DataFrame:
             others, f = words[code < 0], len(by_word)
             code[code < 0] = f + np.arange(len(others))
             c = np.concatenate([[np.searchsorted(words, END)], t[:-1]])
-            group = mix(np.where(np.isin(context, shared.hot), context * np.uint64(0x9E3779B97F4A7C15) + tokens, context))
-            pair = shared.pair_at(context, tokens)
-            often = np.flatnonzero(pair >= 0)
-            if len(often):
-                part = mix(np.uint64(number[0]) + np.zeros(1, np.uint64)) % shared.parts[pair[often]].astype(np.uint64)
-                group[often] = mix(shared.keys[pair[often]] + part * np.uint64(0xC2B2AE3D27D4EB4F))
-            group = (group % np.uint64(groups)).astype(np.int64)
+            group = dealt(context, tokens, int(number[0]), shared, groups)
             doc = np.repeat(np.arange(len(n)), n)
             order = np.argsort(group, kind="stable")
             ends = np.searchsorted(group[order], np.arange(groups + 1))
