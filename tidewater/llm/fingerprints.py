@@ -1,6 +1,6 @@
 """Document fingerprints: invertible Bloom lookup sketches of a text's paragraphs, with DataFrame functions only.
 
-A text falls into paragraphs: lines, long ones being cut at sentence ends. A paragraph's digest is 48 bits of its hash under 16 bits of check.
+A text falls into paragraphs: lines, long ones being cut at sentence ends or after about 100 characters. A paragraph's digest is 48 bits of its hash under 16 bits of check.
 A sketch has 24 cells in 3 rows; each digest falls into one cell of each row, and a cell holds a count and the exclusive
 or of its digests. The sketches of two versions subtract cell by cell; what both hold is gone, and a cell that is left with one digest
 gives it away (its check and place are right), which may leave others with one. When no such cell is left before all are empty, the digests are
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import free, others, partitions, shared_table
 
-#: A paragraph: at least so many characters of a line up to a sentence's end (looked for within some more), or what is left of the line.
-PARAGRAPH = r"[^\n]{64}[^\n.!?]{0,256}[.!?]* ?|[^\n]+"
+#: A paragraph: 32 characters of a line and up to 64 more as far as the sentence's end, or what is left of the line. So one ends within the first 100 characters of a line.
+PARAGRAPH = r"[^\n]{32}[^\n.!?]{0,64}[.!?]{0,3} ?|[^\n]+"
 ROWS, PLACES = 3, 8
 #: Parts that a failed part is dealt into, and how often this is done before the rest is written down and taken up again.
 PARTS, LEVELS = 8, 3
@@ -54,22 +54,22 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(""))), _digest))
 
 
-def _spread(digest: Column, level: int) -> Column:
-    return F.xxhash64(digest, F.lit(level))
+def _spread(digest: Column, level: Column | int) -> Column:
+    return F.xxhash64(digest, level if isinstance(level, Column) else F.lit(level))
 
 
 def _place(spread: Column, row: int) -> Column:
     return F.shiftrightunsigned(spread, 3 * row).bitwiseAND(F.lit(PLACES - 1)).cast("int")
 
 
-def sketch(keys: Column, level: int = 0) -> Column:
+def sketch(keys: Column, level: Column | int = 0) -> Column:
     """array<struct<n int, x bigint>> of ROWS * PLACES cells."""
     places = F.transform(keys, lambda k: _let(_spread(k, level), lambda s: F.struct(k.alias("k"), *[_place(s, r).alias(f"p{r}") for r in range(ROWS)])))
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("x"))
 
     def row(found: Column, r: int) -> Column:
         def cell(place: Column) -> Column:
-            return F.aggregate(found, start, lambda held, k: F.when(k[f"p{r}"] == place, F.struct((held["n"] + 1).alias("n"), held["x"].bitwiseXOR(k["k"]).alias("x"))).otherwise(held))
+            mine = F.filter(found, lambda k: k[f"p{r}"] == place)
+            return _let(mine, lambda m: F.struct(F.size(m).alias("n"), F.aggregate(m, F.lit(0).cast("long"), lambda held, k: held.bitwiseXOR(k["k"])).alias("x")))
 
         return F.transform(F.sequence(F.lit(0), F.lit(PLACES - 1)), cell)
 
@@ -84,7 +84,7 @@ def _empty(cells: Column) -> Column:
     return F.forall(cells, lambda c: (c["n"] == 0) & (c["x"] == 0))
 
 
-def peel(cells: Column, level: int) -> Column:
+def peel(cells: Column, level: Column | int) -> Column:
     """struct<cells, found array<struct<k bigint, n int>>>: what is left of a difference, and the digests recovered (n 1: left only, -1: right only)."""
 
     def pure(cell: Column, at: Column) -> Column:
@@ -114,7 +114,7 @@ def peel(cells: Column, level: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(PEELS)), start, turn)
 
 
-def _tried(difference: Column, a: Column, b: Column, level: int) -> Column:
+def _tried(difference: Column, a: Column, b: Column, level: Column | int) -> Column:
     """struct<ok, found, a, b>: the digests of both sides stay only where peeling failed."""
     none = F.array().cast("array<bigint>")
 
@@ -124,7 +124,7 @@ def _tried(difference: Column, a: Column, b: Column, level: int) -> Column:
     return _let(peel(difference, level), outcome)
 
 
-def _deeper(states: Column, level: int) -> Column:
+def _deeper(states: Column, level: Column | int) -> Column:
     """What failed, dealt into PARTS and tried again."""
 
     def part(keys: Column, q: Column) -> Column:
@@ -140,12 +140,14 @@ def _found(states: Column) -> Column:
     return F.flatten(F.transform(states, lambda s: s["found"]))
 
 
-def _levels(rows: DataFrame, columns: list[str], states: list[str], found: list[str], first: int, counts: bool) -> DataFrame:
-    """Tries LEVELS larger sketches of what failed in each state, adding to its column of found what is recovered. columns: the others."""
-    for level in range(first, first + LEVELS):
-        rows = rows.select(*columns, *found, *[_deeper(F.col(s), level).alias(s) for s in states])
-        more = [_found(F.col(s)) for s in states]
-        rows = rows.select(*columns, *states, *[(F.col(f) + F.size(m) if counts else F.concat(F.col(f), m)).alias(f) for f, m in zip(found, more, strict=True)])
+def _levels(rows: DataFrame, columns: list[str], states: list[str], found: list[str], at: str, counts: bool) -> DataFrame:
+    """Tries LEVELS larger sketches of what failed in each state, adding to its column of found what is recovered. columns: the others; at: the column of the level."""
+    # built once, as an expression of columns: each takes thousands of calls
+    deeper = [_deeper(F.col(s), F.col(at)).alias(s) for s in states]
+    more = [_found(F.col(s)) for s in states]
+    grown = [(F.col(f) + F.size(m) if counts else F.concat(F.col(f), m)).alias(f) for f, m in zip(found, more, strict=True)]
+    for _ in range(LEVELS):
+        rows = rows.select(*columns, *found, *deeper, (F.col(at) + 1).alias(at)).select(*columns, *states, *grown, at)
     return rows
 
 
@@ -157,26 +159,27 @@ def differences(rows: DataFrame, pairs: dict[str, tuple[str, str]], counts: bool
     """
     # a side that is missing has no digests
     rows = rows.withColumns({f"{x}_keys": F.coalesce(f"{x}_keys", F.array().cast("array<bigint>")) for pair in pairs.values() for x in pair})
-    rows = rows.withColumns({f"{x}_cells": F.coalesce(f"{x}_cells", sketch(F.array().cast("array<bigint>"))) for pair in pairs.values() for x in pair})
+    none = F.transform(F.sequence(F.lit(1), F.lit(ROWS * PLACES)), lambda _: F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("x")))
+    rows = rows.withColumns({f"{x}_cells": F.coalesce(f"{x}_cells", none) for pair in pairs.values() for x in pair})
     columns = others(rows.columns, *pairs, *(f"{x}_{y}" for pair in pairs.values() for x in pair for y in ("keys", "cells")))
-    held = free([*rows.columns, *pairs], "open", *(f"state{i}" for i in range(len(pairs))), *(f"found{i}" for i in range(len(pairs))))
-    open_, states, found = held[0], held[1 : len(pairs) + 1], held[len(pairs) + 1 :]
+    held = free([*rows.columns, *pairs], "open", "level", *(f"state{i}" for i in range(len(pairs))), *(f"found{i}" for i in range(len(pairs))))
+    open_, at, states, found = held[0], held[1], held[2 : len(pairs) + 2], held[len(pairs) + 2 :]
     tried = [F.array(_tried(subtract(F.col(f"{a}_cells"), F.col(f"{b}_cells")), F.col(f"{a}_keys"), F.col(f"{b}_keys"), 0)) for a, b in pairs.values()]
     rows = rows.select(*columns, *[t.alias(s) for t, s in zip(tried, states, strict=True)])
-    rows = rows.select("*", *[(F.size(_found(F.col(s))) if counts else _found(F.col(s))).alias(f) for s, f in zip(states, found, strict=True)])
+    rows = rows.select("*", *[(F.size(_found(F.col(s))) if counts else _found(F.col(s))).alias(f) for s, f in zip(states, found, strict=True)], F.lit(0).alias(at))
 
     def marked(rows: DataFrame) -> DataFrame:
         """Of the states only those that failed."""
-        left = rows.select(*columns, *found, *[F.filter(s, lambda x: ~x["ok"]).alias(s) for s in states])
+        left = rows.select(*columns, *found, at, *[F.filter(s, lambda x: ~x["ok"]).alias(s) for s in states])
         return left.withColumn(open_, sum((F.size(s) for s in states), F.lit(0)) > 0)
 
     # what still fails (thousands of differing paragraphs, or an unlucky few) is written down and taken up until nothing is left
-    level, state = LEVELS, shared_table(marked(_levels(rows, columns, states, found, 0, counts)), "sketches")
+    level, state = LEVELS, shared_table(marked(_levels(rows, columns, states, found, at, counts)), "sketches")
     done = state.where(~F.col(open_))
     while (state := state.where(F.col(open_)).drop(open_)).head(1):
         if level > DEEPEST:
             raise RuntimeError("digests that no larger sketch tells apart")
-        state = shared_table(marked(_levels(state, columns, states, found, level, counts)), "sketches")
+        state = shared_table(marked(_levels(state, columns, states, found, at, counts)), "sketches")
         done = done.unionByName(state.where(~F.col(open_)))
         level += LEVELS
     return done.select(*columns, *[F.col(f).alias(x) for f, x in zip(found, pairs, strict=True)])

@@ -73,9 +73,10 @@ def _planes(values: np.ndarray, width: int) -> bytes:
 
 def _unplanes(data: bytes, width: int) -> np.ndarray:
     planes = _expand(data, np.uint8).reshape(width, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :width] = planes.T
-    return out.view("<u8").ravel()
+    out = planes[0].astype(np.uint64)
+    for k in range(1, width):
+        out |= planes[k].astype(np.uint64) << np.uint64(8 * k)
+    return out
 
 
 def _distinct(values: np.ndarray) -> np.ndarray:
@@ -156,6 +157,13 @@ def seat(customers: np.ndarray, prior: np.ndarray, other: np.ndarray, discount:
     return tables
 
 
+def _among(values: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """Whether values are among few ascending ones."""
+    if not len(few):
+        return np.zeros(len(values), bool)
+    return few[np.minimum(np.searchsorted(few, values), len(few) - 1)] == values
+
+
 class Shared:
     """What all tasks know: the hot contexts (ascending), the words that are written as numbers, and the hot pairs with the number of groups that each is dealt over."""
 
@@ -180,7 +188,7 @@ def _pair_keys(context: np.ndarray, token: np.ndarray) -> np.ndarray:
 
 def dealt(context: np.ndarray, token: np.ndarray, batch: int, shared: Shared, groups: int) -> np.ndarray:
     """The groups of a batch's tokens: by context, by pair after a hot context, by pair and batch for a hot pair."""
-    group = mix(np.where(np.isin(context, shared.hot), context * np.uint64(0x9E3779B97F4A7C15) + token, context))
+    group = mix(np.where(_among(context, shared.hot), context * np.uint64(0x9E3779B97F4A7C15) + token, context))
     pair = shared.pair_at(context, token)
     often = np.flatnonzero(pair >= 0)
     if len(often):
@@ -193,30 +201,37 @@ class Group:
     """All tokens of a group of contexts, as (pair, document, times), in numbers of distinct words."""
 
     def __init__(self, part: pa.Table, shared: Shared) -> None:
-        parts, words = [], []
-        for rare, contexts, tokens in zip(*(part[c].to_pylist() for c in ("words", "contexts", "tokens")), strict=True):
-            known = np.concatenate([shared.coded, np.cumsum(_unplanes(rare, 7), dtype=np.uint64)])
-            c, t = np.cumsum(_unplanes(contexts, 4)).astype(np.int64), _unplanes(tokens, 4).astype(np.int64)
-            used, at = np.unique(np.concatenate([c, t]), return_inverse=True)
-            words.append(known[used])
-            parts.append((at[: len(c)].astype(np.int32), at[len(c) :].astype(np.int32)))
-        self.words = _distinct(np.concatenate(words))
-        place = [np.searchsorted(self.words, w) for w in words]
-        self.context = np.concatenate([p[c] for p, (c, _) in zip(place, parts, strict=True)])
-        self.token = np.concatenate([p[t] for p, (_, t) in zip(place, parts, strict=True)])
-        docs = [_unplanes(x, 4).astype(np.int64) for x in part["docs"].to_pylist()]
-        self.times = np.concatenate([_unplanes(x, 4).astype(np.int64) for x in part["times"].to_pylist()])
+        rare = [np.cumsum(_unplanes(x, 7), dtype=np.uint64) for x in part["words"].to_pylist()]
+        contexts, tokens = ([_from_ints(x) for x in part[c].to_pylist()] for c in ("contexts", "tokens"))
+        contexts = [np.cumsum(x) for x in contexts]
+        f = len(shared.coded)
+        met = np.zeros(f, bool)
+        for x in (*contexts, *tokens):
+            met[x[x < f]] = True
+        self.words = _distinct(np.concatenate([shared.coded[met], *rare]))
+        place = np.zeros(f, np.int64)
+        place[met] = np.searchsorted(self.words, shared.coded[met])
+        place = [np.concatenate([place, np.searchsorted(self.words, r)]) for r in rare]
+        self.context = np.concatenate([p[c] for p, c in zip(place, contexts, strict=True)])
+        self.token = np.concatenate([p[t] for p, t in zip(place, tokens, strict=True)])
+        docs = [_from_ints(x) for x in part["docs"].to_pylist()]
+        self.times = np.concatenate([_from_ints(x) for x in part["times"].to_pylist()])
         train = [_expand(x, bool) for x in part["train"].to_pylist()]
         self.train = np.concatenate([t[d] for t, d in zip(train, docs, strict=True)])
         self.base = np.cumsum([0, *map(len, train)])
         self.doc = np.concatenate([d + b for d, b in zip(docs, self.base, strict=False)])
         self.pair = self.context << 32 | self.token
-        # a hot pair is one of training here even if other groups have all of that
-        known = self.train | (shared.pair_at(self.words[self.context], self.words[self.token]) >= 0) if len(shared.keys) else self.train
-        self.pairs, which = np.unique(self.pair[known], return_inverse=True)
-        self.customers = np.bincount(which, weights=(self.times * self.train)[known], minlength=len(self.pairs)).astype(np.int64)
+        pair = np.sort(self.pair[self.train])
+        begins = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.zeros(0, int)
+        self.pairs, self.customers = pair[begins], np.diff(np.r_[begins, len(pair)])
+        more = np.flatnonzero(self.train & (self.times > 1))
+        np.add.at(self.customers, np.searchsorted(self.pairs, self.pair[more]), self.times[more] - 1)
+        if len(shared.keys):  # a hot pair is one of training here even if other groups have all of that
+            also = np.setdiff1d(self.pair[shared.pair_at(self.words[self.context], self.words[self.token]) >= 0], self.pairs)
+            at = np.searchsorted(self.pairs, also)
+            self.pairs, self.customers = np.insert(self.pairs, at, also), np.insert(self.customers, at, 0)
         self.pair_context, self.pair_word = self.pairs >> 32, self.pairs & 0xFFFFFFFF
-        self.is_hot = np.isin(self.words, shared.hot)
+        self.is_hot = _among(self.words, shared.hot)
         self.asked = np.flatnonzero(np.bincount(self.token, minlength=len(self.words)))  # words with an answer, ascending
         self.hot_pair = shared.pair_at(self.words[self.pair_context], self.words[self.pair_word])
         #: Pairs whose tables this group counts.
@@ -244,12 +259,18 @@ def _frequent(rows: DataFrame, groups: int) -> Shared:
     def frequent(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, _, texts in _batches(parts):
             tokens, _ = _tokens(texts)
-            words, which, n = np.unique(tokens, return_inverse=True, return_counts=True)
+            ranked = np.sort(tokens)
+            begins = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+            words, n = ranked[begins], np.diff(np.r_[begins, len(ranked)])
             often = n >= share / 2 * len(tokens)
-            after = np.concatenate([[END], tokens[:-1]])
-            both = np.flatnonzero(often[which] & (np.r_[often[np.searchsorted(words, END)], often[which[:-1]]]))
-            pairs, k = np.unique(np.stack([after[both], tokens[both]], 1), axis=0, return_counts=True)
+            # a pair is frequent only if both of its words are
+            few = words[often]
+            there = _among(tokens, few)
+            both = np.flatnonzero(there & np.r_[_among(END.reshape(1), few), there[:-1]])
+            after = np.searchsorted(few, np.where(both > 0, tokens[both - 1], END))
+            pairs, k = np.unique(after * max(1, len(few)) + np.searchsorted(few, tokens[both]), return_counts=True)
             pairs, k = pairs[k >= share / 2 * len(tokens)], k[k >= share / 2 * len(tokens)]
+            pairs = np.stack([few[pairs // max(1, len(few))], few[pairs % max(1, len(few))]], 1) if len(pairs) else np.zeros((0, 2), np.uint64)
             told = often | (n >= REPORTED)
             # the number of tokens stands under -1, which is no word; a word alone has -1 for the other
             one = [np.append(words[told].astype(np.int64), -1), pairs[:, 0].astype(np.int64)]
@@ -448,7 +469,8 @@ def score(documents: DataFrame) -> DataFrame:
         for number, ids, train, texts in _batches(parts):
             tokens, n = _tokens(texts)
             context = np.concatenate([[END], tokens[:-1]])
-            words, t = np.unique(tokens, return_inverse=True)
+            words = _distinct(tokens)
+            t = np.searchsorted(words, tokens)
             # a word's number among the coded ones, or among the batch's others behind these
             code = np.full(len(words), -1)
             if len(by_word):
@@ -459,7 +481,7 @@ def score(documents: DataFrame) -> DataFrame:
             c = np.concatenate([[np.searchsorted(words, END)], t[:-1]])
             group = dealt(context, tokens, int(number[0]), shared, groups)
             doc = np.repeat(np.arange(len(n)), n)
-            order = np.argsort(group, kind="stable")
+            order = np.argsort(group.astype(np.uint16) if groups < 1 << 16 else group, kind="stable")  # short numbers sort by radix
             ends = np.searchsorted(group[order], np.arange(groups + 1))
             flags = _squeeze(train.tobytes())
             made = []
@@ -475,7 +497,7 @@ def score(documents: DataFrame) -> DataFrame:
                     first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (d[1:] != d[:-1])])
                     key, d, times = key[first], d[first], np.diff(np.r_[first, len(d)])
                     lead = not made
-                    made.append((g, int(number[0]), _planes(np.diff(others[used - f], prepend=np.uint64(0)), 7), _planes(np.diff(key >> 32, prepend=0), 4), _planes(key & 0xFFFFFFFF, 4), _planes(d, 4), _planes(times, 4), flags, ids if lead else None, _planes(n, 4) if lead else None))
+                    made.append((g, int(number[0]), _planes(np.diff(others[used - f], prepend=np.uint64(0)), 7), _ints(np.diff(key >> 32, prepend=0)), _ints(key & 0xFFFFFFFF), _ints(d), _ints(times), flags, ids if lead else None, _planes(n, 4) if lead else None))
             columns = list(zip(*made, strict=True))
             id_lists = pa.array([x.to_pylist() if x is not None else None for x in columns[8]], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), *(pa.array(x, pa.binary()) for x in columns[2:8]), id_lists, pa.array(columns[9], pa.binary())], ["g", "batch", "words", "contexts", "tokens", "docs", "times", "train", "ids", "sizes"])
