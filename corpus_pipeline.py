@@ -35,15 +35,16 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     a doc_id take part, and stay only where no other of their group has one. Rows with an empty set of shingles are in no group and all stay.
     """
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
-    (by,) = free(docs.columns, "key")
-    groups = shared_table(ngram_join.similar_groups(docs.select(key.alias("doc_id"), "text")), "groups")
-    gone = shared_table(groups.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias(by)).distinct(), "gone")
-    again = groups.where("n_shingles > 0 and component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(by))
-    again = shared_table(again, "again")
-    sized = lambda keys: F.broadcast(keys) if keys.count() <= ngram_join.BROADCAST_ROWS else keys
-    left = docs.withColumn(by, key).join(sized(gone), by, "left_anti")
-    if again.head(1):
-        left = left.join(sized(again), by, "left_anti").unionByName(left.join(sized(again), by, "left_semi").dropDuplicates([by]))
+    by, gone, n = free(docs.columns, "key", "gone", "n")
+    groups = ngram_join.similar_groups(docs.select(key.alias("doc_id"), "text")).where("n_shingles > 0")
+    # rows of one key have one text, so one component; what is neither gone nor repeated needs no verdict
+    verdicts = groups.groupBy("doc_id").agg((F.min("component_id") != F.col("doc_id")).alias(gone), F.count("*").alias(n)).where(F.col(gone) | (F.col(n) > 1))
+    verdicts = shared_table(verdicts.withColumnRenamed("doc_id", by), "verdicts")
+    sized = F.broadcast(verdicts) if verdicts.count() <= ngram_join.BROADCAST_ROWS else verdicts
+    met = docs.withColumn(by, key).join(sized, by, "left").where(~F.coalesce(F.col(gone), F.lit(False)))
+    left = met.where(F.col(n).isNull())
+    if verdicts.where(~F.col(gone)).head(1):
+        left = left.unionByName(met.where(F.col(n).isNotNull()).dropDuplicates([by]))
     return left.select(*docs.columns)
 
 
