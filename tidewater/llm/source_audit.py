@@ -34,6 +34,8 @@ MIN_DOCS = 3
 #: Ranks of terms that are told.
 TOP = 200
 SCALE = 1_000_000_000
+#: Bytes of texts whose counts a task puts together before it tells them.
+MERGED_BYTES = 8 << 20
 #: Counts of a shard, about; shards at least; sources of a tile.
 SHARD_COUNTS, SHARDS, TILE = 65_536, 24, 64
 
@@ -83,14 +85,21 @@ def _runs(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, int)
 
 
-def counted(texts: Iterable[tuple[int, memoryview]]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def counted(texts: Iterable[tuple[int, memoryview]]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Of texts (group, UTF-8 bytes) the distinct terms, and for each group and term that meet: the group, the term's number, occurrences and documents.
 
-    Texts are taken some at a time, as long as they are short together.
+    Texts are taken some at a time, as long as they are short together, and counts are told for about MERGED_BYTES of them.
     """
     numbers: dict[bytes, int] = {}
     found: list[tuple[np.ndarray, ...]] = []
 
+    def told() -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        sums = _summed(*(np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in range(4)))
+        terms = list(numbers)
+        numbers.clear()
+        found.clear()
+        return terms, *sums
+
     def take(held: list[tuple[int, memoryview]]) -> None:
         # a zero byte after each text parts it from the next
         buffer = LOWER[np.frombuffer(b"\0".join([*(t for _, t in held), b""]), np.uint8)]
@@ -105,17 +114,20 @@ def counted(texts: Iterable[tuple[int, memoryview]]) -> tuple[list[bytes], np.nd
         group = np.array([g for g, _ in held])[pair // len(first)]
         found.append(_summed(group, known[pair % len(first)], n, np.ones(len(n), np.int64)))
 
-    held, size = [], 0
+    held, size, whole = [], 0, 0
     for group, text in texts:
         held.append((group, text))
         size += len(text)
         if size >= CHUNK_BYTES:
             take(held)
+            whole += size
             held, size = [], 0
+            if whole >= MERGED_BYTES:
+                yield told()
+                whole = 0
     if held:
         take(held)
-    group, term, n, docs = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in range(4))
-    return list(numbers), *_summed(group, term, n, docs)
+    yield told()
 
 
 def _summed(group: np.ndarray, term: np.ndarray, n: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -143,9 +155,9 @@ def term_counts(documents: DataFrame) -> DataFrame:
             none = pa.array([0] * len(groups), pa.int64())
             yield pa.RecordBatch.from_arrays([langs, sources, pa.nulls(len(groups), pa.string()), none, none], names)
             texts = part["text"].cast(pa.large_binary())
-            terms, group, term, n, docs = counted((g, memoryview(x.as_buffer())) for g, x in zip(of, texts, strict=True))
-            group = pa.array(group)
-            yield pa.RecordBatch.from_arrays([langs.take(group), sources.take(group), pa.array(terms, pa.binary()).cast(pa.string()).take(pa.array(term)), pa.array(n), pa.array(docs)], names)
+            for terms, group, term, n, docs in counted((g, memoryview(x.as_buffer())) for g, x in zip(of, texts, strict=True)):
+                group = pa.array(group)
+                yield pa.RecordBatch.from_arrays([langs.take(group), sources.take(group), pa.array(terms, pa.binary()).cast(pa.string()).take(pa.array(term)), pa.array(n), pa.array(docs)], names)
 
     given = documents.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")))
     rows = given.mapInArrow(told, "lang string, source string, term string, n long, docs long")
