@@ -107,3 +107,21 @@ def test_the_learner_gets_few_rows_and_characters(spark, monkeypatch, rows, char
     share = min(1.0, 1.1 * rows / n, chars / total)
     left = table.where(F.pmod(F.xxhash64(F.lit(29), "doc_id", "_h"), F.lit(1_000_003)) < int(share * 1_000_003)).agg(F.count("*"), F.sum("_chars")).first()
     assert left[0] <= 1.3 * 1.1 * rows and left[1] <= 1.5 * chars
+
+
+# hot lines
+
+
+@pytest.mark.parametrize("most", [100_000, 1, 0])
+def test_lines_of_all_documents_are_not_probed(spark, monkeypatch, most):
+    """Two lines in every document and a block for nearly each of these; the answer is the same however many lines the blocks know."""
+    monkeypatch.setattr(line_dedup, "BLOCK_ROWS", 1)
+    monkeypatch.setattr(line_dedup, "HOT_LINES", most)
+    texts = [f"everywhere\nline {i % 150}\nno {i}\n  EVERYWHERE too" for i in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = line_dedup.line_keys(df)
+    tables, shards, counted = line_dedup.line_tables(rows)
+    often = line_dedup.hot_lines(counted, 3)
+    assert len(often) == (2 if most >= 2 else 0)
+    got = {r.doc_id: (r._dropped, r.text) for r in line_dedup.drop_lines(df, min_docs=3).collect()}
+    assert got == {i: (3, f"no {i}") for i in range(600)}

@@ -2,8 +2,8 @@
 
 The distinct line hashes are counted, dealt into shards by hash, and each shard becomes one row: a minimal perfect hash with an
 array of fingerprints and an array of document counts. Documents are dealt into blocks; each block asks every shard once for the
-lines it holds (so a line that is everywhere costs one probe a block), the shards answer from their arrays with the lines to drop,
-and each block drops them.
+lines it holds, the shards answer from their arrays with the lines to drop, and each block drops them. Lines of very many documents, which nearly
+every block would ask for, are told to all blocks instead, up to a number of them, so that a shard's work does not grow with the blocks.
 
 Cases: a null or empty text is one empty line; a line's key is the line stripped of ASCII white space with A-Z lower-cased; keys
 shorter than min_chars code points are never dropped; every row counts as a document of its own, so repeated rows count apart;
@@ -14,6 +14,7 @@ which give way to them.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,8 @@ SHARD_LINES = 250_000
 BLOCK_ROWS, BLOCK_CHARS, OVERFULL = 1_000, 4_000_000, 3
 #: Bits of a level of the perfect hash for each key that has no place yet.
 GAMMA = 2.0
+#: Lines of the most documents that all blocks know, at most, and documents of such a line at least: these are not probed.
+HOT_LINES, HOT_DOCS = 100_000, 64
 MIN_DOCS = 10
 MIN_CHARS = 1
 SPACE = " \t\n\x0b\x0c\r"
@@ -102,8 +105,8 @@ def _place(documents: DataFrame, text: str) -> Column:
     return F.xxhash64(F.lit(3), *([F.col("doc_id")] if "doc_id" in documents.columns else []), F.substring(F.col(text), 1, 64), F.length(text))
 
 
-def line_tables(rows: DataFrame) -> tuple[DataFrame, int]:
-    """Of rows (keys) one row for each shard: shard long, sizes, bits, prints, counts binary. And the number of shards."""
+def line_tables(rows: DataFrame) -> tuple[DataFrame, int, DataFrame]:
+    """Of rows (keys) one row for each shard: shard long, sizes, bits, prints, counts binary. The number of shards, and the counts (key, n_docs) that they hold."""
     counted = shared_table(rows.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n_docs")), "lines")
     shards = max(1, -(-counted.count() // SHARD_LINES))
 
@@ -113,7 +116,16 @@ def line_tables(rows: DataFrame) -> tuple[DataFrame, int]:
         return pa.table({"shard": part["shard"].slice(0, 1).cast(pa.int64()), **{k: pa.array([v.tobytes()], pa.binary()) for k, v in table.items()}, "wide": pa.array([table["counts"].itemsize == 8])})
 
     dealt = counted.withColumn("shard", F.pmod("key", F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(pack, "shard long, sizes binary, bits binary, prints binary, counts binary, wide boolean"), shards
+    return dealt.groupBy("shard").applyInArrow(pack, "shard long, sizes binary, bits binary, prints binary, counts binary, wide boolean"), shards, counted
+
+
+def hot_lines(counted: DataFrame, min_docs: int) -> np.ndarray:
+    """Ascending keys of the lines that 2**k documents or more hold, with the least k that leaves HOT_LINES of them. A shard would answer for such a line once for each block."""
+    least = max(min_docs, HOT_DOCS)
+    steps = [least << k for k in range(62 - least.bit_length())]
+    numbers = counted.agg(*[F.count_if(F.col("n_docs") >= n).alias(f"n{n}") for n in steps]).first()
+    fit = next((n for n, found in zip(steps, numbers, strict=True) if found <= HOT_LINES), None)
+    return np.sort(counted.where(F.col("n_docs") >= fit).select("key").toPandas()["key"].to_numpy(np.int64)) if fit else np.zeros(0, np.int64)
 
 
 def _unpack(row: dict) -> dict:
@@ -132,11 +144,14 @@ def drop_lines(documents: DataFrame, text: str = "text", min_docs: int = MIN_DOC
     documents = documents.select(*columns)
     block_c, part_c = free([*columns, lines, dropped], "block", "part")
     rows = line_keys(documents, text, min_chars)
-    tables, shards = line_tables(rows)
+    tables, shards, counted = line_tables(rows)
+    often = hot_lines(counted, min_docs)
+    sent = spark.sparkContext.broadcast(frozenset(often.view(np.uint64).tolist()))  # HOT_LINES at most
+    known = F.broadcast(spark.createDataFrame(pd.DataFrame({"key": often}), "key long"))
     n, chars = rows.agg(F.count("*"), F.sum("chars")).first()
     blocks = max(-(-n // BLOCK_ROWS), (chars or 0) // BLOCK_CHARS, 4 * partitions(spark))
     block_of = lambda place: F.pmod(place, F.lit(blocks))
-    probes = rows.select(block_of(F.col("place")).alias("block"), F.explode("keys").alias("key")).distinct().withColumn("shard", F.pmod("key", F.lit(shards)))
+    probes = rows.select(block_of(F.col("place")).alias("block"), F.explode("keys").alias("key")).join(known, "key", "left_anti").distinct().withColumn("shard", F.pmod("key", F.lit(shards)))
     # a block that repeated rows or long texts overfill is dealt into parts, each of which gets all of its verdicts
     held = rows.groupBy(block_of(F.col("place")).alias("block")).agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
     full = F.greatest(F.col("n") / BLOCK_ROWS, F.col("chars") / BLOCK_CHARS)
@@ -153,12 +168,12 @@ def drop_lines(documents: DataFrame, text: str = "text", min_docs: int = MIN_DOC
     verdicts = found.select("block", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
 
     def drop(left: pa.Table, right: pa.Table) -> pa.Table:
-        hot = frozenset(right["key"].to_numpy().view(np.uint64).tolist())
+        hot, often = frozenset(right["key"].to_numpy().view(np.uint64).tolist()), sent.value
         before, gone, out = [], [], []
         for t in binary(left[text]):
             every = (t or b"").split(b"\n")
             # a key shorter than min_chars is in no table, so never among the hot ones
-            stay = [x for x in every if _hash(x.strip().lower()) not in hot] if hot else every
+            stay = [x for x, h in zip(every, map(_hash, map(bytes.lower, map(bytes.strip, every))), strict=True) if h not in often and h not in hot] if hot or often else every
             before.append(len(every))
             gone.append(len(every) - len(stay))
             out.append(b"\n".join(stay))

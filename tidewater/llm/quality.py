@@ -118,7 +118,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", max_row
         i = np.flatnonzero(w)
         return pd.DataFrame({"slot": i, "weight": w[i]})
 
-    parts = rows.select("doc_id", "_h", "text", "_label", F.pmod(F.xxhash64("doc_id", "_h"), F.lit(shards)).alias("_shard"), F.xxhash64(F.lit(7), "doc_id").alias("_order"))
+    parts = rows.select("doc_id", "_h", "text", "_label", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("_shard"), F.xxhash64(F.lit(7), "doc_id").alias("_order"))
     found = parts.groupBy("_shard").applyInPandas(learn, "slot long, weight double")
     # each slot's mean over the shards; at most 2**BITS + 1 rows come to the driver
     mean = found.groupBy("slot").agg((F.sum("weight") / shards).alias("weight")).toPandas()
