@@ -103,11 +103,20 @@ def alone(cache: dict) -> dict:
     return cache
 
 
+def forget() -> None:
+    """Empties the caches that other stages have left in this worker."""
+    for r in _caches:
+        if (cache := r()) is not None:
+            cache.clear()
+    _caches.clear()
+
+
 def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts after each other, and the number of words of each text.
 
     A-Z are lower-cased; words are runs of other bytes than ASCII white space, which bytes.split() cuts at.
     """
+    forget()
     parts = [b"".join(map(xxhash.xxh64_digest, t.lower().split())) if t else b"" for t in texts]  # faster than looking words up
     return np.frombuffer(b"".join(parts), ">u8").astype(np.uint64), np.fromiter(map(len, parts), np.int64, len(parts)) // 8
 
