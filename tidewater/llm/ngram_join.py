@@ -40,7 +40,7 @@ FREQUENT = 2
 #: Mean size of a group of frequent shingles.
 GROUP = 4
 #: Nodes of a tile's side and their shingles, about; smaller clusters are compared several to a task, of about LUMP shingles. Shingles of an incidence block.
-TILE, TILE_SHINGLES, LUMP, COLUMNS = 256, 1_000_000, 500_000, 4_096
+TILE, TILE_SHINGLES, LUMP, COLUMNS = 256, 1_000_000, 100_000, 4_096
 #: Rounds of indexing in which only entries are counted.
 ROUNDS = 3
 #: A shingle's bits: entries of single shingles are its hash, those of pairs are negative.
