@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +18,8 @@ from pyspark.sql import functions as F
 
 #: Distinct words whose hashes a Python worker keeps; beyond it the cache starts anew.
 CACHED_WORDS = 200_000
-#: Bytes of text that are turned into numpy arrays at once.
-CHUNK_BYTES = 2 << 20
+#: Bytes of text that are turned into numpy arrays at once, and rows of a batch that are turned into Python objects at once.
+CHUNK_BYTES, CHUNK_ROWS = 2 << 20, 1_000
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -111,6 +113,24 @@ def forget() -> None:
     _caches.clear()
 
 
+def release() -> None:
+    """Gives memory that this worker has freed back to the system: workers live on between stages, beside the JVM that then needs it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+        trim(0)
+
+
+def releasing(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task over batches that ends with release(), when nothing of its own is held any more."""
+
+    @functools.wraps(task)
+    def run(batches: Iterator) -> Iterator:
+        yield from task(batches)
+        release()
+
+    return run
+
+
 def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts after each other, and the number of words of each text.
 

@@ -14,8 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import remove, written
-
+from tidewater.llm.common import releasing, remove, written
 
 #: Links that a task contracts at once.
 CHUNK = 500_000
@@ -38,6 +37,7 @@ def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.array(keep, int)
 
 
+@releasing
 def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (a, b) of a task, CHUNK at a time, as stars around the smallest node of what they join."""
 

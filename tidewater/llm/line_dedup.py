@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import UPPER, binary, free, mix, others, partitions, shared_table
+from tidewater.llm.common import UPPER, binary, free, mix, others, partitions, release, shared_table
 
 #: Distinct lines of a shard, about: so many that its arrays take a few MB.
 SHARD_LINES = 250_000
@@ -167,7 +167,7 @@ def drop_lines(documents: DataFrame, text: str = "text", min_docs: int = MIN_DOC
     found = probes.groupBy("shard").cogroup(tables.groupBy("shard")).applyInArrow(answer, "block long, key long").join(parts, "block", "left")
     verdicts = found.select("block", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
 
-    def drop(left: pa.Table, right: pa.Table) -> pa.Table:
+    def dropped_from(left: pa.Table, right: pa.Table) -> pa.Table:
         hot, often = frozenset(right["key"].to_numpy().view(np.uint64).tolist()), sent.value
         before, gone, out = [], [], []
         for t in binary(left[text]):
@@ -180,6 +180,11 @@ def drop_lines(documents: DataFrame, text: str = "text", min_docs: int = MIN_DOC
         made = {c: pa.array(out, pa.binary()).cast(pa.string()) if c == text else left[c] for c in columns}
         return pa.table(made | {lines: pa.array(before, pa.int64()), dropped: pa.array(gone, pa.int64())})
 
+    def drop(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = dropped_from(left, right)
+        release()
+        return found
+
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in documents.schema), T.StructField(lines, T.LongType()), T.StructField(dropped, T.LongType())])
     dealt = documents.withColumn(block_c, block_of(_place(documents, text)))
     if parts.head(1):

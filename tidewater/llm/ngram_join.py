@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import binary, chunks, hashed_words, mix, shared_table
+from tidewater.llm.common import CHUNK_ROWS, binary, chunks, hashed_words, mix, release, releasing, shared_table
 from tidewater.llm.components import components, spanning
 
 WORDS = 5
@@ -122,16 +122,18 @@ def _longs(parts: list[np.ndarray]) -> pa.Array:
 def shingled(documents: DataFrame) -> DataFrame:
     """row (unique), doc_id, n, hash (of the set) and held (the set's hashes of BITS, ascending, packed) for each row; written."""
 
+    @releasing
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = binary(batch["text"])
-            for a, b in chunks(texts):
-                sets = list(_shingle_sets(texts[a:b]))
-                yield pa.RecordBatch.from_arrays([
-                    batch["doc_id"].slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                    pa.array([_pack(s >> np.uint64(64 - BITS)) for s in sets], pa.binary()),
-                ], ["doc_id", "n", "hash", "held"])
+            for at in range(0, batch.num_rows, CHUNK_ROWS):
+                texts = binary(batch["text"].slice(at, CHUNK_ROWS))
+                for a, b in chunks(texts):
+                    sets = list(_shingle_sets(texts[a:b]))
+                    yield pa.RecordBatch.from_arrays([
+                        batch["doc_id"].slice(at + a, b - a), pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                        pa.array([_pack(s >> np.uint64(64 - BITS)) for s in sets], pa.binary()),
+                    ], ["doc_id", "n", "hash", "held"])
 
     id_type = documents.schema["doc_id"].dataType.simpleString()
     sets = documents.select("doc_id", "text").mapInArrow(made, f"doc_id {id_type}, n long, hash binary, held binary")
@@ -153,6 +155,7 @@ def _shared(posted: DataFrame) -> DataFrame:
 def _tokens(sets: DataFrame) -> DataFrame:
     """node, shingle for every shingle of sets (node, held)."""
 
+    @releasing
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -165,6 +168,7 @@ def _tokens(sets: DataFrame) -> DataFrame:
 def _counted(sets: DataFrame) -> DataFrame:
     """shingle, c of sets (held); counted within batches first."""
 
+    @releasing
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shingles, n = np.unique(np.concatenate([_unpack(x).view(np.int64) for x in batch["held"].to_pylist()]), return_counts=True)
@@ -177,6 +181,7 @@ def _entered(sets: DataFrame, often: np.ndarray) -> DataFrame:
     """entry, node, n of sets (node, n, held), with these shingles as the frequent ones."""
     sent = sets.sparkSession.sparkContext.broadcast(often)  # at most BROADCAST_SHINGLES
 
+    @releasing
     def entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = sent.value
         for batch in batches:
@@ -195,6 +200,7 @@ def _entered_by_join(sets: DataFrame, often: DataFrame) -> DataFrame:
     marked = _tokens(sets).join(often.withColumn("often", F.lit(True)), "shingle", "left")
     by = marked.groupBy("node").agg(F.collect_list(F.struct("shingle", F.coalesce("often", F.lit(False)).alias("often"))).alias("held"))
 
+    @releasing
     def entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
@@ -285,7 +291,7 @@ def _links(sets: DataFrame, clusters: DataFrame) -> DataFrame:
     met = held.select("node", "held").join(dealt, "node")
     tiles = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("lump", "own", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "cluster", "node", "held")
 
-    def compare(part: pa.Table) -> pa.Table:
+    def compared(part: pa.Table) -> pa.Table:
         part = part.sort_by("cluster").combine_chunks()
         nodes, sets = part["node"], [_unpack(x) for x in part["held"].to_pylist()]
         cluster, side = part["cluster"].to_numpy(), part["part"].to_numpy()
@@ -304,6 +310,11 @@ def _links(sets: DataFrame, clusters: DataFrame) -> DataFrame:
         i, j = np.concatenate(found, axis=1) if found else np.zeros((2, 0), int)
         return pa.table({"a": nodes.take(pa.array(i, pa.int64())), "b": nodes.take(pa.array(j, pa.int64()))})
 
+    def compare(part: pa.Table) -> pa.Table:
+        found = compared(part)
+        release()
+        return found
+
     return tiles.groupBy("lump", "own", "p", "q").applyInArrow(compare, "a long, b long")
 
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import CACHED_WORDS, alone, binary, chunks, mix, others, remainder, shared_table
+from tidewater.llm.common import CACHED_WORDS, CHUNK_ROWS, alone, binary, chunks, mix, others, releasing, remainder, shared_table
 
 #: Feature slots: 2**BITS.
 BITS = 20
@@ -131,17 +131,23 @@ def scorer(spark, weights: np.ndarray):
     """A function from a text column to the column of scores in 0 to 1."""
     sent = spark.sparkContext.broadcast(weights.astype(np.float32))  # 2**BITS floats: a fixed 4 MB
 
-    @F.arrow_udf("double")
-    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @releasing
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w = sent.value
         for batch in batches:
-            texts, out = binary(batch), np.zeros(len(batch))
-            for a, b in chunks(texts):
-                slots, begins, n = features(texts[a:b])
-                sums = np.concatenate([[0.0], np.cumsum(w[slots], dtype=np.float64)])
-                out[a:b] = (sums[begins[1:]] - sums[begins[:-1]]) / np.sqrt(np.maximum(1, n))
+            out = np.zeros(len(batch))
+            for at in range(0, len(batch), CHUNK_ROWS):
+                texts = binary(batch.slice(at, CHUNK_ROWS))
+                for a, b in chunks(texts):
+                    slots, begins, n = features(texts[a:b])
+                    sums = np.concatenate([[0.0], np.cumsum(w[slots], dtype=np.float64)])
+                    out[at + a : at + b] = (sums[begins[1:]] - sums[begins[:-1]]) / np.sqrt(np.maximum(1, n))
             yield pa.array(1 / (1 + np.exp(-np.clip(out + float(w[-1]), -35, 35))))
 
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from scored(batches)
+
     return score
 
 
