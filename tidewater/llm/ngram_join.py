@@ -171,8 +171,10 @@ def _counted(sets: DataFrame) -> DataFrame:
     @releasing
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shingles, n = np.unique(np.concatenate([_unpack(x).view(np.int64) for x in batch["held"].to_pylist()]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(shingles), pa.array(n)], ["shingle", "c"])
+            shingles = np.concatenate([np.zeros(0, np.int64), *(_unpack(x).view(np.int64) for x in batch["held"].to_pylist())])
+            shingles.sort()
+            begins = np.flatnonzero(np.diff(shingles, prepend=-1))  # no shingle is negative
+            yield pa.RecordBatch.from_arrays([pa.array(shingles[begins]), pa.array(np.diff(begins, append=len(shingles)))], ["shingle", "c"])
 
     return sets.select("held").mapInArrow(summed, "shingle long, c long").groupBy("shingle").agg(F.sum("c").alias("c"))
 
@@ -259,13 +261,18 @@ def _clusters(posted: DataFrame) -> DataFrame:
 def _similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of places (one of left, one of right) whose sets are similar, by exact intersections."""
     size = np.array([len(s) for s in sets])
-    values, which, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    common = held[which] > 1
-    owner = np.repeat(np.arange(len(sets)), size)[common]
-    _, column = np.unique(which[common], return_inverse=True)
+    values = np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    values = values[order]
+    follows = values[1:] == values[:-1]
+    common = np.zeros(len(values), bool)  # those that two sets hold
+    common[1:] |= follows
+    common[:-1] |= follows
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), size)[order[common]]
+    begins = ~np.concatenate([[False], follows])[common]
+    del values, order, follows, common
+    column = np.cumsum(begins, dtype=np.int32) - 1  # ascending
     both = np.zeros((len(left), len(right)), np.float32)  # whole numbers below 2**24 are exact
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
     for a in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
         i, j = np.searchsorted(column, [a, a + COLUMNS])
         grid = np.zeros((len(sets), COLUMNS), np.float32)
