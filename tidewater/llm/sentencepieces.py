@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import alone, free, others, shared_table
+from tidewater.llm.common import alone, free, others, releasing, shared_table
 from tidewater.llm.unigram import NONE, SPACE, STRETCH, Unigram, escaped, load
 
 #: Code points from which a text is encoded in chunks, and those of a chunk.
@@ -53,8 +53,8 @@ def _text_array(parts: list[bytes], spelled: list[bytes]) -> pa.Array:
 def _ordinary(sent, decoded: bool):
     """ids, and with `decoded` what they decode to as well, made by the same worker. Rows are taken SLICE at a time to hold little at once."""
 
-    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @releasing
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = sent.value
         known, find = alone(model.known_ids).__getitem__, STRETCH.findall
         for batch in batches:
@@ -65,6 +65,10 @@ def _ordinary(sent, decoded: bool):
                 said.append(_text_array(parts, model.spelled) if decoded else pa.nulls(len(parts), pa.string()))
             yield pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(said)], ["ids", "decoded"])
 
+    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from encoded(batches)
+
     return encode
 
 

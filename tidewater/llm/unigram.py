@@ -25,7 +25,7 @@ UNIT = 1 / 256
 PENALTY = 10.0
 NONE = -(1 << 60)
 #: Stretches that a worker keeps of each generation, and the characters of the longest one that is kept: together a bound in bytes.
-KEPT, KEPT_CHARS = 120_000, 32
+KEPT, KEPT_CHARS = 50_000, 32
 #: A stretch ends before a space that follows another character, and around a line break: no piece reaches across.
 STRETCH = re.compile("▁*[^▁\\n]+|▁+|\\n")
 
