@@ -280,6 +280,24 @@ def test_phrases_of_an_empty_table(spark):
     assert collocations.collocations(spark.createDataFrame([], "lang string, text string")).count() == 0
 
 
+def test_the_best_are_those_of_highest_score_whatever_their_occurrences(spark):
+    """Scores 981 to 1020 share a step, and those with few occurrences are the best; then equal scores, told apart by occurrences and phrases."""
+    rows = [("en", f"x y{i}", 1000 - 20 * i, 981 + i) for i in range(40)] + [("de", f"x y{i:02}", 10 + i // 4, 5) for i in range(40)]
+    best = collocations.best_of(spark.createDataFrame(rows, "lang string, phrase string, a long, score long"), 5).collect()
+    for lang in ("en", "de"):
+        order = lambda r: (-r[3], -r[2], r[1])
+        assert sorted((tuple(r) for r in best if r.lang == lang), key=order)[:5] == sorted((r for r in rows if r[0] == lang), key=order)[:5]
+    assert len(best) < 20
+
+
+def test_phrases_of_many_close_scores(spark):
+    rng = np.random.default_rng(5)
+    rows = [("en", " ".join(f"w{int(x)}" for x in 40 * rng.random(200) ** 2)) for _ in range(60)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    for top in (20, 150):
+        assert as_set(collocations.collocations(df, 3, 2, 50, top).toPandas(), PHRASES) == plain_phrases(rows, 3, 2, 50, top)
+
+
 def test_scores_beyond_64_bits(spark, monkeypatch):
     big = {"x": 4 * 10**12, "y": 5 * 10**12, "x y": 3 * 10**12, "y x": 10**12}
     singles = spark.createDataFrame([("en", p, i, n) for i, (p, n) in enumerate(big.items()) if " " not in p] + [("en", None, 0, 10**13)], "lang string, phrase string, h long, n long")

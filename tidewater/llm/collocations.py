@@ -230,14 +230,19 @@ def _joined(words: Column, first: Column | int, n: Column | int) -> Column:
 
 
 def best_of(scored: DataFrame, top: int) -> DataFrame:
-    """Of each lang the rows among which its `top` best are: a histogram of steps of score and a tells how far down these reach, so that no task sorts a language's other phrases."""
+    """Of each lang the rows among which its `top` best are, so that no task sorts a language's other phrases.
+
+    A histogram of steps of score tells how far down these reach, then one of scores and, among equal ones, steps of a. Steps of a count only among equal scores: of two scores in one step the higher comes first, whatever its a.
+    """
     step = lambda c: F.floor(STEPS * F.log2(F.col(c) + 1.0)).cast("int")
-    placed = scored.withColumn("_step", F.struct(step("score").alias("score"), step("a").alias("a")))
-    held = placed.groupBy("lang", "_step").agg(F.count("*").alias("n"))
-    above = F.coalesce(F.sum("n").over(W.partitionBy("lang").orderBy(F.desc("_step")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    reach = shared_table(held.withColumn("_above", above).where(F.col("_above") < top).groupBy("lang").agg(F.min("_step").alias("_least")), "reach")
-    # a row for each language
-    return placed.join(F.broadcast(reach) if reach.count() <= BROADCAST_LANGS else reach, "lang").where(F.col("_step") >= F.col("_least")).drop("_step", "_least")
+    for key in (step("score"), F.struct("score", step("a").alias("a"))):
+        placed = scored.withColumn("_step", key)
+        held = placed.groupBy("lang", "_step").agg(F.count("*").alias("n"))
+        above = F.coalesce(F.sum("n").over(W.partitionBy("lang").orderBy(F.desc("_step")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        reach = shared_table(held.withColumn("_above", above).where(F.col("_above") < top).groupBy("lang").agg(F.min("_step").alias("_least")), "reach")
+        # a row for each language
+        scored = placed.join(F.broadcast(reach) if reach.count() <= BROADCAST_LANGS else reach, "lang").where(F.col("_step") >= F.col("_least")).drop("_step", "_least")
+    return scored
 
 
 def collocations(documents: DataFrame, least: int = LEAST, longest: int = LONGEST, covered: int = COVERED, top: int = TOP) -> DataFrame:
