@@ -114,3 +114,16 @@ def test_a_hot_pair_is_dealt_over_many_groups(spark):
         for g, n in zip(*np.unique(model.dealt(context[mine], tokens[mine], i << 33, shared, groups), return_counts=True), strict=True):
             held[g] += n
     assert max(held.values()) <= 4 * np.median(list(held.values()))
+
+
+@pytest.mark.parametrize("coded", [[], [7, 3, 900]])
+def test_rounds_get_back_a_group_s_pairs(coded):
+    u = lambda *x: np.array(x, np.uint64)
+    shared = model.Shared(u(3), np.array(coded, np.uint64), u(3, 7).reshape(1, 2), np.array([2]))
+    words, asked = u(2, 3, 7, 1 << 55), np.array([1, 2])
+    for pairs, customers in (([1 << 32 | 1, 1 << 32 | 2, 3 << 32 | 1], [2, 0, 70_000]), ([], [])):
+        one = model.Pairs(words, asked, np.array(pairs, np.int64), np.array(customers, np.int64), shared)
+        two = model.Pairs.unpacked(one.packed(shared), shared)
+        for name in ("words", "asked", "pairs", "customers", "pair_context", "pair_word", "is_hot", "hot_pair", "mine"):
+            a, b = getattr(one, name), getattr(two, name)
+            assert a.dtype == b.dtype and a.tolist() == b.tolist()

@@ -43,7 +43,7 @@ PARENT_DISCOUNT, PARENT_STRENGTH = 0.7, 10.0
 #: Rounds before samples are taken, and samples.
 BURN, SAMPLES = 1, 3
 #: Customers sit down one by one along with those of all other dishes, up to this number or as long as there are so many dishes; those after them dish by dish, in blocks.
-LONG, FEW, BLOCK = 64, 16, 8_192
+LONG, FEW, BLOCK = 64, 128, 8_192
 #: Characters of text for each group of contexts, about; words of a batch.
 GROUP_CHARS, BATCH_WORDS = 14_000_000, 1_000_000
 #: A word's bits. Shares of a group's tokens from which a context is spread, and a pair is dealt over several groups.
@@ -197,8 +197,48 @@ def dealt(context: np.ndarray, token: np.ndarray, batch: int, shared: Shared, gr
     return (group % np.uint64(groups)).astype(np.int64)
 
 
-class Group:
-    """All tokens of a group of contexts, as (pair, document, times), in numbers of distinct words."""
+class Pairs:
+    """The words of a group of contexts, which of them its tokens hold, and its pairs in training with their customers: all that the rounds need."""
+
+    def __init__(self, words: np.ndarray, asked: np.ndarray, pairs: np.ndarray, customers: np.ndarray, shared: Shared) -> None:
+        """words, pairs: ascending; asked: places of the words with an answer, ascending."""
+        self.words, self.asked, self.pairs, self.customers = words, asked, pairs, customers
+        self.pair_context, self.pair_word = pairs >> 32, pairs & 0xFFFFFFFF
+        self.is_hot = _among(words, shared.hot)
+        self.hot_pair = shared.pair_at(words[self.pair_context], words[self.pair_word])
+        #: Pairs whose tables this group counts.
+        self.mine = self.hot_pair < 0
+
+    def packed(self, shared: Shared) -> list[bytes]:
+        ranked = np.argsort(shared.coded)
+        at = np.minimum(np.searchsorted(shared.coded[ranked], self.words), max(0, len(ranked) - 1))
+        coded = shared.coded[ranked[at]] == self.words if len(ranked) else np.zeros(len(self.words), bool)
+        met, asked = np.zeros(len(ranked), bool), np.zeros(len(self.words), bool)
+        met[ranked[at[coded]]] = True
+        asked[self.asked] = True
+        rare = _planes(np.diff(self.words[~coded], prepend=np.uint64(0)), 7)
+        return [_squeeze(met.tobytes()), rare, _squeeze(asked.tobytes()), *map(_ints, (np.diff(self.pair_context, prepend=0), self.pair_word, self.customers))]
+
+    @classmethod
+    def unpacked(cls, held: list[bytes], shared: Shared) -> Pairs:
+        words = _distinct(np.concatenate([shared.coded[_expand(held[0], bool)], np.cumsum(_unplanes(held[1], 7), dtype=np.uint64)]))
+        context, word, customers = map(_from_ints, held[3:])
+        return cls(words, np.flatnonzero(_expand(held[2], bool)), np.cumsum(context) << 32 | word, customers, shared)
+
+    def of_context(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.pair_context, weights=weights, minlength=len(self.words)).astype(np.int64)
+
+    def of_word(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.pair_word, weights=weights, minlength=len(self.words)).astype(np.int64)[self.asked]
+
+    def sweep(self, tables: np.ndarray, prior: np.ndarray, total: np.ndarray, turn: int) -> np.ndarray:
+        """One sweep over all restaurants. total: tables of each context, over all groups."""
+        key = _keys(self.words[self.pair_context], self.words[self.pair_word], turn)
+        return seat(self.customers, prior[self.pair_word], total[self.pair_context] - tables, DISCOUNT, STRENGTH, key)
+
+
+class Group(Pairs):
+    """All tokens of a group of contexts besides, as (pair, document, times), in numbers of distinct words."""
 
     def __init__(self, part: pa.Table, shared: Shared) -> None:
         rare = [np.cumsum(_unplanes(x, 7), dtype=np.uint64) for x in part["words"].to_pylist()]
@@ -208,10 +248,10 @@ class Group:
         met = np.zeros(f, bool)
         for x in (*contexts, *tokens):
             met[x[x < f]] = True
-        self.words = _distinct(np.concatenate([shared.coded[met], *rare]))
+        words = _distinct(np.concatenate([shared.coded[met], *rare]))
         place = np.zeros(f, np.int64)
-        place[met] = np.searchsorted(self.words, shared.coded[met])
-        place = [np.concatenate([place, np.searchsorted(self.words, r)]) for r in rare]
+        place[met] = np.searchsorted(words, shared.coded[met])
+        place = [np.concatenate([place, np.searchsorted(words, r)]) for r in rare]
         self.context = np.concatenate([p[c] for p, c in zip(place, contexts, strict=True)])
         self.token = np.concatenate([p[t] for p, t in zip(place, tokens, strict=True)])
         docs = [_from_ints(x) for x in part["docs"].to_pylist()]
@@ -223,30 +263,14 @@ class Group:
         self.pair = self.context << 32 | self.token
         pair = np.sort(self.pair[self.train])
         begins = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.zeros(0, int)
-        self.pairs, self.customers = pair[begins], np.diff(np.r_[begins, len(pair)])
+        pairs, customers = pair[begins], np.diff(np.r_[begins, len(pair)])
         more = np.flatnonzero(self.train & (self.times > 1))
-        np.add.at(self.customers, np.searchsorted(self.pairs, self.pair[more]), self.times[more] - 1)
+        np.add.at(customers, np.searchsorted(pairs, self.pair[more]), self.times[more] - 1)
         if len(shared.keys):  # a hot pair is one of training here even if other groups have all of that
-            also = np.setdiff1d(self.pair[shared.pair_at(self.words[self.context], self.words[self.token]) >= 0], self.pairs)
-            at = np.searchsorted(self.pairs, also)
-            self.pairs, self.customers = np.insert(self.pairs, at, also), np.insert(self.customers, at, 0)
-        self.pair_context, self.pair_word = self.pairs >> 32, self.pairs & 0xFFFFFFFF
-        self.is_hot = _among(self.words, shared.hot)
-        self.asked = np.flatnonzero(np.bincount(self.token, minlength=len(self.words)))  # words with an answer, ascending
-        self.hot_pair = shared.pair_at(self.words[self.pair_context], self.words[self.pair_word])
-        #: Pairs whose tables this group counts.
-        self.mine = self.hot_pair < 0
-
-    def of_context(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.pair_context, weights=weights, minlength=len(self.words)).astype(np.int64)
-
-    def of_word(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.pair_word, weights=weights, minlength=len(self.words)).astype(np.int64)[self.asked]
-
-    def sweep(self, tables: np.ndarray, prior: np.ndarray, total: np.ndarray, turn: int) -> np.ndarray:
-        """One sweep over all restaurants. total: tables of each context, over all groups."""
-        key = _keys(self.words[self.pair_context], self.words[self.pair_word], turn)
-        return seat(self.customers, prior[self.pair_word], total[self.pair_context] - tables, DISCOUNT, STRENGTH, key)
+            also = np.setdiff1d(self.pair[shared.pair_at(words[self.context], words[self.token]) >= 0], pairs)
+            at = np.searchsorted(pairs, also)
+            pairs, customers = np.insert(pairs, at, also), np.insert(customers, at, 0)
+        super().__init__(words, np.flatnonzero(np.bincount(self.token, minlength=len(words))), pairs, customers, shared)
 
 
 def _frequent(rows: DataFrame, groups: int) -> Shared:
@@ -373,7 +397,7 @@ def seat_slice(first: pa.Table, part: pa.Table, turn: int) -> pa.Table:
 class Seating:
     """A group's seating after the answers of a round: tables of its pairs, what its words have in the parent, and the samples so far."""
 
-    def __init__(self, g: int, group: Group, right: pa.Table, turn: int, shared: Shared) -> None:
+    def __init__(self, g: int, group: Pairs, right: pa.Table, turn: int, shared: Shared) -> None:
         self.group = group
         answers = right.filter(pa.compute.greater_equal(right["q"], 0)).sort_by("q")
         sums = lambda c: sum(answers[c].to_pylist())
@@ -505,7 +529,7 @@ def score(documents: DataFrame) -> DataFrame:
 
     hot_cut, pair_cut = np.searchsorted(shared.hot, bounds), (np.arange(slices + 1) * len(shared.keys)) // slices
 
-    def of_hot(group: Group, values: np.ndarray) -> np.ndarray:
+    def of_hot(group: Pairs, values: np.ndarray) -> np.ndarray:
         """Values of the group's words for all hot words, 0 for those that it lacks."""
         hot = sent.value.hot
         out = np.zeros(len(hot), values.dtype)
@@ -513,12 +537,15 @@ def score(documents: DataFrame) -> DataFrame:
         out[np.searchsorted(hot, group.words[here])] = values[here]
         return out
 
+    def distil(part: pa.Table) -> pa.Table:
+        group = Group(part.sort_by("batch"), sent.value)
+        return _table("g long, held array<binary>", [(part["g"][0].as_py(), group.packed(sent.value))])
+
     def ask(part: pa.Table) -> pa.Table:
         """A group's words with their training counts and dishes, its hot contexts' customers and dishes and its hot pairs' customers, for every slice of words (q), as each slice's sums go to every group."""
         g = part["g"][0].as_py()
-        group = Group(part.sort_by("batch"), sent.value)
-        asked = group.words[group.asked]
-        counts = np.bincount(group.token[group.train], weights=group.times[group.train], minlength=len(group.words)).astype(np.int64)[group.asked]
+        group = Pairs.unpacked(part["held"][0].as_py(), sent.value)
+        asked, counts = group.words[group.asked], group.of_word(group.customers)
         single = np.minimum(group.customers, 1) * group.mine
         dishes = group.of_word(single)
         cut = np.searchsorted(asked, bounds)
@@ -534,7 +561,7 @@ def score(documents: DataFrame) -> DataFrame:
             if not left.num_rows:
                 return _table(TOLD, [])
             g, shared = left["g"][0].as_py(), sent.value
-            group = Group(left.sort_by("batch"), shared)
+            group = Pairs.unpacked(left["held"][0].as_py(), shared)
             now = Seating(g, group, right, turn, shared)
             now.tables = group.sweep(now.tables, now.prior, now.total, turn)
             held = now.more_tables()
@@ -546,11 +573,13 @@ def score(documents: DataFrame) -> DataFrame:
         return seated
 
     by_group = lambda left, right, made, schema: left.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(made, schema)
-    first = packed.groupBy("g").applyInArrow(ask, FIRST)
+    # tokens are read twice, for their pairs and in the end; the rounds read the pairs
+    pairs = packed.groupBy("g").applyInArrow(distil, "g long, held array<binary>")
+    first = pairs.groupBy("g").applyInArrow(ask, FIRST)
     answers = first.groupBy("q").applyInArrow(count_slice, ANSWER)
     for turn in range(BURN + SAMPLES):
         # a function of its own for each round
-        told = by_group(packed, answers, tell(turn), TOLD)
+        told = by_group(pairs, answers, tell(turn), TOLD)
         answers = first.groupBy("q").cogroup(told.groupBy("q")).applyInArrow((lambda turn: lambda left, right: seat_slice(left, right, turn))(turn), ANSWER)
 
     def predict(left: pa.Table, right: pa.Table) -> pa.Table:
