@@ -7,6 +7,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -385,3 +386,34 @@ def test_pipeline(spark):
     left = corpus_pipeline.near_duplicate_stage(spark, odd, SMALL)
     assert left.columns == docs.columns and sorted(map(str, ((r.doc_id, r.text) for r in left.collect()))) == sorted(map(str, [rows[0], rows[2], rows[5]]))
     assert corpus_pipeline.run(spark, SMALL).count() == sizes["SentencePiece encoding"]
+
+
+@pytest.mark.parametrize("slices", [1, 3, 70_000])
+def test_slices_answer_what_entries_tell(slices):
+    """Links connect the nodes that a plain program connects, and what four nodes hold is frequent, within a block or over several."""
+    rng = np.random.default_rng(slices)
+    node, n = np.cumsum(rng.integers(1, 1 << 40, 90)), rng.integers(3, 9, 90)
+    pool = np.r_[rng.integers(0, 1 << 48, 150), rng.integers(0, 1 << 62, 40) | -(1 << 63)].astype(np.int64).view(np.uint64)
+    made = [np.unique(pool[np.r_[np.minimum(189, rng.geometric(0.03, 2)), rng.integers(0, 190, 2)]]) for _ in node]
+    blocks = [ngram_join._told(node[a:b], n[a:b], made[a:b], slices) for a, b in ((0, 40), (40, 41), (41, 41), (41, 90))]
+    told = pa.Table.from_batches(blocks)
+    rows = [r for q in set(told["q"].to_pylist()) for r in ngram_join._answered(told.filter(pa.array([x == q for x in told["q"].to_pylist()])), slices).to_pylist()]
+    held = Counter(e for x in made for e in x.tolist())
+    hot = {e for e, c in held.items() if e < 1 << 63 and c >= 4}
+    assert sorted(r["a"] for r in rows if r["kind"] == 1) == sorted(hot) and hot
+    assert {r["a"] for r in rows if r["kind"] == 2} == {i for i, x in zip(node.tolist(), made) if hot & set(x.tolist())}
+
+    def parts(links):
+        of = {i: {i} for i in node.tolist()}
+        for a, b in links:
+            whole = of[a] | of[b]
+            of.update(dict.fromkeys(whole, whole))
+        return {frozenset(x) for x in of.values()}
+
+    at = {}
+    for i, k, x in zip(node.tolist(), n.tolist(), made):
+        for e in set(x.tolist()) - hot:
+            for z in (0, 1):
+                at.setdefault((e, ngram_join._size_class(k) + z), []).append(i)
+    want = parts((x[0], y) for x in at.values() for y in x)
+    assert parts((r["a"], r["b"]) for r in rows if r["kind"] == 0) == want and 1 < len(want) < 90

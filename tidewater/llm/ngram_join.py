@@ -9,6 +9,9 @@ is so long that a similar one cannot miss all of it: n - ceil(t n) + 1 of n shin
    After ROUNDS of this all shingles of the nodes that are left are counted, which leaves no entry of a single shingle that is frequent.
 Two similar nodes share an entry in each round in which both take part. If it is a pair or rare, they are candidates; if not, both are in the next round.
 
+Entries are dealt by value into slices. A block of nodes tells a slice its entries once, packed; the slice counts them, and answers with links and with what is frequent.
+A block tells by itself what is frequent within it, and of nodes of one size class that share a pair only the first, so that a slice has a few rows at most for each block and entry.
+
 What shares an entry and has a fitting size is a candidate. Candidates chain into clusters, and each cluster's nodes are compared with
 each other, tile by tile where it is large: exact intersections of whole sets from products of incidence blocks. A tile gives back a spanning
 forest of its links, never all its pairs.
@@ -29,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import CHUNK_ROWS, binary, chunks, hashed_words, mix, release, releasing, shared_table
+from tidewater.llm.common import CHUNK_ROWS, binary, chunks, hashed_words, mix, partitions, release, releasing, shared_table
 from tidewater.llm.components import components, spanning
 
 WORDS = 5
@@ -41,6 +44,8 @@ FREQUENT = 2
 GROUP = 4
 #: Nodes of a tile's side and their shingles, about; smaller clusters are compared several to a task, of about LUMP shingles. Shingles of an incidence block.
 TILE, TILE_SHINGLES, LUMP, COLUMNS = 256, 1_000_000, 100_000, 4_096
+#: Entries of a slice, about, and slices where there are fewer entries (or as many as Spark has shuffle partitions).
+SLICE_ENTRIES, SLICES = 1_000_000, 200
 #: Rounds of indexing in which only entries are counted.
 ROUNDS = 3
 #: A shingle's bits: entries of single shingles are its hash, those of pairs are negative.
@@ -114,11 +119,6 @@ def _entries(held: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-def _longs(parts: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)))
-
-
 def shingled(documents: DataFrame) -> DataFrame:
     """row (unique), doc_id, n, hash (of the set) and held (the set's hashes of BITS, ascending, packed) for each row; written."""
 
@@ -146,10 +146,113 @@ def _with(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.withColumnRenamed("row", "node").join(F.broadcast(wanted) if few else wanted, "node", "left_semi")
 
 
-def _shared(posted: DataFrame) -> DataFrame:
-    """entry, node, n, c of the entries (entry, node, n) that c > 1 nodes have; written."""
-    counts = shared_table(posted.groupBy("entry").agg(F.count("*").alias("c")).where("c > 1"), "counts")
-    return shared_table(posted.join(counts, "entry"), "posted")
+def _shrunk(values: np.ndarray) -> bytes:
+    """Whole numbers, byte plane by byte plane, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(values.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _grown(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1).T.copy().view("<i8").ravel()
+
+
+def _steps(values: np.ndarray) -> bytes:
+    """Ascending whole numbers, as differences."""
+    return _shrunk(np.diff(values, prepend=values[:1] * 0))
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row of sorted columns differs from the one before."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
+
+
+def _cut(values: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of values by slice, and where slices begin and end in it."""
+    of = values % slices
+    order = np.argsort(of.astype(np.uint16) if slices < 1 << 16 else of, kind="stable")  # short numbers sort by radix
+    return order, np.searchsorted(of[order], np.arange(slices + 1))
+
+
+def _told(node: np.ndarray, n: np.ndarray, made: list[np.ndarray], slices: int) -> pa.RecordBatch:
+    """What a block of nodes with their sizes and entries tells the slices (q)."""
+    flat, place = np.concatenate([np.zeros(0, np.uint64), *made]), np.repeat(np.arange(len(made)), [len(x) for x in made])
+    kind = np.floor(np.log(n) / np.log(100 / PERCENT) + 1e-9).astype(np.int64)
+    paired = flat >= 1 << 63
+    one, at = flat[~paired].astype(np.int64), place[~paired]
+    order = np.argsort(one, kind="stable")
+    one, at = one[order], at[order]
+    begins = np.flatnonzero(_starts(one))
+    c = np.diff(begins, append=len(one))
+    many = np.repeat(c >= 1 << FREQUENT, c)
+    hot, active, one, at = one[begins][c >= 1 << FREQUENT], node[np.unique(at[many])], one[~many], at[~many]
+    # BITS of a pair are enough: what collides is a candidate without need
+    two, by = (flat[paired] << np.uint64(1) >> np.uint64(64 - BITS)).astype(np.int64), place[paired]
+    order = np.lexsort((node[by], kind[by], two))
+    two, by = two[order], by[order]
+    first = _starts(two, kind[by])
+    lead = by[first][np.cumsum(first) - 1]
+    links = np.unique(np.stack([node[by[~first]], node[lead[~first]]]), axis=1)
+    two, by = two[first], by[first]
+
+    rows, own = [], int(node[0]) % slices if len(node) else 0
+    (o, cut), (o2, cut2), (o3, cut3) = _cut(one, slices), _cut(two, slices), _cut(hot, slices)
+    one, at, two, by, hot = one[o] // slices, at[o], two[o2] // slices, by[o2], hot[o3] // slices
+    for q in range(slices):
+        i, j, k = slice(cut[q], cut[q + 1]), slice(cut2[q], cut2[q + 1]), slice(cut3[q], cut3[q + 1])
+        mine = q == own and (len(active) or links.size)
+        if mine or i.start < i.stop or j.start < j.stop or k.start < k.stop:
+            used, which = np.unique(np.concatenate([at[i], by[j]]), return_inverse=True)
+            rows.append((q, [_steps(one[i]), _steps(two[j]), _shrunk(which), _steps(node[used]), _shrunk(kind[used]), _steps(hot[k]), *(map(_shrunk, (active, *links)) if mine else [])]))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.binary()))], ["q", "told"])
+
+
+def _linked(entry: np.ndarray, node: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Links (2, n) of each node of an entry to the smallest one of a fitting size. A node stands at its size class and the next one; similar ones are at most one class apart, so they meet."""
+    order = np.argsort(entry, kind="stable")
+    begins = np.flatnonzero(_starts(entry[order]))
+    c = np.diff(begins, append=len(entry))
+    order = order[np.repeat(c > 1, c)]
+    entry, node, kind = np.tile(entry[order], 2), np.tile(node[order], 2), np.concatenate([kind[order], kind[order] + 1])
+    order = np.lexsort((node, kind, entry))
+    entry, node, kind = entry[order], node[order], kind[order]
+    first = _starts(entry, kind)
+    return np.stack([node, node[first][np.cumsum(first) - 1]])[:, ~first]
+
+
+def _answered(part: pa.Table, slices: int) -> pa.Table:
+    """A slice's links (kind 0: a, b), frequent shingles (kind 1: a) and the nodes that have these (kind 2: a)."""
+    q, parts = part["q"][0].as_py(), [list(map(_grown, x)) for x in part["told"].to_pylist()]
+    values = lambda k: [np.cumsum(x[k]) * slices + q for x in parts]
+    nodes = [np.cumsum(x[3])[x[2]] for x in parts]
+    kinds = [x[4][x[2]] for x in parts]
+    ones = [len(x[0]) for x in parts]
+    early = lambda columns: np.concatenate([x[:k] for x, k in zip(columns, ones, strict=True)])
+    late = lambda columns: np.concatenate([x[k:] for x, k in zip(columns, ones, strict=True)])
+    one, node, kind = np.concatenate(values(0)), early(nodes), early(kinds)
+    found, which, c = np.unique(one, return_inverse=True, return_counts=True)
+    told = np.unique(np.concatenate(values(5)))
+    often = (c >= 1 << FREQUENT) | np.isin(found, told)
+    hot = often[which]
+    active = np.unique(np.concatenate([node[hot], *(x[6] for x in parts if len(x) > 6)]))
+    fresh = np.union1d(found[often], told)
+    links = [_linked(one[~hot], node[~hot], kind[~hot]), _linked(np.concatenate(values(1)), late(nodes), late(kinds)), *(np.stack(x[7:9]) for x in parts if len(x) > 6)]
+    links = np.concatenate(links, axis=1)
+    links = links[:, np.lexsort(links)]
+    links = links[:, _starts(*links)]
+    n = [links.shape[1], len(fresh), len(active)]
+    return pa.table({"kind": np.repeat(np.arange(3, dtype=np.int32), n), "a": np.concatenate([links[0], fresh, active]), "b": np.concatenate([links[1], np.zeros(n[1] + n[2], np.int64)])})
+
+
+def _met(told: DataFrame, slices: int) -> DataFrame:
+    """kind, a, b from what blocks tell; written."""
+
+    def answer(part: pa.Table) -> pa.Table:
+        found = _answered(part, slices)
+        release()
+        return found
+
+    return shared_table(told.groupBy("q").applyInArrow(answer, "kind int, a long, b long"), "met")
 
 
 def _tokens(sets: DataFrame) -> DataFrame:
@@ -179,8 +282,8 @@ def _counted(sets: DataFrame) -> DataFrame:
     return sets.select("held").mapInArrow(summed, "shingle long, c long").groupBy("shingle").agg(F.sum("c").alias("c"))
 
 
-def _entered(sets: DataFrame, often: np.ndarray) -> DataFrame:
-    """entry, node, n of sets (node, n, held), with these shingles as the frequent ones."""
+def _entered(sets: DataFrame, often: np.ndarray, slices: int) -> DataFrame:
+    """q, told of the entries of sets (node, n, held), with these shingles as the frequent ones."""
     sent = sets.sparkSession.sparkContext.broadcast(often)  # at most BROADCAST_SHINGLES
 
     @releasing
@@ -192,12 +295,12 @@ def _entered(sets: DataFrame, often: np.ndarray) -> DataFrame:
                 held = _unpack(x)
                 at = np.minimum(np.searchsorted(often, held), max(0, len(often) - 1))
                 made.append(_entries(held, often[at] == held if len(often) else np.zeros(len(held), bool)))
-            yield pa.RecordBatch.from_arrays([batch["node"], batch["n"], _longs(made)], ["node", "n", "entries"])
+            yield _told(batch["node"].to_numpy(), batch["n"].to_numpy(), made, slices)
 
-    return sets.mapInArrow(entered, "node long, n long, entries array<long>").select(F.explode("entries").alias("entry"), "node", "n")
+    return sets.mapInArrow(entered, "q int, told array<binary>")
 
 
-def _entered_by_join(sets: DataFrame, often: DataFrame) -> DataFrame:
+def _entered_by_join(sets: DataFrame, often: DataFrame, slices: int) -> DataFrame:
     """The same where too many shingles are frequent to be sent."""
     marked = _tokens(sets).join(often.withColumn("often", F.lit(True)), "shingle", "left")
     by = marked.groupBy("node").agg(F.collect_list(F.struct("shingle", F.coalesce("often", F.lit(False)).alias("often"))).alias("held"))
@@ -210,9 +313,9 @@ def _entered_by_join(sets: DataFrame, often: DataFrame) -> DataFrame:
                 held, often = (x.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
                 order = np.argsort(held)
                 made.append(_entries(held.view(np.uint64)[order], often[order]))
-            yield pa.RecordBatch.from_arrays([batch["node"], pa.array([len(x) for x in batch["held"]], pa.int64()), _longs(made)], ["node", "n", "entries"])
+            yield _told(batch["node"].to_numpy(), np.array([len(x) for x in batch["held"]]), made, slices)
 
-    return by.mapInArrow(entered, "node long, n long, entries array<long>").select(F.explode("entries").alias("entry"), "node", "n")
+    return by.mapInArrow(entered, "q int, told array<binary>")
 
 
 def _numbers(shingles: DataFrame) -> np.ndarray:
@@ -220,17 +323,18 @@ def _numbers(shingles: DataFrame) -> np.ndarray:
 
 
 def candidates(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """entry, node, n: what brings the nodes (node) of sets (row, n, held) together."""
+    """a, b: links that bring the nodes (node) of sets (row, n, held) together. Between nodes whose sizes rule a link out there is none."""
+    entries = (sets.agg(F.sum("n")).first()[0] or 0) * (100 - PERCENT) // 100
+    slices = max(min(SLICES, partitions(sets.sparkSession)), entries // SLICE_ENTRIES)
     active, often, found = nodes, np.zeros(0, np.uint64), []
     for _ in range(ROUNDS):
-        met = _shared(_entered(_with(sets.select("row", "n", "held"), active), often))
-        hot = (F.col("entry") >= 0) & (F.col("c") >= 1 << FREQUENT)
-        found.append(met.where(~hot))
-        fresh = shared_table(met.where(hot).select(F.col("entry").alias("shingle")).distinct(), "frequent")
+        met = _met(_entered(_with(sets.select("row", "n", "held"), active), often, slices), slices)
+        found.append(met.where("kind = 0"))
+        fresh = met.where("kind = 1").select(F.col("a").alias("shingle"))
         new = fresh.count()
         if not new:
             break
-        active = shared_table(met.where(hot).select("node").distinct(), "active")
+        active = shared_table(met.where("kind = 2").select(F.col("a").alias("node")).distinct(), "active")
         if len(often) + new > BROADCAST_SHINGLES:
             often = None
             break
@@ -239,23 +343,11 @@ def candidates(sets: DataFrame, nodes: DataFrame) -> DataFrame:
         whole = _with(sets.select("row", "n", "held"), active)
         frequent = shared_table(_counted(whole).where(F.col("c") >= 1 << FREQUENT).select("shingle"), "frequent")
         few = frequent.count() <= BROADCAST_SHINGLES
-        found.append(_shared(_entered(whole, _numbers(frequent)) if few else _entered_by_join(whole, frequent)))
-    posted = found[0]
+        found.append(_met(_entered(whole, _numbers(frequent), slices) if few else _entered_by_join(whole, frequent, slices), slices).where("kind = 0"))
+    links = found[0]
     for x in found[1:]:
-        posted = posted.unionByName(x)
-    return posted.select("entry", "node", "n")
-
-
-def _clusters(posted: DataFrame) -> DataFrame:
-    """node, component: nodes that entries connect. Between nodes of an entry whose sizes rule a link out there is no connection.
-
-    A node stands at its size class and the next one; similar ones are at most one class apart, so they meet.
-    """
-    z = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT)) + 1e-9).cast("int")
-    placed = posted.select("entry", "node", F.explode(F.array(z, z + 1)).alias("z"))
-    first = shared_table(placed.groupBy("entry", "z").agg(F.min("node").alias("first"), F.count("*").alias("sets")).where("sets > 1").drop("sets"), "first")
-    edges = placed.join(first, ["entry", "z"]).where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    return components(edges)
+        links = links.unionByName(x)
+    return links.select("a", "b")
 
 
 def _similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -331,7 +423,7 @@ def similar_groups(documents: DataFrame) -> DataFrame:
     known = sets.where(F.col("hash").isNotNull() & F.col("doc_id").isNotNull())
     # a node is the first row of those with a set
     nodes = shared_table(known.groupBy("hash").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep")), "reps")
-    part = components(_links(sets, _clusters(candidates(sets, nodes.select("node")))))
+    part = components(_links(sets, components(candidates(sets, nodes.select("node")))))
 
     named = nodes.join(part, "node", "left").select("hash", "rep", F.coalesce("component", "node").alias("component"))
     named = shared_table(named, "named")
