@@ -118,6 +118,55 @@ def test_ngram_groups_of_rows_that_share_an_id(spark):
     assert got == [(0, 0), (1, 0), (1, 1), (5, 1), (6, 1)]
 
 
+def test_ngram_candidates_share_as_much_as_they_need(spark, monkeypatch):
+    """A rare phrase that two long texts share makes no candidates, so that a chain of such texts is no cluster that is compared whole; near copies among them are found."""
+    clusters, links = [], ngram_join._links
+
+    def kept(sets, found):
+        clusters.extend(r.node for r in found.collect())
+        return links(sets, found)
+
+    monkeypatch.setattr(ngram_join, "_links", kept)
+    draw = np.random.default_rng(9)
+    phrases = [[f"p{k}x{i}" for i in range(10)] for k in range(41)]
+    texts = [" ".join([*phrases[k], *(f"w{x}" for x in draw.integers(0, 10**9, 580)), *phrases[k + 1]]) for k in range(40)]
+    rows = list(enumerate([*texts, *(x.rsplit(" ", 40)[0] for x in texts[:3])], 1))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sizes, comps = brute_groups(rows)
+    assert got == {i: (sizes[i], comps[i]) for i, _ in rows} and len(set(comps.values())) == 40
+    assert len(clusters) == 6
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_ngram_rounds_without_lists_of_nodes(spark, monkeypatch, seed):
+    """Where too many nodes remain or repeat to be sent, nodes tell by themselves whether they remain."""
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+    draw = np.random.default_rng(seed)
+    base = lambda n: [f"w{x}" for x in draw.integers(0, 10**6, n)]
+    shared = base(60)
+    texts = family(draw, base(300), 12, 30) + family(draw, base(90), 9, 9) + [" ".join(base(20) + shared + base(int(n))) for n in draw.integers(0, 40, 30)]
+    rows = list(enumerate([*texts, *texts[:5], *texts[-3:]], 1))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sizes, comps = brute_groups(rows)
+    assert got == {i: (sizes[i], comps[i]) for i, _ in rows}
+
+
+@pytest.mark.parametrize("frequent", [0.0, 0.4, 0.9, 1.0])
+def test_ngram_entries_that_similar_sets_share(frequent):
+    """At the very threshold, sets share a pair or as many single entries as they need, whatever is frequent."""
+    draw = np.random.default_rng(int(10 * frequent))
+    for n in (5, 9, 40, 101, 400, 1000):
+        for _ in range(20):
+            whole = np.unique(draw.integers(0, 1 << 48, 2 * n).astype(np.uint64))
+            common = draw.permutation(whole)[:n]
+            out = n // 5 if draw.integers(2) else n // 9  # a subset of 80 %, or as many in one set only as in the other
+            a, b = (common, common[: n - out]) if out == n // 5 else (common, np.r_[common[: n - out], np.setdiff1d(whole, common)[:out]])
+            often = whole[draw.random(len(whole)) < frequent]
+            assert 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+            met = np.intersect1d(*(ngram_join._entries(np.sort(x), np.isin(np.sort(x), often)) for x in (a, b)))
+            assert (met >= 1 << 63).any() or len(met) >= ngram_join._needed(min(ngram_join._size_class(len(a)), ngram_join._size_class(len(b))))
+
+
 def test_ngram_oracle(spark):
     compare_with_sql(spark, SMALL, "documents", "op7_ngram_join")
 

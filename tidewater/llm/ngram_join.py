@@ -1,13 +1,14 @@
 """N-gram Jaccard join with token-combination prefixes.
 
 A document is the set of its distinct word shingles; equal sets are one node. In the order of the shingles' hashes a node is indexed by a prefix that
-is so long that a similar one cannot miss all of it: n - ceil(t n) + 1 of n shingles. The index entries are counted by an ordinary grouping.
- - Entries of fewer than 2**FREQUENT nodes bring candidates together by themselves.
+is so long that a similar one shares k of it (the smaller k of the two): n - ceil(t n) + k of n shingles. k grows
+with the size (`_needed`), so that a rare phrase or two that long texts share do not chain them. The index entries are counted by an ordinary grouping.
+ - Entries of fewer than 2**FREQUENT nodes bring candidates together: pairs of nodes that share as many as needed.
  - Shingles that are entries of more nodes are frequent, and their nodes are indexed anew in the order (frequent or not, hash): the prefix is extended to
    as many other shingles, which are counted again, and so on. Where a node has too few that are rare, frequent ones follow, which fall into small groups that both
-   documents form alike (by hash, for the size class of the larger one). A group of g is indexed by its pairs and accounts for g - 1 missing shingles.
+   documents form alike (by hash, for the size class of the larger one). A group of g is indexed by its pairs and accounts for g - 1 missing shingles. One pair makes candidates.
    After ROUNDS of this all shingles of the nodes that are left are counted, which leaves no entry of a single shingle that is frequent.
-Two similar nodes share an entry in each round in which both take part. If it is a pair or rare, they are candidates; if not, both are in the next round.
+Two similar nodes share a pair or k single shingles in each round in which both take part. If it is a pair or all of the k are rare, they are candidates; if not, both are in the next round.
 
 Entries are dealt by value into slices. A block of nodes tells a slice its entries once, packed; the slice counts them, and answers with links and with what is frequent.
 A block tells by itself what is frequent within it, and of nodes of one size class that share a pair only the first, so that a slice has a few rows at most for each block and entry.
@@ -44,6 +45,10 @@ FREQUENT = 2
 GROUP = 4
 #: Nodes of a tile's side and their shingles, about; smaller clusters are compared several to a task, of about LUMP shingles. Shingles of an incidence block.
 TILE, TILE_SHINGLES, LUMP, COLUMNS = 256, 1_000_000, 100_000, 4_096
+#: Of the shingles that a node may lack, one in so many is indexed and needed beyond the first.
+SPARE = 16
+#: What a link counts that needs no other.
+SURE = 1 << 40
 #: Entries of a slice, about, and slices where there are fewer entries (or as many as Spark has shuffle partitions).
 SLICE_ENTRIES, SLICES = 1_000_000, 200
 #: Rounds of indexing in which only entries are counted.
@@ -97,13 +102,22 @@ def _size_class(n: int) -> int:
     return int(np.floor(np.log(n) / np.log(100 / PERCENT) + 1e-9))
 
 
+def _needed(kind: np.ndarray) -> np.ndarray:
+    """Rare entries that a node of a size class shares with any similar one that has as large a size class or a larger one."""
+    return 1 + np.floor((100 / PERCENT) ** kind * (100 - PERCENT) / 100 / SPARE).astype(np.int64)
+
+
+def _prefix(n: int) -> int:
+    """Shingles of n that are indexed where none is frequent."""
+    return _missing(n) + int(_needed(np.array(_size_class(n))))
+
+
 def _entries(held: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """Index entries of an ascending set of shingle hashes, with what is frequent marked."""
     n = len(held)
-    missing = _missing(n)
     rare, rest = held[~frequent], held[frequent]
-    found = [rare[: missing + 1]]
-    short = missing + 1 - len(rare)
+    found = [rare[: _prefix(n)]]
+    short = _prefix(n) - len(rare)
     if short > 0:
         for z in {_size_class(n), _size_class(n) + 1}:
             groups = int((100 / PERCENT) ** z / GROUP) + 1
@@ -207,6 +221,21 @@ def _told(node: np.ndarray, n: np.ndarray, made: list[np.ndarray], slices: int)
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.binary()))], ["q", "told"])
 
 
+def _shared(entry: np.ndarray, node: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Pairs of nodes of fitting size classes, how many entries they share, and how many they need: (4, n). Entries of few nodes."""
+    order = np.lexsort((node, entry))
+    entry, node, kind = entry[order], node[order], kind[order]
+    found = []
+    for d in range(1, 1 << FREQUENT):
+        i = np.flatnonzero((entry[d:] == entry[:-d]) & (np.abs(kind[d:] - kind[:-d]) <= 1))
+        found.append(np.stack([node[i + d], node[i], np.minimum(kind[i + d], kind[i])]))
+    pairs = np.concatenate([np.zeros((3, 0), np.int64), *found], axis=1)
+    pairs = pairs[:, np.lexsort(pairs)]
+    begins = np.flatnonzero(_starts(*pairs[:2]))
+    a, b, kind = pairs[:, begins]
+    return np.stack([a, b, np.diff(begins, append=pairs.shape[1]), _needed(kind)])
+
+
 def _linked(entry: np.ndarray, node: np.ndarray, kind: np.ndarray) -> np.ndarray:
     """Links (2, n) of each node of an entry to the smallest one of a fitting size. A node stands at its size class and the next one; similar ones are at most one class apart, so they meet."""
     order = np.argsort(entry, kind="stable")
@@ -221,7 +250,7 @@ def _linked(entry: np.ndarray, node: np.ndarray, kind: np.ndarray) -> np.ndarray
 
 
 def _answered(part: pa.Table, slices: int) -> pa.Table:
-    """A slice's links (kind 0: a, b), frequent shingles (kind 1: a) and the nodes that have these (kind 2: a)."""
+    """A slice's links (kind 0: a, b, the entries c they share and those they need), frequent shingles (kind 1: a) and the nodes that have these (kind 2: a)."""
     q, parts = part["q"][0].as_py(), [list(map(_grown, x)) for x in part["told"].to_pylist()]
     values = lambda k: [np.cumsum(x[k]) * slices + q for x in parts]
     nodes = [np.cumsum(x[3])[x[2]] for x in parts]
@@ -236,23 +265,31 @@ def _answered(part: pa.Table, slices: int) -> pa.Table:
     hot = often[which]
     active = np.unique(np.concatenate([node[hot], *(x[6] for x in parts if len(x) > 6)]))
     fresh = np.union1d(found[often], told)
-    links = [_linked(one[~hot], node[~hot], kind[~hot]), _linked(np.concatenate(values(1)), late(nodes), late(kinds)), *(np.stack(x[7:9]) for x in parts if len(x) > 6)]
-    links = np.concatenate(links, axis=1)
-    links = links[:, np.lexsort(links)]
-    links = links[:, _starts(*links)]
+    some = _shared(one[~hot], node[~hot], kind[~hot])
+    sure = np.concatenate([_linked(np.concatenate(values(1)), late(nodes), late(kinds)), *(np.stack(x[7:9]) for x in parts if len(x) > 6)], axis=1)
+    sure = sure[:, np.lexsort(sure)]
+    sure = sure[:, _starts(*sure)]
+    links = np.concatenate([some, np.stack([*sure, np.full(sure.shape[1], SURE), np.zeros(sure.shape[1], np.int64)])], axis=1)
     n = [links.shape[1], len(fresh), len(active)]
-    return pa.table({"kind": np.repeat(np.arange(3, dtype=np.int32), n), "a": np.concatenate([links[0], fresh, active]), "b": np.concatenate([links[1], np.zeros(n[1] + n[2], np.int64)])})
+    links = np.pad(links, ((0, 0), (0, n[1] + n[2])))
+    return pa.table({"kind": np.repeat(np.arange(3, dtype=np.int32), n), "a": np.concatenate([links[0, : n[0]], fresh, active]), "b": links[1], "c": links[2], "need": links[3]})
 
 
 def _met(told: DataFrame, slices: int) -> DataFrame:
-    """kind, a, b from what blocks tell; written."""
+    """kind, a, b, c, need from what blocks tell; written."""
 
     def answer(part: pa.Table) -> pa.Table:
         found = _answered(part, slices)
         release()
         return found
 
-    return shared_table(told.groupBy("q").applyInArrow(answer, "kind int, a long, b long"), "met")
+    return shared_table(told.groupBy("q").applyInArrow(answer, "kind int, a long, b long, c long, need long"), "met")
+
+
+def _enough(met: DataFrame) -> DataFrame:
+    """a, b: the links of a round that share as many entries as they need, over all slices."""
+    links = met.where("kind = 0").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "c", "need")
+    return links.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need")).where("c >= need").select("a", "b")
 
 
 def _tokens(sets: DataFrame) -> DataFrame:
@@ -282,20 +319,29 @@ def _counted(sets: DataFrame) -> DataFrame:
     return sets.select("held").mapInArrow(summed, "shingle long, c long").groupBy("shingle").agg(F.sum("c").alias("c"))
 
 
-def _entered(sets: DataFrame, often: np.ndarray, slices: int) -> DataFrame:
-    """q, told of the entries of sets (node, n, held), with these shingles as the frequent ones."""
-    sent = sets.sparkSession.sparkContext.broadcast(often)  # at most BROADCAST_SHINGLES
+def _remains(held: np.ndarray, since: np.ndarray, rounds: int) -> bool:
+    """Whether a node had frequent entries in each of the rounds so far; since: the round that found a shingle frequent, or more than these."""
+    return all((since[since >= r][: _prefix(len(held))] == r).any() for r in range(rounds))
+
+
+def _entered(sets: DataFrame, often: np.ndarray, slices: int, since: np.ndarray | None = None) -> DataFrame:
+    """q, told of the entries of sets (node, n, held), with these shingles as the frequent ones. since: the round that found each, where the nodes that remain are to be told from these."""
+    rounds = 0 if since is None else int(since.max(initial=-1)) + 1
+    sent = sets.sparkSession.sparkContext.broadcast((often, since))  # at most BROADCAST_SHINGLES
 
     @releasing
     def entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = sent.value
+        often, since = sent.value
         for batch in batches:
-            made = []
-            for x in batch["held"].to_pylist():
-                held = _unpack(x)
+            made, taken = [], []
+            for i, x in enumerate(batch["held"]):
+                held = _unpack(x.as_py())
                 at = np.minimum(np.searchsorted(often, held), max(0, len(often) - 1))
-                made.append(_entries(held, often[at] == held if len(often) else np.zeros(len(held), bool)))
-            yield _told(batch["node"].to_numpy(), batch["n"].to_numpy(), made, slices)
+                known = often[at] == held if len(often) else np.zeros(len(held), bool)
+                if not rounds or _remains(held, np.where(known, since[at], rounds), rounds):
+                    made.append(_entries(held, known))
+                    taken.append(i)
+            yield _told(batch["node"].to_numpy()[taken], batch["n"].to_numpy()[taken], made, slices)
 
     return sets.mapInArrow(entered, "q int, told array<binary>")
 
@@ -322,14 +368,22 @@ def _numbers(shingles: DataFrame) -> np.ndarray:
     return np.sort(shingles.toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))
 
 
-def candidates(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a, b: links that bring the nodes (node) of sets (row, n, held) together. Between nodes whose sizes rule a link out there is none."""
+def candidates(sets: DataFrame) -> DataFrame:
+    """a, b: links that bring the rows of sets (row, n, held) together, all of them nodes. Between nodes whose sizes rule a link out there is none."""
     entries = (sets.agg(F.sum("n")).first()[0] or 0) * (100 - PERCENT) // 100
     slices = max(min(SLICES, partitions(sets.sparkSession)), entries // SLICE_ENTRIES)
-    active, often, found = nodes, np.zeros(0, np.uint64), []
-    for _ in range(ROUNDS):
-        met = _met(_entered(_with(sets.select("row", "n", "held"), active), often, slices), slices)
-        found.append(met.where("kind = 0"))
+    sets = sets.select("row", "n", "held")
+    every, active, found = sets.withColumnRenamed("row", "node"), None, []
+    often, since = np.zeros(0, np.uint64), np.zeros(0, np.int8)
+    for k in range(ROUNDS):
+        if active is None:
+            told = _entered(every, often, slices)
+        elif active.count() <= BROADCAST_ROWS:
+            told = _entered(_with(sets, active), often, slices)
+        else:  # a node tells from its set and what was found frequent when; a join would shuffle the sets
+            told = _entered(every, often, slices, since)
+        met = _met(told, slices)
+        found.append(_enough(met))
         fresh = met.where("kind = 1").select(F.col("a").alias("shingle"))
         new = fresh.count()
         if not new:
@@ -338,16 +392,18 @@ def candidates(sets: DataFrame, nodes: DataFrame) -> DataFrame:
         if len(often) + new > BROADCAST_SHINGLES:
             often = None
             break
-        often = np.union1d(often, _numbers(fresh))
+        often, since = np.concatenate([often, _numbers(fresh)]), np.concatenate([since, np.full(new, k, np.int8)])
+        order = np.argsort(often)
+        often, since = often[order], since[order]
     if often is None or new:
-        whole = _with(sets.select("row", "n", "held"), active)
+        whole = _with(sets, active)
         frequent = shared_table(_counted(whole).where(F.col("c") >= 1 << FREQUENT).select("shingle"), "frequent")
         few = frequent.count() <= BROADCAST_SHINGLES
-        found.append(_met(_entered(whole, _numbers(frequent), slices) if few else _entered_by_join(whole, frequent, slices), slices).where("kind = 0"))
+        found.append(_enough(_met(_entered(whole, _numbers(frequent), slices) if few else _entered_by_join(whole, frequent, slices), slices)))
     links = found[0]
     for x in found[1:]:
         links = links.unionByName(x)
-    return links.select("a", "b")
+    return links
 
 
 def _similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -378,16 +434,17 @@ def _similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tup
 def _links(sets: DataFrame, clusters: DataFrame) -> DataFrame:
     """a, b: spanning links of the similar pairs within clusters (node, component). Each node meets each part of its cluster once."""
     clusters = shared_table(clusters, "clusters")
-    held = shared_table(_with(sets.select("row", "n", "held"), clusters.select("node")), "held")
-    sized = clusters.join(held.select("node", "n"), "node").groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    few = clusters.count() <= BROADCAST_ROWS
+    sent = F.broadcast if few else lambda x: x
+    sized = sets.select(F.col("row").alias("node"), "n").join(sent(clusters), "node").groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
     sized = shared_table(sized.withColumn("parts", F.ceil(F.greatest(F.col("m") / TILE, F.col("n") / TILE_SHINGLES)).cast("int")), "sized")
     lumps = max(1, (sized.agg(F.sum("n")).first()[0] or 0) // LUMP)
-    dealt = clusters.join(sized.drop("n"), "component").select(
-        "node", F.col("component").alias("cluster"), "parts",
+    dealt = shared_table(clusters.join(sized, "component").select("node", F.col("component").alias("cluster"), "parts"), "dealt")
+    met = sets.select(F.col("row").alias("node"), "held").join(sent(dealt), "node").select(
+        "node", "held", "cluster", "parts",
         F.pmod(F.xxhash64(F.lit(17), "node"), F.col("parts")).cast("int").alias("part"),
-        F.when(F.col("parts") == 1, F.pmod(F.xxhash64("component"), F.lit(lumps))).otherwise(-1).alias("lump"), F.when(F.col("parts") > 1, F.col("component")).alias("own"),
+        F.when(F.col("parts") == 1, F.pmod(F.xxhash64("cluster"), F.lit(lumps))).otherwise(-1).alias("lump"), F.when(F.col("parts") > 1, F.col("cluster")).alias("own"),
     )
-    met = held.select("node", "held").join(dealt, "node")
     tiles = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("lump", "own", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "cluster", "node", "held")
 
     def compared(part: pa.Table) -> pa.Table:
@@ -422,8 +479,15 @@ def similar_groups(documents: DataFrame) -> DataFrame:
     sets = shingled(documents)
     known = sets.where(F.col("hash").isNotNull() & F.col("doc_id").isNotNull())
     # a node is the first row of those with a set
-    nodes = shared_table(known.groupBy("hash").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep")), "reps")
-    part = components(_links(sets, components(candidates(sets, nodes.select("node")))))
+    nodes = shared_table(known.groupBy("hash").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "reps")
+    several = nodes.where("rows > 1").select("hash", "node")
+    # the other rows are named rather than the nodes, as they are fewer in most tables
+    repeats = shared_table(known.select("row", "hash").join(F.broadcast(several) if several.count() <= BROADCAST_ROWS else several, "hash").where("row <> node").select("row"), "repeats")
+    few = repeats.count() <= BROADCAST_ROWS
+    sets_of_nodes = known.select("row", "n", "held").join(F.broadcast(repeats) if few else repeats, "row", "left_anti")
+    if not few:
+        sets_of_nodes = shared_table(sets_of_nodes, "nodes")  # else each round would shuffle the sets
+    part = components(_links(sets_of_nodes, components(candidates(sets_of_nodes))))
 
     named = nodes.join(part, "node", "left").select("hash", "rep", F.coalesce("component", "node").alias("component"))
     named = shared_table(named, "named")
