@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import binary, hashed_words, mix, partitions, remainder, shared_table
+from tidewater.llm.common import binary, hashed_words, mix, partitions, release, releasing, remainder, shared_table
 
 #: Documents with remainder(doc_id, FOLDS) 0 are held out.
 FOLDS = 10
@@ -46,6 +46,8 @@ BURN, SAMPLES = 1, 3
 LONG, FEW, BLOCK = 64, 128, 8_192
 #: Characters of text for each group of contexts, about; words of a batch.
 GROUP_CHARS, BATCH_WORDS = 14_000_000, 1_000_000
+#: Tokens of a group whose probabilities are computed at once.
+STRETCH = 1 << 18
 #: A word's bits. Shares of a group's tokens from which a context is spread, and a pair is dealt over several groups.
 BITS, HOT = 56, 0.25
 #: Frequent words that are written as numbers, at most, and occurrences in a batch from which it reports a word. Groups for each slice of words, and slices at least.
@@ -221,6 +223,7 @@ class Pairs:
 
     @classmethod
     def unpacked(cls, held: list[bytes], shared: Shared) -> Pairs:
+        release()
         words = _distinct(np.concatenate([shared.coded[_expand(held[0], bool)], np.cumsum(_unplanes(held[1], 7), dtype=np.uint64)]))
         context, word, customers = map(_from_ints, held[3:])
         return cls(words, np.flatnonzero(_expand(held[2], bool)), np.cumsum(context) << 32 | word, customers, shared)
@@ -238,39 +241,47 @@ class Pairs:
 
 
 class Group(Pairs):
-    """All tokens of a group of contexts besides, as (pair, document, times), in numbers of distinct words."""
+    """All tokens of a group of contexts besides, as (pair, times) in numbers of distinct words, batch after batch, and their documents by batch.
+
+    What it takes depends on its tokens alone: a batch adds no table of the frequent words and no list of its documents, however many batches the corpus has.
+    """
 
     def __init__(self, part: pa.Table, shared: Shared) -> None:
-        rare = [np.cumsum(_unplanes(x, 7), dtype=np.uint64) for x in part["words"].to_pylist()]
-        contexts, tokens = ([_from_ints(x) for x in part[c].to_pylist()] for c in ("contexts", "tokens"))
-        contexts = [np.cumsum(x) for x in contexts]
-        f = len(shared.coded)
+        release()
+        f, column = len(shared.coded), lambda c: part[c].to_pylist()
+        rare = [np.cumsum(_unplanes(x, 7), dtype=np.uint64) for x in column("words")]
+        contexts = [np.cumsum(_from_ints(x)).astype(np.uint32) for x in column("contexts")]
+        tokens = [_from_ints(x).astype(np.uint32) for x in column("tokens")]
         met = np.zeros(f, bool)
         for x in (*contexts, *tokens):
             met[x[x < f]] = True
         words = _distinct(np.concatenate([shared.coded[met], *rare]))
-        place = np.zeros(f, np.int64)
-        place[met] = np.searchsorted(words, shared.coded[met])
-        place = [np.concatenate([place, np.searchsorted(words, r)]) for r in rare]
-        self.context = np.concatenate([p[c] for p, c in zip(place, contexts, strict=True)])
-        self.token = np.concatenate([p[t] for p, t in zip(place, tokens, strict=True)])
-        docs = [_from_ints(x) for x in part["docs"].to_pylist()]
-        self.times = np.concatenate([_from_ints(x) for x in part["times"].to_pylist()])
-        train = [_expand(x, bool) for x in part["train"].to_pylist()]
-        self.train = np.concatenate([t[d] for t, d in zip(train, docs, strict=True)])
-        self.base = np.cumsum([0, *map(len, train)])
-        self.doc = np.concatenate([d + b for d, b in zip(docs, self.base, strict=False)])
-        self.pair = self.context << 32 | self.token
-        pair = np.sort(self.pair[self.train])
+        # places of the frequent words, and behind them those of one batch's others
+        place = np.zeros(f + max(map(len, rare), default=0), np.int64)
+        place[np.flatnonzero(met)] = np.searchsorted(words, shared.coded[met])
+        self.begins = np.cumsum([0, *map(len, tokens)])
+        self.pair = np.empty(self.begins[-1], np.int64)
+        for a, b, r, c, t in zip(self.begins[:-1], self.begins[1:], rare, contexts, tokens, strict=True):
+            place[f : f + len(r)] = np.searchsorted(words, r)
+            self.pair[a:b] = place[c] << 32 | place[t]
+        del rare, contexts, tokens, place
+        self.times = np.concatenate([_from_ints(x).astype(np.uint32) for x in column("times")])
+        self.docs = [_from_ints(x).astype(np.uint32) for x in column("docs")]
+        train = np.concatenate([d < n for d, n in zip(self.docs, column("trained"), strict=True)])
+        pair = np.sort(self.pair[train])
         begins = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.zeros(0, int)
         pairs, customers = pair[begins], np.diff(np.r_[begins, len(pair)])
-        more = np.flatnonzero(self.train & (self.times > 1))
-        np.add.at(customers, np.searchsorted(pairs, self.pair[more]), self.times[more] - 1)
+        more = np.flatnonzero(train & (self.times > 1))
+        np.add.at(customers, np.searchsorted(pairs, self.pair[more]), self.times[more].astype(np.int64) - 1)
+        del pair, begins, train, more
         if len(shared.keys):  # a hot pair is one of training here even if other groups have all of that
-            also = np.setdiff1d(self.pair[shared.pair_at(words[self.context], words[self.token]) >= 0], pairs)
+            at = np.minimum(np.searchsorted(words, shared.pairs), max(0, len(words) - 1)).astype(np.int64)
+            here = (words[at] == shared.pairs).all(axis=1) if len(words) else np.zeros(len(at), bool)
+            hot = np.sort(at[here, 0] << 32 | at[here, 1])
+            also = np.setdiff1d(self.pair[_among(self.pair, hot)], pairs)
             at = np.searchsorted(pairs, also)
             pairs, customers = np.insert(pairs, at, also), np.insert(customers, at, 0)
-        super().__init__(words, np.flatnonzero(np.bincount(self.token, minlength=len(words))), pairs, customers, shared)
+        super().__init__(words, np.flatnonzero(np.bincount(self.pair & 0xFFFFFFFF, minlength=len(words))), pairs, customers, shared)
 
 
 def _frequent(rows: DataFrame, groups: int) -> Shared:
@@ -301,7 +312,7 @@ def _frequent(rows: DataFrame, groups: int) -> Shared:
             other = [np.full(told.sum() + 1, -1), pairs[:, 1].astype(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(one)), pa.array(np.concatenate(other)), pa.array(np.concatenate([np.append(n[told], len(tokens)), k]).astype(np.int64))], ["word", "other", "n"])
 
-    counted = shared_table(rows.mapInArrow(frequent, "word long, other long, n long").groupBy("word", "other").agg(F.sum("n").alias("n")), "frequent")
+    counted = shared_table(rows.mapInArrow(releasing(frequent), "word long, other long, n long").groupBy("word", "other").agg(F.sum("n").alias("n")), "frequent")
     whole = counted.where(F.col("word") == -1).first()
     if whole is None:
         return Shared(np.array([int(END)], np.uint64), np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64), np.zeros(0, np.int64))
@@ -360,6 +371,7 @@ ANSWER = "g long, q long, customers binary, dishes binary, own binary, hot_n bin
 
 def _slice(part: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """A slice's words, which of them each group has told (one behind the other), and the same for each group."""
+    release()
     words = [np.cumsum(_unplanes(x, 7), dtype=np.uint64) for x in part["words"].to_pylist()]
     found, which = np.unique(np.concatenate(words), return_inverse=True)
     return found, which, np.split(which, np.cumsum([len(w) for w in words])[:-1])
@@ -465,14 +477,22 @@ class Seating:
     def chances(self, hot: np.ndarray) -> np.ndarray:
         """The predictive probability of each token, averaged over the samples."""
         group = self.group
-        at = np.searchsorted(group.pairs, group.pair)
-        at[at == len(group.pairs)] = 0
-        seen = group.pairs[at] == group.pair if len(group.pairs) else np.zeros(len(group.pair), bool)
-        own = np.zeros(len(group.pair))
-        own[seen] = (group.customers - DISCOUNT * self.summed / SAMPLES)[at[seen]]
-        for total, customers, tables, (parents, grand) in zip(*(self.samples[i::4] for i in range(4)), strict=True):
-            own += (STRENGTH + DISCOUNT * total[group.context]) * self.of_parent(customers, tables, parents, grand)[group.token] / SAMPLES
-        return own / (STRENGTH + self.spread(self.hot_n, group.of_context(group.customers), hot)[group.context])
+        discounted = group.customers - DISCOUNT * self.summed / SAMPLES
+        back = [(STRENGTH + DISCOUNT * total, self.of_parent(customers, tables, parents, grand) / SAMPLES) for total, customers, tables, (parents, grand) in zip(*(self.samples[i::4] for i in range(4)), strict=True)]
+        of_context = STRENGTH + self.spread(self.hot_n, group.of_context(group.customers), hot)
+        out = np.empty(len(group.pair))
+        for a in range(0, len(out), STRETCH):
+            pair = group.pair[a : a + STRETCH]
+            context, token = pair >> 32, pair & 0xFFFFFFFF
+            at = np.searchsorted(group.pairs, pair)
+            at[at == len(group.pairs)] = 0
+            seen = group.pairs[at] == pair if len(group.pairs) else np.zeros(len(pair), bool)
+            own = np.zeros(len(pair))
+            own[seen] = discounted[at[seen]]
+            for strength, parent in back:
+                own += strength[context] * parent[token]
+            out[a : a + STRETCH] = own / of_context[context]
+        return out
 
 
 def score(documents: DataFrame) -> DataFrame:
@@ -491,6 +511,9 @@ def score(documents: DataFrame) -> DataFrame:
         ranked = np.argsort(shared.coded)
         by_word = shared.coded[ranked]
         for number, ids, train, texts in _batches(parts):
+            # documents for training come first, so that their number tells which they are
+            order = np.argsort(~train, kind="stable")
+            ids, texts, trained = ids.take(pa.array(order)), [texts[i] for i in order], int(train.sum())
             tokens, n = _tokens(texts)
             context = np.concatenate([[END], tokens[:-1]])
             words, t = np.unique(tokens, return_inverse=True)
@@ -506,7 +529,6 @@ def score(documents: DataFrame) -> DataFrame:
             doc = np.repeat(np.arange(len(n)), n)
             order = np.argsort(group.astype(np.uint16) if groups < 1 << 16 else group, kind="stable")  # short numbers sort by radix
             ends = np.searchsorted(group[order], np.arange(groups + 1))
-            flags = _squeeze(train.tobytes())
             made = []
             for g in range(groups):
                 at = order[ends[g] : ends[g + 1]]
@@ -520,12 +542,12 @@ def score(documents: DataFrame) -> DataFrame:
                     first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (d[1:] != d[:-1])])
                     key, d, times = key[first], d[first], np.diff(np.r_[first, len(d)])
                     lead = not made
-                    made.append((g, int(number[0]), _planes(np.diff(others[used - f], prepend=np.uint64(0)), 7), _ints(np.diff(key >> 32, prepend=0)), _ints(key & 0xFFFFFFFF), _ints(d), _ints(times), flags, ids if lead else None, _planes(n, 4) if lead else None))
+                    made.append((g, int(number[0]), _planes(np.diff(others[used - f], prepend=np.uint64(0)), 7), _ints(np.diff(key >> 32, prepend=0)), _ints(key & 0xFFFFFFFF), _ints(d), _ints(times), trained, ids if lead else None, _planes(n, 4) if lead else None))
             columns = list(zip(*made, strict=True))
             id_lists = pa.array([x.to_pylist() if x is not None else None for x in columns[8]], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), *(pa.array(x, pa.binary()) for x in columns[2:8]), id_lists, pa.array(columns[9], pa.binary())], ["g", "batch", "words", "contexts", "tokens", "docs", "times", "train", "ids", "sizes"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), *(pa.array(x, pa.binary()) for x in columns[2:7]), pa.array(columns[7], pa.int64()), id_lists, pa.array(columns[9], pa.binary())], ["g", "batch", "words", "contexts", "tokens", "docs", "times", "trained", "ids", "sizes"])
 
-    packed = rows.mapInArrow(pack, "g long, batch long, words binary, contexts binary, tokens binary, docs binary, times binary, train binary, ids array<long>, sizes binary")
+    packed = rows.mapInArrow(releasing(pack), "g long, batch long, words binary, contexts binary, tokens binary, docs binary, times binary, trained long, ids array<long>, sizes binary")
 
     hot_cut, pair_cut = np.searchsorted(shared.hot, bounds), (np.arange(slices + 1) * len(shared.keys)) // slices
 
@@ -584,8 +606,8 @@ def score(documents: DataFrame) -> DataFrame:
 
     def predict(left: pa.Table, right: pa.Table) -> pa.Table:
         """Sums of log10 probabilities for each batch's documents."""
-        names = ["batch", "train_tokens", "ids", "sizes", "train", "docs", "base_places", "base", "score_places", "score", "known"]
-        types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 3, pa.int64(), pa.binary(), pa.int64(), *[pa.binary()] * 2]
+        names = ["batch", "train_tokens", "ids", "sizes", "trained", "docs", "base_places", "base", "score_places", "score", "known"]
+        types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), *[pa.binary()] * 2]
         if not left.num_rows:
             return pa.table({c: pa.array([], t) for c, t in zip(names, types, strict=True)})
         left, shared = left.sort_by("batch"), sent.value
@@ -597,18 +619,16 @@ def score(documents: DataFrame) -> DataFrame:
         known = np.zeros(len(group.words), bool)
         known[group.asked] = counts > 0
         chance = now.chances(shared.hot)
-        by_doc = lambda x: np.bincount(group.doc, weights=x * group.times, minlength=group.base[-1])
-        sums_of = {"base": by_doc(base[group.token]), "score": by_doc(np.log10(chance)), "known": by_doc(known[group.token]), "n": by_doc(1)}
         made = []
-        for a, b in zip(group.base[:-1], group.base[1:], strict=True):
-            there = np.flatnonzero(sums_of["n"][a:b])
-            cut = {c: x[a:b][there] for c, x in sums_of.items()}
-            made.append((_planes(np.diff(there, prepend=0), 4), *_fixed(cut["base"]), *_fixed(cut["score"]), _planes(cut["known"].astype(np.int64), 4)))
-        flags = [x if i is not None else None for x, i in zip(left["train"].to_pylist(), left["ids"].to_pylist(), strict=True)]
-        values = [left["batch"], pa.array([n] * len(made), pa.int64()), left["ids"], left["sizes"], pa.array(flags, pa.binary()), *(pa.array(x, t) for x, t in zip(zip(*made, strict=True), types[5:], strict=True))]
+        for a, b, docs in zip(group.begins[:-1], group.begins[1:], group.docs, strict=True):
+            token, times = group.pair[a:b] & 0xFFFFFFFF, group.times[a:b]
+            there = np.flatnonzero(np.bincount(docs))
+            of = lambda x: np.bincount(docs, weights=x * times)[there]  # noqa: B023, E731
+            made.append((_planes(np.diff(there, prepend=0), 4), *_fixed(of(base[token])), *_fixed(of(np.log10(chance[a:b]))), _planes(of(known[token]).astype(np.int64), 4)))
+        values = [left["batch"], pa.array([n] * len(made), pa.int64()), left["ids"], left["sizes"], left["trained"], *(pa.array(x, t) for x, t in zip(zip(*made, strict=True), types[5:], strict=True))]
         return pa.table({c: x.cast(t) for c, x, t in zip(names, values, types, strict=True)})
 
-    parts = by_group(packed, answers, predict, "batch long, train_tokens long, ids array<long>, sizes binary, train binary, docs binary, base_places long, base binary, score_places long, score binary, known binary")
+    parts = by_group(packed, answers, predict, "batch long, train_tokens long, ids array<long>, sizes binary, trained long, docs binary, base_places long, base binary, score_places long, score binary, known binary")
 
     def gather(part: pa.Table) -> pa.Table:
         part = part.to_pylist()
@@ -621,7 +641,7 @@ def score(documents: DataFrame) -> DataFrame:
                 out[c][at] -= _from_ints(p[c]) * 2.0 ** -p[f"{c}_places"]
             out["known"][at] += _unplanes(p["known"], 4)
         return pa.table({
-            "doc_id": pa.array(lead["ids"], pa.int64()), "held_out": pa.array(~_expand(lead["train"], bool)), "n_tokens": pa.array(_unplanes(lead["sizes"], 4).astype(np.int64)), "n_known": pa.array(out["known"].astype(np.int64)),
+            "doc_id": pa.array(lead["ids"], pa.int64()), "held_out": pa.array(np.arange(size) >= lead["trained"]), "n_tokens": pa.array(_unplanes(lead["sizes"], 4).astype(np.int64)), "n_known": pa.array(out["known"].astype(np.int64)),
             "train_tokens": pa.array(np.full(size, lead["train_tokens"] or 0, np.int64)), "base_score": pa.array(out["base"]), "score": pa.array(out["score"]),
         })
 
